@@ -132,3 +132,177 @@ e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY list_id)) AS e FROM s)
 SELECT list_id, slot, round(1 / (1 + exp(-logit)), 6) AS sigmoid,
        round(e / sum(e) OVER (PARTITION BY list_id), 6) AS softmax
 FROM e"""
+
+# ------------------------------------------------------------------ view A
+IMPS = """
+imps_base AS (
+  SELECT event_id AS imp_id, user_id, ts,
+         CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+         CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS label,
+         value / 500 AS score,
+         (k % 10)::VARCHAR AS pos, (k // 10)::VARCHAR AS pagenum,
+         (event_id % 3)::VARCHAR AS sex,
+         least(floor(value / 50), 7)::BIGINT::VARCHAR AS price_level,
+         (user_id % 5)::VARCHAR AS age_level, (k % 3 + 1)::VARCHAR AS bc_type,
+         round_even(value / 500 * 10, 0)::INT::VARCHAR AS score_bucket,
+         (user_id % 2)::VARCHAR AS user_os, (user_id % 3)::VARCHAR AS user_gender,
+         (user_id % 5)::VARCHAR AS user_age_level, (user_id % 7)::VARCHAR AS user_purchase_level,
+         hour(ts)::VARCHAR AS user_hour, k
+  FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)),
+imps AS (
+  SELECT *, CASE WHEN label <> 0 THEN len(hist) ELSE 0 END AS hist_len FROM (
+    SELECT *, coalesce(list_filter(
+             list(CASE WHEN label = 1 THEN [pos, pagenum, sex, price_level, age_level, bc_type] END)
+               OVER (PARTITION BY user_id ORDER BY ts, imp_id
+                     ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
+             lambda x: x IS NOT NULL), []::VARCHAR[][]) AS hist
+    FROM imps_base)),
+fhist AS (SELECT * FROM imps WHERE label = 0 OR hist_len > 0),
+elig AS (SELECT split, user_id FROM fhist GROUP BY split, user_id
+         HAVING sum(CASE WHEN label <> 0 THEN 1 ELSE 0 END) >= 1
+            AND sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) >= 1),
+flog AS (SELECT f.* FROM fhist f JOIN elig e USING (split, user_id))"""
+
+
+def hstr(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda s: array_to_string(s, ',')), ';')"
+
+
+SQL["hist_asof"] = f"""
+WITH {IMPS}
+SELECT imp_id, len(hist)::INT AS hist_len, {hstr('hist')} AS hist_str FROM imps"""
+
+SQL["score_bucket"] = f"""
+WITH {IMPS}
+SELECT imp_id, score_bucket::INT AS score_bucket FROM imps_base"""
+
+SQL["pos_neg_split"] = f"""
+WITH {IMPS}
+SELECT split, CASE WHEN label <> 0 THEN 'pos' ELSE 'neg' END AS kind, count(*) AS n_items
+FROM imps_base GROUP BY ALL"""
+
+SQL["hist_parse"] = f"""
+WITH {IMPS},
+steps AS (
+  SELECT imp_id, list_transform(hist, lambda s: CASE WHEN s[1] IN ('0', '5')
+                                               THEN ['0','0','0','0','0','0'] ELSE s END)
+                 || list_transform(range(30 - len(hist)), lambda i: ['0','0','0','0','0','0']) AS st
+  FROM imps WHERE label = 1),
+seqs AS (
+  SELECT imp_id, list_transform(range(1, 7), lambda f: string_split(
+           array_to_string(list_transform(st, lambda s: s[f]), ','), ',')) AS f
+  FROM steps),
+sums AS (
+  SELECT imp_id, f, list_transform(range(1, len(f[1]) + 1),
+           lambda i: f[1][i]::INT + f[2][i]::INT + f[3][i]::INT + f[4][i]::INT + f[5][i]::INT
+                + f[6][i]::INT) AS s
+  FROM seqs),
+stops AS (
+  SELECT imp_id, f, s,
+         coalesce(nullif(list_position(list_transform(range(1, len(s) + 1),
+           lambda i: CASE WHEN s[i] = 0 AND i < len(s) AND s[i + 1] = 0 THEN 1 ELSE 0 END), 1), 0),
+           len(s) + 1) AS stop_at
+  FROM sums),
+cnt AS (SELECT imp_id, f, len(list_filter(s[1:stop_at - 1], lambda x: x <> 0)) AS n FROM stops)
+SELECT imp_id, n::INT AS hist_len,
+       array_to_string(list_transform(range(1, n + 1),
+         lambda i: f[1][i] || ',' || f[2][i] || ',' || f[3][i] || ',' || f[4][i] || ',' || f[5][i]
+              || ',' || f[6][i]), ';') AS hist_str
+FROM cnt"""
+
+SQL["filter_history"] = f"""
+WITH {IMPS}
+SELECT split, imp_id, label, hist_len::INT AS hist_len FROM fhist"""
+
+SQL["filter_users"] = f"""
+WITH {IMPS}
+SELECT split, user_id, imp_id, label FROM flog"""
+
+SQL["user_profile"] = f"""
+WITH {IMPS}
+SELECT split, user_id,
+       arg_min(user_os, imp_id) AS user_os, arg_min(user_gender, imp_id) AS user_gender,
+       arg_min(user_age_level, imp_id) AS user_age_level,
+       arg_min(user_purchase_level, imp_id) AS user_purchase_level,
+       arg_min(user_hour, imp_id) AS user_hour
+FROM imps_base GROUP BY split, user_id"""
+
+SQL["score_range"] = f"""
+WITH {IMPS}
+SELECT split, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score
+FROM imps_base GROUP BY split"""
+
+SQL["user_counts"] = f"""
+WITH {IMPS}
+SELECT split, user_id, count(*) FILTER (WHERE label <> 0) AS n_pos,
+       count(*) FILTER (WHERE label = 0) AS n_neg
+FROM flog GROUP BY split, user_id"""
+
+_LADDER_RUNGS = {
+    "pos_ge1": "p >= 1", "pos_ge2": "p >= 2", "neg_ge1": "n >= 1", "neg_ge9": "n >= 9",
+    "pos1_neg1": "p >= 1 AND n >= 1", "pos1_neg2": "p >= 1 AND n >= 2",
+    "pos1_neg5": "p >= 1 AND n >= 5", "pos1_neg9": "p >= 1 AND n >= 9",
+}
+
+SQL["user_ladder"] = f"""
+WITH {IMPS},
+uc AS (SELECT split, user_id, count(*) FILTER (WHERE label <> 0) AS p,
+              count(*) FILTER (WHERE label = 0) AS n FROM imps GROUP BY split, user_id),
+lad AS (SELECT split, count(*) AS n_users,
+        {", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in _LADDER_RUNGS.items())}
+        FROM uc GROUP BY split)
+SELECT split, n_users, {", ".join(_LADDER_RUNGS)},
+       {", ".join(f"round({k} / n_users, 6) AS {k}_share" for k in _LADDER_RUNGS)}
+FROM lad"""
+
+SQL["hist_buckets"] = f"""
+WITH {IMPS},
+b AS (SELECT split, count(*) AS n_pos, sum(hist_len)::BIGINT AS total_len,
+             count(*) FILTER (WHERE hist_len = 0) AS e0,
+             count(*) FILTER (WHERE hist_len BETWEEN 1 AND 5) AS le5,
+             count(*) FILTER (WHERE hist_len BETWEEN 6 AND 10) AS le10,
+             count(*) FILTER (WHERE hist_len > 10) AS g10
+      FROM imps WHERE label <> 0 GROUP BY split)
+SELECT split, n_pos, total_len, round(total_len / n_pos, 6) AS avg_len, e0, le5, le10, g10,
+       round(e0 / n_pos, 6) AS e0_share, round(le5 / n_pos, 6) AS le5_share,
+       round(le10 / n_pos, 6) AS le10_share, round(g10 / n_pos, 6) AS g10_share
+FROM b"""
+
+SQL["cate_histogram"] = f"""
+WITH {IMPS},
+u AS (SELECT split, 'item' AS kind, bc_type AS cate FROM imps
+      UNION ALL SELECT split, 'pos', bc_type FROM imps WHERE label <> 0
+      UNION ALL SELECT split, 'hist', step[6] FROM
+        (SELECT split, unnest(hist) AS step FROM imps WHERE label <> 0)),
+c AS (SELECT split, kind, cate, count(*) AS n FROM u GROUP BY ALL)
+SELECT split, kind, cate, n, round(n / sum(n) OVER (PARTITION BY split, kind), 6) AS share
+FROM c"""
+
+_CARD = """
+SELECT split, count(DISTINCT user_id) AS n_users, count(*) AS n_items,
+       count(*) FILTER (WHERE label <> 0) AS n_pos,
+       round(count(*) FILTER (WHERE label <> 0) / count(*), 6) AS pos_share
+FROM {src} GROUP BY split"""
+
+SQL["dataset_cardinality"] = f"WITH {IMPS}" + _CARD.format(src="flog")
+
+SQL["profile_stages"] = f"""
+WITH {IMPS},
+st AS (SELECT 'before' AS stage, * FROM imps UNION ALL SELECT 'after', * FROM flog),
+uc AS (SELECT stage, split, user_id, count(*) FILTER (WHERE label <> 0) AS p,
+              count(*) FILTER (WHERE label = 0) AS n FROM st GROUP BY ALL),
+lad AS (SELECT stage, split, count(*) FILTER (WHERE p >= 1) AS pos_ge1,
+               count(*) FILTER (WHERE n >= 1) AS neg_ge1,
+               count(*) FILTER (WHERE p >= 1 AND n >= 1) AS pos1_neg1,
+               count(*) FILTER (WHERE p >= 1 AND n >= 9) AS pos1_neg9 FROM uc GROUP BY ALL),
+card AS (SELECT stage, split, count(DISTINCT user_id) AS n_users, count(*) AS n_items,
+                count(*) FILTER (WHERE label <> 0) AS n_pos,
+                round(count(*) FILTER (WHERE label <> 0) / count(*), 6) AS pos_share
+         FROM st GROUP BY ALL)
+SELECT * FROM card JOIN lad USING (stage, split)"""
+
+SQL["pad_history"] = f"""
+WITH {IMPS}
+SELECT imp_id, least(len(hist), 30)::INT AS hist_len,
+       {hstr("(hist[1:30] || list_transform(range(greatest(30 - len(hist), 0)), lambda i: ['0','0','0','0','0','0']))")} AS hist_str
+FROM flog WHERE label = 1"""

@@ -88,3 +88,27 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View C: item vectors keyed by item id (``vec_id``)."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+
+
+def history_strings(imps: DataFrame, width: int = 6, max_len: int = HIST_MAX_LEN) -> DataFrame:
+    """The log's clicked-item sequence columns (ipv_*_seq) for positives: the
+    as-of history with steps whose ``pos`` is 0 or 5 written as zero steps,
+    right-padded with zero steps to ``max_len``, one comma-joined string per
+    field.  Input of the history parser (P4)."""
+    zero = F.array(*[F.lit("0") for _ in range(width)])
+    steps = F.transform("hist", lambda s: F.when(F.element_at(s, 1).isin("0", "5"), zero)
+                        .otherwise(s))
+    padded = F.concat(steps, F.array_repeat(zero, F.greatest(F.lit(max_len) - F.size("hist"),
+                                                             F.lit(0))))
+    names = ["ipv_pos_seq", "ipv_pagenum_seq", "ipv_sex_seq", "ipv_price_level_seq",
+             "ipv_age_level_seq", "ipv_bc_type_seq"]
+    def field(i):
+        return F.array_join(F.transform(padded, lambda s: F.element_at(s, i + 1)), ",")
+
+    return imps.where(F.col("label") == 1).select(
+        "*", *[field(i).alias(n) for i, n in enumerate(names)])
+
+
+def hist_str(c) -> "F.Column":
+    """Steps joined with ';', fields with ',' (oracle-friendly scalar)."""
+    return F.array_join(F.transform(c, lambda s: F.array_join(s, ",")), ";")

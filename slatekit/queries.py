@@ -97,3 +97,97 @@ def q_score_heads(spark, sf):
     s = V.served(spark, sf).withColumn("logit", (F.col("pred") - 0.5) * 4)
     out = M.score_heads(s, "logit").select("list_id", "slot", "sigmoid", "softmax")
     return _round(out, "sigmoid", "softmax")
+
+
+# ---------------------------------------------------------------- log preparation
+from slatekit.operators import history as H  # noqa: E402
+from slatekit.operators import impressions as I  # noqa: E402
+
+
+def _imps(spark, sf):
+    return I.with_hist_len(V.impressions(spark, sf))
+
+
+@query("hist_asof")
+def q_hist_asof(spark, sf):
+    return V.impressions(spark, sf).select(
+        "imp_id", F.size("hist").cast("int").alias("hist_len"), V.hist_str("hist").alias("hist_str"))
+
+
+@query("score_bucket")
+def q_score_bucket(spark, sf):
+    return V.impressions_base(spark, sf).select("imp_id", F.col("score_bucket").cast("int")
+                                                .alias("score_bucket"))
+
+
+@query("pos_neg_split")
+def q_pos_neg_split(spark, sf):
+    return I.pos_neg_split(V.impressions_base(spark, sf))
+
+
+@query("hist_parse")
+def q_hist_parse(spark, sf):
+    seqs = V.history_strings(V.impressions(spark, sf))
+    cols = [c for c in seqs.columns if c.startswith("ipv_")]
+    parsed = H.parse_history(seqs, cols)
+    return parsed.select("imp_id", "hist_len", V.hist_str("hist").alias("hist_str"))
+
+
+@query("filter_history")
+def q_filter_history(spark, sf):
+    return I.filter_history(_imps(spark, sf)).select("split", "imp_id", "label",
+                                                     F.col("hist_len").cast("int"))
+
+
+@query("filter_users")
+def q_filter_users(spark, sf):
+    return I.prepare_log(_imps(spark, sf)).select("split", "user_id", "imp_id", "label")
+
+
+@query("user_profile")
+def q_user_profile(spark, sf):
+    return I.user_profile(V.impressions_base(spark, sf))
+
+
+@query("score_range")
+def q_score_range(spark, sf):
+    return _round(I.score_range(V.impressions_base(spark, sf)), "min_score", "max_score")
+
+
+@query("user_counts")
+def q_user_counts(spark, sf):
+    return I.user_counts(I.prepare_log(_imps(spark, sf)))
+
+
+@query("user_ladder")
+def q_user_ladder(spark, sf):
+    out = I.user_ladder(_imps(spark, sf))
+    return _round(out, *[c for c in out.columns if c.endswith("_share")])
+
+
+@query("hist_buckets")
+def q_hist_buckets(spark, sf):
+    out = I.hist_buckets(_imps(spark, sf))
+    return _round(out, "avg_len", *[c for c in out.columns if c.endswith("_share")])
+
+
+@query("cate_histogram")
+def q_cate_histogram(spark, sf):
+    return _round(I.cate_histogram(_imps(spark, sf)), "share")
+
+
+@query("dataset_cardinality")
+def q_dataset_cardinality(spark, sf):
+    return _round(I.dataset_cardinality(I.prepare_log(_imps(spark, sf))), "pos_share")
+
+
+@query("profile_stages")
+def q_profile_stages(spark, sf):
+    return _round(I.profile_stages(_imps(spark, sf)), "pos_share")
+
+
+@query("pad_history")
+def q_pad_history(spark, sf):
+    imps = I.prepare_log(_imps(spark, sf)).where(F.col("label") == 1)
+    hist, n = H.pad_history("hist", kind="string")
+    return imps.select("imp_id", n.alias("hist_len"), V.hist_str(hist).alias("hist_str"))
