@@ -306,3 +306,101 @@ WITH {IMPS}
 SELECT imp_id, least(len(hist), 30)::INT AS hist_len,
        {hstr("(hist[1:30] || list_transform(range(greatest(30 - len(hist), 0)), lambda i: ['0','0','0','0','0','0']))")} AS hist_str
 FROM flog WHERE label = 1"""
+
+# ------------------------------------------------------------------ vocabulary
+_ITEM = [("item:pos", "pos"), ("item:pagenum", "pagenum"), ("item:sex", "sex"),
+         ("item:price_level", "price_level"), ("item:age_level", "age_level"),
+         ("item:bc_type", "bc_type"), ("item:score", "score_bucket")]
+_USER = [("user:user_os", "user_os"), ("user:user_gender", "user_gender"),
+         ("user:user_age_level", "user_age_level"),
+         ("user:user_purchase_level", "user_purchase_level"), ("user:user_hour", "user_hour")]
+
+
+def _vocab_ctes(src: str, base: str, name: str = "vocab") -> str:
+    """Vocabulary over filtered log ``src`` whose unfiltered rows are ``base``."""
+    items = "\n      UNION ALL ".join(
+        f"SELECT '{ns}' AS ns, {c} AS value, 0 AS phase, CASE WHEN split = 'train' THEN 0 ELSE 1 END"
+        f" AS so, imp_id AS pos, {i} AS sub FROM {src}" for i, (ns, c) in enumerate(_ITEM))
+    hist = "\n      UNION ALL ".join(
+        f"SELECT '{ns}', s[{i + 1}], 1, CASE WHEN split = 'train' THEN 0 ELSE 1 END, imp_id,"
+        f" (step - 1) * 6 + {i} FROM {name}_steps" for i, (ns, _) in enumerate(_ITEM[:6]))
+    users = "\n      UNION ALL ".join(
+        [f"SELECT 'uid', user_id::VARCHAR, 2, CASE WHEN split = 'train' THEN 0 ELSE 1 END,"
+         f" first_imp, 0 FROM {name}_prof"] +
+        [f"SELECT '{ns}', {c}, 2, CASE WHEN split = 'train' THEN 0 ELSE 1 END, first_imp, {j + 1}"
+         f" FROM {name}_prof" for j, (ns, c) in enumerate(_USER)])
+    return f"""
+{name}_steps AS (SELECT split, imp_id, unnest(hist) AS s, generate_subscripts(hist, 1) AS step
+           FROM {src} WHERE label <> 0),
+{name}_prof AS (
+  SELECT split, user_id, min(imp_id) AS first_imp,
+         arg_min(user_os, imp_id) AS user_os, arg_min(user_gender, imp_id) AS user_gender,
+         arg_min(user_age_level, imp_id) AS user_age_level,
+         arg_min(user_purchase_level, imp_id) AS user_purchase_level,
+         arg_min(user_hour, imp_id) AS user_hour
+  FROM {base} WHERE (split, user_id) IN (SELECT DISTINCT split, user_id FROM {src})
+  GROUP BY split, user_id),
+{name}_app AS ({items}
+      UNION ALL {hist}
+      UNION ALL {users}),
+{name}_first AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ns, value
+                                              ORDER BY phase, so, pos, sub) AS rn
+                 FROM {name}_app) WHERE rn = 1),
+{name} AS (SELECT ns, value, row_number() OVER (ORDER BY phase, so, pos, sub)::BIGINT AS id
+           FROM {name}_first)"""
+
+
+VOCAB = f"WITH {IMPS},{_vocab_ctes('flog', 'imps')}"
+
+SQL["vocab"] = VOCAB + "\nSELECT ns, value, id FROM vocab"
+SQL["vocab_sizes"] = VOCAB + "\nSELECT ns, count(*) AS n_values FROM vocab GROUP BY ns"
+SQL["cate_index"] = VOCAB + """
+SELECT value AS cate_value, id AS cate_id,
+       (row_number() OVER (ORDER BY id) - 1)::BIGINT AS cate_idx
+FROM vocab WHERE ns = 'item:bc_type'"""
+
+
+def _enc(alias: str, ns: str, col: str, src: str = "l") -> str:
+    return (f"coalesce((SELECT id FROM vocab v WHERE v.ns = '{ns}' AND v.value = {src}.{col}::VARCHAR),"
+            f" 0)::BIGINT AS {alias}")
+
+
+SQL["encode_items"] = VOCAB + f"""
+SELECT imp_id, {", ".join(_enc(c + "_id", ns, c) for ns, c in _ITEM)}
+FROM flog l"""
+
+SQL["encode_users"] = VOCAB + f"""
+SELECT split, user_id, {_enc("user_id_id", "uid", "user_id")},
+       {", ".join(_enc(c + "_id", ns, c) for ns, c in _USER)}
+FROM vocab_prof l"""
+
+SQL["encode_history"] = VOCAB + """,
+st AS (SELECT imp_id, step, f, s[f] AS v FROM vocab_steps CROSS JOIN range(1, 7) t(f)),
+enc AS (SELECT st.imp_id, st.step, st.f, coalesce(v.id, 0) AS id
+        FROM st LEFT JOIN vocab v
+          ON v.ns = ['item:pos', 'item:pagenum', 'item:sex', 'item:price_level',
+                     'item:age_level', 'item:bc_type'][st.f] AND v.value = st.v),
+steps AS (SELECT imp_id, step, string_agg(id::VARCHAR, ',' ORDER BY f) AS s
+          FROM enc GROUP BY imp_id, step),
+per AS (SELECT imp_id, string_agg(s, ';' ORDER BY step) AS h FROM steps GROUP BY imp_id)
+SELECT l.imp_id, coalesce(per.h, '') AS hist_ids
+FROM flog l LEFT JOIN per USING (imp_id) WHERE l.label = 1"""
+
+SQL["vocab_increment"] = f"""
+WITH {IMPS},
+tr AS (SELECT * FROM imps WHERE split = 'train'),
+trf_h AS (SELECT * FROM tr WHERE label = 0 OR hist_len > 0),
+trf AS (SELECT * FROM trf_h WHERE (split, user_id) IN (
+          SELECT split, user_id FROM trf_h GROUP BY ALL
+          HAVING count(*) FILTER (WHERE label <> 0) >= 1 AND count(*) FILTER (WHERE label = 0) >= 1)),
+{_vocab_ctes('trf', 'tr', 'base')},
+te AS (SELECT * FROM flog WHERE split = 'test'),
+new AS ({" UNION ALL ".join(f"SELECT '{ns}' AS ns, {c} AS value, imp_id * 8 + {i} AS ord FROM te"
+                            for i, (ns, c) in enumerate(_ITEM))}),
+fresh AS (SELECT ns, value, min(ord) AS ord FROM new
+          WHERE (ns, value) NOT IN (SELECT ns, value FROM base) GROUP BY ns, value)
+SELECT ns, value, id FROM base
+UNION ALL
+SELECT ns, value, ((SELECT coalesce(max(id), 0) FROM base)
+                   + row_number() OVER (ORDER BY ord, ns, value))::BIGINT FROM fresh"""

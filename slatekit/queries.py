@@ -191,3 +191,65 @@ def q_pad_history(spark, sf):
     imps = I.prepare_log(_imps(spark, sf)).where(F.col("label") == 1)
     hist, n = H.pad_history("hist", kind="string")
     return imps.select("imp_id", n.alias("hist_len"), V.hist_str(hist).alias("hist_str"))
+
+
+# ---------------------------------------------------------------- vocabulary / encoding
+from slatekit.operators import vocab as VO  # noqa: E402
+
+
+def _log_and_vocab(spark, sf):
+    imps = _imps(spark, sf)
+    log = I.prepare_log(imps)
+    return imps, log, VO.build_vocab(imps, log)
+
+
+@query("vocab")
+def q_vocab(spark, sf):
+    return _log_and_vocab(spark, sf)[2]
+
+
+@query("vocab_sizes")
+def q_vocab_sizes(spark, sf):
+    return VO.vocab_sizes(_log_and_vocab(spark, sf)[2])
+
+
+@query("cate_index")
+def q_cate_index(spark, sf):
+    return VO.cate_index(_log_and_vocab(spark, sf)[2])
+
+
+@query("encode_items")
+def q_encode_items(spark, sf):
+    _, log, vocab = _log_and_vocab(spark, sf)
+    enc = VO.encode_fields(log, vocab, VO.item_fields_map())
+    return enc.select("imp_id", *[c + "_id" for c in VO.ITEM_COLS])
+
+
+@query("encode_users")
+def q_encode_users(spark, sf):
+    imps, log, vocab = _log_and_vocab(spark, sf)
+    prof = VO.surviving_profiles(imps, log)
+    enc = VO.encode_fields(prof, vocab, VO.user_fields_map())
+    return enc.select("split", "user_id", *[c + "_id" for c in VO.user_fields_map()])
+
+
+@query("encode_history")
+def q_encode_history(spark, sf):
+    _, log, vocab = _log_and_vocab(spark, sf)
+    enc = VO.encode_steps(log.where(F.col("label") == 1), vocab)
+    return enc.select("imp_id", V.hist_str(F.transform("hist_ids", lambda s: F.transform(
+        s, lambda v: v.cast("string")))).alias("hist_ids"))
+
+
+@query("vocab_increment")
+def q_vocab_increment(spark, sf):
+    imps = _imps(spark, sf)
+    train = imps.where(F.col("split") == "train")
+    tlog = I.prepare_log(train)
+    base = VO.build_vocab(train, tlog)
+    test = I.prepare_log(imps.where(F.col("split") == "test"))
+    new = test.select("imp_id", F.explode(F.array(*[
+        F.struct(F.lit(ns).alias("ns"), F.col(c).alias("value"), F.lit(i).alias("f"))
+        for i, (c, ns) in enumerate(VO.item_fields_map().items())])).alias("a")).select(
+        "a.ns", "a.value", (F.col("imp_id") * 8 + F.col("a.f")).alias("ord"))
+    return VO.vocab_increment(base, new)
