@@ -404,3 +404,190 @@ SELECT ns, value, id FROM base
 UNION ALL
 SELECT ns, value, ((SELECT coalesce(max(id), 0) FROM base)
                    + row_number() OVER (ORDER BY ord, ns, value))::BIGINT FROM fresh"""
+
+# ------------------------------------------------------------------ sampling / lists
+
+
+def h32(*keys: str) -> str:
+    ks = ", ".join(f"{k}::VARCHAR" for k in keys)
+    return f"('0x' || substr(md5(concat_ws('|', '42', {ks})), 1, 8))::BIGINT"
+
+
+SAMPLING = f"""
+pos AS (SELECT split, user_id, imp_id AS list_id FROM flog WHERE label <> 0),
+neg AS (SELECT split, user_id, imp_id AS neg_id, {h32('imp_id')} AS h FROM flog WHERE label = 0),
+nidx AS (SELECT *, row_number() OVER (PARTITION BY split, user_id ORDER BY h, neg_id) - 1 AS j
+         FROM neg),
+nu AS (SELECT split, user_id, count(*) AS n FROM neg GROUP BY ALL),
+p AS (SELECT pos.*, coalesce(nu.n, 0) AS n,
+             CASE WHEN nu.n > 0 THEN {h32('list_id')} % nu.n END AS o
+      FROM pos LEFT JOIN nu USING (split, user_id)),
+own AS (SELECT p.split, p.list_id, p.user_id, x.neg_id, 'own' AS src, t.t::INT AS t
+        FROM p CROSS JOIN range(9) t(t) JOIN nidx x
+          ON x.split = p.split AND x.user_id = p.user_id AND x.j = (p.o + t.t) % p.n
+        WHERE t.t < least(p.n, 9)),
+pool AS (SELECT split, neg_id, user_id AS owner,
+                row_number() OVER (PARTITION BY split ORDER BY h, neg_id) - 1 AS g FROM neg),
+gn AS (SELECT split, count(*) AS gsize FROM neg GROUP BY split),
+want AS (SELECT p.*, gn.gsize, {h32('list_id', "'pool'")} % gn.gsize AS o2
+         FROM p JOIN gn USING (split) WHERE p.n < 9),
+cand AS (SELECT w.split, w.list_id, w.user_id, w.n, u.u, pl.neg_id
+         FROM want w CROSS JOIN range(9) u(u) JOIN pool pl
+           ON pl.split = w.split AND pl.g = (w.o2 + u.u) % w.gsize
+         WHERE u.u < least(w.gsize, 9) AND pl.owner <> w.user_id),
+fill AS (SELECT split, list_id, user_id, neg_id, 'pool' AS src, (n + r - 1)::INT AS t
+         FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY u) AS r FROM cand)
+         WHERE r <= 9 - n),
+negs AS (SELECT * FROM own UNION ALL SELECT * FROM fill),
+cands AS (
+  SELECT *, (row_number() OVER (PARTITION BY list_id ORDER BY {h32('list_id', 'imp_id')}, imp_id)
+             - 1)::BIGINT AS slot
+  FROM (SELECT split, list_id, user_id, list_id AS imp_id, 1 AS label FROM pos
+        UNION ALL SELECT split, list_id, user_id, neg_id, 0 FROM negs))"""
+
+SQL["neg_sample"] = VOCAB + "," + SAMPLING + "\nSELECT split, list_id, neg_id, src, t FROM negs"
+SQL["neg_fill"] = VOCAB + "," + SAMPLING + "\nSELECT split, list_id, neg_id, src, t FROM fill"
+SQL["candidates"] = VOCAB + "," + SAMPLING + "\nSELECT split, list_id, slot, imp_id, label FROM cands"
+SQL["shuffle_lists"] = VOCAB + "," + SAMPLING + f"""
+SELECT split, list_id,
+       (row_number() OVER (PARTITION BY split ORDER BY {h32('list_id')}, list_id) - 1)::BIGINT
+         AS list_order
+FROM pos"""
+
+_Z6 = "[0::BIGINT, 0, 0, 0, 0, 0]"
+DATASET = VOCAB + "," + SAMPLING + f""",
+iv AS (SELECT f.imp_id, f.k, coalesce(v.id, 0) AS id
+       FROM (SELECT imp_id, unnest(range(1, 8)) AS k,
+                    unnest([pos, pagenum, sex, price_level, age_level, bc_type, score_bucket]) AS val
+             FROM flog) f
+       LEFT JOIN vocab v ON v.ns = ['item:pos', 'item:pagenum', 'item:sex', 'item:price_level',
+                                     'item:age_level', 'item:bc_type', 'item:score'][f.k]
+                        AND v.value = f.val),
+items AS (SELECT imp_id, list(id ORDER BY k) AS ids FROM iv GROUP BY imp_id),
+lists AS (SELECT c.list_id, list(i.ids ORDER BY c.slot) AS candi,
+                 list(c.label ORDER BY c.slot) AS labels
+          FROM cands c JOIN items i USING (imp_id) GROUP BY c.list_id),
+hv AS (SELECT st.imp_id, st.step, st.f, coalesce(v.id, 0) AS id
+       FROM (SELECT imp_id, step, f, s[f] AS val FROM vocab_steps CROSS JOIN range(1, 7) t(f)) st
+       LEFT JOIN vocab v ON v.ns = ['item:pos', 'item:pagenum', 'item:sex', 'item:price_level',
+                                     'item:age_level', 'item:bc_type'][st.f] AND v.value = st.val),
+hsteps AS (SELECT imp_id, step, list(id ORDER BY f) AS st FROM hv GROUP BY imp_id, step),
+hl AS (SELECT imp_id, list(st ORDER BY step) AS h FROM hsteps GROUP BY imp_id),
+uv AS (SELECT p.split, p.user_id,
+              [coalesce((SELECT id FROM vocab WHERE ns = 'uid' AND value = p.user_id::VARCHAR), 0),
+               coalesce((SELECT id FROM vocab WHERE ns = 'user:user_os' AND value = p.user_os), 0),
+               coalesce((SELECT id FROM vocab WHERE ns = 'user:user_gender' AND value = p.user_gender), 0),
+               coalesce((SELECT id FROM vocab WHERE ns = 'user:user_age_level' AND value = p.user_age_level), 0),
+               coalesce((SELECT id FROM vocab WHERE ns = 'user:user_purchase_level'
+                         AND value = p.user_purchase_level), 0),
+               coalesce((SELECT id FROM vocab WHERE ns = 'user:user_hour' AND value = p.user_hour), 0)]
+                ::BIGINT[] AS usr
+       FROM vocab_prof p),
+ds AS (
+  SELECT pos.split, pos.list_id, pos.user_id, uv.usr, lists.candi, lists.labels,
+         coalesce(hl.h, []::BIGINT[][])[1:30]
+           || list_transform(range(greatest(30 - len(coalesce(hl.h, []::BIGINT[][])), 0)),
+                             lambda i: {_Z6}) AS hist,
+         least(len(coalesce(hl.h, []::BIGINT[][])), 30)::INT AS hist_len
+  FROM pos JOIN uv USING (split, user_id) JOIN lists USING (list_id)
+       LEFT JOIN hl ON hl.imp_id = pos.list_id),
+cmap AS (SELECT id AS cate_id, (row_number() OVER (ORDER BY id) - 1)::INT AS cate_idx
+         FROM vocab WHERE ns = 'item:bc_type')"""
+
+
+def ids(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda s: array_to_string(s, ',')), ';')"
+
+
+SQL["dataset"] = DATASET + f"""
+SELECT split, list_id, user_id, array_to_string(usr, ',') AS usr, {ids('candi')} AS candi,
+       array_to_string(labels, ',') AS labels, {ids('hist')} AS hist, hist_len
+FROM ds"""
+
+SQL["pages_per_user"] = DATASET + """
+SELECT split, count(*) AS n_lists,
+       round(sum(count(*)) OVER () / (SELECT count(*) FROM vocab WHERE ns = 'uid'), 6)
+         AS pages_per_user
+FROM ds GROUP BY split"""
+
+_Z7 = "[0::BIGINT, 0, 0, 0, 0, 0, 0]"
+SQL["pad_candidates"] = DATASET + f"""
+SELECT list_id,
+       {ids(f"(candi[1:10] || list_transform(range(greatest(10 - len(candi), 0)), lambda i: {_Z7}))")}
+         AS full_candi,
+       array_to_string(labels[1:10] || list_transform(range(greatest(10 - len(labels), 0)),
+                                                      lambda i: 0), ',') AS full_labels,
+       least(len(candi), 10)::INT AS candi_len
+FROM ds"""
+
+_CSPLIT = DATASET + f""",
+slots AS (SELECT d.list_id, s.i, d.candi[s.i] AS item, d.labels[s.i] AS label, m.cate_idx
+          FROM ds d CROSS JOIN LATERAL (SELECT unnest(range(1, len(d.candi) + 1)) AS i) s
+          JOIN cmap m ON m.cate_id = d.candi[s.i][6]),
+grid AS (SELECT d.list_id, c.c FROM ds d CROSS JOIN range(3) c(c)),
+per AS (SELECT g.list_id, g.c,
+               coalesce(list(s.item ORDER BY s.i) FILTER (WHERE s.item IS NOT NULL), []) AS items,
+               coalesce(list(s.label ORDER BY s.i) FILTER (WHERE s.item IS NOT NULL), []) AS lbs
+        FROM grid g LEFT JOIN slots s ON s.list_id = g.list_id AND s.cate_idx = g.c
+        GROUP BY g.list_id, g.c),
+pad AS (SELECT list_id, c, least(len(items), 10) AS n,
+               items[1:10] || list_transform(range(greatest(10 - len(items), 0)), lambda i: {_Z7})
+                 AS items,
+               lbs[1:10] || list_transform(range(greatest(10 - len(lbs), 0)), lambda i: 0) AS lbs
+        FROM per)"""
+
+SQL["cate_split_candidates"] = _CSPLIT + f"""
+SELECT list_id, string_agg({ids('items')}, '|' ORDER BY c) AS candi_c,
+       string_agg(array_to_string(lbs, ','), '|' ORDER BY c) AS labels_c,
+       string_agg(n::VARCHAR, ',' ORDER BY c) AS candi_len_c
+FROM pad GROUP BY list_id"""
+
+SQL["slot_layout"] = _CSPLIT + """
+SELECT list_id, (c * 10 + p.i - 1)::BIGINT AS slot, c::INT AS cate,
+       array_to_string(items[p.i], ',') AS item, lbs[p.i] AS label,
+       CASE WHEN p.i - 1 < n THEN 1 ELSE 0 END AS mask
+FROM pad CROSS JOIN range(1, 11) p(i)"""
+
+SQL["cate_split_history"] = DATASET + f""",
+hs AS (SELECT d.list_id, s.i, d.hist[s.i] AS step, m.cate_idx
+       FROM ds d CROSS JOIN LATERAL (SELECT unnest(range(1, d.hist_len + 1)) AS i) s
+       JOIN cmap m ON m.cate_id = d.hist[s.i][6]),
+grid AS (SELECT d.list_id, c.c FROM ds d CROSS JOIN range(3) c(c)),
+per AS (SELECT g.list_id, g.c,
+               coalesce(list(h.step ORDER BY h.i) FILTER (WHERE h.step IS NOT NULL), []) AS st
+        FROM grid g LEFT JOIN hs h ON h.list_id = g.list_id AND h.cate_idx = g.c
+        GROUP BY g.list_id, g.c),
+pad AS (SELECT list_id, c, least(len(st), 20) AS n,
+               CASE WHEN len(st) >= 20 THEN st[len(st) - 19:]
+                    ELSE st || list_transform(range(20 - len(st)), lambda i: {_Z6}) END AS st
+        FROM per)
+SELECT list_id, string_agg({ids('st')}, '|' ORDER BY c) AS cate_hist,
+       string_agg(n::VARCHAR, ',' ORDER BY c) AS cate_hist_len
+FROM pad GROUP BY list_id"""
+
+SQL["union_history"] = DATASET + f""",
+u AS (SELECT list_id, greatest(hist_len - 3, 0) AS n,
+             CASE WHEN hist_len > 3 THEN hist[1:hist_len - 3] ELSE []::BIGINT[][] END AS st
+      FROM ds)
+SELECT list_id,
+       {ids(f"(CASE WHEN n >= 30 THEN st[n - 29:] ELSE st || list_transform(range(30 - n), lambda i: {_Z6}) END)")}
+         AS union_hist,
+       least(n, 30)::INT AS union_hist_len
+FROM u"""
+
+SQL["seq_mask"] = DATASET + """
+SELECT list_id, array_to_string(list_transform(range(30),
+         lambda i: CASE WHEN i < hist_len THEN 1 ELSE 0 END), ',') AS mask
+FROM ds"""
+
+SQL["feature_split"] = DATASET + f"""
+SELECT list_id, {ids("list_transform(candi, lambda f: f[1:6])")} AS sparse,
+       {ids("list_transform(candi, lambda f: f[7:])")} AS dense
+FROM ds"""
+
+SQL["batch_assign"] = f"""
+WITH {SERVED},
+l AS (SELECT DISTINCT list_id FROM served),
+o AS (SELECT list_id, (row_number() OVER (ORDER BY {h32('list_id')}, list_id) - 1) AS i FROM l)
+SELECT list_id, (i // 128)::BIGINT AS batch FROM o
+WHERE i // 128 < (SELECT count(*) FROM l) // 128"""

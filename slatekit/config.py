@@ -8,7 +8,8 @@ FIXED VALUES (must equal the pipeline being re-expressed, do not tune):
   (strictly greater kept), min positives 1, min negatives 1,
   item fields: pos pagenum sex price_level age_level bc_type score,
   user fields: user_os user_gender user_age_level user_purchase_level user_hour,
-  category field index 5 (bc_type), batch size 128.
+  category field index 5 (bc_type), batch size 128, js lambda 0.5,
+  relaxed top-k temperature 1.0.
 """
 
 LIST_LEN = 10
@@ -26,6 +27,8 @@ FILTER_HIST_NUM = 0
 FILTER_POS_NUM = 1
 FILTER_NEG_NUM = 1
 BATCH_SIZE = 128
+JS_LAMBDA = 0.5
+GUMBEL_TAU = 1.0
 
 ITEM_FIELDS = ("pos", "pagenum", "sex", "price_level", "age_level", "bc_type", "score")
 HIST_FIELDS = ITEM_FIELDS[:6]

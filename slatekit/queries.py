@@ -253,3 +253,127 @@ def q_vocab_increment(spark, sf):
         for i, (c, ns) in enumerate(VO.item_fields_map().items())])).alias("a")).select(
         "a.ns", "a.value", (F.col("imp_id") * 8 + F.col("a.f")).alias("ord"))
     return VO.vocab_increment(base, new)
+
+
+# ---------------------------------------------------------------- sampling / lists
+from slatekit.operators import lists as L  # noqa: E402
+from slatekit.operators import sampling as S  # noqa: E402
+
+
+def _ids_str(c):
+    """Nested bigint arrays -> 'a,b;c,d' (or 'a,b' for a flat array)."""
+    return F.array_join(F.transform(c, lambda s: F.array_join(s, ",")), ";")
+
+
+def _dataset(spark, sf):
+    imps, log, vocab = _log_and_vocab(spark, sf)
+    return L.build_dataset(imps, log, vocab), vocab
+
+
+@query("neg_sample")
+def q_neg_sample(spark, sf):
+    log = I.prepare_log(_imps(spark, sf))
+    return S.neg_sample(log).select("split", "list_id", "neg_id", "src", F.col("t").cast("int"))
+
+
+@query("neg_fill")
+def q_neg_fill(spark, sf):
+    return q_neg_sample(spark, sf).where(F.col("src") == "pool")
+
+
+@query("candidates")
+def q_candidates(spark, sf):
+    log = I.prepare_log(_imps(spark, sf))
+    return S.candidates(log).select("split", "list_id", "slot", "imp_id", "label")
+
+
+@query("shuffle_lists")
+def q_shuffle_lists(spark, sf):
+    log = I.prepare_log(_imps(spark, sf))
+    lists = log.where(F.col("label") != 0).select("split", F.col("imp_id").alias("list_id"))
+    return S.shuffle_lists(lists)
+
+
+@query("dataset")
+def q_dataset(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    return ds.select("split", "list_id", "user_id", F.array_join("usr", ",").alias("usr"),
+                     _ids_str("candi").alias("candi"), F.array_join("labels", ",").alias("labels"),
+                     _ids_str("hist").alias("hist"), "hist_len")
+
+
+@query("pages_per_user")
+def q_pages_per_user(spark, sf):
+    ds, vocab = _dataset(spark, sf)
+    return _round(L.pages_per_user(ds, vocab), "pages_per_user")
+
+
+def _reshaped(spark, sf):
+    ds, vocab = _dataset(spark, sf)
+    cmap = L.cate_map_column(VO.cate_index(vocab))
+    return ds, cmap
+
+
+@query("pad_candidates")
+def q_pad_candidates(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    c, lb, n = L.pad_candidates()
+    return ds.select("list_id", _ids_str(c).alias("full_candi"),
+                     F.array_join(lb, ",").alias("full_labels"), n)
+
+
+@query("cate_split_candidates")
+def q_cate_split_candidates(spark, sf):
+    ds, cmap = _reshaped(spark, sf)
+    c, lb, n = L.cate_split_candidates(cmap, 3)
+    return ds.select("list_id",
+                     F.array_join(F.transform(c, _ids_str), "|").alias("candi_c"),
+                     F.array_join(F.transform(lb, lambda x: F.array_join(x, ",")), "|")
+                     .alias("labels_c"),
+                     F.array_join(n, ",").alias("candi_len_c"))
+
+
+@query("cate_split_history")
+def q_cate_split_history(spark, sf):
+    ds, cmap = _reshaped(spark, sf)
+    h, n = H.cate_split_history("hist", "hist_len", lambda s: F.element_at(cmap, F.element_at(s, 6)),
+                                3, kind="bigint")
+    return ds.select("list_id", F.array_join(F.transform(h, _ids_str), "|").alias("cate_hist"),
+                     F.array_join(n, ",").alias("cate_hist_len"))
+
+
+@query("union_history")
+def q_union_history(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    h, n = H.union_history("hist", "hist_len", kind="bigint")
+    return ds.select("list_id", _ids_str(h).alias("union_hist"), n)
+
+
+@query("seq_mask")
+def q_seq_mask(spark, sf):
+    from slatekit.functions.exprs import seq_mask
+    ds, _ = _dataset(spark, sf)
+    return ds.select("list_id", F.array_join(seq_mask("hist_len", 30), ",").alias("mask"))
+
+
+@query("slot_layout")
+def q_slot_layout(spark, sf):
+    ds, cmap = _reshaped(spark, sf)
+    wide = ds.select("list_id", *L.cate_split_candidates(cmap, 3))
+    return L.slot_layout(wide, 3).select("list_id", "slot", "cate",
+                                         F.array_join("item", ",").alias("item"), "label", "mask")
+
+
+@query("feature_split")
+def q_feature_split(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    sp, de = L.feature_split("candi", 6)
+    return ds.select("list_id", _ids_str(sp).alias("sparse"), _ids_str(de).alias("dense"))
+
+
+@query("batch_assign")
+def q_batch_assign(spark, sf):
+    from slatekit.functions.exprs import hash32
+    lists = V.served(spark, sf).select("list_id").distinct().withColumn(
+        "list_order", hash32("list_id"))
+    return L.batch_assign(lists).select("list_id", "batch")
