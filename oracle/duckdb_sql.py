@@ -591,3 +591,64 @@ l AS (SELECT DISTINCT list_id FROM served),
 o AS (SELECT list_id, (row_number() OVER (ORDER BY {h32('list_id')}, list_id) - 1) AS i FROM l)
 SELECT list_id, (i // 128)::BIGINT AS batch FROM o
 WHERE i // 128 < (SELECT count(*) FROM l) // 128"""
+
+# ------------------------------------------------------------------ picks / losses
+GUMBEL = f"-ln(-ln({h32('list_id', 'slot')} / 4294967296.0 + 1e-10) + 1e-10)"
+
+SQL["gumbel_topk"] = f"""
+WITH {SERVED}
+SELECT list_id, slot,
+       CASE WHEN row_number() OVER (PARTITION BY list_id ORDER BY pred + {GUMBEL} DESC, slot) <= 5
+            THEN 1 ELSE 0 END AS pick
+FROM served"""
+
+SQL["relaxed_topk"] = f"""
+WITH {SERVED},
+l AS (SELECT list_id, list(slot ORDER BY slot) AS slots,
+             list(pred + {GUMBEL} ORDER BY slot) AS s1 FROM served GROUP BY list_id),
+r1 AS (SELECT *, list_transform(s1, lambda v: exp(v - list_max(s1))) AS e1 FROM l),
+o1 AS (SELECT *, list_transform(e1, lambda v: v / list_sum(e1)) AS p1 FROM r1),
+r2 AS (SELECT *, list_transform(range(1, len(s1) + 1),
+                  lambda i: s1[i] + ln(greatest(1 - p1[i], 1e-20))) AS s2 FROM o1),
+e2 AS (SELECT *, list_transform(s2, lambda v: exp(v - list_max(s2))) AS e2 FROM r2),
+o2 AS (SELECT *, list_transform(e2, lambda v: v / list_sum(e2)) AS p2 FROM e2),
+k AS (SELECT list_id, unnest(slots) AS slot,
+             unnest(list_transform(range(1, len(p1) + 1), lambda i: p1[i] + p2[i])) AS khot FROM o2)
+SELECT list_id, slot, round(khot, 6) AS khot,
+       CASE WHEN row_number() OVER (PARTITION BY list_id ORDER BY khot DESC, slot) <= 2
+            THEN 1 ELSE 0 END AS pick
+FROM k"""
+
+BATCHED = f"""
+WITH {SERVED},
+bl AS (SELECT DISTINCT list_id FROM served),
+bo AS (SELECT list_id, row_number() OVER (ORDER BY {h32('list_id')}, list_id) - 1 AS i FROM bl),
+bs AS (SELECT list_id, i // 128 AS batch FROM bo WHERE i // 128 < (SELECT count(*) FROM bl) // 128),
+slots AS (SELECT s.*, b.batch FROM served s JOIN bs b USING (list_id)),
+bll AS (SELECT batch, -avg(label * ln(pred + 1e-7) + (1 - label) * ln(1 - pred + 1e-7)) AS log_loss
+        FROM slots GROUP BY batch),
+picks AS (SELECT batch, cate FROM (
+            SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY pred DESC, slot) AS r
+            FROM slots) WHERE r <= 5),
+tgt AS (SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 0.4::DOUBLE), (2, 0.1::DOUBLE)) t(cate, target)),
+grid AS (SELECT b.batch, t.cate, t.target FROM (SELECT DISTINCT batch FROM slots) b CROSS JOIN tgt t),
+pc AS (SELECT g.batch, g.cate, g.target, count(p.cate) AS n
+       FROM grid g LEFT JOIN picks p ON p.batch = g.batch AND p.cate = g.cate
+       GROUP BY g.batch, g.cate, g.target),
+sh AS (SELECT *, n / sum(n) OVER (PARTITION BY batch) AS share FROM pc),
+mm AS (SELECT *, (share + target) / 2 AS m FROM sh),
+bjs AS (SELECT batch,
+               0.5 * sum(CASE WHEN share > 0 THEN share * ln(share / (m + 1e-9)) ELSE 0 END)
+             + 0.5 * sum(CASE WHEN target > 0 THEN target * ln(target / (m + 1e-9)) ELSE 0 END) AS js
+        FROM mm GROUP BY batch)"""
+
+SQL["batch_loss"] = BATCHED + """
+SELECT count(*) AS n_batches, round(avg(log_loss), 6) AS loss FROM bll"""
+
+SQL["batch_js_loss"] = BATCHED + """
+SELECT batch, round(js, 6) AS js FROM bjs"""
+
+SQL["combined_loss"] = BATCHED + """
+SELECT batch, round(log_loss, 6) AS log_loss, round(js, 6) AS js,
+       round(2 * 0.5 * log_loss + 2 * (1 - 0.5) * js, 6) AS loss
+FROM bll JOIN bjs USING (batch)"""

@@ -377,3 +377,42 @@ def q_batch_assign(spark, sf):
     lists = V.served(spark, sf).select("list_id").distinct().withColumn(
         "list_order", hash32("list_id"))
     return L.batch_assign(lists).select("list_id", "batch")
+
+
+# ---------------------------------------------------------------- picks / losses
+from slatekit.operators import losses as LO  # noqa: E402
+from slatekit.operators import picks as PK  # noqa: E402
+
+
+@query("gumbel_topk")
+def q_gumbel_topk(spark, sf):
+    return PK.gumbel_topk(V.served(spark, sf), EXPOSURE_SCOPE).select("list_id", "slot", "pick")
+
+
+@query("relaxed_topk")
+def q_relaxed_topk(spark, sf):
+    out = PK.relaxed_topk(V.served(spark, sf), 2)
+    return _round(out.select("list_id", "slot", "khot", "pick"), "khot")
+
+
+def _batched_slots(spark, sf):
+    from slatekit.functions.exprs import hash32
+    served = V.served(spark, sf)
+    lists = served.select("list_id").distinct().withColumn("list_order", hash32("list_id"))
+    batches = L.batch_assign(lists).select("list_id", "batch")
+    return served.join(batches, "list_id")
+
+
+@query("batch_loss")
+def q_batch_loss(spark, sf):
+    return _round(LO.batch_loss(_batched_slots(spark, sf)), "loss")
+
+
+@query("batch_js_loss")
+def q_batch_js_loss(spark, sf):
+    return _round(LO.batch_js_loss(_batched_slots(spark, sf)), "js")
+
+
+@query("combined_loss")
+def q_combined_loss(spark, sf):
+    return _round(LO.combined_loss(_batched_slots(spark, sf)), "log_loss", "js", "loss")
