@@ -652,3 +652,69 @@ SQL["combined_loss"] = BATCHED + """
 SELECT batch, round(log_loss, 6) AS log_loss, round(js, 6) AS js,
        round(2 * 0.5 * log_loss + 2 * (1 - 0.5) * js, 6) AS loss
 FROM bll JOIN bjs USING (batch)"""
+
+# ------------------------------------------------------------------ embeddings
+EMB = DATASET + """,
+nv AS (SELECT count(*) AS n FROM embeddings),
+ev AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+cf AS (SELECT d.list_id, (s.i - 1)::BIGINT AS slot, f.f, d.candi[s.i][f.f] AS id
+       FROM ds d CROSS JOIN LATERAL (SELECT unnest(range(1, len(d.candi) + 1)) AS i) s
+       CROSS JOIN range(1, 8) f(f)),
+cfv AS (SELECT cf.*, CASE WHEN id <> 0 THEN ev.v END AS v
+        FROM cf LEFT JOIN ev ON ev.vec_id = cf.id % (SELECT n FROM nv)),
+dims AS (SELECT unnest(range(1, 65)) AS k),
+qd AS (SELECT c.list_id, c.slot, k.k, sum(coalesce(c.v[k.k], 0)) AS x
+       FROM cfv c CROSS JOIN dims k WHERE c.f <= 6 GROUP BY c.list_id, c.slot, k.k),
+hf AS (SELECT d.list_id, s.i - 1 AS step, f.f, d.hist[s.i][f.f] AS id
+       FROM ds d CROSS JOIN LATERAL (SELECT unnest(range(1, d.hist_len + 1)) AS i) s
+       CROSS JOIN range(1, 7) f(f)),
+hfv AS (SELECT hf.*, CASE WHEN id <> 0 THEN ev.v END AS v
+        FROM hf LEFT JOIN ev ON ev.vec_id = hf.id % (SELECT n FROM nv)),
+kd AS (SELECT h.list_id, h.step, k.k, sum(coalesce(h.v[k.k], 0)) AS x
+       FROM hfv h CROSS JOIN dims k GROUP BY h.list_id, h.step, k.k)"""
+
+
+def _stats(vec_expr: str) -> str:
+    return (f"len({vec_expr})::INT AS dim, "
+            f"round(sqrt(list_sum(list_transform({vec_expr}, lambda x: x * x))), 6) AS norm, "
+            f"round(list_sum({vec_expr}), 6) AS vsum")
+
+
+SQL["embed_lookup"] = EMB + """,
+cv AS (SELECT c.list_id, c.slot, c.f, k.k, coalesce(c.v[k.k], 0.0) AS x
+       FROM cfv c CROSS JOIN dims k)
+SELECT list_id, slot, count(*)::INT AS dim, round(sqrt(sum(x * x)), 6) AS norm,
+       round(sum(x), 6) AS vsum
+FROM cv GROUP BY list_id, slot"""
+
+SQL["attn_pool"] = EMB + """,
+keyed AS (SELECT list_id, step FROM kd GROUP BY list_id, step HAVING sum(x) <> 0),
+sc AS (SELECT q.list_id, q.slot, k.step, sum(q.x * k.x) / 8.0 AS s
+       FROM qd q JOIN kd k ON k.list_id = q.list_id AND k.k = q.k
+       WHERE (k.list_id, k.step) IN (SELECT list_id, step FROM keyed)
+       GROUP BY q.list_id, q.slot, k.step),
+ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY list_id, slot)) AS e FROM sc),
+wt AS (SELECT *, e / sum(e) OVER (PARTITION BY list_id, slot) AS w FROM ex),
+pooled AS (SELECT w.list_id, w.slot, k.k, sum(w.w * k.x) AS x
+           FROM wt w JOIN kd k ON k.list_id = w.list_id AND k.step = w.step
+           GROUP BY w.list_id, w.slot, k.k),
+allc AS (SELECT DISTINCT list_id, slot FROM qd)
+SELECT a.list_id, a.slot, 64::INT AS dim, round(sqrt(coalesce(sum(p.x * p.x), 0)), 6) AS norm,
+       round(coalesce(sum(p.x), 0), 6) AS vsum
+FROM allc a LEFT JOIN pooled p ON p.list_id = a.list_id AND p.slot = a.slot
+GROUP BY a.list_id, a.slot"""
+
+SQL["recency_pool"] = EMB + """,
+sc AS (SELECT h.list_id, h.step, m.cate_idx AS cate FROM hf h JOIN cmap m ON m.cate_id = h.id
+       WHERE h.f = 6),
+aged AS (SELECT *, row_number() OVER (PARTITION BY list_id, cate ORDER BY step DESC) - 1 AS age
+         FROM sc),
+kept AS (SELECT * FROM aged WHERE age < 20),
+pooled AS (SELECT a.list_id, a.cate, k.k, sum(pow(0.8, a.age) * k.x) AS x, count(*) AS n
+           FROM kept a JOIN kd k ON k.list_id = a.list_id AND k.step = a.step
+           GROUP BY a.list_id, a.cate, k.k),
+grid AS (SELECT d.list_id, c.c::INT AS cate FROM ds d CROSS JOIN range(3) c(c))
+SELECT g.list_id, g.cate, coalesce(max(p.n), 0)::BIGINT AS n_steps, 64::INT AS dim,
+       round(sqrt(coalesce(sum(p.x * p.x), 0)), 6) AS norm, round(coalesce(sum(p.x), 0), 6) AS vsum
+FROM grid g LEFT JOIN pooled p ON p.list_id = g.list_id AND p.cate = g.cate
+GROUP BY g.list_id, g.cate"""

@@ -416,3 +416,33 @@ def q_batch_js_loss(spark, sf):
 @query("combined_loss")
 def q_combined_loss(spark, sf):
     return _round(LO.combined_loss(_batched_slots(spark, sf)), "log_loss", "js", "loss")
+
+
+# ---------------------------------------------------------------- embeddings
+from slatekit.operators import embeddings as EM  # noqa: E402
+
+
+@query("embed_lookup")
+def q_embed_lookup(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    c = ds.select("list_id", F.posexplode("candi").alias("slot", "ids"))
+    out = EM.lookup_vectors(c, ["list_id", "slot"], F.col("ids"), V.item_vectors(spark, sf),
+                            concat=True)
+    return _round(out.select("list_id", F.col("slot").cast("bigint"), *EM.vec_stats("vec")),
+                  "norm", "vsum")
+
+
+@query("attn_pool")
+def q_attn_pool(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    out = EM.attention_pool(ds, V.item_vectors(spark, sf))
+    return _round(out.select("list_id", F.col("slot").cast("bigint"), *EM.vec_stats("pooled")),
+                  "norm", "vsum")
+
+
+@query("recency_pool")
+def q_recency_pool(spark, sf):
+    ds, cmap = _reshaped(spark, sf)
+    out = EM.recency_pool(ds, V.item_vectors(spark, sf), cmap, 3)
+    return _round(out.select("list_id", "cate", F.col("n_steps").cast("bigint"),
+                             *EM.vec_stats("pooled")), "norm", "vsum")
