@@ -718,3 +718,83 @@ SELECT g.list_id, g.cate, coalesce(max(p.n), 0)::BIGINT AS n_steps, 64::INT AS d
        round(sqrt(coalesce(sum(p.x * p.x), 0)), 6) AS norm, round(coalesce(sum(p.x), 0), 6) AS vsum
 FROM grid g LEFT JOIN pooled p ON p.list_id = g.list_id AND p.cate = g.cate
 GROUP BY g.list_id, g.cate"""
+
+# ------------------------------------------------------------------ sources / sinks / streams
+SQL["src_csv_impressions"] = f"""
+WITH {IMPS},
+seqs AS (
+  SELECT imp_id, list_transform(hist, lambda s: CASE WHEN s[1] IN ('0', '5')
+                                               THEN ['0','0','0','0','0','0'] ELSE s END)
+                 || list_transform(range(30 - len(hist)), lambda i: ['0','0','0','0','0','0']) AS st
+  FROM imps WHERE label = 1),
+sums AS (SELECT imp_id, list_transform(st, lambda s: s[1]::INT + s[2]::INT + s[3]::INT + s[4]::INT
+                                               + s[5]::INT + s[6]::INT) AS s FROM seqs),
+stops AS (SELECT imp_id, s, coalesce(nullif(list_position(list_transform(range(1, len(s) + 1),
+            lambda i: CASE WHEN s[i] = 0 AND i < len(s) AND s[i + 1] = 0 THEN 1 ELSE 0 END), 1), 0),
+            len(s) + 1) AS stop_at FROM sums),
+hl AS (SELECT imp_id, len(list_filter(s[1:stop_at - 1], lambda x: x <> 0)) AS n FROM stops)
+SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE label <> 0) AS n_pos,
+       count(DISTINCT user_id) AS n_users,
+       sum(round_even(score * 10, 0)::INT)::BIGINT AS sum_bucket,
+       sum(hl.n)::BIGINT AS total_hist_len
+FROM imps LEFT JOIN hl USING (imp_id) GROUP BY split"""
+
+SQL["sink_parquet_roundtrip"] = f"""
+WITH {SERVED}
+SELECT count(*) AS n_rows, count(DISTINCT list_id) AS n_lists, sum(label)::BIGINT AS n_pos,
+       round(sum(pred), 6) AS sum_pred
+FROM served"""
+
+SQL["dataset_roundtrip"] = DATASET + """
+SELECT split, count(*) AS n_lists, sum(hist_len)::BIGINT AS sum_hist_len,
+       sum(list_sum(labels))::BIGINT AS sum_labels,
+       sum(list_sum(flatten(candi)))::BIGINT AS sum_candi_ids
+FROM ds GROUP BY split"""
+
+SQL["dataset_stat"] = VOCAB + """,
+cm AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM vocab WHERE ns = 'item:bc_type')
+SELECT 7 AS itm_fnum, (SELECT count(*) FROM cm)::INT AS cate_num, 10 AS list_len, 30 AS hist_len,
+       (SELECT max(id) + 1 FROM vocab)::INT AS ft_num,
+       (SELECT count(*) FROM vocab WHERE ns = 'uid')::INT AS user_num, 6 AS hist_fnum,
+       6 AS usr_fnum, 5 AS cate_idx,
+       (SELECT '[' || string_agg('{"key":"' || id::VARCHAR || '","value":' || idx::VARCHAR || '}', ','
+                                 ORDER BY id::VARCHAR) || ']' FROM cm) AS cate_idx_map"""
+
+REQUESTS = _CSPLIT + f""",
+mr AS (SELECT d.list_id, d.usr, d.hist_len,
+              (SELECT list(n ORDER BY c) FROM pad WHERE pad.list_id = d.list_id) AS candi_len,
+              (SELECT list(lbs ORDER BY c) FROM pad WHERE pad.list_id = d.list_id) AS lb
+       FROM ds d),
+rec AS (SELECT list_id::VARCHAR AS key, 'user-tracking' AS topic,
+               ({h32('list_id')} % 4)::INT AS part, list_id, usr, candi_len, lb,
+               least(greatest(hist_len - 3, 0), 30)::INT AS uhl FROM mr),
+recs AS (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY list_id) - 1)::BIGINT AS "offset"
+         FROM rec)"""
+
+SQL["request_publish"] = REQUESTS + """
+SELECT key, topic, part AS partition, "offset",
+       '[[' || array_to_string(usr, ',') || ']]' AS usr_ph,
+       '[[' || array_to_string(candi_len, ',') || ']]' AS candi_list_len,
+       '[' || uhl::VARCHAR || ']' AS union_hist_len
+FROM recs"""
+
+SQL["request_parse"] = REQUESTS + """
+SELECT key, array_to_string(usr, ',') AS usr,
+       array_to_string(list_transform(lb, lambda x: array_to_string(x, ',')), '|') AS labels,
+       array_to_string(candi_len, ',') AS candi_len, uhl AS union_hist_len,
+       1.0::DOUBLE AS keep_prob, false AS is_train
+FROM recs"""
+
+SQL["request_quarantine"] = REQUESTS + """
+SELECT 'parsed' AS kind, count(*) AS n FROM recs
+UNION ALL SELECT 'quarantine', count(*) FROM recs"""
+
+_W = (0.8, -0.5, 0.3, 0.6, -0.2, 0.4, 0.1)
+_Z = " + ".join(f"{w} * ((items[p.i][{f + 1}] % 97) / 97.0)" for f, w in enumerate(_W))
+SCORES = _CSPLIT + f""",
+sc AS (SELECT list_id::VARCHAR AS key, (c * 10 + p.i - 1)::BIGINT AS slot,
+              CASE WHEN p.i - 1 < n THEN 1.0 / (1.0 + exp(-(-0.3 + {_Z}))) ELSE 0.0 END AS pred
+       FROM pad CROSS JOIN range(1, 11) p(i))"""
+
+SQL["batch_score"] = SCORES + "\nSELECT key, slot, round(pred, 6) AS pred FROM sc"
+SQL["stream_score"] = SCORES + "\nSELECT key, slot, round(pred, 6) AS pred FROM sc"

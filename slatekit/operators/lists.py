@@ -133,3 +133,21 @@ def batch_assign(lists: DataFrame, batch_size: int = BATCH_SIZE, group_cols=(),
         out = (out.join(F.broadcast(full), g) if g else out.crossJoin(F.broadcast(full)))
         out = out.where(F.col("batch") < F.col("_full")).drop("_full")
     return out.drop("_bi")
+
+
+def model_ready(ds: DataFrame, cmap: Column, n_cate: int, list_len: int = LIST_LEN,
+                cate_hist_len: int = 20, union_hist_len: int = HIST_MAX_LEN,
+                cloud: bool = True, reverse: bool = False) -> DataFrame:
+    """Per list the category-split candidates, labels and lengths, the
+    per-category and union histories, and the flat padded candidates."""
+    from slatekit.operators.history import cate_split_history, union_history
+
+    full, _, _ = pad_candidates("candi", "labels", list_len)
+    return ds.select(
+        "split", "list_id", "user_id", "usr",
+        *cate_split_candidates(cmap, n_cate, max_len=list_len),
+        *cate_split_history("hist", "hist_len",
+                            lambda s: F.element_at(cmap, F.element_at(s, CATE_IDX + 1)),
+                            n_cate, cate_hist_len, reverse=reverse, kind="bigint"),
+        *union_history("hist", "hist_len", union_hist_len, cloud, reverse, kind="bigint"),
+        full)

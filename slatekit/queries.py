@@ -446,3 +446,137 @@ def q_recency_pool(spark, sf):
     out = EM.recency_pool(ds, V.item_vectors(spark, sf), cmap, 3)
     return _round(out.select("list_id", "cate", F.col("n_steps").cast("bigint"),
                              *EM.vec_stats("pooled")), "norm", "vsum")
+
+
+# ---------------------------------------------------------------- sources / sinks / streams
+from slatekit.sources import files as FS  # noqa: E402
+from slatekit.sources import kafka as K  # noqa: E402
+from slatekit.streaming import requests as RQ  # noqa: E402
+from slatekit.streaming import scoring as SC  # noqa: E402
+
+
+@query("src_csv_impressions")
+def q_src_csv_impressions(spark, sf):
+    imps = V.impressions(spark, sf)
+    seqs = V.history_strings(imps)
+    zeros = ",".join(["0"] * 30)
+    ipv = [c for c in seqs.columns if c.startswith("ipv_")]
+    neg = imps.where(F.col("label") == 0).select("*", *[F.lit(zeros).alias(c) for c in ipv])
+    rows = seqs.unionByName(neg)
+    out = rows.select(
+        "split", F.col("user_id").cast("string").alias("user_id"),
+        *[F.col(c) for c in ("user_os", "user_gender", "user_age_level", "user_purchase_level",
+                             "user_hour")],
+        *[F.col(c).alias(f"cand_item_{c}") for c in ("pos", "pagenum", "sex", "price_level",
+                                                      "age_level", "bc_type")],
+        *[F.lit("").alias(f"exp_item_{c}_seq") for c in ("pos", "pagenum", "sex", "price_level",
+                                                          "age_level", "bc_type")],
+        *[F.col(c).alias(c.replace("ipv_", "ipv_item_")) for c in ipv],
+        "label", "score")
+    base = FS.run_path(spark, "csv")
+    for split in ("train", "test"):
+        FS.write_impression_csv(out.where(F.col("split") == split), f"{base}/{split}")
+    parts = []
+    for split in ("train", "test"):
+        log = FS.read_impression_csv(spark, f"{base}/{split}")
+        parsed = H.parse_history(log, [c for c in FS.LOG_COLUMNS if c.startswith("ipv_")])
+        parts.append(parsed.select(F.lit(split).alias("split"), "*"))
+    allr = parts[0].unionByName(parts[1])
+    from slatekit.functions.exprs import score_bucket
+    return allr.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("label") != 0).alias("n_pos"),
+        F.count_distinct("user_id").alias("n_users"),
+        F.sum(score_bucket("score")).cast("bigint").alias("sum_bucket"),
+        F.sum(F.when(F.col("label") != 0, F.col("hist_len"))).cast("bigint").alias("total_hist_len"))
+
+
+@query("sink_parquet_roundtrip")
+def q_sink_parquet_roundtrip(spark, sf):
+    path = FS.run_path(spark, "served")
+    FS.write_parquet(V.served(spark, sf), path)
+    back = spark.read.parquet(path)
+    return _round(back.agg(F.count(F.lit(1)).alias("n_rows"),
+                           F.count_distinct("list_id").alias("n_lists"),
+                           F.sum("label").cast("bigint").alias("n_pos"),
+                           F.sum("pred").alias("sum_pred")), "sum_pred")
+
+
+@query("dataset_roundtrip")
+def q_dataset_roundtrip(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    path = FS.run_path(spark, "dataset")
+    FS.write_parquet(ds, path, ["split"])
+    back = spark.read.parquet(path)
+    return back.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_lists"),
+        F.sum("hist_len").cast("bigint").alias("sum_hist_len"),
+        F.sum(F.aggregate("labels", F.lit(0), lambda a, x: a + x)).cast("bigint").alias("sum_labels"),
+        F.sum(F.aggregate(F.flatten("candi"), F.lit(0).cast("bigint"), lambda a, x: a + x))
+        .cast("bigint").alias("sum_candi_ids"))
+
+
+@query("dataset_stat")
+def q_dataset_stat(spark, sf):
+    _, _, vocab = _log_and_vocab(spark, sf)
+    stats = VO.stats_record(spark, vocab, VO.cate_index(vocab))
+    path = FS.run_path(spark, "stat")
+    FS.write_stats(stats, path)
+    back = FS.read_stats(spark, path, stats.schema)
+    return back.select("itm_fnum", "cate_num", "list_len", "hist_len", "ft_num", "user_num",
+                       "hist_fnum", "usr_fnum", "cate_idx",
+                       F.to_json(F.map_entries("cate_idx_map")).alias("cate_idx_map"))
+
+
+def _requests(spark, sf, n_partitions=4):
+    ds, cmap = _reshaped(spark, sf)
+    mr = L.model_ready(ds, cmap, 3)
+    payload = RQ.request_payload(mr)
+    return K.to_kafka_records(payload, "key", "value", n_partitions=n_partitions)
+
+
+@query("request_publish")
+def q_request_publish(spark, sf):
+    rec = _requests(spark, sf)
+    v = F.col("value").cast("string")
+    return rec.select(F.col("key").cast("string").alias("key"), "topic", "partition", "offset",
+                      F.get_json_object(v, "$['inputs/usr_ph']").alias("usr_ph"),
+                      F.get_json_object(v, "$['inputs/candi_list_len']").alias("candi_list_len"),
+                      F.get_json_object(v, "$['inputs/union_hist_len']").alias("union_hist_len"))
+
+
+@query("request_parse")
+def q_request_parse(spark, sf):
+    parsed, _ = RQ.parse_requests(_requests(spark, sf))
+    return parsed.select("key", F.array_join("usr_ph", ",").alias("usr"),
+                         F.array_join(F.transform("lb", lambda x: F.array_join(x, ",")), "|")
+                         .alias("labels"),
+                         F.array_join("candi_list_len", ",").alias("candi_len"),
+                         "union_hist_len", "keep_prob", "is_train")
+
+
+@query("request_quarantine")
+def q_request_quarantine(spark, sf):
+    rec = _requests(spark, sf)
+    broken = rec.withColumn("value", F.substring(F.col("value").cast("string"), 1, 40)
+                            .cast("binary")).withColumn("key", F.concat(
+                                F.col("key").cast("string"), F.lit("-broken")).cast("binary"))
+    parsed, bad = RQ.parse_requests(rec.unionByName(broken))
+    return (parsed.select(F.lit("parsed").alias("kind"), "key")
+            .unionByName(bad.select(F.lit("quarantine").alias("kind"), "key"))
+            .groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    parsed, _ = RQ.parse_requests(_requests(spark, sf))
+    return _round(SC.score_requests(parsed), "pred")
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    base = FS.run_path(spark, "stream")
+    _requests(spark, sf).repartition(4).write.parquet(f"{base}/source")
+    src = K.read_request_files(spark, f"{base}/source", max_files_per_trigger=1)
+    SC.run_stream_scoring(spark, src, f"{base}/preds", f"{base}/checkpoint",
+                          f"{base}/quarantine")
+    return _round(spark.read.parquet(f"{base}/preds").select("key", "slot", "pred"), "pred")
