@@ -19,6 +19,36 @@ served AS (
   FROM lineitem)"""
 
 
+def lm_ctes(src: str, order: str, p: str = "", scopes=(1, 5, 7)) -> str:
+    """Per-list metric CTEs over ``src`` (list_id, slot, pred, label), ranked
+    by ``order``; the result CTE is ``{p}lm``."""
+    ks = ", ".join(str(k) for k in scopes)
+    return f"""
+{p}ranked AS (SELECT *, {order} AS r FROM {src}),
+{p}hit AS (SELECT *, sum(CASE WHEN label >= 1 THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY list_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS h
+        FROM {p}ranked),
+{p}ks AS (SELECT unnest([{ks}]) AS k),
+{p}per AS (
+  SELECT list_id, k,
+         sum((pow(2, label) - 1) / log2(r + 1)) AS dcg,
+         sum(CASE WHEN label >= 1 THEN h / r END) AS apv,
+         sum(CASE WHEN label >= 1 THEN 1 ELSE 0 END) AS apc,
+         sum(label) AS util
+  FROM {p}hit JOIN {p}ks ON r <= k GROUP BY list_id, k),
+{p}ideal AS (
+  SELECT list_id, k, sum((pow(2, label) - 1) / log2(ir + 1)) AS idcg
+  FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY label DESC, slot) AS ir
+        FROM {src}) JOIN {p}ks ON ir <= k
+  GROUP BY list_id, k),
+{p}lm AS (
+  SELECT {p}per.list_id, {p}per.k,
+         CASE WHEN idcg <> 0 THEN dcg / idcg ELSE 0 END AS ndcg,
+         CASE WHEN apc <> 0 THEN apv / apc ELSE 0 END AS map,
+         util::DOUBLE AS utility
+  FROM {p}per JOIN {p}ideal USING (list_id, k))"""
+
+
 def _rank_metrics(order: str) -> str:
     return f"""
 WITH {SERVED},
@@ -798,3 +828,59 @@ sc AS (SELECT list_id::VARCHAR AS key, (c * 10 + p.i - 1)::BIGINT AS slot,
 
 SQL["batch_score"] = SCORES + "\nSELECT key, slot, round(pred, 6) AS pred FROM sc"
 SQL["stream_score"] = SCORES + "\nSELECT key, slot, round(pred, 6) AS pred FROM sc"
+
+# ------------------------------------------------------------------ learning / selection
+SQL["metrics_compare"] = f"""
+WITH {SERVED},{lm_ctes("served", "slot + 1", "i_")},{lm_ctes("served", RANK_ORDER, "r_")}
+SELECT k, count(*) AS n_lists, round(avg(ndcg), 6) AS ndcg, round(avg(map), 6) AS map,
+       round(avg(utility), 6) AS utility, 'rerank' AS stage FROM r_lm GROUP BY k
+UNION ALL
+SELECT k, count(*), round(avg(ndcg), 6), round(avg(map), 6), round(avg(utility), 6), 'initial'
+FROM i_lm GROUP BY k"""
+
+_RUNS = {"by_pred": "pred", "by_inverse_pred": "1 - pred", "by_gumbel": f"pred + {GUMBEL}"}
+
+
+def _run_ctes() -> str:
+    parts = []
+    for name, expr in _RUNS.items():
+        src = f"src_{name}"
+        parts.append(f"""
+{src} AS (SELECT list_id, slot, cate, label, {expr} AS pred FROM served),{lm_ctes(src, RANK_ORDER, name + "_", (5,))},
+{name}_top AS (SELECT cate FROM (SELECT cate, row_number() OVER (PARTITION BY list_id
+                ORDER BY pred DESC, slot) AS r FROM {src}) WHERE r <= 5),
+{name}_cnt AS (SELECT c.cate, count(t.cate) AS e FROM (SELECT unnest([0, 1, 2]) AS cate) c
+               LEFT JOIN {name}_top t ON c.cate = t.cate GROUP BY c.cate),
+{name}_d AS (SELECT g.target AS p, e / sum(e) OVER () AS q FROM {name}_cnt
+             JOIN (VALUES (0, 0.5::DOUBLE), (1, 0.4::DOUBLE), (2, 0.1::DOUBLE)) g(cate, target)
+             USING (cate)),
+{name}_rm AS (
+  SELECT '{name}' AS run, 'ndcg@5' AS metric, avg(ndcg) AS value FROM {name}_lm
+  UNION ALL SELECT '{name}', 'map@5', avg(map) FROM {name}_lm
+  UNION ALL SELECT '{name}', 'js',
+    0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END)
+  + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) FROM {name}_d)""")
+    union = " UNION ALL ".join(f"SELECT * FROM {n}_rm" for n in _RUNS)
+    return ",".join(parts) + f",\nrm AS ({union})"
+
+
+SQL["best_run"] = f"""
+WITH {SERVED},{_run_ctes()}
+SELECT metric, 'max' AS direction, arg_max(run, value) AS best_run, round(max(value), 6) AS best_value
+FROM rm WHERE metric = 'ndcg@5' GROUP BY metric
+UNION ALL
+SELECT metric, 'min', arg_min(run, value), round(min(value), 6) FROM rm WHERE metric = 'js'
+GROUP BY metric"""
+
+SQL["early_stop"] = BATCHED + f""",{lm_ctes("slots", RANK_ORDER, "e_", (5,))},
+ev AS (SELECT b.batch AS step, b.batch // 2 AS epoch, avg(m.ndcg) AS value
+       FROM e_lm m JOIN (SELECT DISTINCT list_id, batch FROM slots) b USING (list_id)
+       GROUP BY b.batch),
+pr AS (SELECT *, coalesce(max(value) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING
+                                            AND 1 PRECEDING), 0.0) AS prev,
+              row_number() OVER (ORDER BY step) AS n_evals FROM ev)
+SELECT 'by_pred' AS run, step, epoch::BIGINT AS epoch, round(value, 6) AS value,
+       round(greatest(prev, value), 6) AS best, n_evals::BIGINT AS n_evals,
+       CASE WHEN value <= prev AND n_evals > 2 AND epoch > 40 AND prev - value > 0.08
+            THEN 1 ELSE 0 END AS stop
+FROM pr"""

@@ -580,3 +580,61 @@ def q_stream_score(spark, sf):
     SC.run_stream_scoring(spark, src, f"{base}/preds", f"{base}/checkpoint",
                           f"{base}/quarantine")
     return _round(spark.read.parquet(f"{base}/preds").select("key", "slot", "pred"), "pred")
+
+
+# ---------------------------------------------------------------- learning / selection
+from slatekit.operators import learning as LR  # noqa: E402
+
+
+@query("fit_and_rerank")
+def q_fit_and_rerank(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    return _round(LR.fit_and_rerank(ds), "ndcg", "map", "utility")
+
+
+@query("metrics_compare")
+def q_metrics_compare(spark, sf):
+    return _round(LR.metrics_compare(V.served(spark, sf)), "ndcg", "map", "utility")
+
+
+def _run_metrics(spark, sf):
+    """Run log: every candidate ranker of the served lists evaluated on the
+    whole table (ndcg@5, map@5 and exposure JS per run)."""
+    served = V.served(spark, sf)
+    runs = {
+        "by_pred": served,
+        "by_inverse_pred": served.withColumn("pred", 1 - F.col("pred")),
+        "by_gumbel": served.withColumn("pred", F.col("pred") + PK.gumbel_noise("list_id", "slot")),
+    }
+    parts = []
+    for name, df in runs.items():
+        m = R.rank_metrics(df, [5]).select(
+            F.lit(name).alias("run"),
+            F.explode(F.array(F.struct(F.lit("ndcg@5").alias("metric"), F.col("ndcg").alias("value")),
+                              F.struct(F.lit("map@5").alias("metric"), F.col("map").alias("value"))))
+            .alias("m")).select("run", "m.*")
+        js = M.exposure_js(df).select(F.lit(name).alias("run"), F.lit("js").alias("metric"),
+                                      F.col("js").alias("value"))
+        parts += [m, js]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("best_run")
+def q_best_run(spark, sf):
+    rm = _run_metrics(spark, sf)
+    out = LR.best_run(rm, "ndcg@5", True).unionByName(LR.best_run(rm, "js", False))
+    return _round(out, "best_value")
+
+
+@query("early_stop")
+def q_early_stop(spark, sf):
+    slots = _batched_slots(spark, sf)
+    per = R.list_metrics(slots.select("list_id", "slot", "pred", "label"), [5]).join(
+        slots.select("list_id", "batch").distinct(), "list_id")
+    evals = per.groupBy("batch").agg(F.avg("ndcg").alias("value")).select(
+        F.lit("by_pred").alias("run"), F.col("batch").alias("step"),
+        (F.col("batch") / 2).cast("bigint").alias("epoch"), "value")
+    return _round(LR.early_stop(evals), "value", "best")
