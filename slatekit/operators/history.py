@@ -28,8 +28,8 @@ def history_asof(df: DataFrame, user_col: str = "user_id",
 
     A bounded ROWS frame, so the work per row is O(max_len).  A user with
     more than ``spark.slatekit.splitRows`` rows is cut into chunks of that
-    many consecutive rows; each chunk also receives the last ``max_len``
-    rows of the previous chunk as read-only halo rows, so every chunk is an
+    many consecutive rows; each chunk also receives the ``max_len`` rows
+    before its first row as read-only halo rows, so every chunk is an
     independent window task and the result is exact.
     """
     step = F.array(*[F.col(c) for c in step_cols])
@@ -45,10 +45,11 @@ def history_asof(df: DataFrame, user_col: str = "user_id",
     idx = dense_index(df, order, key, [user_col], "_h_idx")
     c = F.lit(chunk_rows)
     home = F.floor(F.col("_h_idx") / c)
-    in_tail = (F.col("_h_idx") % c) >= (c - max_len)
-    copies = F.when(in_tail, F.array(F.struct(home.alias("ch"), F.lit(False).alias("halo")),
-                                     F.struct((home + 1).alias("ch"), F.lit(True).alias("halo"))))\
-              .otherwise(F.array(F.struct(home.alias("ch"), F.lit(False).alias("halo"))))
+    # a row is read by every later chunk whose first row lies within
+    # max_len rows after it (one extra copy when chunks are long)
+    last = F.floor((F.col("_h_idx") + max_len) / c)
+    copies = F.transform(F.sequence(home, last),
+                         lambda ch: F.struct(ch.alias("ch"), (ch != home).alias("halo")))
     x = idx.withColumn("_h_c", F.explode(copies)).select("*", "_h_c.ch", "_h_c.halo").drop("_h_c")
     w = Window.partitionBy(user_col, "ch").orderBy("_h_idx").rowsBetween(-max_len, -1)
     return (x.withColumn(out_col, F.collect_list(picked).over(w))

@@ -198,9 +198,12 @@ from slatekit.operators import vocab as VO  # noqa: E402
 
 
 def _log_and_vocab(spark, sf):
-    imps = _imps(spark, sf)
-    log = I.prepare_log(imps)
-    return imps, log, VO.build_vocab(imps, log)
+    """The filtered log and vocabulary, each written once and read back (they
+    feed several encoders and size checks)."""
+    from slatekit.sources.files import stage
+    imps = stage(_imps(spark, sf), "imps")
+    log = stage(I.prepare_log(imps), "log")
+    return imps, log, stage(VO.build_vocab(imps, log), "vocab")
 
 
 @query("vocab")
@@ -266,8 +269,9 @@ def _ids_str(c):
 
 
 def _dataset(spark, sf):
+    from slatekit.sources.files import stage
     imps, log, vocab = _log_and_vocab(spark, sf)
-    return L.build_dataset(imps, log, vocab), vocab
+    return stage(L.build_dataset(imps, log, vocab), "dataset"), vocab
 
 
 @query("neg_sample")
