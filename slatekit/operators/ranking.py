@@ -76,6 +76,10 @@ def list_metrics(df: DataFrame, scopes: Sequence[int] = METRIC_SCOPES, is_rank:
     kmax = max(scopes)
     base = df.select(F.col(list_col).alias("list_id"), F.col(slot_col).alias("slot"),
                      F.col(score_col).alias("score"), F.col(label_col).alias("label"))
+    # positives per list on the same list partitioning as the ranking (no
+    # second scan, shuffle or join); computed before the top-k cut
+    base = base.withColumn("npos", F.sum(F.when(F.col("label") >= 1, 1).otherwise(0))
+                           .over(Window.partitionBy("list_id")))
     if is_rank:
         ranked = top_k(base, kmax, "list_id", "score", "slot", "r")
     else:
@@ -89,7 +93,7 @@ def list_metrics(df: DataFrame, scopes: Sequence[int] = METRIC_SCOPES, is_rank:
            .agg(F.sum((F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(F.col("r") + 1)).alias("dcg"),
                 F.sum(F.when(F.col("label") >= 1, F.col("hits") / F.col("r"))).alias("ap_value"),
                 F.sum(F.when(F.col("label") >= 1, 1).otherwise(0)).alias("ap_count"),
-                F.sum("label").alias("utility")))
+                F.sum("label").alias("utility"), F.max("npos").alias("npos")))
     if graded:
         ideal = (top_k(base, kmax, "list_id", "label", "slot", "r")
                  .join(ks, F.col("r") <= F.col("k")).groupBy("list_id", "k")
@@ -97,9 +101,7 @@ def list_metrics(df: DataFrame, scopes: Sequence[int] = METRIC_SCOPES, is_rank:
                             / F.log2(F.col("r") + 1)).alias("idcg")))
         per = per.join(ideal, ["list_id", "k"])
     else:
-        npos = base.groupBy("list_id").agg(
-            F.sum(F.when(F.col("label") >= 1, 1).otherwise(0)).alias("npos"))
-        per = per.join(npos, "list_id").withColumn("idcg", _idcg_binary(F.col("npos"), F.col("k")))
+        per = per.withColumn("idcg", _idcg_binary(F.col("npos"), F.col("k")))
     return per.select(
         "list_id", "k",
         F.when(F.col("idcg") != 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"),

@@ -67,9 +67,9 @@ def served(spark: SparkSession, sf_dir: str, with_user: bool = False) -> DataFra
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_returnflag", "l_linestatus")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    out = li.select(
-        F.col("l_orderkey").alias("list_id"),
+    w = Window.partitionBy("list_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    out = li.withColumnRenamed("l_orderkey", "list_id").select(
+        "list_id",
         (F.row_number().over(w) - 1).cast("bigint").alias("slot"),
         F.col("l_partkey").alias("item_id"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)

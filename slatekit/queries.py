@@ -446,8 +446,11 @@ def q_attn_pool(spark, sf):
 
 @query("recency_pool")
 def q_recency_pool(spark, sf):
-    ds, cmap = _reshaped(spark, sf)
-    out = EM.recency_pool(ds, V.item_vectors(spark, sf), cmap, 3)
+    ds, vocab = _dataset(spark, sf)
+    ci = VO.cate_index(vocab)
+    cate_of = {int(r["cate_id"]): int(r["cate_idx"]) for r in ci.collect()}  # categories: tiny
+    out = EM.recency_pool(ds, V.item_vectors(spark, sf), L.cate_map_column(ci), 3,
+                          cate_of=cate_of)
     return _round(out.select("list_id", "cate", F.col("n_steps").cast("bigint"),
                              *EM.vec_stats("pooled")), "norm", "vsum")
 
