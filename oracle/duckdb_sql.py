@@ -821,9 +821,11 @@ UNION ALL SELECT 'quarantine', count(*) FROM recs"""
 
 _W = (0.8, -0.5, 0.3, 0.6, -0.2, 0.4, 0.1)
 _Z = " + ".join(f"{w} * ((items[p.i][{f + 1}] % 97) / 97.0)" for f, w in enumerate(_W))
+# -0.3 + t0 + t1 + ... associates left to right, as the scorer sums
 SCORES = _CSPLIT + f""",
 sc AS (SELECT list_id::VARCHAR AS key, (c * 10 + p.i - 1)::BIGINT AS slot,
-              CASE WHEN p.i - 1 < n THEN 1.0 / (1.0 + exp(-(-0.3 + {_Z}))) ELSE 0.0 END AS pred
+              CASE WHEN p.i - 1 < n THEN round(1.0 / (1.0 + exp(-(-0.3 + {_Z}))), 12) ELSE 0.0 END
+                AS pred
        FROM pad CROSS JOIN range(1, 11) p(i))"""
 
 SQL["batch_score"] = SCORES + "\nSELECT key, slot, round(pred, 6) AS pred FROM sc"
@@ -884,3 +886,30 @@ SELECT 'by_pred' AS run, step, epoch::BIGINT AS epoch, round(value, 6) AS value,
        CASE WHEN value <= prev AND n_evals > 2 AND epoch > 40 AND prev - value > 0.08
             THEN 1 ELSE 0 END AS stop
 FROM pr"""
+
+# ------------------------------------------------------------------ scored lists
+SCORED = SCORES + """,
+lab AS (SELECT list_id, (c * 10 + p.i - 1)::BIGINT AS slot, lbs[p.i] AS label,
+               CASE WHEN p.i - 1 < n THEN 1 ELSE 0 END AS mask
+        FROM pad CROSS JOIN range(1, 11) p(i)),
+ss AS (SELECT l.list_id, l.slot, s.pred, l.label, l.mask
+       FROM sc s JOIN lab l ON l.list_id = s.key::BIGINT AND l.slot = s.slot)"""
+
+SQL["scored_metrics"] = SCORED + "," + lm_ctes("ss", RANK_ORDER, "s_")[1:] + """
+SELECT k, count(*) AS n_lists, round(avg(ndcg), 6) AS ndcg, round(avg(map), 6) AS map,
+       round(avg(utility), 6) AS utility
+FROM s_lm GROUP BY k"""
+
+SQL["log_loss_slots"] = SCORED + """
+SELECT round(-avg(label * ln(pred + 1e-7) + (1 - label) * ln(1 - pred + 1e-7))
+             FILTER (WHERE mask = 1), 6) AS masked,
+       round(-avg(label * ln(pred + 1e-7) + (1 - label) * ln(1 - pred + 1e-7)), 6) AS unmasked
+FROM ss"""
+
+SQL["union_history_reversed"] = DATASET + f""",
+u AS (SELECT list_id, hist_len AS n, list_reverse(hist[1:hist_len]) AS st FROM ds)
+SELECT list_id,
+       {ids(f"(CASE WHEN n >= 30 THEN st[1:30] ELSE st || list_transform(range(30 - n), lambda i: {_Z6}) END)")}
+         AS union_hist,
+       least(n, 30)::INT AS union_hist_len
+FROM u"""

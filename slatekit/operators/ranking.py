@@ -124,3 +124,9 @@ def khot_pick(df: DataFrame, k: int, list_col: str = "list_id", score_col: str =
     straight-through pick)."""
     r = F.row_number().over(rank_window(list_col, score_col, slot_col))
     return df.withColumn(pick_col, F.when(r <= k, 1).otherwise(0))
+
+
+def join_predictions(preds: DataFrame, labels: DataFrame, keys=("list_id", "slot")) -> DataFrame:
+    """Predictions joined to labels on (list, slot) (inner equi-join;
+    both sides are keyed by list, so the join is co-partitioned by list)."""
+    return preds.join(labels, list(keys), "inner")

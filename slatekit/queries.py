@@ -534,8 +534,8 @@ def q_dataset_stat(spark, sf):
                        F.to_json(F.map_entries("cate_idx_map")).alias("cate_idx_map"))
 
 
-def _requests(spark, sf, n_partitions=4):
-    ds, cmap = _reshaped(spark, sf)
+def _requests(spark, sf, n_partitions=4, reshaped=None):
+    ds, cmap = reshaped or _reshaped(spark, sf)
     mr = L.model_ready(ds, cmap, 3)
     payload = RQ.request_payload(mr)
     return K.to_kafka_records(payload, "key", "value", n_partitions=n_partitions)
@@ -645,3 +645,36 @@ def q_early_stop(spark, sf):
         F.lit("by_pred").alias("run"), F.col("batch").alias("step"),
         (F.col("batch") / 2).cast("bigint").alias("epoch"), "value")
     return _round(LR.early_stop(evals), "value", "best")
+
+
+# ---------------------------------------------------------------- scored lists
+def _scored_slots(spark, sf):
+    """Scores of every request joined (J7) to the slot-layout labels and mask."""
+    ds, cmap = _reshaped(spark, sf)
+    wide = ds.select("list_id", *L.cate_split_candidates(cmap, 3))
+    labels = L.slot_layout(wide, 3).select("list_id", "slot", "cate", "label", "mask")
+    parsed, _ = RQ.parse_requests(_requests(spark, sf, reshaped=(ds, cmap)))
+    preds = SC.score_requests(parsed).select(F.col("key").cast("bigint").alias("list_id"),
+                                             "slot", "pred")
+    return R.join_predictions(preds, labels)
+
+
+@query("scored_metrics")
+def q_scored_metrics(spark, sf):
+    out = R.rank_metrics(_scored_slots(spark, sf), METRIC_SCOPES, is_rank=True)
+    return _round(out, "ndcg", "map", "utility")
+
+
+@query("log_loss_slots")
+def q_log_loss_slots(spark, sf):
+    s = _scored_slots(spark, sf)
+    masked = M.log_loss(s, mask_col="mask").withColumnRenamed("log_loss", "masked")
+    full = M.log_loss(s).withColumnRenamed("log_loss", "unmasked")
+    return _round(masked.crossJoin(full), "masked", "unmasked")
+
+
+@query("union_history_reversed")
+def q_union_history_reversed(spark, sf):
+    ds, _ = _dataset(spark, sf)
+    h, n = H.union_history("hist", "hist_len", cloud=False, reverse=True, kind="bigint")
+    return ds.select("list_id", _ids_str(h).alias("union_hist"), n)
