@@ -33,8 +33,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (tests, local runs) create
-    a private scratch folder and register it."""
+    ``spark.checkpoint.dir``.  Only when it is unset on a local master (tests,
+    local runs) is a private scratch folder created; on a cluster an unset
+    folder is an error, never a machine-local fallback."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -43,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     path = tempfile.mkdtemp(prefix="slatekit-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
