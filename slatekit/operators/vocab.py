@@ -114,12 +114,13 @@ def _ns_sizes(vocab: DataFrame) -> dict[str, int]:
 
 
 def lookup_maps(vocab: DataFrame, namespaces: list[str]) -> dict[str, Column] | None:
-    """value -> id map literals for small namespaces (size checked first);
-    None when any namespace is too large for an in-expression map."""
-    sizes = _ns_sizes(vocab)
-    if sum(sizes.get(ns, 0) for ns in namespaces) > MAP_LOOKUP_MAX:
+    """value -> id map literals for small namespaces, or None when together
+    they exceed ``MAP_LOOKUP_MAX`` entries.  One bounded read: at most
+    ``MAP_LOOKUP_MAX + 1`` rows ever reach the driver."""
+    rows = (vocab.where(F.col("ns").isin(namespaces)).select("ns", "value", "id")
+            .limit(MAP_LOOKUP_MAX + 1).collect())
+    if len(rows) > MAP_LOOKUP_MAX:
         return None
-    rows = vocab.where(F.col("ns").isin(namespaces)).select("ns", "value", "id").collect()
     out: dict[str, Column] = {}
     for ns in namespaces:
         pairs = [(r["value"], r["id"]) for r in rows if r["ns"] == ns]
@@ -135,22 +136,30 @@ def encode_fields(df: DataFrame, vocab: DataFrame, fields: dict[str, str],
                   suffix: str = "_id") -> DataFrame:
     """Add ``<col><suffix>`` ids for scalar columns (unseen -> 0).
 
-    Small namespaces are looked up in a map literal (no shuffle); large ones
-    (e.g. user ids) are equi-joined on ``value``, broadcast only when the
-    namespace's counted size is within the broadcast bound.
+    Small namespaces are looked up in a map literal (no shuffle); a namespace
+    too large for the map bound (e.g. user ids) is an equi-join on ``value``,
+    left to AQE to broadcast or shuffle.
     """
-    maps = lookup_maps(vocab, [ns for ns in fields.values()])
-    sizes = _ns_sizes(vocab)
+    maps = lookup_maps(vocab, list(fields.values()))
+    large: set[str] = set()
+    if maps is None:
+        # split: small namespaces still use maps, large ones (e.g. user ids) join
+        sizes = _ns_sizes(vocab)
+        small, total = [], 0
+        for ns in sorted(set(fields.values()), key=lambda n: sizes.get(n, 0)):
+            if total + sizes.get(ns, 0) <= MAP_LOOKUP_MAX:
+                small.append(ns)
+                total += sizes.get(ns, 0)
+        maps = lookup_maps(vocab, small) or {}
+        large = set(fields.values()) - set(maps)
     out = df
     for c, ns in fields.items():
-        if maps is not None:
+        if ns not in large:
             out = out.withColumn(c + suffix, F.coalesce(
                 F.element_at(maps[ns], F.col(c).cast("string")), F.lit(0)).cast("bigint"))
             continue
         side = vocab.where(F.col("ns") == ns).select(F.col("value").alias("_v"),
                                                      F.col("id").alias(c + suffix))
-        if sizes.get(ns, 0) <= MAP_LOOKUP_MAX:
-            side = F.broadcast(side)
         out = (out.join(side, F.col(c).cast("string") == F.col("_v"), "left").drop("_v")
                .withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(0)).cast("bigint")))
     return out

@@ -60,3 +60,18 @@ def test_paced_replay_runs_several_batches(spark):
     SC.run_stream_scoring(spark, src, f"{base}/out", f"{base}/ckpt")
     batches = [d for d in os.listdir(f"{base}/out") if d.startswith("batch_id=")]
     assert len(batches) >= 3
+
+
+def test_encode_large_namespace_joins(spark, monkeypatch):
+    from slatekit.operators import vocab as VO
+    from slatekit.queries import _log_and_vocab
+    imps, log, vocab = _log_and_vocab(spark, SF_SMALL)
+    prof = VO.surviving_profiles(imps, log)
+    cols = [c + "_id" for c in VO.user_fields_map()]
+    a = {tuple(r) for r in VO.encode_fields(prof, vocab, VO.user_fields_map()).select(
+        "split", "user_id", *cols).collect()}
+    n_uid = vocab.where("ns = 'uid'").count()
+    monkeypatch.setattr(VO, "MAP_LOOKUP_MAX", n_uid - 1)    # uid too large for a map
+    b = {tuple(r) for r in VO.encode_fields(prof, vocab, VO.user_fields_map()).select(
+        "split", "user_id", *cols).collect()}
+    assert a == b and len(a) > 0
