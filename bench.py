@@ -21,7 +21,7 @@ from slatekit.session import local_session  # noqa: E402
 HEADLINE = [
     "rank_metrics", "initial_rank_metrics", "exposure_js", "auc", "log_loss", "rerank",
     "hist_asof", "filter_users", "user_ladder", "vocab", "neg_sample", "dataset",
-    "relaxed_topk", "combined_loss", "attn_pool", "batch_score",
+    "relaxed_topk", "combined_loss", "attn_pool", "batch_score", "stream_score",
 ]
 
 

@@ -55,3 +55,14 @@ def test_empty_batch_skipped(spark):
     base = tempfile.mkdtemp(prefix="slatekit-empty-")
     SC.batch_sink(f"{base}/out")(spark.range(0), 0)
     assert not os.path.exists(f"{base}/out")
+
+
+def test_stream_quarantines_broken_records(spark):
+    base = tempfile.mkdtemp(prefix="slatekit-q-")
+    recs = _records(spark, [json.dumps(BATCHED), "{\"inputs/usr_ph\": [[1,"])
+    recs.coalesce(1).write.parquet(f"{base}/src")
+    src = K.read_request_files(spark, f"{base}/src")
+    SC.run_stream_scoring(spark, src, f"{base}/out", f"{base}/ckpt", f"{base}/bad")
+    assert spark.read.parquet(f"{base}/out").select("key").distinct().count() == 1
+    bad = spark.read.parquet(f"{base}/bad").collect()
+    assert [r["key"] for r in bad] == ["1"] and bad[0]["raw"].startswith("{")
