@@ -47,15 +47,26 @@ _SHAPES = {
 def request_schema(batched: bool) -> T.StructType:
     extra = 1 if batched else 0
     fields = [T.StructField(f"inputs/{n}", _arr(t, d + extra)) for n, (t, d) in _SHAPES.items()]
+    # serving-signature names accepted in place of the request names
+    fields += [T.StructField(f"inputs/{alias}", _arr(*_SHAPES[name][:1], _SHAPES[name][1] + extra))
+               for alias, name in ALIASES.items()]
     fields += [T.StructField("inputs/keep_prob", T.DoubleType()),
                T.StructField("inputs/is_train", T.BooleanType()),
                T.StructField("_corrupt", T.StringType())]
     return T.StructType(fields)
 
 
-def request_payload(mr: DataFrame, key_col: str = "list_id") -> DataFrame:
-    """P8 + M9: one JSON request per model-ready list (batch dimension 1)."""
-    fields = [F.array(F.col(src)).alias(f"inputs/{name}") for name, src in INPUTS.items()]
+def request_payload(mr: DataFrame, key_col: str = "list_id", split_hist: bool = True,
+                    union_hist: bool = True) -> DataFrame:
+    """P8 + M9: one JSON request per model-ready list (batch dimension 1);
+    the per-category and union histories are included per flag."""
+    skip = set()
+    if not split_hist:
+        skip |= {"cate_hist_ft", "cate_hist_len"}
+    if not union_hist:
+        skip |= {"union_hist_ft", "union_hist_len"}
+    fields = [F.array(F.col(src)).alias(f"inputs/{name}") for name, src in INPUTS.items()
+              if name not in skip]
     fields += [F.lit(1.0).alias("inputs/keep_prob"), F.lit(False).alias("inputs/is_train")]
     return mr.select(F.col(key_col).alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
@@ -71,10 +82,14 @@ def parse_requests(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = records.select(F.col("key").cast("string").alias("key"), "topic", "partition", "offset",
                        "timestamp", txt.alias("_raw"), b.alias("b"), u.alias("u"))
 
+    names = {n: [n] + [a for a, m in ALIASES.items() if m == n] for n in _SHAPES}
+
     def field(name):
-        # batched payload first, else the unbatched one (missing batch dimension)
-        return F.coalesce(F.element_at(F.col("b").getField(f"inputs/{name}"), 1),
-                          F.col("u").getField(f"inputs/{name}"))
+        # batched payload first, else the unbatched one (missing batch
+        # dimension); the request name first, else its signature alias
+        return F.coalesce(*[F.element_at(F.col("b").getField(f"inputs/{k}"), 1)
+                            for k in names[name]],
+                          *[F.col("u").getField(f"inputs/{k}") for k in names[name]])
 
     ok = F.col("b._corrupt").isNull() | F.col("u._corrupt").isNull()
     present = field("usr_ph").isNotNull()

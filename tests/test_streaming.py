@@ -66,3 +66,19 @@ def test_stream_quarantines_broken_records(spark):
     assert spark.read.parquet(f"{base}/out").select("key").distinct().count() == 1
     bad = spark.read.parquet(f"{base}/bad").collect()
     assert [r["key"] for r in bad] == ["1"] and bad[0]["raw"].startswith("{")
+
+
+def test_signature_aliases_and_history_flags(spark):
+    aliased = dict(BATCHED)
+    aliased["inputs/labels"] = aliased.pop("inputs/lb")
+    aliased["inputs/user_features"] = aliased.pop("inputs/usr_ph")
+    good, bad = RQ.parse_requests(_records(spark, [json.dumps(aliased)]))
+    r = good.first()
+    assert r["lb"] == [[1, 0]] and r["usr_ph"] == [1, 2, 3, 4, 5, 6] and bad.count() == 0
+    mr = spark.createDataFrame([(1, [1] * 6, [[[1] * 7]], [1], [[1]], [[[1] * 6]], [1], [[1] * 6], 1)],
+                               "list_id bigint, usr array<bigint>, candi_c array<array<array<bigint>>>, "
+                               "candi_len_c array<int>, labels_c array<array<int>>, "
+                               "cate_hist array<array<array<bigint>>>, cate_hist_len array<int>, "
+                               "union_hist array<array<bigint>>, union_hist_len int")
+    payload = json.loads(RQ.request_payload(mr, split_hist=False).first()["value"])
+    assert "inputs/cate_hist_ft" not in payload and "inputs/union_hist_ft" in payload
