@@ -63,12 +63,12 @@ def appearances(log: DataFrame, profiles: DataFrame) -> DataFrame:
 def surviving_profiles(imps: DataFrame, log: DataFrame) -> DataFrame:
     """First-seen user fields (over the unfiltered log) of users that survive
     the filter, with the position of their first row."""
-    from slatekit.operators.impressions import user_profile
-
-    first = imps.groupBy("split", "user_id").agg(F.min("imp_id").alias("first_imp"))
+    first = F.min_by(F.struct(*[F.col(c) for c in USER_FIELDS]), F.col("imp_id"))
+    prof = imps.groupBy("split", "user_id").agg(first.alias("_u"),
+                                                 F.min("imp_id").alias("first_imp"))
     keep = log.select("split", "user_id").distinct()
-    return user_profile(imps).join(first, ["split", "user_id"]).join(
-        keep, ["split", "user_id"], "left_semi")
+    return prof.join(keep, ["split", "user_id"], "left_semi").select(
+        "split", "user_id", "_u.*", "first_imp")
 
 
 def build_vocab(imps: DataFrame, log: DataFrame) -> DataFrame:

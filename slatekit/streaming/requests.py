@@ -77,27 +77,34 @@ def parse_requests(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     false``; quarantine rows carry the raw text of unparseable values."""
     txt = F.col("value").cast("string")
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    b = F.from_json(txt, request_schema(True), opts)
-    u = F.from_json(txt, request_schema(False), opts)
     x = records.select(F.col("key").cast("string").alias("key"), "topic", "partition", "offset",
-                       "timestamp", txt.alias("_raw"), b.alias("b"), u.alias("u"))
-
+                       "timestamp", txt.alias("_raw"),
+                       F.from_json(txt, request_schema(True), opts).alias("b"))
     names = {n: [n] + [a for a, m in ALIASES.items() if m == n] for n in _SHAPES}
 
+    def first_of(src, name, batched):
+        vals = [F.col(src).getField(f"inputs/{k}") for k in names[name]]
+        if batched:
+            vals = [F.element_at(v, 1) for v in vals]
+        return F.coalesce(*vals) if len(vals) > 1 else vals[0]
+
+    b_ok = F.col("b._corrupt").isNull() & first_of("b", "usr_ph", True).isNotNull()
+    x = x.withColumn("_b_ok", b_ok)
+    # the unbatched parse (missing batch dimension, X9) is evaluated only in the
+    # fallback branch, i.e. only for records the batched parse rejected
+    u = F.from_json(F.col("_raw"), request_schema(False), opts)
+    x = x.withColumn("u", F.when(~F.col("_b_ok"), u))
+    u_ok = F.col("u._corrupt").isNull() & first_of("u", "usr_ph", False).isNotNull()
+
     def field(name):
-        # batched payload first, else the unbatched one (missing batch
-        # dimension); the request name first, else its signature alias
-        return F.coalesce(*[F.element_at(F.col("b").getField(f"inputs/{k}"), 1)
-                            for k in names[name]],
-                          *[F.col("u").getField(f"inputs/{k}") for k in names[name]])
-
-    ok = F.col("b._corrupt").isNull() | F.col("u._corrupt").isNull()
-    present = field("usr_ph").isNotNull()
-    good = x.where(ok & present)
+        return F.when(F.col("_b_ok"), first_of("b", name, True)).otherwise(
+            first_of("u", name, False))
+
+    good = x.where(F.col("_b_ok") | u_ok)
     parsed = good.select("key", "topic", "partition", "offset", "timestamp",
                          *[field(n).alias(n) for n in _SHAPES],
                          F.lit(1.0).alias("keep_prob"), F.lit(False).alias("is_train"))
-    bad = x.where(~(ok & present))
+    bad = x.where(~F.col("_b_ok") & ~F.coalesce(u_ok, F.lit(False)))
     quarantine = bad.select("key", "topic", "partition", "offset", "timestamp",
                             F.col("_raw").alias("raw"))
     return parsed, quarantine
