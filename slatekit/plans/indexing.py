@@ -5,7 +5,8 @@ window with no partition sends the whole table to one task.  Here a group
 holding more than ``split_rows`` rows is cut into contiguous ranges of a
 numeric *split key* (monotone in the order), every range is scanned by its own
 window task, and each range is shifted by the exact totals of the ranges
-before it.  The per-group statistics and per-range totals are broadcast only
+before it.  A global order (no group) uses Spark's sampled range partitioning
+instead, which balances the ranges for any key distribution.  The per-group statistics and per-range totals are broadcast only
 after their row count is bounded: at most ``total_rows / split_rows`` hot
 groups exist, and at most ``total_rows / split_rows`` + (hot groups) ranges.
 Small groups keep one range (range 0) and cost exactly one window.
@@ -80,6 +81,9 @@ def ordered_scan(df: DataFrame, order_cols: Sequence[str | Column], split_key: s
             out = out.withColumn(name, F.sum(e).over(run))
         return out.drop("_sk_key")
 
+    if not g:
+        return _global_scan(base, order, idx_col, sums, total, t).drop("_sk_key")
+
     # Hot groups: more than t rows; at most total / t of them.
     hot = (stats.where(F.col("_sk_n") > t)
            .withColumn("_sk_b", F.ceil(F.col("_sk_n") * 4 / t).cast("bigint"))
@@ -133,3 +137,40 @@ def dense_index(df: DataFrame, order_cols: Sequence[str | Column], split_key: st
     """0-based dense position of every row within its group (global when no
     group), exact and without a single-partition exchange for large inputs."""
     return ordered_scan(df, order_cols, split_key, group_cols, idx_col, None, rows_per_range)
+
+
+def _global_scan(base: DataFrame, order: list[Column], idx_col: str | None,
+                 sums: dict, total: int, t: int) -> DataFrame:
+    """Global order over more than ``t`` rows: Spark's range partitioning
+    samples balanced bounds whatever the key distribution, each range is
+    sorted inside its task, the position inside the range is the row number
+    from ``monotonically_increasing_id`` (same task, no second shuffle), and
+    exact offsets come from the per-range counts (at most
+    ``MAX_BROADCAST_ROWS`` ranges, broadcast)."""
+    n_ranges = max(2, min(MAX_BROADCAST_ROWS, math.ceil(total * 4 / t)))
+    ranged = (base.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order)
+              .withColumn("_sk_pid", F.spark_partition_id().cast("bigint"))
+              .withColumn("_sk_i", F.monotonically_increasing_id()
+                          - F.shiftleft(F.col("_sk_pid"), 33)))
+    aggs = [F.count(F.lit(1)).alias("_sk_c")]
+    for name, expr in sums.items():
+        e = F.col(expr) if isinstance(expr, str) else expr
+        aggs.append(F.sum(e).alias(f"_sk_t_{name}"))
+    totals = ranged.groupBy("_sk_pid").agg(*aggs)            # one row per range
+    prev = Window.orderBy("_sk_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(
+        "_sk_pid", F.coalesce(F.sum("_sk_c").over(prev), F.lit(0)).alias("_sk_oc"),
+        *[F.coalesce(F.sum(f"_sk_t_{n}").over(prev), F.lit(0)).alias(f"_sk_o_{n}")
+          for n in sums])
+    out = ranged.join(F.broadcast(offs), "_sk_pid", "left")
+    if idx_col:
+        out = out.withColumn(idx_col, F.col("_sk_i") + F.col("_sk_oc"))
+    if sums:
+        # running sums inside a range: one window per range id (ranges are balanced)
+        run = Window.partitionBy("_sk_pid").orderBy("_sk_i").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        for name, expr in sums.items():
+            e = F.col(expr) if isinstance(expr, str) else expr
+            out = out.withColumn(name, F.sum(e).over(run) + F.col(f"_sk_o_{name}"))
+    drop = [c for c in out.columns if c.startswith("_sk_") and c != "_sk_key"]
+    return out.drop(*drop)
