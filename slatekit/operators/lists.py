@@ -130,7 +130,8 @@ def batch_assign(lists: DataFrame, batch_size: int = BATCH_SIZE, group_cols=(),
     if drop_last:
         n = lists.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
         full = n.select(*g, (F.col("_n") / batch_size).cast("bigint").alias("_full"))
-        out = (out.join(F.broadcast(full), g) if g else out.crossJoin(F.broadcast(full)))
+        # one row per group: AQE broadcasts it when small, joins otherwise
+        out = out.join(full, g) if g else out.crossJoin(F.broadcast(full))  # 1 row
         out = out.where(F.col("batch") < F.col("_full")).drop("_full")
     return out.drop("_bi")
 

@@ -36,8 +36,9 @@ def exposure_counts(df: DataFrame, scope: int = EXPOSURE_SCOPE, n_cate: int = 3,
         top = df.withColumn("_r", r).where(F.col("_r") <= scope)
     else:
         top = df.where(F.col(slot_col) < scope)
-    counts = top.groupBy(F.col(cate_col).cast("int").alias("cate")).agg(
-        F.count(F.lit(1)).alias("exposure"))
+    counts = (top.where(F.col(cate_col).between(0, n_cate - 1))      # <= n_cate rows
+              .groupBy(F.col(cate_col).cast("int").alias("cate"))
+              .agg(F.count(F.lit(1)).alias("exposure")))
     cats = F.broadcast(categories_frame(df.sparkSession, n_cate))
     out = cats.join(F.broadcast(counts), "cate", "left").fillna(0, ["exposure"])
     total = F.sum("exposure").over(Window.partitionBy())  # n_cate rows only
