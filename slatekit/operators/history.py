@@ -19,8 +19,7 @@ from slatekit.plans.indexing import dense_index, split_rows
 
 
 def history_asof(df: DataFrame, user_col: str = "user_id",
-                 order_cols: Sequence[str] = ("ts", "imp_id"),
-                 split_key: Column | None = None, label_col: str = "label",
+                 order_cols: Sequence[str] = ("ts", "imp_id"), label_col: str = "label",
                  step_cols: Sequence[str] = HIST_FIELDS, max_len: int = HIST_MAX_LEN,
                  out_col: str = "hist") -> DataFrame:
     """For every row, the positive rows among the same user's previous
@@ -41,8 +40,7 @@ def history_asof(df: DataFrame, user_col: str = "user_id",
         w = Window.partitionBy(user_col).orderBy(*order).rowsBetween(-max_len, -1)
         return df.withColumn(out_col, F.collect_list(picked).over(w))
 
-    key = split_key if split_key is not None else F.unix_micros(F.col(order_cols[0]).cast("timestamp"))
-    idx = dense_index(df, order, key, [user_col], "_h_idx")
+    idx = dense_index(df, order, [user_col], "_h_idx")
     c = F.lit(chunk_rows)
     home = F.floor(F.col("_h_idx") / c)
     # a row is read by every later chunk whose first row lies within

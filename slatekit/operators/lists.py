@@ -125,7 +125,7 @@ def batch_assign(lists: DataFrame, batch_size: int = BATCH_SIZE, group_cols=(),
     """Mini-batch number of every list (dense order div batch size); the
     last partial batch of each group is dropped when ``drop_last``."""
     g = list(group_cols)
-    idx = dense_index(lists, [order_key, "list_id"], order_key, g, "_bi")
+    idx = dense_index(lists, [order_key, "list_id"], g, "_bi")
     out = idx.withColumn("batch", (F.col("_bi") / batch_size).cast("bigint"))
     if drop_last:
         n = lists.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))

@@ -112,7 +112,7 @@ def auc(df: DataFrame, label_col: str = "label", pred_col: str = "pred",
     per = src.groupBy(F.col(pred_col).cast("double").alias("s")).agg(
         F.sum(F.when(F.col(label_col) >= 1, 1).otherwise(0)).cast("bigint").alias("npos"),
         F.sum(F.when(F.col(label_col) >= 1, 0).otherwise(1)).cast("bigint").alias("nneg"))
-    scanned = ordered_scan(per, ["s"], "s", idx_col=None, sums={"neg_le": "nneg"})
+    scanned = ordered_scan(per, ["s"], idx_col=None, sums={"neg_le": "nneg"})
     contrib = F.col("npos") * (F.col("neg_le") - F.col("nneg") + 0.5 * F.col("nneg"))
     return scanned.agg(
         (F.sum(contrib) / (F.sum("npos") * F.sum("nneg"))).alias("auc"))

@@ -44,7 +44,7 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
     ``src`` is 'own' or 'pool' and ``t`` the pick order."""
     pos = _positives(log)
     neg = _negatives(log, seed)
-    own_idx = dense_index(neg, ["h", "neg_id"], "h", KEYS, "j")
+    own_idx = dense_index(neg, ["h", "neg_id"], KEYS, "j")
     n_u = neg.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
 
     p = pos.join(n_u, KEYS, "left").fillna(0, ["n"]).withColumn(
@@ -58,7 +58,7 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
 
     # pool fill for users with fewer than n_neg negatives of their own
     short = p.where(F.col("n") < n_neg)
-    pool = dense_index(neg, ["h", "neg_id"], "h", ["split"], "g")
+    pool = dense_index(neg, ["h", "neg_id"], ["split"], "g")
     g_n = neg.groupBy("split").agg(F.count(F.lit(1)).alias("G"))
     want = (short.join(F.broadcast(g_n), "split")  # one row per split
             .withColumn("o2", hash32("list_id", F.lit("pool"), seed=seed) % F.col("G"))
@@ -95,5 +95,5 @@ def shuffle_lists(lists: DataFrame, seed: str = DEFAULT_SEED,
     """Position of every list within its split in hash order (exact,
     no single-partition sort)."""
     h = hash32("list_id", seed=seed)
-    return dense_index(lists.withColumn("_h", h), ["_h", "list_id"], "_h", ["split"],
+    return dense_index(lists.withColumn("_h", h), ["_h", "list_id"], ["split"],
                        out_col).drop("_h")

@@ -76,9 +76,7 @@ def build_vocab(imps: DataFrame, log: DataFrame) -> DataFrame:
     app = appearances(log, surviving_profiles(imps, log))
     first = app.groupBy("ns", "value").agg(
         F.min(F.struct("phase", "split_ord", "pos", "sub")).alias("o")).select("ns", "value", "o.*")
-    key = (F.col("phase") * 2 + F.col("split_ord")).cast("double") * 1e15 \
-        + F.col("pos").cast("double") * 256 + F.col("sub")
-    ranked = dense_index(first, ["phase", "split_ord", "pos", "sub"], key, (), "idx")
+    ranked = dense_index(first, ["phase", "split_ord", "pos", "sub"], (), "idx")
     return ranked.select("ns", "value", (F.col("idx") + 1).alias("id"))
 
 
@@ -90,7 +88,7 @@ def vocab_sizes(vocab: DataFrame) -> DataFrame:
 def cate_index(vocab: DataFrame, ns: str = f"item:{CATE_FIELD}") -> DataFrame:
     """0-based category index in vocabulary order (id -> index)."""
     cats = vocab.where(F.col("ns") == ns)
-    return dense_index(cats, ["id"], "id", (), "cate_idx").select(
+    return dense_index(cats, ["id"], (), "cate_idx").select(
         F.col("value").alias("cate_value"), F.col("id").alias("cate_id"), "cate_idx")
 
 
@@ -101,7 +99,7 @@ def vocab_increment(vocab: DataFrame, new_values: DataFrame) -> DataFrame:
     fresh = (new_values.groupBy("ns", "value").agg(F.min("ord").alias("ord"))
              .join(vocab.select("ns", "value"), ["ns", "value"], "left_anti"))
     top = vocab.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    ranked = dense_index(fresh, ["ord", "ns", "value"], "ord", (), "idx")
+    ranked = dense_index(fresh, ["ord", "ns", "value"], (), "idx")
     added = ranked.crossJoin(F.broadcast(top)).select(
         "ns", "value", (F.col("top") + F.col("idx") + 1).alias("id"))
     return vocab.select("ns", "value", "id").unionByName(added)

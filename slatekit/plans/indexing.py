@@ -1,18 +1,22 @@
 """Exact positions and running sums inside groups that may be huge.
 
 ``Window.partitionBy(g).orderBy(o)`` sends a whole group to one task, and a
-window with no partition sends the whole table to one task.  Here a group
-holding more than ``split_rows`` rows is cut into contiguous ranges of a
-numeric *split key* (monotone in the order), every range is scanned by its own
-window task, and each range is shifted by the exact totals of the ranges
-before it.  A global order (no group) uses Spark's sampled range partitioning
-instead, which balances the ranges for any key distribution.  The per-group statistics and per-range totals are broadcast only
-after their row count is bounded: at most ``total_rows / split_rows`` hot
-groups exist, and at most ``total_rows / split_rows`` + (hot groups) ranges.
-Small groups keep one range (range 0) and cost exactly one window.
-
-Result is exact and deterministic for any partitioning; ties in the order
-must be broken by the caller (the order has to be total within a group).
+window with no partition sends the whole table to one task.  Here:
+
+* groups of at most ``split_rows`` rows (cold) keep one window each;
+* rows of larger (hot) groups -- or of the whole table when there is no
+  group -- are range-partitioned on (group, order).  Spark samples balanced
+  range bounds whatever the key distribution, so a hot group is spread over
+  many tasks.  Inside a task the rows are sorted; a row's position in its
+  task is its row id (``monotonically_increasing_id`` minus the task
+  offset, computed in the same task, no second shuffle).  Exact offsets come
+  from a per-(range, group) count table, prefix-summed and broadcast: it has
+  at most (ranges + hot groups) rows, both bounded below
+  ``MAX_BROADCAST_ROWS`` by construction (a hot group has more than
+  ``split_rows`` rows, and ranges hold about ``split_rows / 4`` rows each).
+
+The result is exact and deterministic for any partitioning, including
+recomputation after a lost executor; the order must be total within a group.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ from pyspark.sql import functions as F
 DEFAULT_SPLIT_ROWS = 1 << 21
 # Upper bound on rows of any table this module broadcasts.
 MAX_BROADCAST_ROWS = 200_000
-_BKT = "_sk_bucket"
 
 
 def split_rows(df: DataFrame) -> int:
@@ -38,139 +41,93 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def ordered_scan(df: DataFrame, order_cols: Sequence[str | Column], split_key: str | Column,
+def _expr(e: str | Column) -> Column:
+    return F.col(e) if isinstance(e, str) else e
+
+
+def ordered_scan(df: DataFrame, order_cols: Sequence[str | Column],
                  group_cols: Sequence[str] = (), idx_col: str | None = "idx",
                  sums: dict[str, str | Column] | None = None,
                  rows_per_range: int | None = None) -> DataFrame:
     """Add ``idx_col`` (0-based position within the group in ``order_cols``
     order) and, for every ``name -> expr`` in ``sums``, the inclusive running
-    sum of ``expr`` within the group in the same order.
-
-    ``split_key`` is a numeric expression that never decreases along the
-    order inside a group (e.g. the first order column, or its negation for a
-    descending order).
-    """
+    sum of ``expr`` within the group in the same order."""
     sums = dict(sums or {})
     g = list(group_cols)
-    key = F.col(split_key) if isinstance(split_key, str) else split_key
+    order = _cols(order_cols)
     t = int(rows_per_range or split_rows(df))
-    base = df.withColumn("_sk_key", key.cast("double"))
 
-    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_sk_n"),
-                                 F.min("_sk_key").alias("_sk_lo"),
-                                 F.max("_sk_key").alias("_sk_hi"))
-    # One scalar job: total rows and the largest group decide whether any
-    # group needs splitting and how many hot groups can exist.
+    stats = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_sk_n"))   # partial aggregate
+    # one scalar job: total rows and the largest group
     tot = stats.agg(F.sum("_sk_n").alias("n"), F.max("_sk_n").alias("m")).first()
     total, largest = int(tot["n"] or 0), int(tot["m"] or 0)
     t = max(t, math.ceil(total * 5 / MAX_BROADCAST_ROWS) if total else 1)
 
-    order = _cols(order_cols)
     if largest <= t:
-        # No hot group: one window per group.
-        part = Window.partitionBy(*g).orderBy(*order) if g else None
-        if part is None:
-            # Global order on a small table (largest <= t rows): one task by design.
-            part = Window.orderBy(*order)
-        out = base
-        if idx_col:
-            out = out.withColumn(idx_col, (F.row_number().over(part) - 1).cast("bigint"))
-        run = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for name, expr in sums.items():
-            e = F.col(expr) if isinstance(expr, str) else expr
-            out = out.withColumn(name, F.sum(e).over(run))
-        return out.drop("_sk_key")
-
+        return _window_scan(df, order, g, idx_col, sums)
     if not g:
-        return _global_scan(base, order, idx_col, sums, total, t).drop("_sk_key")
-
-    # Hot groups: more than t rows; at most total / t of them.
-    hot = (stats.where(F.col("_sk_n") > t)
-           .withColumn("_sk_b", F.ceil(F.col("_sk_n") * 4 / t).cast("bigint"))
-           .select(*g, "_sk_lo", "_sk_hi", "_sk_b"))
-    width = F.col("_sk_hi") - F.col("_sk_lo")
-    bucket = F.when(F.col("_sk_b").isNull() | (width <= 0), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_sk_key") - F.col("_sk_lo")) / width * F.col("_sk_b")),
-                F.col("_sk_b") - 1)).cast("bigint")
-    if g:
-        tagged = base.join(F.broadcast(hot), on=g, how="left")
-    else:
-        tagged = base.crossJoin(F.broadcast(hot))  # hot has exactly one row here
-    tagged = tagged.withColumn(_BKT, bucket).drop("_sk_lo", "_sk_hi", "_sk_b")
-
-    w = Window.partitionBy(*g, _BKT).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged
-    if idx_col:
-        local = local.withColumn("_sk_i", (F.row_number().over(w) - 1).cast("bigint"))
-    for name, expr in sums.items():
-        e = F.col(expr) if isinstance(expr, str) else expr
-        local = local.withColumn(f"_sk_s_{name}", F.sum(e).over(run))
+        return _range_scan(df, order, [], idx_col, sums, total, t)
+
+    hot = stats.where(F.col("_sk_n") > t).select(*g, F.lit(True).alias("_sk_hot"))
+    tagged = df.join(F.broadcast(hot), g, "left")   # at most total / t hot groups
+    cold = _window_scan(tagged.where(F.col("_sk_hot").isNull()), order, g, idx_col, sums)
+    hot_rows = tagged.where(F.col("_sk_hot").isNotNull())
+    warm = _range_scan(hot_rows, order, g, idx_col, sums, total, t)
+    return cold.drop("_sk_hot").unionByName(warm.drop("_sk_hot"))
 
-    # Exact totals per range of hot groups (bounded table), prefix-summed.
-    keyed = tagged.join(F.broadcast(hot.select(*g)), on=g, how="left_semi") if g else tagged
-    aggs = [F.count(F.lit(1)).alias("_sk_c")]
+
+def _window_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums) -> DataFrame:
+    """One window per group (every group is small, or the table is)."""
+    w = Window.partitionBy(*g).orderBy(*order) if g else Window.orderBy(*order)
+    out = df
+    if idx_col:
+        out = out.withColumn(idx_col, (F.row_number().over(w) - 1).cast("bigint"))
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for name, expr in sums.items():
-        e = F.col(expr) if isinstance(expr, str) else expr
-        aggs.append(F.sum(e).alias(f"_sk_t_{name}"))
-    totals = keyed.groupBy(*g, _BKT).agg(*aggs)
-    prev = (Window.partitionBy(*g).orderBy(_BKT)
+        out = out.withColumn(name, F.sum(_expr(expr)).over(run))
+    return out
+
+
+def _range_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums,
+                total: int, t: int) -> DataFrame:
+    from slatekit.sources.files import stage
+
+    n_ranges = max(2, min(MAX_BROADCAST_ROWS // 2, math.ceil(total * 4 / t)))
+    keys = [F.col(c) for c in g] + order
+    # Range bounds are sampled from the input, whose row order after a
+    # shuffle is not deterministic: two plans reading the same input could
+    # cut different ranges.  The range id and row id are therefore written
+    # once with the rows, and offsets and positions both read that table.
+    ranged = stage(df.repartitionByRange(n_ranges, *keys).sortWithinPartitions(*keys)
+                   .withColumn("_sk_pid", F.spark_partition_id().cast("bigint"))
+                   .withColumn("_sk_i", F.monotonically_increasing_id()
+                               - F.shiftleft(F.col("_sk_pid"), 33)), "ordered-scan")
+    aggs = [F.count(F.lit(1)).alias("_sk_c"), F.min("_sk_i").alias("_sk_start")]
+    aggs += [F.sum(_expr(e)).alias(f"_sk_t_{n}") for n, e in sums.items()]
+    counts = ranged.groupBy("_sk_pid", *g).agg(*aggs)   # <= ranges + hot groups rows
+    prev = (Window.partitionBy(*g).orderBy("_sk_pid")
             .rowsBetween(Window.unboundedPreceding, -1))
-    offs = totals.select(
-        *g, _BKT,
+    offs = counts.select(
+        "_sk_pid", *g, "_sk_start",
         F.coalesce(F.sum("_sk_c").over(prev), F.lit(0)).alias("_sk_oc"),
         *[F.coalesce(F.sum(f"_sk_t_{n}").over(prev), F.lit(0)).alias(f"_sk_o_{n}")
           for n in sums])
-    out = local.join(F.broadcast(offs), on=[*g, _BKT], how="left")
+    out = ranged.join(F.broadcast(offs), ["_sk_pid", *g], "left")
+    pos = F.col("_sk_i") - F.col("_sk_start")          # position of the row in its piece
     if idx_col:
-        out = out.withColumn(idx_col, F.col("_sk_i") + F.coalesce(F.col("_sk_oc"), F.lit(0)))
-    for name in sums:
-        out = out.withColumn(name, F.col(f"_sk_s_{name}")
-                             + F.coalesce(F.col(f"_sk_o_{name}"), F.lit(0)))
-    drop = [c for c in out.columns if c.startswith("_sk_")] + [_BKT]
-    return out.drop(*drop)
+        out = out.withColumn(idx_col, pos + F.col("_sk_oc"))
+    if sums:
+        # running sums inside a piece (one task per range piece; ranges are balanced)
+        run = (Window.partitionBy("_sk_pid", *g).orderBy("_sk_i")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        for name, expr in sums.items():
+            out = out.withColumn(name, F.sum(_expr(expr)).over(run) + F.col(f"_sk_o_{name}"))
+    return out.drop(*[c for c in out.columns if c.startswith("_sk_") and c != "_sk_hot"])
 
 
-def dense_index(df: DataFrame, order_cols: Sequence[str | Column], split_key: str | Column,
+def dense_index(df: DataFrame, order_cols: Sequence[str | Column],
                 group_cols: Sequence[str] = (), idx_col: str = "idx",
                 rows_per_range: int | None = None) -> DataFrame:
     """0-based dense position of every row within its group (global when no
-    group), exact and without a single-partition exchange for large inputs."""
-    return ordered_scan(df, order_cols, split_key, group_cols, idx_col, None, rows_per_range)
-
-
-def _global_scan(base: DataFrame, order: list[Column], idx_col: str | None,
-                 sums: dict, total: int, t: int) -> DataFrame:
-    """Global order over more than ``t`` rows: Spark's range partitioning
-    samples balanced bounds whatever the key distribution, each range is
-    sorted inside its task, the position inside the range is the row number
-    from ``monotonically_increasing_id`` (same task, no second shuffle), and
-    exact offsets come from the per-range counts (at most
-    ``MAX_BROADCAST_ROWS`` ranges, broadcast)."""
-    n_ranges = max(2, min(MAX_BROADCAST_ROWS, math.ceil(total * 4 / t)))
-    ranged = (base.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order)
-              .withColumn("_sk_pid", F.spark_partition_id().cast("bigint"))
-              .withColumn("_sk_i", F.monotonically_increasing_id()
-                          - F.shiftleft(F.col("_sk_pid"), 33)))
-    aggs = [F.count(F.lit(1)).alias("_sk_c")]
-    for name, expr in sums.items():
-        e = F.col(expr) if isinstance(expr, str) else expr
-        aggs.append(F.sum(e).alias(f"_sk_t_{name}"))
-    totals = ranged.groupBy("_sk_pid").agg(*aggs)            # one row per range
-    prev = Window.orderBy("_sk_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(
-        "_sk_pid", F.coalesce(F.sum("_sk_c").over(prev), F.lit(0)).alias("_sk_oc"),
-        *[F.coalesce(F.sum(f"_sk_t_{n}").over(prev), F.lit(0)).alias(f"_sk_o_{n}")
-          for n in sums])
-    out = ranged.join(F.broadcast(offs), "_sk_pid", "left")
-    if idx_col:
-        out = out.withColumn(idx_col, F.col("_sk_i") + F.col("_sk_oc"))
-    if sums:
-        # running sums inside a range: one window per range id (ranges are balanced)
-        run = Window.partitionBy("_sk_pid").orderBy("_sk_i").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        for name, expr in sums.items():
-            e = F.col(expr) if isinstance(expr, str) else expr
-            out = out.withColumn(name, F.sum(e).over(run) + F.col(f"_sk_o_{name}"))
-    drop = [c for c in out.columns if c.startswith("_sk_") and c != "_sk_key"]
-    return out.drop(*drop)
+    group), exact and without funnelling a large group through one task."""
+    return ordered_scan(df, order_cols, group_cols, idx_col, None, rows_per_range)

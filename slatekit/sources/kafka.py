@@ -44,7 +44,7 @@ def to_kafka_records(df: DataFrame, key_col: str, value_col: str, topic: str = T
     part = (hash32(key_col) % n_partitions).cast("int")
     x = df.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v"), part.alias("partition"),
                   (F.col(ts_col) if ts_col else F.current_timestamp()).alias("timestamp"))
-    x = dense_index(x, ["_k"], "_k", ["partition"], "offset")
+    x = dense_index(x, ["_k"], ["partition"], "offset")
     return x.select(F.col("_k").cast("string").cast("binary").alias("key"),
                     F.col("_v").cast("binary").alias("value"), F.lit(topic).alias("topic"),
                     "partition", "offset", F.col("timestamp").cast("timestamp").alias("timestamp"))

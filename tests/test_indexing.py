@@ -11,7 +11,7 @@ def _data(spark):
 
 def test_dense_index_hot_groups_exact(spark, small_split):
     df = _data(spark)
-    got = {(r["g"], r["i"]): r["idx"] for r in dense_index(df, ["v", "i"], "v", ["g"]).collect()}
+    got = {(r["g"], r["i"]): r["idx"] for r in dense_index(df, ["v", "i"], ["g"]).collect()}
     w = Window.partitionBy("g").orderBy("v", "i")
     want = {(r["g"], r["i"]): r["idx"] for r in
             df.withColumn("idx", F.row_number().over(w) - 1).collect()}
@@ -20,7 +20,7 @@ def test_dense_index_hot_groups_exact(spark, small_split):
 
 def test_global_index_and_running_sum(spark, small_split):
     df = _data(spark)
-    out = ordered_scan(df, ["v", "g", "i"], "v", (), "idx", {"run": "v"}).collect()
+    out = ordered_scan(df, ["v", "g", "i"], (), "idx", {"run": "v"}).collect()
     rows = sorted(out, key=lambda r: r["idx"])
     assert [r["idx"] for r in rows] == list(range(len(rows)))
     vals = [r["v"] for r in rows]
