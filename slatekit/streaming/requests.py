@@ -71,40 +71,50 @@ def request_payload(mr: DataFrame, key_col: str = "list_id", split_hist: bool =
     return mr.select(F.col(key_col).alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
-def parse_requests(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """T1 + T2 + X9 + T5: (parsed, quarantine).  Parsed rows carry the model
-    inputs without the batch dimension, ``keep_prob = 1`` and ``is_train =
-    false``; quarantine rows carry the raw text of unparseable values."""
+def parse_records(records: DataFrame) -> DataFrame:
+    """T1 + X9: one parse of every record.  The batched payload is parsed
+    first; the unbatched parse (missing batch dimension) is evaluated only
+    for records the batched parse rejected.  Adds ``_ok``."""
     txt = F.col("value").cast("string")
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     x = records.select(F.col("key").cast("string").alias("key"), "topic", "partition", "offset",
                        "timestamp", txt.alias("_raw"),
                        F.from_json(txt, request_schema(True), opts).alias("b"))
-    names = {n: [n] + [a for a, m in ALIASES.items() if m == n] for n in _SHAPES}
-
-    def first_of(src, name, batched):
-        vals = [F.col(src).getField(f"inputs/{k}") for k in names[name]]
-        if batched:
-            vals = [F.element_at(v, 1) for v in vals]
-        return F.coalesce(*vals) if len(vals) > 1 else vals[0]
-
-    b_ok = F.col("b._corrupt").isNull() & first_of("b", "usr_ph", True).isNotNull()
+    b_ok = F.col("b._corrupt").isNull() & _first_of("b", "usr_ph", True).isNotNull()
     x = x.withColumn("_b_ok", b_ok)
-    # the unbatched parse (missing batch dimension, X9) is evaluated only in the
-    # fallback branch, i.e. only for records the batched parse rejected
     u = F.from_json(F.col("_raw"), request_schema(False), opts)
     x = x.withColumn("u", F.when(~F.col("_b_ok"), u))
-    u_ok = F.col("u._corrupt").isNull() & first_of("u", "usr_ph", False).isNotNull()
+    u_ok = F.col("u._corrupt").isNull() & _first_of("u", "usr_ph", False).isNotNull()
+    return x.withColumn("_ok", F.col("_b_ok") | F.coalesce(u_ok, F.lit(False)))
+
+
+_NAMES = {n: [n] + [a for a, m in ALIASES.items() if m == n] for n in _SHAPES}
+
 
+def _first_of(src: str, name: str, batched: bool):
+    """The request name first, else its signature alias."""
+    vals = [F.col(src).getField(f"inputs/{k}") for k in _NAMES[name]]
+    if batched:
+        vals = [F.element_at(v, 1) for v in vals]
+    return F.coalesce(*vals) if len(vals) > 1 else vals[0]
+
+
+def split_parsed(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """T2 + T5: (parsed, quarantine) from ``parse_records`` output.  Parsed
+    rows carry the model inputs without the batch dimension, ``keep_prob =
+    1`` and ``is_train = false``; quarantine rows keep the raw text."""
     def field(name):
-        return F.when(F.col("_b_ok"), first_of("b", name, True)).otherwise(
-            first_of("u", name, False))
-
-    good = x.where(F.col("_b_ok") | u_ok)
-    parsed = good.select("key", "topic", "partition", "offset", "timestamp",
-                         *[field(n).alias(n) for n in _SHAPES],
-                         F.lit(1.0).alias("keep_prob"), F.lit(False).alias("is_train"))
-    bad = x.where(~F.col("_b_ok") & ~F.coalesce(u_ok, F.lit(False)))
-    quarantine = bad.select("key", "topic", "partition", "offset", "timestamp",
-                            F.col("_raw").alias("raw"))
+        return F.when(F.col("_b_ok"), _first_of("b", name, True)).otherwise(
+            _first_of("u", name, False))
+
+    meta = ["key", "topic", "partition", "offset", "timestamp"]
+    parsed = x.where(F.col("_ok")).select(*meta, *[field(n).alias(n) for n in _SHAPES],
+                                          F.lit(1.0).alias("keep_prob"),
+                                          F.lit(False).alias("is_train"))
+    quarantine = x.where(~F.col("_ok")).select(*meta, F.col("_raw").alias("raw"))
     return parsed, quarantine
+
+
+def parse_requests(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """T1 + T2 + X9 + T5: (parsed, quarantine)."""
+    return split_parsed(parse_records(records))
