@@ -201,9 +201,9 @@ def _log_and_vocab(spark, sf):
     """The filtered log and vocabulary, each written once and read back (they
     feed several encoders and size checks)."""
     from slatekit.sources.files import stage
-    imps = stage(_imps(spark, sf), "imps")
-    log = stage(I.prepare_log(imps), "log")
-    return imps, log, stage(VO.build_vocab(imps, log), "vocab")
+    base = V.impressions_base(spark, sf)        # profiles need no history
+    log = stage(I.prepare_log(I.with_hist_len(H.history_asof(base))), "log")
+    return base, log, stage(VO.build_vocab(base, log), "vocab")
 
 
 @query("vocab")
