@@ -21,7 +21,7 @@ from slatekit.plans.indexing import dense_index, split_rows
 def history_asof(df: DataFrame, user_col: str = "user_id",
                  order_cols: Sequence[str] = ("ts", "imp_id"), label_col: str = "label",
                  step_cols: Sequence[str] = HIST_FIELDS, max_len: int = HIST_MAX_LEN,
-                 out_col: str = "hist") -> DataFrame:
+                 out_col: str = "hist", len_col: str | None = None) -> DataFrame:
     """For every row, the positive rows among the same user's previous
     ``max_len`` rows (oldest first), each as an array of ``step_cols``.
 
@@ -30,6 +30,10 @@ def history_asof(df: DataFrame, user_col: str = "user_id",
     many consecutive rows; each chunk also receives the ``max_len`` rows
     before its first row as read-only halo rows, so every chunk is an
     independent window task and the result is exact.
+
+    ``len_col`` adds the number of steps as a count over the same frame:
+    plans that only need the length (e.g. eligibility counts) then skip
+    collecting the arrays.
     """
     step = F.array(*[F.col(c) for c in step_cols])
     picked = F.when(F.col(label_col) == 1, step)
@@ -38,7 +42,8 @@ def history_asof(df: DataFrame, user_col: str = "user_id",
     largest = df.groupBy(user_col).count().agg(F.max("count")).first()[0] or 0
     if largest <= chunk_rows:
         w = Window.partitionBy(user_col).orderBy(*order).rowsBetween(-max_len, -1)
-        return df.withColumn(out_col, F.collect_list(picked).over(w))
+        out = df.withColumn(out_col, F.collect_list(picked).over(w))
+        return out.withColumn(len_col, F.count(picked).over(w)) if len_col else out
 
     idx = dense_index(df, order, [user_col], "_h_idx")
     c = F.lit(chunk_rows)
@@ -50,8 +55,10 @@ def history_asof(df: DataFrame, user_col: str = "user_id",
                          lambda ch: F.struct(ch.alias("ch"), (ch != home).alias("halo")))
     x = idx.withColumn("_h_c", F.explode(copies)).select("*", "_h_c.ch", "_h_c.halo").drop("_h_c")
     w = Window.partitionBy(user_col, "ch").orderBy("_h_idx").rowsBetween(-max_len, -1)
-    return (x.withColumn(out_col, F.collect_list(picked).over(w))
-             .where(~F.col("halo")).drop("ch", "halo", "_h_idx"))
+    x = x.withColumn(out_col, F.collect_list(picked).over(w))
+    if len_col:
+        x = x.withColumn(len_col, F.count(picked).over(w))
+    return x.where(~F.col("halo")).drop("ch", "halo", "_h_idx")
 
 
 def parse_history(df: DataFrame, seq_cols: Sequence[str], as_int: bool = False,

@@ -202,7 +202,9 @@ def _log_and_vocab(spark, sf):
     feed several encoders and size checks)."""
     from slatekit.sources.files import stage
     base = V.impressions_base(spark, sf)        # profiles need no history
-    log = stage(I.prepare_log(I.with_hist_len(H.history_asof(base))), "log")
+    hist = H.history_asof(base, len_col="_n").withColumn(
+        "hist_len", F.when(F.col("label") != 0, F.col("_n")).otherwise(0).cast("int")).drop("_n")
+    log = stage(I.prepare_log(hist), "log")
     return base, log, stage(VO.build_vocab(base, log), "vocab")
 
 

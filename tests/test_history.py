@@ -48,3 +48,14 @@ def test_history_asof_split_matches_plain(spark, small_split):
     spark.conf.unset("spark.slatekit.splitRows")
     plain = {r["imp_id"]: r["hist"] for r in V.impressions(spark, SF_SMALL).collect()}
     assert split == plain and len(plain) > 0
+
+
+def test_history_length_column_matches_size(spark, small_split):
+    from tests.conftest import SF_SMALL
+    from slatekit.plans import views as V
+    base = V.impressions_base(spark, SF_SMALL)
+    for split in (True, False):
+        if not split:
+            spark.conf.unset("spark.slatekit.splitRows")
+        h = H.history_asof(base, len_col="n")
+        assert h.where(F.size("hist") != F.col("n")).count() == 0
