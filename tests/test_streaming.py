@@ -82,3 +82,18 @@ def test_signature_aliases_and_history_flags(spark):
                                "union_hist array<array<bigint>>, union_hist_len int")
     payload = json.loads(RQ.request_payload(mr, split_hist=False).first()["value"])
     assert "inputs/cate_hist_ft" not in payload and "inputs/union_hist_ft" in payload
+
+
+def test_paced_processing_time_run_can_be_stopped(spark):
+    base = tempfile.mkdtemp(prefix="slatekit-paced-")
+    _records(spark, [json.dumps(BATCHED)] * 4).repartition(2).write.parquet(f"{base}/src")
+    src = K.read_request_files(spark, f"{base}/src", max_files_per_trigger=1)
+    q = SC.run_stream_scoring(spark, src, f"{base}/out", f"{base}/ckpt",
+                              available_now=False, processing_time="1 second")
+    try:
+        q.processAllAvailable()          # paced: one file per trigger every second
+    finally:
+        q.stop()
+    batches = [d for d in os.listdir(f"{base}/out") if d.startswith("batch_id=")]
+    assert len(batches) >= 2
+    assert spark.read.parquet(f"{base}/out").select("key").distinct().count() == 4
