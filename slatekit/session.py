@@ -57,3 +57,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     tables (never a machine-local temp folder on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``slatekit`` importable by the executors' Python workers (needed
+    where Python runs on executors: the scorer and the numpy pools).  The
+    package is zipped once per driver process and added with ``addPyFile``
+    once per SparkContext; a cluster that already installs the package or
+    passes it with --py-files is unaffected."""
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="slatekit-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "slatekit"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="slatekit")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
