@@ -17,8 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Hash buckets of `in_buckets`; a broadcast bucket set never exceeds this.
 ID_BUCKETS = 1 << 20
 
-__all__ = ["ID_BUCKETS", "Scratch", "ascii_lower", "drop_ids", "in_buckets", "keep_ids", "null_safe",
-           "running", "ship_package", "shuffle_partitions", "table", "word_count"]
+__all__ = ["ID_BUCKETS", "Scratch", "ascii_lower", "bucket", "drop_ids", "in_buckets", "keep_ids", "maybe_ids", "null_safe",
+           "row_key", "running", "ship_package", "shuffle_partitions", "table", "unique_rows", "word_count"]
 
 
 class Scratch:
@@ -93,18 +93,29 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
     return out.select(*df.columns, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
+def bucket(id_col: str) -> Column:
+    """Hash bucket of an id; null ids have bucket -1, which is never listed."""
+    return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(
+        F.pmod(F.xxhash64(id_col), F.lit(ID_BUCKETS)).cast("int"))
+
+
 def in_buckets(ids: DataFrame, id_col: str) -> DataFrame:
     """The distinct hash buckets (at most ID_BUCKETS rows) of ``ids``."""
-    return ids.select(F.pmod(F.xxhash64(id_col), F.lit(ID_BUCKETS)).cast("int").alias("_b")).distinct()
+    return ids.where(F.col(id_col).isNotNull()).select(bucket(id_col).alias("_b")).distinct()
+
+
+def maybe_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id bucket holds a listed id: every listed row and
+    few others, found without a shuffle by a broadcast of at most ID_BUCKETS
+    bucket numbers."""
+    some = docs.withColumn("_b", bucket(id_col))
+    return some.join(F.broadcast(in_buckets(ids, id_col)), "_b", "left_semi").drop("_b")
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``.  Rows whose id bucket holds no
-    listed id are left out before the shuffle by a broadcast of at most
-    ID_BUCKETS bucket numbers; the rest are decided by an exact join."""
-    some = docs.withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(ID_BUCKETS)).cast("int"))
-    some = some.join(F.broadcast(in_buckets(ids, id_col)), "_b", "left_semi").drop("_b")
-    return some.join(ids.select(id_col).distinct(), id_col, "left_semi")
+    """Rows of ``docs`` whose id is in ``ids``: only rows that pass the bucket
+    test are shuffled to the exact join."""
+    return maybe_ids(docs, ids, id_col).join(ids.select(id_col).distinct(), id_col, "left_semi")
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -112,9 +123,23 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     buckets without a listed id pass without a shuffle; only the others meet
     the exact anti join."""
     buckets = F.broadcast(in_buckets(ids, id_col))
-    tagged = docs.withColumn("_b", F.coalesce(
-        F.pmod(F.xxhash64(id_col), F.lit(ID_BUCKETS)).cast("int"), F.lit(-1)))
+    tagged = docs.withColumn("_b", bucket(id_col))
     clear = tagged.join(buckets, "_b", "left_anti").drop("_b")
     doubt = tagged.join(buckets, "_b", "left_semi").drop("_b")
     listed = ids.select(id_col).distinct()
     return clear.unionByName(doubt.join(listed, id_col, "left_anti"))
+
+
+def row_key(*cols: str) -> Column:
+    """A string that tells rows apart by the given columns (nulls included)."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]
+    return F.md5(F.concat_ws("\u0001", *parts).cast("binary"))
+
+
+def unique_rows(docs: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
+    """One row for each key listed in ``repeated``; all other rows pass without
+    a shuffle."""
+    first = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+    one = (keep_ids(docs, repeated, key).withColumn("_at", F.row_number().over(first))
+           .where("_at = 1").drop("_at"))
+    return drop_ids(docs, repeated, key).unionByName(one)

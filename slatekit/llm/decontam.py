@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import drop_ids, ship_package, table
+from slatekit.llm.common import Scratch, drop_ids, row_key, ship_package, table
 from slatekit.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -204,8 +204,10 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any hit word."""
-    hit = scan(docs, benchmark).where(F.size("spans") > 0).select("doc_id")
-    return drop_ids(docs, hit, "doc_id")
+    keyed = docs.withColumn("_k", row_key("doc_id", "text"))
+    hit = scan(keyed, benchmark, id_col="_k").where(F.size("spans") > 0).select(F.col("doc_id").alias("_k"))
+    hit = Scratch(docs.sparkSession, "contaminated").write(hit, "ids")
+    return drop_ids(keyed, hit, "_k").drop("_k")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Every document gets a hash-random key.  Rows are range-sorted by key within
 their source and a distributed running sum of word counts is taken; a source
 gives whole epochs of itself and then the documents up to its exact budget.  The
-document on the cut gives its first words up to the budget.
+document on the cut gives its first words up to the budget.  Rows are taken each
+on their own by ``mix``; for ``mixed``, rows that share doc_id and text are one
+document with the copies of all of them.
 
 Targets: sources in code-point order (null last) weigh ``WEIGHTS``, repeated;
 all together get ``SHARE`` of all words; a target stops at ``MOST`` times its
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import Scratch, null_safe, running, table, word_count
+from slatekit.llm.common import Scratch, null_safe, running, table, unique_rows, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -93,15 +95,16 @@ def mixed(docs: DataFrame, **args) -> DataFrame:
     document on a source's cut the words within the budget; columns of
     ``docs``, n_chars following the text."""
     cols = docs.columns
-    take = mix(docs, **args).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"),
-        F.floor(F.col("taken") / F.col("size")).cast("int").alias("_whole"),
-        (F.col("taken") % F.col("size")).cast("int").alias("_rest")).distinct()
-    rows = docs.withColumn("_c", F.crc32(F.col("text").cast("binary")))
-    rows = rows.join(take, F.col("doc_id").eqNullSafe(F.col("_id"))
-                     & F.col("_c").eqNullSafe(F.col("_crc")))
-    copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")),
-                      F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<int>")))
+    key = lambda crc: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                                  F.coalesce(crc.cast("string"), F.lit("null")))
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    take = mix(docs, **args).where("taken > 0").groupBy(key(F.col("text_crc32")).alias("_k")).agg(
+        F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_whole"),
+        F.collect_list(F.when(rest > 0, rest)).alias("_rest"), F.count(F.lit(1)).alias("_n"))
+    take = Scratch(docs.sparkSession, "mixed").write(take, "take")
+    rows = docs.withColumn("_k", key(F.crc32(F.col("text").cast("binary"))))
+    rows = unique_rows(rows, take.where("_n > 1"), "_k").join(take, "_k")
+    copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.col("_rest"))
     rows = rows.withColumn("_cut", F.explode(copies))
     words = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""),
                                  1, F.greatest(F.col("_cut"), F.lit(1))), " ")

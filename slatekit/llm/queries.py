@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from slatekit.llm import decontam, mixing, sharding
+from slatekit.llm import (decontam, fingerprint, langid, licenses, mixing, neardup, pii, secret_scan,
+                          sharding, warc)
 
 REGISTRY = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
+    "op2_language_id": langid.op2_language_id,
     "op3_sharding": sharding.op3_sharding,
     "op4_mixing": mixing.op4_mixing,
+    "op5_secrets": secret_scan.op5_secrets,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_decontamination": decontam.op7_decontamination,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_licenses": licenses.op9_licenses,
+    "op10_warc": warc.op10_warc,
+    "page_language_id": langid.page_language_id,
 }
 
 SQL = {
+    "op1_near_duplicates": neardup.SQL,
     "op4_mixing": mixing.SQL,
     "op7_decontamination": decontam.SQL,
+    "op10_warc": warc.SQL,
 }

@@ -150,12 +150,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null")).alias("same")), "sized")
-    first = sized.groupBy("same").agg(F.min("doc_id").alias("first"))
+    # written, so that the join can split a group of copies over tasks
+    first = scratch.write(sized.groupBy("same").agg(F.min("doc_id").alias("first")), "first")
     placed = running(sized.join(first, "same"), [],
                      [F.col("first").asc_nulls_first(), "same", F.col("doc_id").asc_nulls_first()],
                      {"end": F.col("size"), "pos": F.lit(1)}, scratch, "ranged")
     placed = scratch.write(placed, "placed")
-    scratch.drop("ranged", "sized")
+    scratch.drop("ranged", "sized", "first")
     groups = placed.groupBy("first", "same").agg(
         F.max("end").alias("end"), F.max("pos").alias("pos"), F.sum("size").alias("size"))
     groups = scratch.write(groups, "groups")
