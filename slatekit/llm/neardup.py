@@ -11,13 +11,19 @@ probability below 1e-6) and confirmed on the full sets.
   that agree in MATCH keys share one outside the MATCH - 1 most frequent keys of
   either, so only the rarer rest is merged; keys with one class, and classes
   with fewer than MATCH shared keys, leave at once.
-* Skip: a posting list is first joined to its smallest member only (rows linear
-  in the list).  The confirmed links give components, and the second merge skips
-  every list that holds one component, every pair inside a component and every
-  pair whose set sizes cannot reach the similarity.  Long lists are cut into
-  blocks of ``BLOCK`` members and block pairs go to tasks of their own.  No link
-  between components is left out: every pair that shares a prefix key is in one
-  component or is compared.
+* Skip: in ``ROUNDS`` first merges every list is dealt by hash into hands of
+  about ``HAND`` members, each joined to the smallest member of its hand (rows
+  linear in the list), and each class confirms the ``TRY`` partners of other
+  components it agrees with most.  The last merge compares every remaining
+  pair: it skips lists that hold one component, pairs inside a component, pairs
+  whose set sizes cannot reach the similarity and pairs that an earlier common
+  key has.  Long lists are cut into blocks of ``BLOCK`` members and block pairs
+  go to tasks of their own.  No link between components is left out: every pair
+  that shares a prefix key is in one component or is compared.
+* Pairs of the last merge must also agree in their ``LOW`` smallest shingle
+  hashes: exactly for sets that these hold whole, else in ``LOW_MATCH`` of the
+  LOW smallest of the union (192 on average at 0.75, a shortfall that far has a
+  probability below 1e-6).
 
 Components come from star contraction on the link table (large-star and
 small-star steps, every step written to the checkpoint folder).
@@ -48,10 +54,16 @@ COORDS = 48
 MATCH = 21
 LEAST = 75               # percent
 BLOCK = 1024
+ROUNDS = 2
+HAND = 8
+TRY = 2
+LOW = 256
+LOW_MATCH = 158
 CHUNK_WORDS = 1_000_000  # words hashed together
 
 _MULT = (np.random.default_rng(5).integers(0, 2**63, COORDS + 8, dtype=np.uint64)
          * np.uint64(2) + np.uint64(1))
+_PAD = np.uint64(0xFFFFFFFF)      # above every kept hash
 _XOR = np.random.default_rng(6).integers(0, 2**64, COORDS, dtype=np.uint64)
 
 
@@ -76,8 +88,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def signatures(texts: list[bytes | None]) -> tuple[list[int], list[bytes | None], np.ndarray]:
-    """Set size, digest of the set, and minima (one row per text with words)."""
+def signatures(texts: list[bytes | None]) -> tuple[list[int], list, list, np.ndarray]:
+    """Set size, digest of the set, its smallest hashes, and minima (one row per
+    text with words)."""
     words = [words_of(t) for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     hashed = xxhash.xxh3_64_intdigest
@@ -97,11 +110,12 @@ def signatures(texts: list[bytes | None]) -> tuple[list[int], list[bytes | None]
     sh = _mix(s[valid])
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     start = np.cumsum(count) - count
-    sizes, digests = [], []
+    sizes, digests, low = [], [], []
     for a, c in zip(start.tolist(), count.tolist()):
         own = np.unique(sh[a:a + c])
         sizes.append(len(own))
         digests.append(xxhash.xxh3_128_digest(own.tobytes()) if c else None)
+        low.append(np.minimum(own[:LOW] >> np.uint64(32), _PAD - 1).astype("<u4").tobytes())
     have = start[count > 0]
     mins = np.empty((len(have), COORDS), np.int32)
     buf = np.empty_like(sh)
@@ -109,7 +123,7 @@ def signatures(texts: list[bytes | None]) -> tuple[list[int], list[bytes | None]
         np.bitwise_xor(sh, _XOR[k], out=buf)
         np.multiply(buf, _MULT[k], out=buf)
         mins[:, k] = (np.minimum.reduceat(buf, have) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return sizes, digests, mins
+    return sizes, digests, low, mins
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +134,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in np.unique(cut):
             a, b = np.searchsorted(cut, [c, c + 1])
             part = batch.slice(a, b - a)
-            sizes, same, mins = signatures(part.column("body").to_pylist())
+            sizes, same, low, mins = signatures(part.column("body").to_pylist())
             ends = np.cumsum([0] + [COORDS * (x is not None) for x in same]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("h"), pa.array(sizes, pa.int64()),
-                 pa.array(same, pa.binary()), pa.ListArray.from_arrays(ends, mins.ravel())],
-                names=["doc_id", "h", "n_shingles", "same", "sig"])
+                 pa.array(same, pa.binary()), pa.array(low, pa.binary()),
+                 pa.ListArray.from_arrays(ends, mins.ravel())],
+                names=["doc_id", "h", "n_shingles", "same", "low", "sig"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +159,37 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
+def low_agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the smallest hashes (rows of LOW, padded) allow the similarity."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 8192):
+        c = np.sort(np.concatenate((a[k:k + 8192], b[k:k + 8192]), axis=1), axis=1)
+        twice = np.zeros(c.shape, bool)
+        twice[:, 1:] = (c[:, 1:] == c[:, :-1]) & (c[:, 1:] != np.uint32(_PAD))
+        x, y = na[k:k + 8192], nb[k:k + 8192]
+        both = twice.sum(axis=1)
+        seen = np.cumsum(~twice, axis=1) <= LOW
+        out[k:k + 8192] = np.where((x <= LOW) & (y <= LOW), 100 * both >= LEAST * (x + y - both),
+                                   (twice & seen).sum(axis=1) >= LOW_MATCH)
+    return out
+
+
 def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs between components of each posting list (rows sorted by list, then
-    set size) that agree in at least MATCH coordinates."""
+    set size) that agree in at least MATCH coordinates and in their smallest
+    hashes; a pair is given by the first of its common prefix keys."""
     held: pa.Table | None = None
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        col = {c: t.column(c).to_numpy() for c in ("grp", "x", "y", "mine", "node", "h", "comp", "n")}
+        names = ("grp", "x", "y", "mine", "node", "h", "comp", "n", "mask")
+        col = {c: t.column(c).to_numpy() for c in names}
         sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
+        low = np.full((t.num_rows, LOW), _PAD, np.uint32)
+        for r, z in enumerate(t.column("low").to_pylist()):
+            v = np.frombuffer(z, "<u4")
+            low[r, :len(v)] = v
+        here = col["grp"] >> 32
+        mask = (col["mask"][:, None] >> np.arange(COORDS)) & 1 == 1
         rows, left, right = np.arange(t.num_rows), [], []
         d = 1
         while len(rows):
@@ -164,11 +202,16 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             go = (col["comp"][i] != col["comp"][j]) & \
                  ((col["x"][i] == col["y"][i]) | (col["mine"][i] != col["mine"][j]))
             i, j = i[go], j[go]
-            hit = (sig[i] == sig[j]).sum(axis=1) >= MATCH
+            same = sig[i] == sig[j]
+            hit = same.sum(axis=1) >= MATCH
+            i, j, same = i[hit], j[hit], same[hit]
+            hit = (same & mask[i] & mask[j]).argmax(axis=1) == here[i]
             left.append(i[hit])
             right.append(j[hit])
             d += 1
         i, j = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (left, right))
+        hit = low_agree(low[i], low[j], col["n"][i], col["n"][j])
+        i, j = i[hit], j[hit]
         return pa.RecordBatch.from_arrays(
             [pa.array(col[c][z]) for c, z in (("node", i), ("h", i), ("node", j), ("h", j))],
             names=["a", "ha", "b", "hb"])
@@ -228,6 +271,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "ha", "ta", "b", "tb").mapInArrow(_confirm, f"a {kind}, b {kind}")
 
 
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose members are in different components."""
+    for c in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -237,8 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"),
                       F.col(text_col).cast("binary").alias("body"))
     rows = scratch.write(src.mapInArrow(
-        _sign, f"doc_id {kind}, h long, n_shingles long, same binary, sig array<int>"), "rows")
-    own = rows.where("same IS NOT NULL AND doc_id IS NOT NULL")
+        _sign, f"doc_id {kind}, h long, n_shingles long, same binary, low binary, sig array<int>"), "rows")
+    own = rows.where("same IS NOT NULL AND doc_id IS NOT NULL").drop("low")
     classes = scratch.write(own.groupBy("same").agg(
         F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_shingles").alias("n"),
         F.first("sig").alias("sig"))
@@ -252,36 +302,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = posts.groupBy("grp").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     rare = Window.partitionBy("node").orderBy(F.col("freq").desc(), F.col("grp").desc())
     prefix = scratch.write(posts.join(shared, "grp").withColumn("at", F.row_number().over(rare))
-                           .where(F.col("at") >= MATCH).select("grp", "node"), "prefix")
+                           .where(F.col("at") >= MATCH).select("grp", "node", "freq"), "prefix")
 
-    # first merge: each class with the smallest member it most often meets
-    least = prefix.groupBy("grp").agg(F.min("node").alias("a"))
-    stars = prefix.join(least, "grp").where("node <> a").groupBy(F.col("node").alias("b"), "a").count()
-    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    # first merges: hands of about HAND members, joined to their smallest one
     side = lambda p: classes.select(F.col("node").alias(p), F.col("h").alias(f"h{p}"),
                                     F.col("n").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    stars = stars.join(side("b"), "b").join(side("a"), "a").where(
-        (agree >= MATCH) & (F.lit(100) * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")))
-    stars = scratch.write(stars.select("a", "ha", "b", "hb"), "stars")
-    links = scratch.write(_confirmed(stars, src), "links-1")
-    comp1 = scratch.write(components(links, scratch, "c1"), "comp-1")
-
-    # second merge: pairs between components only
-    lists = prefix.join(comp1, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comp = None
+    links = None
+    for r in range(1, ROUNDS + 1):
+        dealt = prefix.select("grp", "node", F.pmod(F.xxhash64("node", "grp", F.lit(r)), F.ceil(
+            F.col("freq") / HAND)).alias("hand"))
+        least = dealt.groupBy("grp", "hand").agg(F.min("node").alias("a"))
+        pairs = dealt.join(least, ["grp", "hand"]).where("node <> a").select(
+            "a", F.col("node").alias("b")).distinct()
+        if comp is not None:
+            pairs = _between(pairs, comp)
+        pairs = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("agree", agree).where(
+            (F.col("agree") >= MATCH) & (F.lit(100) * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")))
+        best = Window.partitionBy("b").orderBy(F.col("agree").desc(), "a", "ha")
+        pairs = scratch.write(pairs.withColumn("at", F.row_number().over(best))
+                              .where(F.col("at") <= TRY).select("a", "ha", "b", "hb"), f"tried-{r}")
+        found = scratch.write(_confirmed(pairs, src), f"links-{r}")
+        links = found if links is None else links.unionByName(found)
+        comp = scratch.write(components(links, scratch, f"c{r}"), f"comp-{r}")
+
+    # last merge: pairs between components only
+    lists = prefix.select("grp", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = lists.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                      F.count(F.lit(1)).alias("len")).where("lo < hi")
     nb = F.ceil(F.col("len") / BLOCK).cast("int")
     cells = (lists.join(mixed.select("grp", nb.alias("nb")), "grp")
              .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-             .join(classes.select("node", "h", "n", "sig"), "node")
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))))
+    cells = scratch.write(cells, "cells")
+    masks = prefix.groupBy(F.col("node").alias("m")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(shiftright(grp, 32) AS INT))")).alias("mask"))
+    low = maybe_ids(rows.select(F.col("doc_id").alias("node"), "h", "low"), cells, "node").distinct()
+    facts = classes.select("node", "h", "n", "sig").join(low, ["node", "h"]).join(masks, F.col("node") == F.col("m"))
+    cells = (cells.join(facts.drop("m"), "node")
              .select("grp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
-                     "mine", "node", "h", "comp", "n", "sig"))
+                     "mine", "node", "h", "comp", "n", "mask", "sig", "low"))
     cells = cells.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "n", "node")
     cross = cells.mapInArrow(_merge_lists, f"a {kind}, ha long, b {kind}, hb long").distinct()
     cross = scratch.write(cross, "cross")
-    more = scratch.write(_confirmed(cross, src), "links-2")
+    more = scratch.write(_confirmed(cross, src), "links-last")
 
     # rows that share a doc_id are one document
     member = own.join(classes.select("same", "node"), "same").select("doc_id", "node").distinct()
@@ -289,12 +354,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = member.join(again, "doc_id").select("a", F.col("node").alias("b"))
     over = more.unionByName(again)
     for c in ("a", "b"):
-        over = over.join(comp1.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
+        over = over.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
     over = over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    comp2 = scratch.write(components(over, scratch, "c2"), "comp-2")
-    scratch.drop("prefix", "stars", "links-1", "cross", "links-2")
+    comp2 = scratch.write(components(over, scratch, "cl"), "comp-last")
+    scratch.drop("prefix", "cells", "cross", "links-last", *[f"{x}-{r}" for r in range(1, ROUNDS + 1)
+                                                            for x in ("tried", "links")])
 
-    final = (classes.select("same", "node").join(comp1, "node", "left")
+    final = (classes.select("same", "node").join(comp, "node", "left")
              .withColumn("node", F.coalesce("comp", "node")).drop("comp")
              .join(comp2, "node", "left").select("same", F.coalesce("comp", "node").alias("comp")))
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
