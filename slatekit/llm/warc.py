@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import Scratch, bucket, in_buckets, ship_package, table
+from slatekit.llm.common import Scratch, bucket, in_buckets, shuffle_partitions, ship_package, table
 
 FRAME_BYTES = 1 << 20       # of records in one frame, about
 BUNDLE_BYTES = 64 << 20     # compressed bytes in one bundle, about
@@ -247,13 +247,15 @@ def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(index, "index")
 
 
-def read_archives(index: DataFrame) -> DataFrame:
+def read_archives(index: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of all records in the indexed bundles; a revisit takes the payload
-    size of the record it refers to."""
+    size of the record it refers to.  Bundles are dealt over a fixed number of
+    tasks: their names are few bytes, which says nothing of the work."""
     spark = index.sparkSession
-    bundles = index.select("bundle").distinct()
-    recs = bundles.mapInArrow(_read, "page_id long, record_id string, record_type string, "
-                                     "payload_bytes long, payload_digest string, refers string")
+    bundles = index.select("bundle").distinct().repartition(4 * shuffle_partitions(spark), "bundle")
+    recs = scratch.write(bundles.mapInArrow(
+        _read, "page_id long, record_id string, record_type string, payload_bytes long, "
+               "payload_digest string, refers string"), "records")
     full = recs.where("record_type = 'response'")
     known = full.groupBy(F.col("record_id").alias("refers")).agg(
         F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("full_bytes"))
@@ -265,9 +267,7 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    index = write_archives(table(spark, sf_dir, "pages"), scratch)
-    read = scratch.write(read_archives(index), "read")   # the bundles are read once
-    return read
+    return read_archives(write_archives(table(spark, sf_dir, "pages"), scratch), scratch)
 
 
 SQL = r"""
