@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import ship_package, table
+from slatekit.llm.common import Scratch, ship_package, table
 from slatekit.llm.crf import BEGIN, INSIDE, OUTSIDE, CRF, train, viterbi
 
 SAMPLE = 300            # training files with a base match, and as many without
@@ -252,12 +252,15 @@ def training_texts(docs: DataFrame, sample: int = SAMPLE) -> list[bytes]:
     hit = F.rlike(text, F.lit(
         r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}")) \
         | F.rlike(text, F.lit("AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))
-    order = [F.xxhash64("text"), "text"]
-    rows = docs.select("text", hit.alias("hit"))
-    out = []
+    # only hashes travel: the patterns run once, and the texts of the chosen
+    # hashes are fetched afterwards
+    marks = Scratch(docs.sparkSession, "secrets").write(
+        docs.select(F.xxhash64("text").alias("at"), hit.alias("hit")), "marks")
+    chosen = []
     for want in (F.col("hit"), ~F.col("hit")):
-        out += [r["text"] for r in rows.where(want).select("text").orderBy(*order).limit(sample).collect()]
-    return [(t or "").encode("utf-8", "surrogateescape") for t in out]
+        chosen += [r["at"] for r in marks.where(want).select("at").distinct().orderBy("at").limit(sample).collect()]
+    rows = docs.where(F.xxhash64("text").isin(chosen)).select("text").distinct().collect() if chosen else []
+    return sorted((r["text"] or "").encode("utf-8", "surrogateescape") for r in rows)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
