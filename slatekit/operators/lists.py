@@ -29,12 +29,12 @@ def build_dataset(imps: DataFrame, log: DataFrame, vocab: DataFrame,
                   seed: str = DEFAULT_SEED) -> DataFrame:
     """Encoded candidate lists with labels, user ids and padded history."""
     item_map = VO.item_fields_map()
-    items = VO.encode_fields(log.select("imp_id", *item_map), vocab, item_map).select(
-        "imp_id", F.array(*[F.col(c + "_id") for c in item_map]).alias("ids"))
-    cands = candidates(log, n_neg, seed).join(items, "imp_id")
-    lists = cands.groupBy("list_id").agg(
+    items = VO.encode_fields(log.select("split", "imp_id", *item_map), vocab, item_map).select(
+        "split", "imp_id", F.array(*[F.col(c + "_id") for c in item_map]).alias("ids"))
+    cands = candidates(log, n_neg, seed).join(items, ["split", "imp_id"])
+    lists = cands.groupBy("split", "list_id").agg(
         F.array_sort(F.collect_list(F.struct("slot", "ids", "label"))).alias("_c"))
-    lists = lists.select("list_id", F.transform("_c", lambda x: x["ids"]).alias("candi"),
+    lists = lists.select("split", "list_id", F.transform("_c", lambda x: x["ids"]).alias("candi"),
                          F.transform("_c", lambda x: x["label"]).alias("labels"))
 
     users = VO.encode_fields(VO.surviving_profiles(imps, log), vocab, VO.user_fields_map())
@@ -44,7 +44,7 @@ def build_dataset(imps: DataFrame, log: DataFrame, vocab: DataFrame,
         "split", "user_id", F.col("imp_id").alias("list_id"), "hist"), vocab)
     hist, hist_len = pad_history("hist_ids", hist_max)
     pos = pos.select("split", "user_id", "list_id", hist, hist_len).join(usr, ["split", "user_id"])
-    return pos.join(lists, "list_id").select(
+    return pos.join(lists, ["split", "list_id"]).select(
         "split", "list_id", "user_id", "usr", "candi", "labels", "hist", "hist_len")
 
 

@@ -69,7 +69,7 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
             .join(pool.select("split", "g", "neg_id", F.col("user_id").alias("owner")),
                   ["split", "g"])
             .where(F.col("owner") != F.col("user_id")))
-    r = F.row_number().over(Window.partitionBy("list_id").orderBy("u"))  # <= 9 rows per list
+    r = F.row_number().over(Window.partitionBy("split", "list_id").orderBy("u"))  # <= 9 rows per list
     fill = (cand.withColumn("r", r).where(F.col("r") <= n_neg - F.col("n"))
             .select("split", "list_id", "user_id", "neg_id", F.lit("pool").alias("src"),
                     (F.col("n") + F.col("r") - 1).alias("t")))
@@ -79,14 +79,15 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
 def candidates(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
                seed: str = DEFAULT_SEED) -> DataFrame:
     """U2 + R3: per list (one per positive) the positive (label 1) and its
-    sampled negatives (label 0), shuffled by hash into slots 0..n."""
+    sampled negatives (label 0), shuffled by hash into slots 0..n.  A list is
+    ``(split, list_id)``: ids may be numbered anew in every split."""
     pos = _positives(log).select("split", "list_id", "user_id",
                                  F.col("list_id").alias("imp_id"), F.lit(1).alias("label"))
     negs = neg_sample(log, n_neg, seed).select("split", "list_id", "user_id",
                                                F.col("neg_id").alias("imp_id"),
                                                F.lit(0).alias("label"))
     allc = pos.unionByName(negs)
-    w = Window.partitionBy("list_id").orderBy(hash32("list_id", "imp_id", seed=seed), "imp_id")
+    w = Window.partitionBy("split", "list_id").orderBy(hash32("list_id", "imp_id", seed=seed), "imp_id")
     return allc.withColumn("slot", (F.row_number().over(w) - 1).cast("bigint"))
 
 

@@ -24,3 +24,12 @@ def test_negatives_never_positive_and_own_first(spark):
     labels = log.select(F.col("imp_id").alias("neg_id"), "label")
     bad = S.neg_sample(log).join(labels, "neg_id").where("label != 0")
     assert bad.count() == 0
+
+
+def test_lists_of_splits_with_the_same_ids_stay_apart(spark):
+    rows = [(s, u, s_i * 0 + u * 40 + i, int(i == 0)) for s_i, s in enumerate(("train", "test"))
+            for u in range(3) for i in range(12)]
+    log = spark.createDataFrame(rows, "split string, user_id long, imp_id long, label int")
+    per = S.candidates(log).groupBy("split", "list_id").agg(
+        F.count("*").alias("n"), F.sum("label").alias("p"), F.max("slot").alias("last"))
+    assert {(r["n"], r["p"], r["last"]) for r in per.collect()} == {(10, 1, 9)} and per.count() == 6
