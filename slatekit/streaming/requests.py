@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slatekit.config import ITEM_FIELDS
+
 INPUTS = {
     "usr_ph": "usr",
     "candi_itm_ft": "candi_c",
@@ -80,11 +82,11 @@ def parse_records(records: DataFrame) -> DataFrame:
     x = records.select(F.col("key").cast("string").alias("key"), "topic", "partition", "offset",
                        "timestamp", txt.alias("_raw"),
                        F.from_json(txt, request_schema(True), opts).alias("b"))
-    b_ok = F.col("b._corrupt").isNull() & _first_of("b", "usr_ph", True).isNotNull()
+    b_ok = F.coalesce(F.col("b._corrupt").isNull() & _complete("b", True), F.lit(False))
     x = x.withColumn("_b_ok", b_ok)
     u = F.from_json(F.col("_raw"), request_schema(False), opts)
     x = x.withColumn("u", F.when(~F.col("_b_ok"), u))
-    u_ok = F.col("u._corrupt").isNull() & _first_of("u", "usr_ph", False).isNotNull()
+    u_ok = F.col("u._corrupt").isNull() & _complete("u", False)
     return x.withColumn("_ok", F.col("_b_ok") | F.coalesce(u_ok, F.lit(False)))
 
 
@@ -95,10 +97,24 @@ def _first_of(src: str, name: str, batched: bool):
     """The request name first, else its signature alias."""
     vals = [F.col(src).getField(f"inputs/{k}") for k in _NAMES[name]]
     if batched:
-        vals = [F.element_at(v, 1) for v in vals]
+        vals = [F.get(v, F.lit(0)) for v in vals]
     return F.coalesce(*vals) if len(vals) > 1 else vals[0]
 
 
+def _complete(src: str, batched: bool):
+    """A request the scorer can read: user, candidates and list lengths are
+    there, categories hold equally many candidates of ``ITEM_FIELDS`` ids, and
+    nothing inside is null.  Anything else goes to quarantine (T5)."""
+    candi, lens = _first_of(src, "candi_itm_ft", batched), _first_of(src, "candi_list_len", batched)
+    slots = F.size(F.get(candi, F.lit(0)))
+    whole = F.forall(candi, lambda c: c.isNotNull() & (F.size(c) == slots) & F.forall(
+        c, lambda item: item.isNotNull() & (F.size(item) == len(ITEM_FIELDS)) & F.forall(
+            item, lambda v: v.isNotNull())))
+    return F.coalesce(
+        _first_of(src, "usr_ph", batched).isNotNull() & (F.size(candi) > 0)
+        & (F.size(candi) == F.size(lens)) & F.forall(lens, lambda n: n.isNotNull()) & whole, F.lit(False))
+
+
 def split_parsed(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     """T2 + T5: (parsed, quarantine) from ``parse_records`` output.  Parsed
     rows carry the model inputs without the batch dimension, ``keep_prob =

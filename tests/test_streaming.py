@@ -97,3 +97,19 @@ def test_paced_processing_time_run_can_be_stopped(spark):
     batches = [d for d in os.listdir(f"{base}/out") if d.startswith("batch_id=")]
     assert len(batches) >= 2
     assert spark.read.parquet(f"{base}/out").select("key").distinct().count() == 4
+
+
+def test_two_scorers_in_one_worker(spark):
+    parsed, _ = RQ.parse_requests(_records(spark, [json.dumps(BATCHED)]).coalesce(1))
+    low = SC.score_requests(parsed).agg(F.max("pred")).first()[0]
+    high = SC.score_requests(parsed, lambda: SC.LinearScorer(bias=5.0)).agg(F.max("pred")).first()[0]
+    assert high > 0.9 > low
+
+
+def test_incomplete_requests_are_quarantined(spark):
+    bad = [{"inputs/usr_ph": [[1, 2]]}, BATCHED | {"inputs/candi_list_len": [[1, 2]]},
+           BATCHED | {"inputs/candi_itm_ft": [[[[1] * 7, [2] * 6]]]},
+           BATCHED | {"inputs/candi_itm_ft": [[[[1] * 7, None]]]}, BATCHED | {"inputs/candi_itm_ft": []}]
+    good, out = RQ.parse_requests(_records(spark, [json.dumps(x) for x in [*bad, BATCHED]]))
+    assert [r["key"] for r in good.collect()] == ["5"] and out.count() == 5
+    assert SC.score_requests(good).count() == 2
