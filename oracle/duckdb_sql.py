@@ -438,19 +438,19 @@ SELECT ns, value, ((SELECT coalesce(max(id), 0) FROM base)
 # ------------------------------------------------------------------ sampling / lists
 
 
-def h32(*keys: str) -> str:
+def h60(*keys: str) -> str:
     ks = ", ".join(f"{k}::VARCHAR" for k in keys)
-    return f"('0x' || substr(md5(concat_ws('|', '42', {ks})), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5(concat_ws('|', '42', {ks})), 1, 15))::BIGINT"
 
 
 SAMPLING = f"""
 pos AS (SELECT split, user_id, imp_id AS list_id FROM flog WHERE label <> 0),
-neg AS (SELECT split, user_id, imp_id AS neg_id, {h32('imp_id')} AS h FROM flog WHERE label = 0),
+neg AS (SELECT split, user_id, imp_id AS neg_id, {h60('imp_id')} AS h FROM flog WHERE label = 0),
 nidx AS (SELECT *, row_number() OVER (PARTITION BY split, user_id ORDER BY h, neg_id) - 1 AS j
          FROM neg),
 nu AS (SELECT split, user_id, count(*) AS n FROM neg GROUP BY ALL),
 p AS (SELECT pos.*, coalesce(nu.n, 0) AS n,
-             CASE WHEN nu.n > 0 THEN {h32('list_id')} % nu.n END AS o
+             CASE WHEN nu.n > 0 THEN {h60('list_id')} % nu.n END AS o
       FROM pos LEFT JOIN nu USING (split, user_id)),
 own AS (SELECT p.split, p.list_id, p.user_id, x.neg_id, 'own' AS src, t.t::INT AS t
         FROM p CROSS JOIN range(9) t(t) JOIN nidx x
@@ -459,7 +459,7 @@ own AS (SELECT p.split, p.list_id, p.user_id, x.neg_id, 'own' AS src, t.t::INT A
 pool AS (SELECT split, neg_id, user_id AS owner,
                 row_number() OVER (PARTITION BY split ORDER BY h, neg_id) - 1 AS g FROM neg),
 gn AS (SELECT split, count(*) AS gsize FROM neg GROUP BY split),
-want AS (SELECT p.*, gn.gsize, {h32('list_id', "'pool'")} % gn.gsize AS o2
+want AS (SELECT p.*, gn.gsize, {h60('list_id', "'pool'")} % gn.gsize AS o2
          FROM p JOIN gn USING (split) WHERE p.n < 9),
 cand AS (SELECT w.split, w.list_id, w.user_id, w.n, u.u, pl.neg_id
          FROM want w CROSS JOIN range(9) u(u) JOIN pool pl
@@ -470,7 +470,7 @@ fill AS (SELECT split, list_id, user_id, neg_id, 'pool' AS src, (n + r - 1)::INT
          WHERE r <= 9 - n),
 negs AS (SELECT * FROM own UNION ALL SELECT * FROM fill),
 cands AS (
-  SELECT *, (row_number() OVER (PARTITION BY list_id ORDER BY {h32('list_id', 'imp_id')}, imp_id)
+  SELECT *, (row_number() OVER (PARTITION BY list_id ORDER BY {h60('list_id', 'imp_id')}, imp_id)
              - 1)::BIGINT AS slot
   FROM (SELECT split, list_id, user_id, list_id AS imp_id, 1 AS label FROM pos
         UNION ALL SELECT split, list_id, user_id, neg_id, 0 FROM negs))"""
@@ -480,7 +480,7 @@ SQL["neg_fill"] = VOCAB + "," + SAMPLING + "\nSELECT split, list_id, neg_id, src
 SQL["candidates"] = VOCAB + "," + SAMPLING + "\nSELECT split, list_id, slot, imp_id, label FROM cands"
 SQL["shuffle_lists"] = VOCAB + "," + SAMPLING + f"""
 SELECT split, list_id,
-       (row_number() OVER (PARTITION BY split ORDER BY {h32('list_id')}, list_id) - 1)::BIGINT
+       (row_number() OVER (PARTITION BY split ORDER BY {h60('list_id')}, list_id) - 1)::BIGINT
          AS list_order
 FROM pos"""
 
@@ -618,12 +618,12 @@ FROM ds"""
 SQL["batch_assign"] = f"""
 WITH {SERVED},
 l AS (SELECT DISTINCT list_id FROM served),
-o AS (SELECT list_id, (row_number() OVER (ORDER BY {h32('list_id')}, list_id) - 1) AS i FROM l)
+o AS (SELECT list_id, (row_number() OVER (ORDER BY {h60('list_id')}, list_id) - 1) AS i FROM l)
 SELECT list_id, (i // 128)::BIGINT AS batch FROM o
 WHERE i // 128 < (SELECT count(*) FROM l) // 128"""
 
 # ------------------------------------------------------------------ picks / losses
-GUMBEL = f"-ln(-ln({h32('list_id', 'slot')} / 4294967296.0 + 1e-10) + 1e-10)"
+GUMBEL = f"-ln(-ln(({h60('list_id', 'slot')} >> 7) / 9007199254740992.0 + 1e-10) + 1e-10)"
 
 SQL["gumbel_topk"] = f"""
 WITH {SERVED}
@@ -652,7 +652,7 @@ FROM k"""
 BATCHED = f"""
 WITH {SERVED},
 bl AS (SELECT DISTINCT list_id FROM served),
-bo AS (SELECT list_id, row_number() OVER (ORDER BY {h32('list_id')}, list_id) - 1 AS i FROM bl),
+bo AS (SELECT list_id, row_number() OVER (ORDER BY {h60('list_id')}, list_id) - 1 AS i FROM bl),
 bs AS (SELECT list_id, i // 128 AS batch FROM bo WHERE i // 128 < (SELECT count(*) FROM bl) // 128),
 slots AS (SELECT s.*, b.batch FROM served s JOIN bs b USING (list_id)),
 bll AS (SELECT batch, -avg(label * ln(pred + 1e-7) + (1 - label) * ln(1 - pred + 1e-7)) AS log_loss
@@ -796,7 +796,7 @@ mr AS (SELECT d.list_id, d.usr, d.hist_len,
               (SELECT list(lbs ORDER BY c) FROM pad WHERE pad.list_id = d.list_id) AS lb
        FROM ds d),
 rec AS (SELECT list_id::VARCHAR AS key, 'user-tracking' AS topic,
-               ({h32('list_id')} % 4)::INT AS part, list_id, usr, candi_len, lb,
+               ({h60('list_id')} % 4)::INT AS part, list_id, usr, candi_len, lb,
                least(greatest(hist_len - 3, 0), 30)::INT AS uhl FROM mr),
 recs AS (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY list_id) - 1)::BIGINT AS "offset"
          FROM rec)"""

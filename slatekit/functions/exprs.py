@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from slatekit.config import DEFAULT_SEED
 
-_TWO32 = 4294967296.0
+_TWO53 = 9007199254740992.0
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def hash32(*keys: str | Column, seed: str = DEFAULT_SEED) -> Column:
-    """Deterministic 32-bit unsigned hash of ``seed`` and keys: the first 8 hex
-    digits of md5(seed|k1|k2...) as bigint.  Same value in DuckDB via
-    ('0x' || substr(md5(...), 1, 8))::bigint."""
+def hash60(*keys: str | Column, seed: str = DEFAULT_SEED) -> Column:
+    """Deterministic 60-bit unsigned hash of ``seed`` and keys: the first 15 hex
+    digits of md5(seed|k1|k2...) as bigint, wide enough that ``hash % n`` reaches
+    every index of any table.  Same value in DuckDB via
+    ('0x' || substr(md5(...), 1, 15))::bigint."""
     parts = [F.lit(seed)] + [col(k).cast("string") for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform01(*keys: str | Column, seed: str = DEFAULT_SEED) -> Column:
-    """Uniform number in [0, 1) derived from the hash of the keys."""
-    return hash32(*keys, seed=seed) / F.lit(_TWO32)
+    """Uniform number in [0, 1): the upper 53 bits of the hash of the keys, so
+    the division is exact and never rounds up to 1."""
+    return F.shiftright(hash60(*keys, seed=seed), 7) / F.lit(_TWO53)
 
 
 def score_bucket(score: str | Column) -> Column:
@@ -63,3 +65,9 @@ def seq_mask(length: str | Column, n: int) -> Column:
 
 def round6(c: str | Column) -> Column:
     return F.round(col(c).cast("double"), 6)
+
+
+def categories(n_cate: str | Column) -> Column:
+    """The category indices 0 .. n_cate - 1."""
+    n = col(n_cate)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatekit.config import CLOUD_LAG, HIST_CATE_MAX_LEN, HIST_FIELDS, HIST_MAX_LEN
-from slatekit.functions.exprs import col, pad_right, tail, zero_step
+from slatekit.functions.exprs import categories, col, pad_right, tail, zero_step
 from slatekit.plans.indexing import dense_index, split_rows
 
 
@@ -118,7 +118,7 @@ def pad_history(hist: str | Column, max_len: int = HIST_MAX_LEN, width: int = le
 
 
 def cate_split_history(hist: str | Column, hist_len: str | Column, cate_of_step,
-                       n_cate: int, max_n: int = HIST_CATE_MAX_LEN,
+                       n_cate: str | Column, max_n: int = HIST_CATE_MAX_LEN,
                        width: int = len(HIST_FIELDS), reverse: bool = False,
                        kind: str = "int") -> list[Column]:
     """X4 (+X6): per category, the steps of that category in history order,
@@ -129,14 +129,14 @@ def cate_split_history(hist: str | Column, hist_len: str | Column, cate_of_step,
     seq = F.slice(col(hist), 1, col(hist_len))
     if reverse:
         seq = F.reverse(seq)
-    def of_cate(c):
-        return F.filter(seq, lambda s: cate_of_step(s) == c)
-
-    per = [of_cate(c) for c in range(n_cate)]
-    kept = [F.slice(p, 1, max_n) if reverse else tail(p, max_n) for p in per]
+    tagged = F.transform(seq, lambda s: F.struct(s.alias("s"), cate_of_step(s).alias("k")))
+    per = F.transform(categories(n_cate), lambda c: F.transform(
+        F.filter(tagged, lambda e: e["k"] == c), lambda e: e["s"]))
     pad = zero_step(width, kind)
-    return [F.array(*[pad_right(k, max_n, pad) for k in kept]).alias("cate_hist"),
-            F.array(*[F.least(F.size(p), F.lit(max_n)).cast("int") for p in per])
+    return [F.transform(per, lambda p: pad_right(
+                F.slice(p, 1, max_n) if reverse else tail(p, max_n), max_n, pad))
+            .alias("cate_hist"),
+            F.transform(per, lambda p: F.least(F.size(p), F.lit(max_n)).cast("int"))
             .alias("cate_hist_len")]
 
 

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatekit.config import (BATCH_SIZE, CANDIDATE_NEG_NUM, CATE_IDX, DEFAULT_SEED,
-                             HIST_MAX_LEN, ITEM_FIELDS, LIST_LEN)
-from slatekit.functions.exprs import col, pad_right, zero_step
+                             HIST_CATE_MAX_LEN, HIST_MAX_LEN, ITEM_FIELDS, LIST_LEN)
+from slatekit.functions.exprs import categories, col, pad_right, zero_step
 from slatekit.operators import vocab as VO
-from slatekit.operators.history import pad_history
+from slatekit.operators.history import cate_split_history, pad_history, union_history
 from slatekit.operators.sampling import candidates
 from slatekit.plans.indexing import dense_index
 
@@ -41,21 +41,29 @@ def build_dataset(imps: DataFrame, log: DataFrame, vocab: DataFrame,
     usr = users.select("split", "user_id",
                        F.array(*[F.col(c + "_id") for c in VO.user_fields_map()]).alias("usr"))
     pos = VO.encode_steps(log.where(F.col("label") != 0).select(
-        "split", "user_id", F.col("imp_id").alias("list_id"), "hist"), vocab)
+        "split", "user_id", F.col("imp_id").alias("list_id"), "hist"), vocab, ["split", "list_id"])
     hist, hist_len = pad_history("hist_ids", hist_max)
     pos = pos.select("split", "user_id", "list_id", hist, hist_len).join(usr, ["split", "user_id"])
     return pos.join(lists, ["split", "list_id"]).select(
         "split", "list_id", "user_id", "usr", "candi", "labels", "hist", "hist_len")
 
 
-def cate_map_column(cate_idx: DataFrame) -> Column:
-    """Category id -> 0-based index as a map literal (categories are a small,
-    counted dimension; refuse a large one)."""
-    rows = cate_idx.select("cate_id", "cate_idx").limit(VO.MAP_LOOKUP_MAX + 1).collect()
-    if len(rows) > VO.MAP_LOOKUP_MAX:
-        raise ValueError("category dimension too large for a lookup map")
-    return F.map_from_arrays(F.array(*[F.lit(int(r["cate_id"])).cast("bigint") for r in rows]),
-                             F.array(*[F.lit(int(r["cate_idx"])) for r in rows]))
+def with_categories(df: DataFrame, cate_idx: DataFrame) -> DataFrame:
+    """Add ``cmap`` (category id -> 0-based index) and ``n_cate`` to every row.
+    The reshaped rows hold one array per category, so the map is of the size of
+    a row; it is one row, taken from the data's own index."""
+    one = cate_idx.agg(F.map_from_entries(F.collect_list(
+        F.struct("cate_id", F.col("cate_idx").cast("int")))).alias("cmap"),
+        F.count(F.lit(1)).cast("int").alias("n_cate"))
+    return df.crossJoin(F.broadcast(one))
+
+
+def cate_of(cmap: str | Column, cate_id: Column) -> Column:
+    """Category index of an id.  Id 0 (padding or unseen) has none (null); any
+    other id outside the map is an error, never a dropped row."""
+    missing = F.raise_error(F.concat(F.lit("category id without an index: "),
+                                     cate_id.cast("string"))).cast("int")
+    return F.when(cate_id != 0, F.coalesce(F.element_at(col(cmap), cate_id), missing))
 
 
 def pad_candidates(candi: str | Column = "candi", labels: str | Column = "labels",
@@ -66,27 +74,26 @@ def pad_candidates(candi: str | Column = "candi", labels: str | Column = "labels
             F.least(F.size(col(candi)), F.lit(max_len)).cast("int").alias("candi_len")]
 
 
-def cate_split_candidates(cmap: Column, n_cate: int, candi: str | Column = "candi",
-                          labels: str | Column = "labels", max_len: int = LIST_LEN,
-                          width: int = len(ITEM_FIELDS), cate_idx: int = CATE_IDX) -> list[Column]:
+def cate_split_candidates(cmap: str | Column = "cmap", n_cate: str | Column = "n_cate",
+                          candi: str | Column = "candi", labels: str | Column = "labels",
+                          max_len: int = LIST_LEN, width: int = len(ITEM_FIELDS),
+                          cate_idx: int = CATE_IDX) -> list[Column]:
     """Per category (in slot order) the candidates and labels of that
     category, truncated / padded to ``max_len``, with per-category lengths."""
-    z = F.arrays_zip(col(candi).alias("c"), col(labels).alias("l"))
-
-    def of(c):
-        return F.filter(z, lambda e: F.element_at(cmap, F.element_at(e["c"], cate_idx + 1)) == c)
-
-    per = [of(c) for c in range(n_cate)]
+    z = F.transform(F.arrays_zip(col(candi).alias("c"), col(labels).alias("l")), lambda e: F.struct(
+        e["c"].alias("c"), e["l"].alias("l"),
+        cate_of(cmap, F.element_at(e["c"], cate_idx + 1)).alias("k")))
+    per = F.transform(categories(n_cate), lambda c: F.filter(z, lambda e: e["k"] == c))
     pad = zero_step(width, "bigint")
-    return [F.array(*[pad_right(F.transform(p, lambda e: e["c"]), max_len, pad) for p in per])
+    return [F.transform(per, lambda p: pad_right(F.transform(p, lambda e: e["c"]), max_len, pad))
             .alias("candi_c"),
-            F.array(*[pad_right(F.transform(p, lambda e: e["l"]), max_len, F.lit(0)) for p in per])
-            .alias("labels_c"),
-            F.array(*[F.least(F.size(p), F.lit(max_len)).cast("int") for p in per])
+            F.transform(per, lambda p: pad_right(F.transform(p, lambda e: e["l"]), max_len,
+                                                 F.lit(0))).alias("labels_c"),
+            F.transform(per, lambda p: F.least(F.size(p), F.lit(max_len)).cast("int"))
             .alias("candi_len_c")]
 
 
-def slot_layout(df: DataFrame, n_cate: int, max_len: int = LIST_LEN) -> DataFrame:
+def slot_layout(df: DataFrame, max_len: int = LIST_LEN) -> DataFrame:
     """Flatten (category x position) into slots; ``slot = cate * max_len +
     pos``, ``cate = slot div max_len``, ``mask`` = position < category length.
     Needs ``candi_c``, ``labels_c``, ``candi_len_c``."""
@@ -136,19 +143,18 @@ def batch_assign(lists: DataFrame, batch_size: int = BATCH_SIZE, group_cols=(),
     return out.drop("_bi")
 
 
-def model_ready(ds: DataFrame, cmap: Column, n_cate: int, list_len: int = LIST_LEN,
-                cate_hist_len: int = 20, union_hist_len: int = HIST_MAX_LEN,
+def model_ready(ds: DataFrame, list_len: int = LIST_LEN,
+                cate_hist_len: int = HIST_CATE_MAX_LEN, union_hist_len: int = HIST_MAX_LEN,
                 cloud: bool = True, reverse: bool = False) -> DataFrame:
-    """Per list the category-split candidates, labels and lengths, the
-    per-category and union histories, and the flat padded candidates."""
-    from slatekit.operators.history import cate_split_history, union_history
-
+    """Per list (with ``cmap`` and ``n_cate``) the category-split candidates,
+    labels and lengths, the per-category and union histories, and the flat
+    padded candidates."""
     full, _, _ = pad_candidates("candi", "labels", list_len)
     return ds.select(
         "split", "list_id", "user_id", "usr",
-        *cate_split_candidates(cmap, n_cate, max_len=list_len),
+        *cate_split_candidates(max_len=list_len),
         *cate_split_history("hist", "hist_len",
-                            lambda s: F.element_at(cmap, F.element_at(s, CATE_IDX + 1)),
-                            n_cate, cate_hist_len, reverse=reverse, kind="bigint"),
+                            lambda s: cate_of("cmap", F.element_at(s, CATE_IDX + 1)),
+                            "n_cate", cate_hist_len, reverse=reverse, kind="bigint"),
         *union_history("hist", "hist_len", union_hist_len, cloud, reverse, kind="bigint"),
         full)

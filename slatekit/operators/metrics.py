@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatekit.config import EXPOSURE_SCOPE, KL_EPS, LOGLOSS_EPS, TARGET_EXPOSURE
@@ -16,34 +16,47 @@ from slatekit.operators.ranking import rank_window
 from slatekit.plans.indexing import ordered_scan
 
 
-def categories_frame(spark: SparkSession, n: int, col: str = "cate") -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias(col))
-
-
 def target_frame(spark: SparkSession, ratios: Sequence[float] = TARGET_EXPOSURE,
                  col: str = "cate", value: str = "target") -> DataFrame:
     return spark.createDataFrame([(i, float(r)) for i, r in enumerate(ratios)],
                                  f"{col} int, {value} double")
 
 
-def exposure_counts(df: DataFrame, scope: int = EXPOSURE_SCOPE, n_cate: int = 3,
-                    is_rank: bool = True, list_col: str = "list_id", score_col: str = "pred",
-                    slot_col: str = "slot", cate_col: str = "cate") -> DataFrame:
+def mapped_category(cate: str = "cate") -> Column:
+    """The category index, an error where it is null: an exposure without a
+    category would silently raise the other shares."""
+    return F.coalesce(F.col(cate).cast("int"),
+                      F.raise_error(F.lit("exposure without a category")).cast("int"))
+
+
+def exposure_counts(df: DataFrame, scope: int = EXPOSURE_SCOPE, is_rank: bool = True,
+                    list_col: str = "list_id", score_col: str = "pred", slot_col: str = "slot",
+                    cate_col: str = "cate") -> DataFrame:
     """Exposures per category among the top ``scope`` slots of every
-    list, and their share; a category never shown is present with 0."""
+    list, and their share.  The categories are those of the data: one that is
+    never shown is present with 0, a null one is an error."""
+    shown = F.col(slot_col) < scope
     if is_rank:
-        r = F.row_number().over(rank_window(list_col, score_col, slot_col))
-        top = df.withColumn("_r", r).where(F.col("_r") <= scope)
-    else:
-        top = df.where(F.col(slot_col) < scope)
-    counts = (top.where(F.col(cate_col).between(0, n_cate - 1))      # <= n_cate rows
-              .groupBy(F.col(cate_col).cast("int").alias("cate"))
-              .agg(F.count(F.lit(1)).alias("exposure")))
-    cats = F.broadcast(categories_frame(df.sparkSession, n_cate))
-    out = cats.join(F.broadcast(counts), "cate", "left").fillna(0, ["exposure"])
-    total = F.sum("exposure").over(Window.partitionBy())  # n_cate rows only
-    return out.select("cate", F.col("exposure").cast("bigint").alias("exposure"),
-                      (F.col("exposure") / total).alias("ratio"))
+        shown = F.row_number().over(rank_window(list_col, score_col, slot_col)) <= scope
+    out = (df.select(mapped_category(cate_col).alias("cate"), shown.alias("_s"))
+           .groupBy("cate").agg(F.count_if("_s").cast("bigint").alias("exposure")))
+    total = F.sum("exposure").over(Window.partitionBy())  # one row per category
+    return out.select("cate", "exposure", (F.col("exposure") / total).alias("ratio"))
+
+
+def with_target(expo: DataFrame, target: Sequence[float] = TARGET_EXPOSURE) -> DataFrame:
+    """Exposure shares beside their targets; a category on one side only has 0
+    on the other."""
+    t = F.broadcast(target_frame(expo.sparkSession, target))
+    known = F.broadcast(expo.select("cate"))                # one row per category
+    return (expo.join(t, "cate", "left")
+            .unionByName(t.join(known, "cate", "left_anti"), allowMissingColumns=True)
+            .fillna(0, ["exposure", "ratio", "target"]))
+
+
+def _kl_term(p: str, q: str) -> Column:
+    return (F.when(F.col(p) <= 0, F.lit(0.0)).when(F.col(q) <= 0, F.lit(float("inf")))
+            .otherwise(F.col(p) * F.log(F.col(p) / F.col(q))))
 
 
 def kl_divergence(dist: DataFrame, p_col: str, q_col: str, group_cols: Sequence[str] = (),
@@ -55,37 +68,39 @@ def kl_divergence(dist: DataFrame, p_col: str, q_col: str, group_cols: Sequence[
     pn = F.col(p_col) / F.sum(p_col).over(w)
     qn = F.col(q_col) / F.sum(q_col).over(w)
     t = dist.select(*g, pn.alias("_p"), qn.alias("_q"))
-    term = (F.when(F.col("_p") <= 0, F.lit(0.0))
-            .when(F.col("_q") <= 0, F.lit(float("inf")))
-            .otherwise(F.col("_p") * F.log(F.col("_p") / F.col("_q"))))
-    return t.groupBy(*g).agg(F.sum(term).alias(out_col))
+    return t.groupBy(*g).agg(F.sum(_kl_term("_p", "_q")).alias(out_col))
 
 
 def js_divergence(dist: DataFrame, p_col: str, q_col: str, group_cols: Sequence[str] = (),
                   out_col: str = "js") -> DataFrame:
     """M2: JS(p, q) = 0.5 KL(p, m) + 0.5 KL(q, m) with m = (p + q) / 2 taken
-    before normalisation; natural log, no square root."""
+    before normalisation; natural log, no square root.  One pass: both terms
+    share the window totals and the aggregate."""
     g = list(group_cols)
-    with_m = dist.withColumn("_m", (F.col(p_col) + F.col(q_col)) / 2)
-    a = kl_divergence(with_m, p_col, "_m", g, "_a")
-    b = kl_divergence(with_m, q_col, "_m", g, "_b")
-    j = a.join(b, g) if g else a.crossJoin(b)
-    return j.select(*g, (0.5 * F.col("_a") + 0.5 * F.col("_b")).alias(out_col))
+    w = Window.partitionBy(*g)
+    m = (F.col(p_col) + F.col(q_col)) / 2
+    t = dist.select(*g, (F.col(p_col) / F.sum(p_col).over(w)).alias("_p"),
+                    (F.col(q_col) / F.sum(q_col).over(w)).alias("_q"),
+                    (m / F.sum(m).over(w)).alias("_m"))
+    return t.groupBy(*g).agg((0.5 * F.sum(_kl_term("_p", "_m")) + 0.5 * F.sum(_kl_term("_q", "_m")))
+                             .alias(out_col))
+
+
+def smoothed_kl_term(p: Column, q: Column, eps: float = KL_EPS) -> Column:
+    return F.when(p <= 0, F.lit(0.0)).otherwise(p * F.log(p / (q + eps)))
 
 
 def smoothed_kl(dist: DataFrame, p_col: str, q_col: str, group_cols: Sequence[str] = (),
                 out_col: str = "kl", eps: float = KL_EPS) -> DataFrame:
     """M3: sum p * ln(p / (q + eps)), unnormalised; 0 * ln 0 counts as 0."""
-    term = F.when(F.col(p_col) <= 0, F.lit(0.0)).otherwise(
-        F.col(p_col) * F.log(F.col(p_col) / (F.col(q_col) + eps)))
+    term = smoothed_kl_term(F.col(p_col), F.col(q_col), eps)
     return dist.groupBy(*group_cols).agg(F.sum(term).alias(out_col))
 
 
 def exposure_js(df: DataFrame, target: Sequence[float] = TARGET_EXPOSURE,
                 scope: int = EXPOSURE_SCOPE, is_rank: bool = True, **cols) -> DataFrame:
     """JS divergence between the target exposure ratio and the realised one."""
-    expo = exposure_counts(df, scope, len(target), is_rank, **cols)
-    dist = expo.join(F.broadcast(target_frame(df.sparkSession, target)), "cate")
+    dist = with_target(exposure_counts(df, scope, is_rank, **cols), target)
     return js_divergence(dist, "target", "ratio", (), "js")
 
 

@@ -50,10 +50,6 @@ def top_k(df: DataFrame, k: int, list_col: str = "list_id", score_col: str = "pr
     return df.withColumn(rank_col, r.cast("bigint")).where(F.col(rank_col) <= k)
 
 
-def scopes_frame(spark: SparkSession, scopes: Sequence[int]) -> DataFrame:
-    return spark.createDataFrame([(int(k),) for k in scopes], "k int")
-
-
 def _idcg_binary(npos, k):
     """Ideal DCG of a binary-label list: sum_{i=1..min(k,npos)} 1/log2(i+1)."""
     m = F.least(npos.cast("int"), k.cast("int"))
@@ -63,45 +59,44 @@ def _idcg_binary(npos, k):
 
 def list_metrics(df: DataFrame, scopes: Sequence[int] = METRIC_SCOPES, is_rank: bool = True,
                  list_col: str = "list_id", score_col: str = "pred", slot_col: str = "slot",
-                 label_col: str = "label", graded: bool = False) -> DataFrame:
+                 label_col: str = "label", graded: bool = True) -> DataFrame:
     """Per (list, k): ndcg, map, utility at cutoff ``min(k, list length)``.
 
     NDCG gain 2^label - 1 with discount log2(i + 1), 0 when the ideal DCG is 0.
     MAP sums precision at each hit within k and divides by the hits within k.
     Utility is the sum of labels within k.  With ``is_rank`` False the
-    identity (initial) order is evaluated.  Binary labels use a closed-form
-    ideal DCG from the positive count; ``graded=True`` ranks labels instead.
+    identity (initial) order is evaluated.  The ideal DCG ranks the labels;
+    ``graded=False`` takes the closed form that only holds for 0/1 labels.
+
+    One shuffle by list: ranks and running hits are windows over the list, and
+    one aggregate per list holds a conditional sum per cutoff.
     """
-    spark = df.sparkSession
-    kmax = max(scopes)
-    base = df.select(F.col(list_col).alias("list_id"), F.col(slot_col).alias("slot"),
-                     F.col(score_col).alias("score"), F.col(label_col).alias("label"))
-    # positives per list on the same list partitioning as the ranking (no
-    # second scan, shuffle or join); computed before the top-k cut
-    base = base.withColumn("npos", F.sum(F.when(F.col("label") >= 1, 1).otherwise(0))
-                           .over(Window.partitionBy("list_id")))
-    if is_rank:
-        ranked = top_k(base, kmax, "list_id", "score", "slot", "r")
-    else:
-        ranked = initial_rank(base, "slot", "r").where(F.col("r") <= kmax)
-    hits = F.sum(F.when(F.col("label") >= 1, 1).otherwise(0)).over(
-        Window.partitionBy("list_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranked.withColumn("hits", hits)
-    ks = F.broadcast(scopes_frame(spark, scopes))
-    per = (ranked.join(ks, F.col("r") <= F.col("k"))
-           .groupBy("list_id", "k")
-           .agg(F.sum((F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(F.col("r") + 1)).alias("dcg"),
-                F.sum(F.when(F.col("label") >= 1, F.col("hits") / F.col("r"))).alias("ap_value"),
-                F.sum(F.when(F.col("label") >= 1, 1).otherwise(0)).alias("ap_count"),
-                F.sum("label").alias("utility"), F.max("npos").alias("npos")))
+    x = df.select(F.col(list_col).alias("list_id"), F.col(slot_col).alias("slot"),
+                  F.col(score_col).alias("score"), F.col(label_col).alias("label"))
+    w = rank_window("list_id", "score", "slot") if is_rank else \
+        Window.partitionBy("list_id").orderBy("slot")
+    hit = F.col("label") >= 1
+    x = x.select("*", (F.row_number().over(w) if is_rank else F.col("slot") + 1).alias("r"),
+                 F.count_if(hit).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
     if graded:
-        ideal = (top_k(base, kmax, "list_id", "label", "slot", "r")
-                 .join(ks, F.col("r") <= F.col("k")).groupBy("list_id", "k")
-                 .agg(F.sum((F.pow(F.lit(2.0), F.col("label")) - 1)
-                            / F.log2(F.col("r") + 1)).alias("idcg")))
-        per = per.join(ideal, ["list_id", "k"])
-    else:
-        per = per.withColumn("idcg", _idcg_binary(F.col("npos"), F.col("k")))
+        x = ideal_rank(x, "list_id", "label", "slot", "ir")
+    gain = F.pow(F.lit(2.0), F.col("label")) - 1
+    r = F.col("r")
+
+    def at(k):
+        top = r <= k
+        if graded:
+            ideal = F.sum(F.when(F.col("ir") <= k, gain / F.log2(F.col("ir") + 1)))
+        else:
+            ideal = _idcg_binary(F.count_if(hit), F.lit(k))
+        return F.struct(
+            F.lit(k).alias("k"), F.sum(F.when(top, gain / F.log2(r + 1))).alias("dcg"),
+            F.sum(F.when(top & hit, F.col("hits") / r)).alias("ap_value"),
+            F.count_if(top & hit).alias("ap_count"),
+            F.sum(F.when(top, F.col("label"))).alias("utility"), ideal.alias("idcg"))
+
+    per = x.groupBy("list_id").agg(F.array(*[at(int(k)) for k in scopes]).alias("_k"))
+    per = per.select("list_id", F.inline("_k"))
     return per.select(
         "list_id", "k",
         F.when(F.col("idcg") != 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"),

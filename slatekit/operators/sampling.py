@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatekit.config import CANDIDATE_NEG_NUM, DEFAULT_SEED
-from slatekit.functions.exprs import hash32
+from slatekit.functions.exprs import hash60
 from slatekit.plans.indexing import dense_index
 
 KEYS = ["split", "user_id"]
@@ -35,7 +35,7 @@ def _positives(log: DataFrame) -> DataFrame:
 def _negatives(log: DataFrame, seed: str) -> DataFrame:
     return log.where(F.col("label") == 0).select(
         "split", "user_id", F.col("imp_id").alias("neg_id"),
-        hash32("imp_id", seed=seed).alias("h"))
+        hash60("imp_id", seed=seed).alias("h"))
 
 
 def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
@@ -48,7 +48,7 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
     n_u = neg.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
 
     p = pos.join(n_u, KEYS, "left").fillna(0, ["n"]).withColumn(
-        "o", F.when(F.col("n") > 0, hash32("list_id", seed=seed) % F.col("n")))
+        "o", F.when(F.col("n") > 0, hash60("list_id", seed=seed) % F.col("n")))
     own_t = p.where(F.col("n") > 0).select(
         *KEYS, "list_id", "n", "o",
         F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(n_neg)) - 1)).alias("t"))
@@ -61,7 +61,7 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
     pool = dense_index(neg, ["h", "neg_id"], ["split"], "g")
     g_n = neg.groupBy("split").agg(F.count(F.lit(1)).alias("G"))
     want = (short.join(F.broadcast(g_n), "split")  # one row per split
-            .withColumn("o2", hash32("list_id", F.lit("pool"), seed=seed) % F.col("G"))
+            .withColumn("o2", hash60("list_id", F.lit("pool"), seed=seed) % F.col("G"))
             .select("split", "user_id", "list_id", "n", "G", "o2",
                     F.explode(F.sequence(F.lit(0), F.least(F.col("G"), F.lit(n_neg)) - 1))
                     .alias("u")))
@@ -87,7 +87,7 @@ def candidates(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
                                                F.col("neg_id").alias("imp_id"),
                                                F.lit(0).alias("label"))
     allc = pos.unionByName(negs)
-    w = Window.partitionBy("split", "list_id").orderBy(hash32("list_id", "imp_id", seed=seed), "imp_id")
+    w = Window.partitionBy("split", "list_id").orderBy(hash60("list_id", "imp_id", seed=seed), "imp_id")
     return allc.withColumn("slot", (F.row_number().over(w) - 1).cast("bigint"))
 
 
@@ -95,6 +95,6 @@ def shuffle_lists(lists: DataFrame, seed: str = DEFAULT_SEED,
                   out_col: str = "list_order") -> DataFrame:
     """Position of every list within its split in hash order (exact,
     no single-partition sort)."""
-    h = hash32("list_id", seed=seed)
+    h = hash60("list_id", seed=seed)
     return dense_index(lists.withColumn("_h", h), ["_h", "list_id"], ["split"],
                        out_col).drop("_h")

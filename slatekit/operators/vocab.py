@@ -14,18 +14,19 @@ skew-safe ordered scan (no single-partition window).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatekit.config import CATE_FIELD, HIST_FIELDS, ITEM_FIELDS, USER_FIELDS
+from slatekit.config import (CATE_FIELD, CATE_IDX, HIST_FIELDS, HIST_MAX_LEN, ITEM_FIELDS,
+                             LIST_LEN, USER_FIELDS)
 from slatekit.plans.indexing import dense_index
 
 # Namespaces of the vocabulary.
 ITEM_NS = [f"item:{f}" for f in ITEM_FIELDS]
 USER_NS = ["uid"] + [f"user:{f}" for f in USER_FIELDS]
 ITEM_COLS = ("pos", "pagenum", "sex", "price_level", "age_level", "bc_type", "score_bucket")
-# Largest namespace encoded through an in-expression lookup map; larger ones join.
-MAP_LOOKUP_MAX = 100_000
 
 def _split_ord() -> Column:
     return F.when(F.col("split") == "train", 0).otherwise(1)
@@ -106,90 +107,46 @@ def vocab_increment(vocab: DataFrame, new_values: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ encoding
-def _ns_sizes(vocab: DataFrame) -> dict[str, int]:
-    # one row per namespace: a bounded driver read
-    return {r["ns"]: int(r["n_values"]) for r in vocab_sizes(vocab).collect()}
-
-
-def lookup_maps(vocab: DataFrame, namespaces: list[str]) -> dict[str, Column] | None:
-    """value -> id map literals for small namespaces, or None when together
-    they exceed ``MAP_LOOKUP_MAX`` entries.  One bounded read: at most
-    ``MAP_LOOKUP_MAX + 1`` rows ever reach the driver."""
-    rows = (vocab.where(F.col("ns").isin(namespaces)).select("ns", "value", "id")
-            .limit(MAP_LOOKUP_MAX + 1).collect())
-    if len(rows) > MAP_LOOKUP_MAX:
-        return None
-    out: dict[str, Column] = {}
-    for ns in namespaces:
-        pairs = [(r["value"], r["id"]) for r in rows if r["ns"] == ns]
-        if not pairs:
-            out[ns] = F.create_map().cast("map<string,bigint>")
-            continue
-        out[ns] = F.map_from_arrays(F.array(*[F.lit(v) for v, _ in pairs]),
-                                    F.array(*[F.lit(i).cast("bigint") for _, i in pairs]))
-    return out
+def _side(vocab: DataFrame, ns: str, value: str, out: str) -> DataFrame:
+    return vocab.where(F.col("ns") == ns).select(F.col("value").alias(value),
+                                                 F.col("id").alias(out))
 
 
 def encode_fields(df: DataFrame, vocab: DataFrame, fields: dict[str, str],
                   suffix: str = "_id") -> DataFrame:
-    """Add ``<col><suffix>`` ids for scalar columns (unseen -> 0).
+    """Add ``<col><suffix>`` ids for scalar columns (null or unseen -> 0).
 
-    Small namespaces are looked up in a map literal (no shuffle); a namespace
-    too large for the map bound (e.g. user ids) is an equi-join on ``value``,
-    left to AQE to broadcast or shuffle.
-    """
-    maps = lookup_maps(vocab, list(fields.values()))
-    large: set[str] = set()
-    if maps is None:
-        # split: small namespaces still use maps, large ones (e.g. user ids) join
-        sizes = _ns_sizes(vocab)
-        small, total = [], 0
-        for ns in sorted(set(fields.values()), key=lambda n: sizes.get(n, 0)):
-            if total + sizes.get(ns, 0) <= MAP_LOOKUP_MAX:
-                small.append(ns)
-                total += sizes.get(ns, 0)
-        maps = lookup_maps(vocab, small) or {}
-        large = set(fields.values()) - set(maps)
+    One equi-join per field on the namespace's values, unhinted: a namespace
+    the planner measures as small is broadcast (a vocabulary written by
+    ``ns`` gives it the size of each namespace alone), a large one such as
+    the user ids is shuffled."""
     out = df
     for c, ns in fields.items():
-        if ns not in large:
-            out = out.withColumn(c + suffix, F.coalesce(
-                F.element_at(maps[ns], F.col(c).cast("string")), F.lit(0)).cast("bigint"))
-            continue
-        side = vocab.where(F.col("ns") == ns).select(F.col("value").alias("_v"),
-                                                     F.col("id").alias(c + suffix))
-        out = (out.join(side, F.col(c).cast("string") == F.col("_v"), "left").drop("_v")
-               .withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(0)).cast("bigint")))
+        out = (out.join(_side(vocab, ns, "_v", "_i"), F.col(c).cast("string") == F.col("_v"),
+                        "left")
+               .withColumn(c + suffix, F.coalesce("_i", F.lit(0)).cast("bigint"))
+               .drop("_v", "_i"))
     return out
 
 
-def encode_steps(df: DataFrame, vocab: DataFrame, hist_col: str = "hist",
+def encode_steps(df: DataFrame, vocab: DataFrame, keys: Sequence[str], hist_col: str = "hist",
                  namespaces: list[str] | None = None, out_col: str | None = None) -> DataFrame:
     """J1 for histories: map every step's fields to ids (unseen -> 0).
 
-    With small namespaces this is an in-row ``transform``; otherwise steps
-    are exploded with their position, joined per field and regrouped by row
-    (bounded: a history holds at most its cap of steps)."""
+    ``keys`` identify a row (no nulls).  Steps are exploded once, every field is
+    one equi-join as in ``encode_fields``, and the steps are regrouped once by
+    ``keys`` (a history holds at most its cap of steps)."""
     ns = namespaces or ITEM_NS[:len(HIST_FIELDS)]
     out_col = out_col or hist_col + "_ids"
-    maps = lookup_maps(vocab, ns)
-    if maps is not None:
-        return df.withColumn(out_col, F.transform(F.col(hist_col), lambda s: F.array(*[
-            F.coalesce(F.element_at(maps[n], F.element_at(s, i + 1)), F.lit(0)).cast("bigint")
-            for i, n in enumerate(ns)])))
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    steps = keyed.select("_row", F.posexplode(hist_col).alias("_p", "_s"))
-    for i, n in enumerate(ns):
-        side = vocab.where(F.col("ns") == n).select(F.col("value").alias(f"_v{i}"),
-                                                    F.col("id").alias(f"_id{i}"))
-        steps = steps.join(side, F.element_at("_s", i + 1) == F.col(f"_v{i}"), "left")
-    enc = steps.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
-        "_p", F.array(*[F.coalesce(F.col(f"_id{i}"), F.lit(0)) for i in range(len(ns))])
-        .alias("_ids")))).alias("_e"))
-    return (keyed.join(enc, "_row", "left")
+    steps = df.select(*keys, F.posexplode(hist_col).alias("_p", "_s")).select(
+        *keys, "_p", *[F.element_at("_s", i + 1).alias(f"_f{i}") for i in range(len(ns))])
+    enc = encode_fields(steps, vocab, {f"_f{i}": n for i, n in enumerate(ns)})
+    rows = enc.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "_p", F.array(*[F.col(f"_f{i}_id") for i in range(len(ns))]).alias("_ids")))).alias("_e"))
+    return (df.join(rows, list(keys), "left")
             .withColumn(out_col, F.coalesce(F.transform("_e", lambda e: e["_ids"]),
                                             F.array().cast("array<array<bigint>>")))
-            .drop("_row", "_e"))
+            .drop("_e"))
 
 
 def item_fields_map(item_cols=ITEM_COLS) -> dict[str, str]:
@@ -211,9 +168,9 @@ def stats_record(spark: SparkSession, vocab: DataFrame, cate: DataFrame) -> Data
     return (total.crossJoin(users).crossJoin(cmap)
             .select(F.lit(len(ITEM_FIELDS)).alias("itm_fnum"),
                     F.size("cate_idx_map").alias("cate_num"),
-                    F.lit(10).alias("list_len"), F.lit(30).alias("hist_len"),
+                    F.lit(LIST_LEN).alias("list_len"), F.lit(HIST_MAX_LEN).alias("hist_len"),
                     F.col("ft_num").cast("int").alias("ft_num"),
                     F.col("user_num").cast("int").alias("user_num"),
                     F.lit(len(HIST_FIELDS)).alias("hist_fnum"),
                     F.lit(len(USER_FIELDS) + 1).alias("usr_fnum"),
-                    F.lit(5).alias("cate_idx"), "cate_idx_map", "cate_name_map"))
+                    F.lit(CATE_IDX).alias("cate_idx"), "cate_idx_map", "cate_name_map"))

@@ -3,17 +3,17 @@
 ``Window.partitionBy(g).orderBy(o)`` sends a whole group to one task, and a
 window with no partition sends the whole table to one task.  Here:
 
-* groups of at most ``split_rows`` rows (cold) keep one window each;
-* rows of larger (hot) groups -- or of the whole table when there is no
-  group -- are range-partitioned on (group, order).  Spark samples balanced
+* groups of at most ``split_rows`` rows (cold) keep one window each; the limit
+  is fixed and does not move with the data;
+* rows of larger (hot) groups -- and of the whole table whenever there is no
+  group, however small it is -- are range-partitioned on (group, order).  Spark samples balanced
   range bounds whatever the key distribution, so a hot group is spread over
   many tasks.  Inside a task the rows are sorted; a row's position in its
   task is its row id (``monotonically_increasing_id`` minus the task
   offset, computed in the same task, no second shuffle).  Exact offsets come
-  from a per-(range, group) count table, prefix-summed and broadcast: it has
-  at most (ranges + hot groups) rows, both bounded below
-  ``MAX_BROADCAST_ROWS`` by construction (a hot group has more than
-  ``split_rows`` rows, and ranges hold about ``split_rows / 4`` rows each).
+  from a per-(range, group) count table, prefix-summed: it has at most
+  (ranges + hot groups) rows and is broadcast only while that bound stays
+  below ``MAX_BROADCAST_ROWS``; beyond it the join is left to the planner.
 
 The result is exact and deterministic for any partitioning, including
 recomputation after a lost executor; the order must be total within a group.
@@ -27,9 +27,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatekit.sources.files import stage
+
 DEFAULT_SPLIT_ROWS = 1 << 21
 # Upper bound on rows of any table this module broadcasts.
 MAX_BROADCAST_ROWS = 200_000
+# Most tasks of one range pass; beyond it the ranges (sorted with spilling) grow.
+MAX_RANGES = 100_000
 
 
 def split_rows(df: DataFrame) -> int:
@@ -57,28 +61,34 @@ def ordered_scan(df: DataFrame, order_cols: Sequence[str | Column],
     order = _cols(order_cols)
     t = int(rows_per_range or split_rows(df))
 
+    if not g:
+        # written once: counting, sampling the bounds and sorting all read it
+        df = stage(df, "ordered-input")
+        return _range_scan(df, order, [], idx_col, sums, df.count(), t, 0)
     stats = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_sk_n"))   # partial aggregate
-    # one scalar job: total rows and the largest group
-    tot = stats.agg(F.sum("_sk_n").alias("n"), F.max("_sk_n").alias("m")).first()
-    total, largest = int(tot["n"] or 0), int(tot["m"] or 0)
-    t = max(t, math.ceil(total * 5 / MAX_BROADCAST_ROWS) if total else 1)
-
-    if largest <= t:
+    # one scalar job: rows and number of the groups over the limit
+    big = F.when(F.col("_sk_n") > t, F.col("_sk_n"))
+    tot = stats.agg(F.sum(big).alias("n"), F.count(big).alias("hot")).first()
+    hot_total, n_hot = int(tot["n"] or 0), int(tot["hot"])
+    if n_hot == 0:
         return _window_scan(df, order, g, idx_col, sums)
-    if not g:
-        return _range_scan(df, order, [], idx_col, sums, total, t)
 
     hot = stats.where(F.col("_sk_n") > t).select(*g, F.lit(True).alias("_sk_hot"))
-    tagged = df.join(F.broadcast(hot), g, "left")   # at most total / t hot groups
+    tagged = df.join(_small(hot, n_hot), g, "left")
     cold = _window_scan(tagged.where(F.col("_sk_hot").isNull()), order, g, idx_col, sums)
     hot_rows = tagged.where(F.col("_sk_hot").isNotNull())
-    warm = _range_scan(hot_rows, order, g, idx_col, sums, total, t)
+    warm = _range_scan(hot_rows, order, g, idx_col, sums, hot_total, t, n_hot)
     return cold.drop("_sk_hot").unionByName(warm.drop("_sk_hot"))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint while its counted rows are within the bound."""
+    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+
+
 def _window_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums) -> DataFrame:
-    """One window per group (every group is small, or the table is)."""
-    w = Window.partitionBy(*g).orderBy(*order) if g else Window.orderBy(*order)
+    """One window per group (every group is small)."""
+    w = Window.partitionBy(*g).orderBy(*order)
     out = df
     if idx_col:
         out = out.withColumn(idx_col, (F.row_number().over(w) - 1).cast("bigint"))
@@ -89,10 +99,8 @@ def _window_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums
 
 
 def _range_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums,
-                total: int, t: int) -> DataFrame:
-    from slatekit.sources.files import stage
-
-    n_ranges = max(2, min(MAX_BROADCAST_ROWS // 2, math.ceil(total * 4 / t)))
+                total: int, t: int, n_groups: int) -> DataFrame:
+    n_ranges = max(2, min(MAX_RANGES, math.ceil(total * 4 / t)))
     keys = [F.col(c) for c in g] + order
     # Range bounds are sampled from the input, whose row order after a
     # shuffle is not deterministic: two plans reading the same input could
@@ -112,7 +120,7 @@ def _range_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums,
         F.coalesce(F.sum("_sk_c").over(prev), F.lit(0)).alias("_sk_oc"),
         *[F.coalesce(F.sum(f"_sk_t_{n}").over(prev), F.lit(0)).alias(f"_sk_o_{n}")
           for n in sums])
-    out = ranged.join(F.broadcast(offs), ["_sk_pid", *g], "left")
+    out = ranged.join(_small(offs, n_ranges + n_groups), ["_sk_pid", *g], "left")
     pos = F.col("_sk_i") - F.col("_sk_start")          # position of the row in its piece
     if idx_col:
         out = out.withColumn(idx_col, pos + F.col("_sk_oc"))

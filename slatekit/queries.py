@@ -62,7 +62,7 @@ def q_khot_pick(spark, sf):
 
 @query("exposure_ratio")
 def q_exposure_ratio(spark, sf):
-    return _round(M.exposure_counts(V.served(spark, sf), EXPOSURE_SCOPE, 3), "ratio")
+    return _round(M.exposure_counts(V.served(spark, sf), EXPOSURE_SCOPE), "ratio")
 
 
 @query("exposure_js")
@@ -72,9 +72,8 @@ def q_exposure_js(spark, sf):
 
 @query("kl_divergence")
 def q_kl_divergence(spark, sf):
-    expo = M.exposure_counts(V.served(spark, sf), EXPOSURE_SCOPE, 3)
-    dist = expo.join(F.broadcast(M.target_frame(spark)), "cate")
-    return _round(M.kl_divergence(dist, "ratio", "target", (), "kl"), "kl")
+    expo = M.exposure_counts(V.served(spark, sf), EXPOSURE_SCOPE)
+    return _round(M.kl_divergence(M.with_target(expo), "ratio", "target", (), "kl"), "kl")
 
 
 @query("log_loss")
@@ -205,7 +204,9 @@ def _log_and_vocab(spark, sf):
     hist = H.history_asof(base, len_col="_n").withColumn(
         "hist_len", F.when(F.col("label") != 0, F.col("_n")).otherwise(0).cast("int")).drop("_n")
     log = stage(I.prepare_log(hist), "log")
-    return base, log, stage(VO.build_vocab(base, log), "vocab")
+    # written by namespace: a lookup reads, and the planner measures, one of them
+    vocab = stage(VO.build_vocab(base, log).repartition("ns"), "vocab", ["ns"])
+    return base, log, vocab.select("ns", "value", "id")
 
 
 @query("vocab")
@@ -241,7 +242,7 @@ def q_encode_users(spark, sf):
 @query("encode_history")
 def q_encode_history(spark, sf):
     _, log, vocab = _log_and_vocab(spark, sf)
-    enc = VO.encode_steps(log.where(F.col("label") == 1), vocab)
+    enc = VO.encode_steps(log.where(F.col("label") == 1), vocab, ["split", "imp_id"])
     return enc.select("imp_id", V.hist_str(F.transform("hist_ids", lambda s: F.transform(
         s, lambda v: v.cast("string")))).alias("hist_ids"))
 
@@ -316,8 +317,7 @@ def q_pages_per_user(spark, sf):
 
 def _reshaped(spark, sf):
     ds, vocab = _dataset(spark, sf)
-    cmap = L.cate_map_column(VO.cate_index(vocab))
-    return ds, cmap
+    return L.with_categories(ds, VO.cate_index(vocab))
 
 
 @query("pad_candidates")
@@ -330,8 +330,8 @@ def q_pad_candidates(spark, sf):
 
 @query("cate_split_candidates")
 def q_cate_split_candidates(spark, sf):
-    ds, cmap = _reshaped(spark, sf)
-    c, lb, n = L.cate_split_candidates(cmap, 3)
+    ds = _reshaped(spark, sf)
+    c, lb, n = L.cate_split_candidates()
     return ds.select("list_id",
                      F.array_join(F.transform(c, _ids_str), "|").alias("candi_c"),
                      F.array_join(F.transform(lb, lambda x: F.array_join(x, ",")), "|")
@@ -341,9 +341,9 @@ def q_cate_split_candidates(spark, sf):
 
 @query("cate_split_history")
 def q_cate_split_history(spark, sf):
-    ds, cmap = _reshaped(spark, sf)
-    h, n = H.cate_split_history("hist", "hist_len", lambda s: F.element_at(cmap, F.element_at(s, 6)),
-                                3, kind="bigint")
+    ds = _reshaped(spark, sf)
+    h, n = H.cate_split_history("hist", "hist_len", lambda s: L.cate_of("cmap", F.element_at(s, 6)),
+                                "n_cate", kind="bigint")
     return ds.select("list_id", F.array_join(F.transform(h, _ids_str), "|").alias("cate_hist"),
                      F.array_join(n, ",").alias("cate_hist_len"))
 
@@ -364,9 +364,8 @@ def q_seq_mask(spark, sf):
 
 @query("slot_layout")
 def q_slot_layout(spark, sf):
-    ds, cmap = _reshaped(spark, sf)
-    wide = ds.select("list_id", *L.cate_split_candidates(cmap, 3))
-    return L.slot_layout(wide, 3).select("list_id", "slot", "cate",
+    wide = _reshaped(spark, sf).select("list_id", *L.cate_split_candidates())
+    return L.slot_layout(wide).select("list_id", "slot", "cate",
                                          F.array_join("item", ",").alias("item"), "label", "mask")
 
 
@@ -379,9 +378,9 @@ def q_feature_split(spark, sf):
 
 @query("batch_assign")
 def q_batch_assign(spark, sf):
-    from slatekit.functions.exprs import hash32
+    from slatekit.functions.exprs import hash60
     lists = V.served(spark, sf).select("list_id").distinct().withColumn(
-        "list_order", hash32("list_id"))
+        "list_order", hash60("list_id"))
     return L.batch_assign(lists).select("list_id", "batch")
 
 
@@ -402,9 +401,9 @@ def q_relaxed_topk(spark, sf):
 
 
 def _batched_slots(spark, sf):
-    from slatekit.functions.exprs import hash32
+    from slatekit.functions.exprs import hash60
     served = V.served(spark, sf)
-    lists = served.select("list_id").distinct().withColumn("list_order", hash32("list_id"))
+    lists = served.select("list_id").distinct().withColumn("list_order", hash60("list_id"))
     batches = L.batch_assign(lists).select("list_id", "batch")
     return served.join(batches, "list_id")
 
@@ -430,9 +429,10 @@ from slatekit.operators import embeddings as EM  # noqa: E402
 
 @query("embed_lookup")
 def q_embed_lookup(spark, sf):
-    ds, _ = _dataset(spark, sf)
-    c = ds.select("list_id", F.posexplode("candi").alias("slot", "ids"))
-    out = EM.lookup_vectors(c, ["list_id", "slot"], F.col("ids"), V.item_vectors(spark, sf),
+    ds, vocab = _dataset(spark, sf)
+    c = ds.select("split", "list_id", F.posexplode("candi").alias("slot", "ids"))
+    out = EM.lookup_vectors(c, ["split", "list_id", "slot"], F.col("ids"),
+                            V.item_vectors(spark, sf, vocab),
                             concat=True)
     return _round(out.select("list_id", F.col("slot").cast("bigint"), *EM.vec_stats("vec")),
                   "norm", "vsum")
@@ -440,8 +440,8 @@ def q_embed_lookup(spark, sf):
 
 @query("attn_pool")
 def q_attn_pool(spark, sf):
-    ds, _ = _dataset(spark, sf)
-    out = EM.attention_pool(ds, V.item_vectors(spark, sf))
+    ds, vocab = _dataset(spark, sf)
+    out = EM.attention_pool(ds, V.item_vectors(spark, sf, vocab))
     return _round(out.select("list_id", F.col("slot").cast("bigint"), *EM.vec_stats("pooled")),
                   "norm", "vsum")
 
@@ -449,10 +449,8 @@ def q_attn_pool(spark, sf):
 @query("recency_pool")
 def q_recency_pool(spark, sf):
     ds, vocab = _dataset(spark, sf)
-    ci = VO.cate_index(vocab)
-    cate_of = {int(r["cate_id"]): int(r["cate_idx"]) for r in ci.collect()}  # categories: tiny
-    out = EM.recency_pool(ds, V.item_vectors(spark, sf), L.cate_map_column(ci), 3,
-                          cate_of=cate_of)
+    out = EM.recency_pool(L.with_categories(ds, VO.cate_index(vocab)),
+                          V.item_vectors(spark, sf, vocab))
     return _round(out.select("list_id", "cate", F.col("n_steps").cast("bigint"),
                              *EM.vec_stats("pooled")), "norm", "vsum")
 
@@ -537,9 +535,8 @@ def q_dataset_stat(spark, sf):
 
 
 def _requests(spark, sf, n_partitions=4, reshaped=None):
-    ds, cmap = reshaped or _reshaped(spark, sf)
-    mr = L.model_ready(ds, cmap, 3)
-    payload = RQ.request_payload(mr)
+    ds = _reshaped(spark, sf) if reshaped is None else reshaped
+    payload = RQ.request_payload(L.model_ready(ds))
     return K.to_kafka_records(payload, "key", "value", n_partitions=n_partitions)
 
 
@@ -578,7 +575,7 @@ def q_request_quarantine(spark, sf):
 @query("batch_score")
 def q_batch_score(spark, sf):
     parsed, _ = RQ.parse_requests(_requests(spark, sf))
-    return _round(SC.score_requests(parsed), "pred")
+    return _round(SC.score_requests(parsed).select("key", "slot", "pred"), "pred")
 
 
 @query("stream_score")
@@ -652,10 +649,10 @@ def q_early_stop(spark, sf):
 # ---------------------------------------------------------------- scored lists
 def _scored_slots(spark, sf):
     """Scores of every request joined (J7) to the slot-layout labels and mask."""
-    ds, cmap = _reshaped(spark, sf)
-    wide = ds.select("list_id", *L.cate_split_candidates(cmap, 3))
-    labels = L.slot_layout(wide, 3).select("list_id", "slot", "cate", "label", "mask")
-    parsed, _ = RQ.parse_requests(_requests(spark, sf, reshaped=(ds, cmap)))
+    ds = _reshaped(spark, sf)
+    wide = ds.select("list_id", *L.cate_split_candidates())
+    labels = L.slot_layout(wide).select("list_id", "slot", "cate", "label", "mask")
+    parsed, _ = RQ.parse_requests(_requests(spark, sf, reshaped=ds))
     preds = SC.score_requests(parsed).select(F.col("key").cast("bigint").alias("list_id"),
                                              "slot", "pred")
     return R.join_predictions(preds, labels)

@@ -89,12 +89,12 @@ def materialize(df: DataFrame, base: str, *key_parts) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in a fresh folder of the shared
     scratch area and read it back: later jobs (including driver-side size
     checks) read the table instead of recomputing its lineage, and a lost
     executor cannot force the upstream plan to rerun."""
     spark = df.sparkSession
     path = run_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    write_parquet(df, path, partition_by)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatekit.functions.exprs import hash32
+from slatekit.functions.exprs import hash60
 from slatekit.plans.indexing import dense_index
 
 TOPIC = "user-tracking"
@@ -41,7 +41,7 @@ def to_kafka_records(df: DataFrame, key_col: str, value_col: str, topic: str = T
                      n_partitions: int = 1, ts_col: str | None = None) -> DataFrame:
     """Records with binary key/value, the partition from the key's hash
     and a dense per-partition offset in key order (skew-safe scan)."""
-    part = (hash32(key_col) % n_partitions).cast("int")
+    part = (hash60(key_col) % n_partitions).cast("int")
     x = df.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v"), part.alias("partition"),
                   (F.col(ts_col) if ts_col else F.current_timestamp()).alias("timestamp"))
     x = dense_index(x, ["_k"], ["partition"], "offset")

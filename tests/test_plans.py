@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from slatekit.functions.exprs import hash32
+from slatekit.functions.exprs import hash60
 from slatekit.operators import lists as L
 from slatekit.operators import ranking as R
 from slatekit.plans import views as V
@@ -28,7 +28,7 @@ def test_global_positions_avoid_single_partition(spark, small_split):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         lists = V.served(spark, SF_SMALL).select("list_id").distinct().withColumn(
-            "list_order", hash32("list_id"))
+            "list_order", hash60("list_id"))
         lines = _plan(L.batch_assign(lists)).splitlines()
         # row-level positions never funnel through one task: a single-partition
         # exchange may only carry already-aggregated rows (global counts, the

@@ -25,9 +25,9 @@ def test_vocab_is_a_bijection_onto_1_n(spark):
 def test_category_split_keeps_every_candidate(spark):
     from slatekit.queries import _dataset
     ds, vocab = _dataset(spark, SF_SMALL)
-    cmap = L.cate_map_column(VO.cate_index(vocab))
-    wide = ds.select("list_id", "candi", *L.cate_split_candidates(cmap, 3))
-    lay = L.slot_layout(wide, 3).where("mask = 1").groupBy("list_id").agg(
+    wide = L.with_categories(ds, VO.cate_index(vocab)).select(
+        "list_id", "candi", *L.cate_split_candidates())
+    lay = L.slot_layout(wide).where("mask = 1").groupBy("list_id").agg(
         F.sort_array(F.collect_list(F.array_join("item", ","))).alias("a"))
     orig = ds.select("list_id", F.sort_array(F.transform("candi", lambda c: F.array_join(c, ",")))
                      .alias("b"))

@@ -113,3 +113,13 @@ def test_incomplete_requests_are_quarantined(spark):
     good, out = RQ.parse_requests(_records(spark, [json.dumps(x) for x in [*bad, BATCHED]]))
     assert [r["key"] for r in good.collect()] == ["5"] and out.count() == 5
     assert SC.score_requests(good).count() == 2
+
+
+def test_records_without_a_key_keep_their_place(spark):
+    recs = _records(spark, [json.dumps(BATCHED)] * 3).withColumn("key", F.lit(None).cast("binary"))
+    parsed, _ = RQ.parse_requests(recs)
+    rows = SC.score_requests(parsed).collect()
+    assert {(r["topic"], r["partition"], r["offset"], r["slot"]) for r in rows} == {
+        ("t", 0, i, s) for i in range(3) for s in range(2)}
+    assert all(r["key"] is None for r in rows)
+    assert all((r["pred"] == 0) == (r["slot"] == 1) for r in rows)      # one real slot, one padding
