@@ -22,24 +22,29 @@ def target_frame(spark: SparkSession, ratios: Sequence[float] = TARGET_EXPOSURE,
                                  f"{col} int, {value} double")
 
 
-def mapped_category(cate: str = "cate") -> Column:
-    """The category index, an error where it is null: an exposure without a
-    category would silently raise the other shares."""
-    return F.coalesce(F.col(cate).cast("int"),
-                      F.raise_error(F.lit("exposure without a category")).cast("int"))
+def mapped_category(cate: str = "cate", n_cate: int | None = None) -> Column:
+    """The category index, an error where it is null (or not one of ``n_cate``):
+    an exposure without a category would silently raise the other shares."""
+    c = F.col(cate).cast("int")
+    known = c if n_cate is None else F.when(c.between(0, n_cate - 1), c)
+    return F.coalesce(known, F.raise_error(F.lit("exposure without a category")).cast("int"))
 
 
-def exposure_counts(df: DataFrame, scope: int = EXPOSURE_SCOPE, is_rank: bool = True,
-                    list_col: str = "list_id", score_col: str = "pred", slot_col: str = "slot",
-                    cate_col: str = "cate") -> DataFrame:
+def exposure_counts(df: DataFrame, scope: int = EXPOSURE_SCOPE, n_cate: int | None = None,
+                    is_rank: bool = True, list_col: str = "list_id", score_col: str = "pred",
+                    slot_col: str = "slot", cate_col: str = "cate") -> DataFrame:
     """Exposures per category among the top ``scope`` slots of every
-    list, and their share.  The categories are those of the data: one that is
-    never shown is present with 0, a null one is an error."""
+    list, and their share.  The categories are those of the data, or 0 to
+    ``n_cate - 1`` (the size of the category index) where given: one that is
+    never shown is present with 0, a null or unknown one is an error."""
     shown = F.col(slot_col) < scope
     if is_rank:
         shown = F.row_number().over(rank_window(list_col, score_col, slot_col)) <= scope
-    out = (df.select(mapped_category(cate_col).alias("cate"), shown.alias("_s"))
+    out = (df.select(mapped_category(cate_col, n_cate).alias("cate"), shown.alias("_s"))
            .groupBy("cate").agg(F.count_if("_s").cast("bigint").alias("exposure")))
+    if n_cate is not None:
+        known = df.sparkSession.range(n_cate).select(F.col("id").cast("int").alias("cate"))
+        out = known.join(F.broadcast(out), "cate", "left").fillna(0, ["exposure"])
     total = F.sum("exposure").over(Window.partitionBy())  # one row per category
     return out.select("cate", "exposure", (F.col("exposure") / total).alias("ratio"))
 
@@ -100,7 +105,7 @@ def smoothed_kl(dist: DataFrame, p_col: str, q_col: str, group_cols: Sequence[st
 def exposure_js(df: DataFrame, target: Sequence[float] = TARGET_EXPOSURE,
                 scope: int = EXPOSURE_SCOPE, is_rank: bool = True, **cols) -> DataFrame:
     """JS divergence between the target exposure ratio and the realised one."""
-    dist = with_target(exposure_counts(df, scope, is_rank, **cols), target)
+    dist = with_target(exposure_counts(df, scope, is_rank=is_rank, **cols), target)
     return js_divergence(dist, "target", "ratio", (), "js")
 
 
