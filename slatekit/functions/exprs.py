@@ -67,7 +67,7 @@ def round6(c: str | Column) -> Column:
     return F.round(col(c).cast("double"), 6)
 
 
-def categories(n_cate: str | Column) -> Column:
+def categories(n_cate: int | str | Column) -> Column:
     """The category indices 0 .. n_cate - 1."""
-    n = col(n_cate)
+    n = F.lit(n_cate) if isinstance(n_cate, int) else col(n_cate)
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

@@ -118,7 +118,7 @@ def pad_history(hist: str | Column, max_len: int = HIST_MAX_LEN, width: int = le
 
 
 def cate_split_history(hist: str | Column, hist_len: str | Column, cate_of_step,
-                       n_cate: str | Column, max_n: int = HIST_CATE_MAX_LEN,
+                       n_cate: int | str | Column, max_n: int = HIST_CATE_MAX_LEN,
                        width: int = len(HIST_FIELDS), reverse: bool = False,
                        kind: str = "int") -> list[Column]:
     """X4 (+X6): per category, the steps of that category in history order,

@@ -74,7 +74,7 @@ def pad_candidates(candi: str | Column = "candi", labels: str | Column = "labels
             F.least(F.size(col(candi)), F.lit(max_len)).cast("int").alias("candi_len")]
 
 
-def cate_split_candidates(cmap: str | Column = "cmap", n_cate: str | Column = "n_cate",
+def cate_split_candidates(cmap: str | Column = "cmap", n_cate: int | str | Column = "n_cate",
                           candi: str | Column = "candi", labels: str | Column = "labels",
                           max_len: int = LIST_LEN, width: int = len(ITEM_FIELDS),
                           cate_idx: int = CATE_IDX) -> list[Column]:
