@@ -211,8 +211,8 @@ WITH {IMPS}
 SELECT split, CASE WHEN label <> 0 THEN 'pos' ELSE 'neg' END AS kind, count(*) AS n_items
 FROM imps_base GROUP BY ALL"""
 
-SQL["hist_parse"] = f"""
-WITH {IMPS},
+# the log's parallel sequences of a positive and their parsed prefix
+PARSED = """
 steps AS (
   SELECT imp_id, list_transform(hist, lambda s: CASE WHEN s[1] IN ('0', '5')
                                                THEN ['0','0','0','0','0','0'] ELSE s END)
@@ -233,7 +233,10 @@ stops AS (
            lambda i: CASE WHEN s[i] = 0 AND i < len(s) AND s[i + 1] = 0 THEN 1 ELSE 0 END), 1), 0),
            len(s) + 1) AS stop_at
   FROM sums),
-cnt AS (SELECT imp_id, f, len(list_filter(s[1:stop_at - 1], lambda x: x <> 0)) AS n FROM stops)
+cnt AS (SELECT imp_id, f, len(list_filter(s[1:stop_at - 1], lambda x: x <> 0)) AS n FROM stops)"""
+
+SQL["hist_parse"] = f"""
+WITH {IMPS},{PARSED}
 SELECT imp_id, n::INT AS hist_len,
        array_to_string(list_transform(range(1, n + 1),
          lambda i: f[1][i] || ',' || f[2][i] || ',' || f[3][i] || ',' || f[4][i] || ',' || f[5][i]
@@ -466,11 +469,11 @@ cand AS (SELECT w.split, w.list_id, w.user_id, w.n, u.u, pl.neg_id
            ON pl.split = w.split AND pl.g = (w.o2 + u.u) % w.gsize
          WHERE u.u < least(w.gsize, 9) AND pl.owner <> w.user_id),
 fill AS (SELECT split, list_id, user_id, neg_id, 'pool' AS src, (n + r - 1)::INT AS t
-         FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY u) AS r FROM cand)
+         FROM (SELECT *, row_number() OVER (PARTITION BY split, list_id ORDER BY u) AS r FROM cand)
          WHERE r <= 9 - n),
 negs AS (SELECT * FROM own UNION ALL SELECT * FROM fill),
 cands AS (
-  SELECT *, (row_number() OVER (PARTITION BY list_id ORDER BY {h60('list_id', 'imp_id')}, imp_id)
+  SELECT *, (row_number() OVER (PARTITION BY split, list_id ORDER BY {h60('list_id', 'imp_id')}, imp_id)
              - 1)::BIGINT AS slot
   FROM (SELECT split, list_id, user_id, list_id AS imp_id, 1 AS label FROM pos
         UNION ALL SELECT split, list_id, user_id, neg_id, 0 FROM negs))"""
@@ -486,23 +489,23 @@ FROM pos"""
 
 _Z6 = "[0::BIGINT, 0, 0, 0, 0, 0]"
 DATASET = VOCAB + "," + SAMPLING + f""",
-iv AS (SELECT f.imp_id, f.k, coalesce(v.id, 0) AS id
-       FROM (SELECT imp_id, unnest(range(1, 8)) AS k,
+iv AS (SELECT f.split, f.imp_id, f.k, coalesce(v.id, 0) AS id
+       FROM (SELECT split, imp_id, unnest(range(1, 8)) AS k,
                     unnest([pos, pagenum, sex, price_level, age_level, bc_type, score_bucket]) AS val
              FROM flog) f
        LEFT JOIN vocab v ON v.ns = ['item:pos', 'item:pagenum', 'item:sex', 'item:price_level',
                                      'item:age_level', 'item:bc_type', 'item:score'][f.k]
                         AND v.value = f.val),
-items AS (SELECT imp_id, list(id ORDER BY k) AS ids FROM iv GROUP BY imp_id),
-lists AS (SELECT c.list_id, list(i.ids ORDER BY c.slot) AS candi,
+items AS (SELECT split, imp_id, list(id ORDER BY k) AS ids FROM iv GROUP BY split, imp_id),
+lists AS (SELECT c.split, c.list_id, list(i.ids ORDER BY c.slot) AS candi,
                  list(c.label ORDER BY c.slot) AS labels
-          FROM cands c JOIN items i USING (imp_id) GROUP BY c.list_id),
-hv AS (SELECT st.imp_id, st.step, st.f, coalesce(v.id, 0) AS id
-       FROM (SELECT imp_id, step, f, s[f] AS val FROM vocab_steps CROSS JOIN range(1, 7) t(f)) st
+          FROM cands c JOIN items i USING (split, imp_id) GROUP BY c.split, c.list_id),
+hv AS (SELECT st.split, st.imp_id, st.step, st.f, coalesce(v.id, 0) AS id
+       FROM (SELECT split, imp_id, step, f, s[f] AS val FROM vocab_steps CROSS JOIN range(1, 7) t(f)) st
        LEFT JOIN vocab v ON v.ns = ['item:pos', 'item:pagenum', 'item:sex', 'item:price_level',
                                      'item:age_level', 'item:bc_type'][st.f] AND v.value = st.val),
-hsteps AS (SELECT imp_id, step, list(id ORDER BY f) AS st FROM hv GROUP BY imp_id, step),
-hl AS (SELECT imp_id, list(st ORDER BY step) AS h FROM hsteps GROUP BY imp_id),
+hsteps AS (SELECT split, imp_id, step, list(id ORDER BY f) AS st FROM hv GROUP BY split, imp_id, step),
+hl AS (SELECT split, imp_id, list(st ORDER BY step) AS h FROM hsteps GROUP BY split, imp_id),
 uv AS (SELECT p.split, p.user_id,
               [coalesce((SELECT id FROM vocab WHERE ns = 'uid' AND value = p.user_id::VARCHAR), 0),
                coalesce((SELECT id FROM vocab WHERE ns = 'user:user_os' AND value = p.user_os), 0),
@@ -519,8 +522,8 @@ ds AS (
            || list_transform(range(greatest(30 - len(coalesce(hl.h, []::BIGINT[][])), 0)),
                              lambda i: {_Z6}) AS hist,
          least(len(coalesce(hl.h, []::BIGINT[][])), 30)::INT AS hist_len
-  FROM pos JOIN uv USING (split, user_id) JOIN lists USING (list_id)
-       LEFT JOIN hl ON hl.imp_id = pos.list_id),
+  FROM pos JOIN uv USING (split, user_id) JOIN lists USING (split, list_id)
+       LEFT JOIN hl ON hl.split = pos.split AND hl.imp_id = pos.list_id),
 cmap AS (SELECT id AS cate_id, (row_number() OVER (ORDER BY id) - 1)::INT AS cate_idx
          FROM vocab WHERE ns = 'item:bc_type')"""
 
@@ -769,6 +772,30 @@ SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE label <> 0) AS n_pos,
        sum(hl.n)::BIGINT AS total_hist_len
 FROM imps LEFT JOIN hl USING (imp_id) GROUP BY split"""
 
+# ------------------------------------------------------------------ CSV log
+# View A as its CSV files give it back: ids are row numbers of each split, and
+# the history is parsed from the sequences (keyed on the event until then).
+_CSV_RAW, _CSV_REST = IMPS.split("fhist AS", 1)
+CSV_IMPS = f"""{_CSV_RAW.replace("imps AS (", "imps_ev AS (", 1)}
+{PARSED.strip().replace("FROM imps ", "FROM imps_ev ")},
+imps AS (
+  SELECT e.* EXCLUDE (imp_id, hist, hist_len),
+         row_number() OVER (PARTITION BY e.split ORDER BY e.imp_id) - 1 AS imp_id,
+         coalesce(list_transform(range(1, c.n + 1),
+           lambda i: [c.f[1][i], c.f[2][i], c.f[3][i], c.f[4][i], c.f[5][i], c.f[6][i]]),
+           []::VARCHAR[][]) AS hist,
+         coalesce(c.n, 0) AS hist_len
+  FROM imps_ev e LEFT JOIN cnt c USING (imp_id)),
+fhist AS{_CSV_REST}"""
+
+SQL["csv_log"] = f"""
+WITH {CSV_IMPS}
+SELECT split, imp_id, user_id, label, bc_type, score_bucket, hist_len::INT AS hist_len,
+       {hstr('hist')} AS hist_str
+FROM imps"""
+
+SQL["csv_dataset"] = SQL["dataset"].replace(IMPS, CSV_IMPS)
+
 SQL["sink_parquet_roundtrip"] = f"""
 WITH {SERVED}
 SELECT count(*) AS n_rows, count(DISTINCT list_id) AS n_lists, sum(label)::BIGINT AS n_pos,
@@ -913,3 +940,9 @@ SELECT list_id,
          AS union_hist,
        least(n, 30)::INT AS union_hist_len
 FROM u"""
+
+# The same results by another way through the operators.
+SQL["staged_reuse"] = SQL["sink_parquet_roundtrip"]
+SQL["job_rerank"] = SQL["rerank"]
+SQL["request_parse_unbatched"] = SQL["request_parse"]
+SQL["batch_replay"] = SQL["batch_score"]

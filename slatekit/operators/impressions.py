@@ -9,16 +9,42 @@ all rows is combined map-side before any shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatekit.config import (CATE_FIELD, FILTER_HIST_NUM, FILTER_NEG_NUM, FILTER_POS_NUM,
-                             HIST_MAX_LEN, USER_FIELDS)
-from slatekit.operators.history import history_asof
+                             HIST_FIELDS, HIST_MAX_LEN, USER_FIELDS)
+from slatekit.functions.exprs import score_bucket
+from slatekit.operators.history import history_asof, parse_history
+from slatekit.plans.indexing import dense_index
+from slatekit.sources.files import LOG_COLUMNS, log_schema
 
 KEYS = ["split", "user_id"]
 
 
+def log_from_csv(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """P1 + S1: the impression log of one split from its headered CSV files.
+
+    ``imp_id`` is the row number from 0 in file order (files by path, then
+    position in the file), so ids start anew in every split and an item is
+    ``(split, imp_id)``.  The position inside a file block is only known while
+    it is read; the ordered scan writes the rows once with it, so a recomputed
+    task cannot number them differently.  Candidate fields lose their prefix,
+    the clicked-item sequences become ``hist``/``hist_len`` (positives only)."""
+    rows = spark.read.csv(path, header=True, schema=log_schema(), mode="PERMISSIVE").select(
+        "*", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"))
+    log = dense_index(rows, ["_file", "_block", "_row"], idx_col="imp_id")
+    log = parse_history(log, [c for c in LOG_COLUMNS if c.startswith("ipv_")])
+    hist = F.when(is_pos(), F.col("hist")).otherwise(F.array().cast("array<array<string>>"))
+    return log.select(
+        F.lit(split).alias("split"), "imp_id", "user_id", *USER_FIELDS,
+        *[F.col(f"cand_item_{c}").alias(c) for c in HIST_FIELDS],
+        score_bucket("score").cast("string").alias("score_bucket"), "label", "score",
+        hist.alias("hist"), F.when(is_pos(), F.col("hist_len")).otherwise(F.lit(0)).alias("hist_len"))
+
+
 def is_pos(label: str = "label"):
     return F.col(label) != 0
 

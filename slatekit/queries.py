@@ -462,8 +462,8 @@ from slatekit.streaming import requests as RQ  # noqa: E402
 from slatekit.streaming import scoring as SC  # noqa: E402
 
 
-@query("src_csv_impressions")
-def q_src_csv_impressions(spark, sf):
+def _write_csv_logs(spark, sf):
+    """The impressions of each split as a folder of CSV files in ``imp_id`` order."""
     imps = V.impressions(spark, sf)
     seqs = V.history_strings(imps)
     zeros = ",".join(["0"] * 30)
@@ -471,7 +471,7 @@ def q_src_csv_impressions(spark, sf):
     neg = imps.where(F.col("label") == 0).select("*", *[F.lit(zeros).alias(c) for c in ipv])
     rows = seqs.unionByName(neg)
     out = rows.select(
-        "split", F.col("user_id").cast("string").alias("user_id"),
+        "split", "imp_id", F.col("user_id").cast("string").alias("user_id"),
         *[F.col(c) for c in ("user_os", "user_gender", "user_age_level", "user_purchase_level",
                              "user_hour")],
         *[F.col(c).alias(f"cand_item_{c}") for c in ("pos", "pagenum", "sex", "price_level",
@@ -482,7 +482,14 @@ def q_src_csv_impressions(spark, sf):
         "label", "score")
     base = FS.run_path(spark, "csv")
     for split in ("train", "test"):
-        FS.write_impression_csv(out.where(F.col("split") == split), f"{base}/{split}")
+        one = out.where(F.col("split") == split).repartitionByRange("imp_id")
+        FS.write_impression_csv(one.sortWithinPartitions("imp_id"), f"{base}/{split}")
+    return base
+
+
+@query("src_csv_impressions")
+def q_src_csv_impressions(spark, sf):
+    base = _write_csv_logs(spark, sf)
     parts = []
     for split in ("train", "test"):
         log = FS.read_impression_csv(spark, f"{base}/{split}")
@@ -497,6 +504,53 @@ def q_src_csv_impressions(spark, sf):
         F.sum(F.when(F.col("label") != 0, F.col("hist_len"))).cast("bigint").alias("total_hist_len"))
 
 
+def _csv_log(spark, sf):
+    base = _write_csv_logs(spark, sf)
+    return I.log_from_csv(spark, f"{base}/train", "train").unionByName(
+        I.log_from_csv(spark, f"{base}/test", "test"))
+
+
+@query("csv_log")
+def q_csv_log(spark, sf):
+    return _csv_log(spark, sf).select(
+        "split", "imp_id", F.col("user_id").cast("bigint").alias("user_id"), "label", "bc_type",
+        "score_bucket", F.col("hist_len").cast("int"), V.hist_str("hist").alias("hist_str"))
+
+
+@query("csv_dataset")
+def q_csv_dataset(spark, sf):
+    imps = FS.stage(_csv_log(spark, sf), "csv-log")
+    log = FS.stage(I.prepare_log(imps), "log")
+    vocab = FS.stage(VO.build_vocab(imps, log).repartition("ns"), "vocab", ["ns"])
+    ds = L.build_dataset(imps, log, vocab.select("ns", "value", "id"))
+    return ds.select("split", "list_id", F.col("user_id").cast("bigint").alias("user_id"),
+                     F.array_join("usr", ",").alias("usr"), _ids_str("candi").alias("candi"),
+                     F.array_join("labels", ",").alias("labels"), _ids_str("hist").alias("hist"),
+                     "hist_len")
+
+
+@query("staged_reuse")
+def q_staged_reuse(spark, sf):
+    """The second call names the same inputs and parameters, so it must give the
+    table of the first, not its own (empty) plan."""
+    base, served = FS.run_path(spark, "reuse"), V.served(spark, sf)
+    FS.materialize(served, base, sf, "served", METRIC_SCOPES)
+    back = FS.materialize(served.where(F.lit(False)), base, sf, "served", METRIC_SCOPES)
+    return _round(back.agg(F.count(F.lit(1)).alias("n_rows"),
+                           F.count_distinct("list_id").alias("n_lists"),
+                           F.sum("label").cast("bigint").alias("n_pos"),
+                           F.sum("pred").alias("sum_pred")), "sum_pred")
+
+
+@query("job_rerank")
+def q_job_rerank(spark, sf):
+    from slatekit.plans.jobs import Job
+    path = FS.run_path(spark, "rerank")
+    Job(read=lambda s: V.served(s, sf), process=R.rerank,
+        write=lambda df: FS.write_parquet(df, path)).run(spark)
+    return spark.read.parquet(path).select("list_id", "slot", "rank")
+
+
 @query("sink_parquet_roundtrip")
 def q_sink_parquet_roundtrip(spark, sf):
     path = FS.run_path(spark, "served")
@@ -534,9 +588,9 @@ def q_dataset_stat(spark, sf):
                        F.to_json(F.map_entries("cate_idx_map")).alias("cate_idx_map"))
 
 
-def _requests(spark, sf, n_partitions=4, reshaped=None):
+def _requests(spark, sf, n_partitions=4, reshaped=None, batched=True):
     ds = _reshaped(spark, sf) if reshaped is None else reshaped
-    payload = RQ.request_payload(L.model_ready(ds))
+    payload = RQ.request_payload(L.model_ready(ds), batched=batched)
     return K.to_kafka_records(payload, "key", "value", n_partitions=n_partitions)
 
 
@@ -551,8 +605,8 @@ def q_request_publish(spark, sf):
 
 
 @query("request_parse")
-def q_request_parse(spark, sf):
-    parsed, _ = RQ.parse_requests(_requests(spark, sf))
+def q_request_parse(spark, sf, batched=True):
+    parsed, _ = RQ.parse_requests(_requests(spark, sf, batched=batched))
     return parsed.select("key", F.array_join("usr_ph", ",").alias("usr"),
                          F.array_join(F.transform("lb", lambda x: F.array_join(x, ",")), "|")
                          .alias("labels"),
@@ -560,6 +614,11 @@ def q_request_parse(spark, sf):
                          "union_hist_len", "keep_prob", "is_train")
 
 
+@query("request_parse_unbatched")
+def q_request_parse_unbatched(spark, sf):
+    return q_request_parse(spark, sf, batched=False)
+
+
 @query("request_quarantine")
 def q_request_quarantine(spark, sf):
     rec = _requests(spark, sf)
@@ -578,6 +637,19 @@ def q_batch_score(spark, sf):
     return _round(SC.score_requests(parsed).select("key", "slot", "pred"), "pred")
 
 
+@query("batch_replay")
+def q_batch_replay(spark, sf):
+    """A micro-batch that is processed twice is written once; an empty one
+    writes nothing."""
+    path = FS.run_path(spark, "replay")
+    rec = FS.stage(_requests(spark, sf), "requests")
+    process = SC.scoring_batch(path)
+    process(rec, 0)
+    process(rec, 0)
+    process(rec.where(F.lit(False)), 1)
+    return _round(spark.read.parquet(path).select("key", "slot", "pred"), "pred")
+
+
 @query("stream_score")
 def q_stream_score(spark, sf):
     base = FS.run_path(spark, "stream")

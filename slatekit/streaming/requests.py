@@ -59,16 +59,17 @@ def request_schema(batched: bool) -> T.StructType:
 
 
 def request_payload(mr: DataFrame, key_col: str = "list_id", split_hist: bool = True,
-                    union_hist: bool = True) -> DataFrame:
-    """P8 + M9: one JSON request per model-ready list (batch dimension 1);
-    the per-category and union histories are included per flag."""
+                    union_hist: bool = True, batched: bool = True) -> DataFrame:
+    """P8 + M9: one JSON request per model-ready list (batch dimension 1,
+    left out unless ``batched``); the per-category and union histories are
+    included per flag."""
     skip = set()
     if not split_hist:
         skip |= {"cate_hist_ft", "cate_hist_len"}
     if not union_hist:
         skip |= {"union_hist_ft", "union_hist_len"}
-    fields = [F.array(F.col(src)).alias(f"inputs/{name}") for name, src in INPUTS.items()
-              if name not in skip]
+    fields = [(F.array(F.col(src)) if batched else F.col(src)).alias(f"inputs/{name}")
+              for name, src in INPUTS.items() if name not in skip]
     fields += [F.lit(1.0).alias("inputs/keep_prob"), F.lit(False).alias("inputs/is_train")]
     return mr.select(F.col(key_col).alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
