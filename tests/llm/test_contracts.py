@@ -181,6 +181,19 @@ def test_fingerprints(spark, texts):
     assert (one == turned).all() and (one != fingerprint.vectors([["a", "b"]])[0]).any()
 
 
+def test_likeness_at_every_length(spark):
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n))
+    lists = [[line(w) for _ in range(n)] for n, w in ((1, 40), (1, 1000), (8, 12), (50, 12), (400, 12)) for _ in range(2)]
+    docs = spark.createDataFrame([(i, "\n".join(ps)) for i, ps in enumerate(lists)], "doc_id long, text string")
+    for r in fingerprint.successor_pairs(docs).collect():
+        assert r["near_edited"] > 0.5 and r["near_next"] < 0.25
+    for ps in lists[4:]:
+        part = fingerprint.vectors([ps[:len(ps) // 2], ps[len(ps) // 2:], ps, ps[:-(len(ps) // 4)] + [line(12) for _ in range(len(ps) // 4)]])
+        assert (fingerprint.combine(part[0], part[1]) == part[2]).all()
+        assert abs(fingerprint.likeness(part[2], part[3]) - 0.75) < 0.15
+
+
 def test_licenses(spark, texts):
     odd = {10**6: "Under THE mit-license, under the MIT license", 10**6 + 1: "cc by nc cc by nc", 10**6 + 2: None, 10**6 + 3: "",
            10**6 + 4: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
