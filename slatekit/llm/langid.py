@@ -12,15 +12,20 @@ A row is rejected if its text has no letters, if ``und`` wins, or if the best
 posterior is below ``LEAST``.
 
 Defined results: null and empty texts and texts without letters are ``und`` and
-rejected; a null or empty declaration is no evidence; null hosts are one host; a
-label that fewer than ``LEAST_SHARE`` of the labelled documents bear is not a
-language; without any labelled document everything is ``und``; repeated rows are
-judged alike but for their own share; a null id stays null; an empty table gives
-no rows; other columns are ignored by ``identify`` and kept by ``keep_languages``.
+rejected; a null or empty declaration is no evidence; null hosts are one host;
+every label but ``und`` that a document bears is a language, however few bear it;
+without any labelled document everything is ``und``; repeated rows are judged
+alike but for their own share; a null id stays null; an empty table gives no rows;
+other columns are ignored by ``identify`` and kept by ``keep_languages``.
+
+The model keeps of each language only the trigrams it has, so a rare language is
+a small one.  Counts are held for ``BLOCK`` languages at a time and scores for
+``CELLS`` rows x languages; the work grows with the rows times the languages.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +43,9 @@ UNKNOWN = 0.01          # prior of und
 PULL = 20.0             # rows that a parent's prior is worth
 DECLARED_PULL = 5.0
 LEAST = 0.5
-LEAST_SHARE = 0.001     # so there are at most 1,000 languages
 CHUNK = 2 << 20         # bytes scored together
+BLOCK = 128             # languages counted together
+CELLS = 1 << 20         # rows x languages scored together
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -61,56 +67,86 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc[:-2][inside], (code[inside] >> np.uint32(32 - BITS)).astype(np.int32)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     size = pc.binary_length(batch.column("body")).fill_null(0).to_numpy(zero_copy_only=False)
     cut = np.cumsum(size) // CHUNK
     for c in np.unique(cut):
         a, b = np.searchsorted(cut, [c, c + 1])
-        yield batch.slice(a, b - a)
+        for i in range(a, b, rows):
+            yield batch.slice(i, min(rows, b - i))
 
 
 def _count(langs: list[str]):
+    def flush(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        code = [np.flatnonzero(x) for x in total.values()]
+        lang = np.repeat(np.array([*total], np.int32), [len(c) for c in code])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang), pa.array(np.concatenate(code).astype(np.int32)),
+             pa.array(np.concatenate([x[c] for x, c in zip(total.values(), code)]))], names=["lang", "code", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 1 << BITS), np.int64)
+        total: dict[int, np.ndarray] = {}
         at = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             for part in _chunks(batch):
                 lab = np.array([at[x] for x in part.column("lang").to_pylist()], np.int64)
                 doc, code = trigrams([t or b"" for t in part.column("body").to_pylist()])
-                total += np.bincount(lab[doc] << BITS | code, minlength=total.size).reshape(total.shape)
-        lang, code = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(total[lang, code])],
-            names=["lang", "code", "n"])
+                some, lab = np.unique(lab, return_inverse=True)
+                lab = lab[doc]
+                for k in range(0, len(some), BLOCK):
+                    block = some[k:k + BLOCK]
+                    own = slice(None) if len(some) <= BLOCK else (lab >= k) & (lab < k + BLOCK)
+                    new = np.bincount(lab[own] - k << BITS | code[own], minlength=len(block) << BITS)
+                    if len(total.keys() | {*block.tolist()}) > BLOCK and total:
+                        yield flush(total)
+                        total = {}
+                    for x, c in zip(block.tolist(), new.reshape(len(block), -1)):
+                        total[x] = total[x] + c if x in total else c.copy()
+        if total:
+            yield flush(total)
     return run
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+Model = list[tuple[float, np.ndarray, np.ndarray]]     # of each language: log likelihood of
+#                                                        other trigrams, its trigrams, theirs
+
+
+def train(labelled: DataFrame) -> tuple[list[str], Model]:
     """Languages (sorted, then ``und``) and their log likelihoods of trigrams;
     ``labelled`` has body and lang."""
     ship_package(labelled.sparkSession)
     labelled = labelled.where("lang IS NOT NULL AND lang <> '' AND lang <> 'und'")
-    n = labelled.groupBy("lang").count()
-    least = F.lit(LEAST_SHARE * labelled.count())
-    langs = sorted(r["lang"] for r in n.where(F.col("count") >= least).select("lang").collect())
-    counts = np.zeros((len(langs), 1 << BITS))
-    if langs:
-        rows = labelled.where(F.col("lang").isin(langs)).select("body", "lang").mapInArrow(
-            _count(langs), "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-        for r in rows.toLocalIterator():        # at most languages x 2**BITS rows
-            counts[r["lang"], r["code"]] = r["n"]
-    logp = np.log(counts + SMOOTH) - np.log((counts + SMOOTH).sum(axis=1, keepdims=True))
-    return [*langs, "und"], np.vstack([logp, np.full((1, 1 << BITS), -BITS * np.log(2))])
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
+    codes, counts = [array("i") for _ in langs], [array("q") for _ in langs]
+    rows = labelled.select("body", "lang").mapInArrow(
+        _count(langs), "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    for r in rows.toLocalIterator():        # at most the distinct trigrams of each language
+        codes[r["lang"]].append(r["code"])
+        counts[r["lang"]].append(r["n"])
+    model = []
+    for code, count in zip(codes, counts):
+        n = np.array(count, np.float64)
+        whole = np.log(n.sum() + SMOOTH * (1 << BITS))
+        model.append((np.log(SMOOTH) - whole, np.array(code, np.int32), np.log(n + SMOOTH) - whole))
+    return [*langs, "und"], [*model, (-BITS * np.log(2), np.zeros(0, np.int32), np.zeros(0))]
+
+
+def _dense(model: Model) -> Iterator[np.ndarray]:
+    """The log likelihood of every trigram, language by language."""
+    for other, code, logp in model:
+        out = np.full(1 << BITS, other)
+        out[code] = logp
+        yield out
 
 
 def _likelihood(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = model.value
         for batch in batches:
-            for part in _chunks(batch):
+            for part in _chunks(batch, max(1, CELLS // len(logp))):
                 n = part.num_rows
                 doc, code = trigrams([t or b"" for t in part.column("body").to_pylist()])
-                ll = np.stack([np.bincount(doc, weights=p[code], minlength=n) for p in logp], axis=1) * TEMPER
+                ll = np.stack([np.bincount(doc, weights=p[code], minlength=n) for p in _dense(logp)], axis=1) * TEMPER
                 num = np.bincount(doc, minlength=n)
                 prior = np.full(len(logp), np.log((1 - UNKNOWN) / max(1, len(logp) - 1)))
                 prior[-1] = np.log(UNKNOWN)
@@ -131,7 +167,7 @@ def domain_of(host: Column) -> Column:
         F.lit(1), F.size(F.split(host, r"\.")) - 1), 2), ".")
 
 
-def identify(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
+def identify(rows: DataFrame, langs: list[str], logp: Model) -> DataFrame:
     """One row per row of ``rows`` (id, body, declared, host, suffix): id,
     declared, host, text_lang, lang, posterior, accepted."""
     spark = rows.sparkSession
@@ -151,9 +187,12 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
     def sums(*by: str) -> DataFrame:
         """Sum of text posteriors and rows of each group, rounded so that the
         order of addition does not show."""
-        return full.groupBy(*by).agg(
-            F.array(*[F.round(F.sum(F.get("p", F.lit(i))), 6) for i in range(n)]).alias("c"),
-            F.count(F.lit(1)).alias("n"))
+        each = full.select(*by, F.posexplode(F.concat(F.array(F.lit(1.0)), "p")).alias("at", "v")).where("v > 0")
+        each = each.groupBy(*by, "at").agg(F.round(F.sum("v"), 6).alias("v"))
+        got = each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+        return got.select(
+            *by, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("c"),
+            F.try_element_at("m", F.lit(0)).cast("long").alias("n"))
 
     def pulled(c: Column, m: Column, parent: Column, pull: float) -> Column:
         return F.zip_with(c, parent, lambda x, q: (F.greatest(x, F.lit(0.0)) + F.lit(pull) * q) / (m + F.lit(pull)))

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,33 @@ def test_languages_held_out(spark):
     assert sum(r["accepted"] for r in got) >= 0.97 * len(got)
 
 
+def test_rare_language_has_a_model(spark):
+    rng = np.random.default_rng(5)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
+    rows = [(i, text("abcdef"), "en", f"s{i % 7}") for i in range(3000)] + [(3000 + i, text("uvwxyz"), "qq", "s1") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = {r["id"]: r for r in langid.identify(langid.document_rows(docs), *langid.train(langid.labelled(docs))).collect()}
+    assert all(r["accepted"] and r["lang"] == ("qq" if i >= 3000 else "en") for i, r in got.items())
+    assert langid.keep_languages(docs).count() == len(rows)
+
+
+def test_trigram_counts_of_many_languages(spark):
+    langs = [f"l{i:03}" for i in range(3 * langid.BLOCK)]
+    texts = [(x, f"text {i % 50} of {x} " * 3) for i, x in enumerate(langs * 2)]
+    batch = pa.RecordBatch.from_pydict({"body": [t.encode() for _, t in texts], "lang": [x for x, _ in texts]})
+    got = {}
+    for b in langid._count(langs)(iter([batch, batch.slice(5, 300)])):
+        for x, c, n in zip(*[v.to_pylist() for v in b.columns]):
+            got[x, c] = got.get((x, c), 0) + n
+    want = {}
+    for x, t in texts + texts[5:305]:
+        for c in langid.trigrams([t.encode()])[1].tolist():
+            want[langs.index(x), c] = want.get((langs.index(x), c), 0) + 1
+    assert got == want
+    docs = spark.createDataFrame([(i, t, x, "s") for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert langid.identify(langid.document_rows(docs), *langid.train(langid.labelled(docs))).count() == len(texts)
+
+
 def test_warc_random_access_and_revisits(spark):
     big = "x" * 3_000_000
     rows = [(5, "http://a.b/\n c", "same"), (2, None, "same"), (9, "u", "same"), (7, "u", None), (8, "u", ""),
