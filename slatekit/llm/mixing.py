@@ -3,7 +3,8 @@
 Every document gets a hash-random key.  Rows are range-sorted by key within
 their source and a distributed running sum of word counts is taken; a source
 gives whole epochs of itself and then the documents up to its exact budget.  The
-document on the cut gives its first words up to the budget.  Rows are taken each
+document on the cut gives its first words up to the budget: the start of its text
+as it stands, to the end of the last of them.  Rows are taken each
 on their own by ``mix``; for ``mixed``, rows that share doc_id and text are one
 document with the copies of all of them.
 
@@ -106,9 +107,9 @@ def mixed(docs: DataFrame, **args) -> DataFrame:
     rows = unique_rows(rows, take.where("_n > 1"), "_k").join(take, "_k")
     copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.col("_rest"))
     rows = rows.withColumn("_cut", F.explode(copies))
-    words = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""),
-                                 1, F.greatest(F.col("_cut"), F.lit(1))), " ")
-    rows = rows.withColumn("text", F.when(F.col("_cut") > 0, words).otherwise(F.col("text")))
+    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")      # each with the space before it
+    start = F.array_join(F.slice(words, 1, F.greatest(F.col("_cut"), F.lit(1))), "")
+    rows = rows.withColumn("text", F.when(F.col("_cut") > 0, start).otherwise(F.col("text")))
     if "n_chars" in cols:
         rows = rows.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length("text"))
                                .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -102,6 +102,14 @@ def test_mixed_rows_follow_the_mix(spark):
     assert out == {d: t for d, t in take.items() if t}
 
 
+def test_mixed_keeps_white_space(spark):
+    texts = {i: f"\n\t one  two{i}\n\nthree\x0bfour \r\n" + "  five\n" * (i % 5) for i in range(40)}
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in texts.items()], "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["text"]) for r in mixing.mixed(docs).collect()]
+    cut = [(d, t) for d, t in got if t != texts[d]]
+    assert cut and all(texts[d].startswith(t) and t == t.rstrip() for d, t in cut)
+
+
 ASSIGN = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|"
                     r"[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
