@@ -30,7 +30,6 @@ ROUNDS = 3
 SHRINK = 1.0
 TRUST = 0.75
 SUPPORT = 3
-NEIGHBOUR = 48          # last and first characters of the neighbours that count
 
 KINDS = ("email", "ip", "card", "phone")
 # FIXED VALUES: the base patterns, written so that no start is tried twice: a
@@ -42,6 +41,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+LAST, FIRST = r"(?<!\S)(\S++)\s*+$", r"^\s*+(\S++)"       # words of the text between tokens
 
 EMPTY = "array<struct<s:int,e:int,m:string>>"
 
@@ -116,20 +116,23 @@ def instances(texts: DataFrame) -> DataFrame:
     token, left, right, seed."""
     text = F.col("text")
     found = texts.where(F.rlike(text, F.lit("[0-9@]"))).select(
-        "doc_id", "h", "text", "base", matches(text, TOKEN, F.lit(True)).alias("tok"))
+        "doc_id", "h", "base", matches(text, TOKEN, F.lit(True)).alias("tok"), F.split(text, TOKEN, -1).alias("gap"))
+
+    def word(gap: Column, pattern: str, next_token: Column) -> Column:
+        """The nearest word of the text between tokens, or else the next token."""
+        w = F.regexp_extract(gap, pattern, 1)
+        return ascii_lower(F.when(w != "", w).otherwise(F.coalesce(next_token, F.lit(""))))
+
     rows = found.select(
-        "doc_id", "h", "base", F.explode(F.transform("tok", lambda x: F.struct(
+        "doc_id", "h", "base", F.explode(F.transform("tok", lambda x, i: F.struct(
             x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"),
-            F.substring(text, F.greatest(F.lit(1), x["s"] - NEIGHBOUR + 1),
-                        F.least(F.lit(NEIGHBOUR), x["s"])).alias("l"),
-            F.substring(text, x["e"] + 1, F.lit(NEIGHBOUR)).alias("r")))).alias("x")).select(
+            word(F.get("gap", i), LAST, F.get("tok", i - 1)["m"]).alias("left"),
+            word(F.get("gap", i + 1), FIRST, F.get("tok", i + 1)["m"]).alias("right")))).alias("x")).select(
         "doc_id", "h", "base", "x.*")
     lead = F.length(F.regexp_extract("m", r"^[\"'(\[{<|*#$%&]*", 0))
     core = F.regexp_replace("m", r"^[\"'(\[{<|*#$%&]+|[\"')\]}>|*#$%&.,;:!?]+$", "")
     rows = rows.select(
-        "doc_id", "h", (F.col("s") + lead).alias("s"), core.alias("token"), "base",
-        ascii_lower(F.regexp_extract("l", r"(\S*)\s*$", 1)).alias("left"),
-        ascii_lower(F.regexp_extract("r", r"^\s*(\S*)", 1)).alias("right"))
+        "doc_id", "h", (F.col("s") + lead).alias("s"), core.alias("token"), "base", "left", "right")
     e = F.col("s") + F.length("token")
     return rows.where(F.length("token") > 0).select(
         "doc_id", "h", "s", e.alias("e"), "token", "left", "right",

@@ -171,6 +171,24 @@ def test_personal_data_bootstrap_finds_unseen(spark):
     assert all("email:" in got[i] for i in range(40)) and "version" not in got[100]
 
 
+def test_neighbours_are_whole_words(spark, texts):
+    from slatekit.llm import pii
+    far, long = " " * 300, "Ab/" * 100
+    own = {10**6: f"one{far}x1{far}y2\t{long} z@ \n{long}", 10**6 + 1: "9", 10**6 + 2: f"{long}\n8 "}
+    rows = [(i, t) for i, t in (texts | own).items() if t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(0)).withColumn(
+        "base", F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)"))
+    got = sorted((r["doc_id"], r["left"], r["right"]) for r in pii.instances(docs).collect())
+    low = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+    want = []
+    for d, t in rows:
+        w = re.findall(r"[^ \t\n\x0b\f\r]+", t)
+        want += [(d, low(w[i - 1]) if i else "", low(w[i + 1]) if i + 1 < len(w) else "")
+                 for i, x in enumerate(w) if re.search("[0-9@]", x)
+                 and re.sub(r"^[\"'(\[{<|*#$%&]+|[\"')\]}>|*#$%&.,;:!?]+$", "", x)]
+    assert got == sorted(want)
+
+
 def test_fingerprints(spark, texts):
     ids = sorted(texts)
     got = {r["doc_id"]: r for r in queries.REGISTRY["op8_fingerprints"](spark, SF_SMALL).collect()}
