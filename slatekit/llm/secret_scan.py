@@ -6,8 +6,10 @@ between letters and digits, hexadecimal or not), its neighbours (a name such as
 ``password`` before it, an assignment sign or a quote around it) and its file
 (whether the file holds such names, how dense its digits are).  The CRF is
 trained on windows from a bounded sample: the ``SAMPLE`` files of lowest hash
-with a base match and as many without; labels come from the base patterns, and
-every training window is also shown with its neighbour features hidden, so that
+with a base match and as many without, and of each file the ``SPANS`` labelled
+spans of lowest hash over the whole file, or ``PLAIN`` tokens where there is none.
+Windows are cut in tasks; only they reach the driver.  Labels come from the base
+patterns, and every training window is also shown with its neighbour features hidden, so that
 shape alone counts too.  All tokens of all texts are scored and decoded by
 Viterbi.
 
@@ -34,6 +36,8 @@ from slatekit.llm.common import Scratch, ship_package, table
 from slatekit.llm.crf import BEGIN, INSIDE, OUTSIDE, CRF, train, viterbi
 
 SAMPLE = 300            # training files with a base match, and as many without
+SPANS = 8               # labelled spans of a training file that are shown
+PLAIN = 2               # tokens shown of a training file without a label
 WINDOW = 12             # tokens on either side of a span in training
 CHUNK = 1 << 20         # bytes scored together
 
@@ -158,30 +162,40 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return doc, s - begin[doc], e - begin[doc], f
 
 
+def cut_windows(text: bytes, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of the tokens around the training spans of a file,
+    labelled by the base patterns."""
+    _, s, e, f = tokens([text])
+    y = np.full(len(s), OUTSIDE, np.int8)
+    for a, kind, b in base_spans(text):
+        if kind == 0:
+            a = b - len(ASSIGN.match(text, a).group(2))
+        hit = np.flatnonzero((s < b) & (e > a))
+        y[hit] = INSIDE
+        y[hit[:1]] = BEGIN
+    own = np.flatnonzero(y == BEGIN)
+    at = own if len(own) else np.arange(len(s))
+    salt = hashlib.blake2b(text, digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+    h = (s[at].astype(np.uint64) ^ np.frombuffer(salt, "<u8")) * np.uint64(_R)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(_R)
+    some = at[np.argsort(h ^ h >> np.uint64(32), kind="stable")[:SPANS if len(own) else PLAIN]]
+    return [(f[max(0, c - WINDOW):c + WINDOW + 1], y[max(0, c - WINDOW):c + WINDOW + 1]) for c in some]
+
+
 def fit(texts: list[bytes], seed: int = 3) -> CRF | None:
     """Train on texts labelled by the base patterns; None without a label."""
-    windows: list[tuple[np.ndarray, np.ndarray]] = []
-    rng = np.random.default_rng(seed)
-    found = False
-    for text in texts:
-        _, s, e, f = tokens([text])
-        y = np.full(len(s), OUTSIDE, np.int8)
-        for a, kind, b in base_spans(text):
-            if kind == 0:
-                a = b - len(ASSIGN.match(text, a).group(2))
-            hit = np.flatnonzero((s < b) & (e > a))
-            y[hit] = INSIDE
-            y[hit[:1]] = BEGIN
-        own = np.flatnonzero(y == BEGIN)
-        found |= len(own) > 0
-        for c in own[:8] if len(own) else rng.integers(0, len(s), 2 if len(s) else 0):
-            sl = slice(max(0, c - WINDOW), c + WINDOW + 1)
-            windows.append((f[sl], y[sl]))
-            bare = f[sl].copy()
-            bare[:, CONTEXT] = 0
-            windows.append((bare, y[sl]))
-    if not found:
+    return fit_windows([w for text in texts for w in cut_windows(text, seed)])
+
+
+def fit_windows(cut: list[tuple[np.ndarray, np.ndarray]]) -> CRF | None:
+    """The same on the windows cut from them, in any order."""
+    if not any((y == BEGIN).any() for _, y in cut):
         return None
+    windows: list[tuple[np.ndarray, np.ndarray]] = []
+    for f, y in sorted(cut, key=lambda w: (w[0].tobytes(), w[1].tobytes())):
+        bare = f.copy()
+        bare[:, CONTEXT] = 0
+        windows += [(f, y), (bare, y)]
     t = 2 * WINDOW + 1
     x = np.zeros((len(windows), t, FEATURES), np.uint8)
     y = np.full((len(windows), t), OUTSIDE, np.int64)
@@ -246,8 +260,17 @@ def _scan(model):
     return run
 
 
-def training_texts(docs: DataFrame, sample: int = SAMPLE) -> list[bytes]:
-    """The bounded sample: files of lowest hash with and without a base match."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cut = [w for text in batch.column("body").to_pylist() for w in cut_windows(text or b"")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f.tobytes() for f, _ in cut], pa.binary()), pa.array([y.tobytes() for _, y in cut], pa.binary())],
+            names=["f", "y"])
+
+
+def training_windows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows of the bounded sample: files of lowest hash with and without a
+    base match; at most 2 * ``sample`` * ``SPANS`` windows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hit = F.rlike(text, F.lit(
         r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}")) \
@@ -259,8 +282,11 @@ def training_texts(docs: DataFrame, sample: int = SAMPLE) -> list[bytes]:
     chosen = []
     for want in (F.col("hit"), ~F.col("hit")):
         chosen += [r["at"] for r in marks.where(want).select("at").distinct().orderBy("at").limit(sample).collect()]
-    rows = docs.where(F.xxhash64("text").isin(chosen)).select("text").distinct().collect() if chosen else []
-    return sorted((r["text"] or "").encode("utf-8", "surrogateescape") for r in rows)
+    if not chosen:
+        return []
+    texts = docs.where(F.xxhash64("text").isin(chosen)).select(F.col("text").cast("binary").alias("body")).distinct()
+    return [(np.frombuffer(r["f"], np.uint8).reshape(-1, FEATURES), np.frombuffer(r["y"], np.int8))
+            for r in texts.mapInArrow(_cut, "f binary, y binary").collect()]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +295,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = spark.sparkContext.broadcast(fit(training_texts(src)))
+    model = spark.sparkContext.broadcast(fit_windows(training_windows(src)))
     kind = docs.schema[id_col].dataType.simpleString()
     return src.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(
         _scan(model), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, "

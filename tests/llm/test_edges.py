@@ -119,6 +119,18 @@ def test_viterbi_against_all_paths():
             assert tuple(got[chain == c]) == max(itertools.product(range(3), repeat=n), key=score)
 
 
+def test_training_windows_from_the_whole_file(spark):
+    text = "plain words here password = hunter2a\n" * secret_scan.SPANS + f"more words {'0a1b' * 10} here\n" * 200
+    cut = secret_scan.cut_windows(text.encode())
+    assert len(cut) == secret_scan.SPANS and all(len(w) <= 2 * secret_scan.WINDOW + 1 for w, _ in cut)
+    assert any(w[y == crf.BEGIN][:, 5].any() for w, y in cut)        # a long one, behind the first SPANS
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "plain words only in this file")], "doc_id long, text string")
+    got = secret_scan.training_windows(docs)
+    assert len(got) == secret_scan.SPANS + secret_scan.PLAIN
+    want = cut + secret_scan.cut_windows(b"plain words only in this file")
+    assert sorted((a.tobytes(), b.tobytes()) for a, b in got) == sorted((a.tobytes(), b.tobytes()) for a, b in want)
+
+
 def test_crf_finds_held_out_and_unlisted_secrets():
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("aeinrst"), rng.integers(2, 9)))
