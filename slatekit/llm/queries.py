@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from slatekit.llm import (decontam, fingerprint, langid, licenses, mixing, neardup, pii, secret_scan,
-                          sharding, warc)
+from slatekit.llm import (decontam, fingerprint, hardneg, langid, licenses, merkle, mixing, neardup, pii,
+                          secret_scan, sharding, warc, wordpack)
 
 REGISTRY = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -16,6 +16,9 @@ REGISTRY = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_licenses": licenses.op9_licenses,
     "op10_warc": warc.op10_warc,
+    "op11_token_ids": wordpack.op11_token_ids,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "page_language_id": langid.page_language_id,
 }
 
@@ -24,4 +27,6 @@ SQL = {
     "op4_mixing": mixing.SQL,
     "op7_decontamination": decontam.SQL,
     "op10_warc": warc.SQL,
+    "op12_hard_negatives": hardneg.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
