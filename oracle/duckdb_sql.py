@@ -384,7 +384,7 @@ def _vocab_ctes(src: str, base: str, name: str = "vocab") -> str:
            FROM {name}_first)"""
 
 
-VOCAB = f"WITH {IMPS},{_vocab_ctes('flog', 'imps')}"
+VOCAB = f"WITH RECURSIVE {IMPS},{_vocab_ctes('flog', 'imps')}"
 
 SQL["vocab"] = VOCAB + "\nSELECT ns, value, id FROM vocab"
 SQL["vocab_sizes"] = VOCAB + "\nSELECT ns, count(*) AS n_values FROM vocab GROUP BY ns"
@@ -446,32 +446,62 @@ def h60(*keys: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', '42', {ks})), 1, 15))::BIGINT"
 
 
-SAMPLING = f"""
+_NEGS = f"""
 pos AS (SELECT split, user_id, imp_id AS list_id FROM flog WHERE label <> 0),
 neg AS (SELECT split, user_id, imp_id AS neg_id, {h60('imp_id')} AS h FROM flog WHERE label = 0),
 nidx AS (SELECT *, row_number() OVER (PARTITION BY split, user_id ORDER BY h, neg_id) - 1 AS j
          FROM neg),
 nu AS (SELECT split, user_id, count(*) AS n FROM neg GROUP BY ALL),
-p AS (SELECT pos.*, coalesce(nu.n, 0) AS n,
-             CASE WHEN nu.n > 0 THEN {h60('list_id')} % nu.n END AS o
-      FROM pos LEFT JOIN nu USING (split, user_id)),
-own AS (SELECT p.split, p.list_id, p.user_id, x.neg_id, 'own' AS src, t.t::INT AS t
-        FROM p CROSS JOIN range(9) t(t) JOIN nidx x
-          ON x.split = p.split AND x.user_id = p.user_id AND x.j = (p.o + t.t) % p.n
-        WHERE t.t < least(p.n, 9)),
 pool AS (SELECT split, neg_id, user_id AS owner,
                 row_number() OVER (PARTITION BY split ORDER BY h, neg_id) - 1 AS g FROM neg),
 gn AS (SELECT split, count(*) AS gsize FROM neg GROUP BY split),
-want AS (SELECT p.*, gn.gsize, {h60('list_id', "'pool'")} % gn.gsize AS o2
-         FROM p JOIN gn USING (split) WHERE p.n < 9),
-cand AS (SELECT w.split, w.list_id, w.user_id, w.n, u.u, pl.neg_id
-         FROM want w CROSS JOIN range(9) u(u) JOIN pool pl
-           ON pl.split = w.split AND pl.g = (w.o2 + u.u) % w.gsize
-         WHERE u.u < least(w.gsize, 9) AND pl.owner <> w.user_id),
+p AS (SELECT pos.*, coalesce(nu.n, 0) AS n, gn.gsize
+      FROM pos LEFT JOIN nu USING (split, user_id) LEFT JOIN gn USING (split))"""
+
+# Draws without replacement, from the definition: draw t of a positive is value t
+# of its permutation of 0..m-1 -- 8 Feistel rounds over the square of side
+# a = ceil(sqrt(m)), again and again until the value is below m.
+_EXACT = f"""
+tries AS (SELECT split, list_id, user_id, n, 'own' AS src, t, n AS m FROM p, range(9) t(t)
+          WHERE t < least(n, 9)
+          UNION ALL
+          SELECT split, list_id, user_id, n, 'pool', t, gsize FROM p, range(9) t(t)
+          WHERE n < 9 AND t < least(gsize, 9)),
+walk AS (
+  SELECT split, list_id, src, t, m, ceil(sqrt(m))::BIGINT AS a, 0 AS k,
+         t // ceil(sqrt(m))::BIGINT AS l, t % ceil(sqrt(m))::BIGINT AS r
+  FROM tries WHERE m > 9
+  UNION ALL
+  SELECT split, list_id, src, t, m, a, k % 8 + 1, r, (l + {h60('list_id', 'src', '(k % 8)', 'r')} % a) % a
+  FROM walk WHERE NOT (k = 8 AND l * a + r < m)),
+drawn AS MATERIALIZED (
+  SELECT x.split, x.list_id, x.user_id, x.n, x.src, x.t,
+         CASE WHEN x.m <= 9 THEN x.t ELSE w.l * w.a + w.r END AS i
+  FROM tries x LEFT JOIN walk w ON w.split = x.split AND w.list_id = x.list_id AND w.src = x.src
+                                AND w.t = x.t AND w.k = 8 AND w.l * w.a + w.r < w.m)"""
+
+# Consecutive indices from a hash offset.
+_ROTATE = f"""
+drawn AS MATERIALIZED (
+  SELECT split, list_id, user_id, n, 'own' AS src, t, ({h60('list_id')} % n + t) % n AS i
+  FROM p, range(9) t(t) WHERE t < least(n, 9)
+  UNION ALL
+  SELECT split, list_id, user_id, n, 'pool', t, ({h60('list_id', "'pool'")} % gsize + t) % gsize
+  FROM p, range(9) t(t) WHERE n < 9 AND t < least(gsize, 9))"""
+
+_PICKED = """
+own AS (SELECT d.split, d.list_id, d.user_id, x.neg_id, 'own' AS src, d.t::INT AS t
+        FROM drawn d JOIN nidx x ON x.split = d.split AND x.user_id = d.user_id AND x.j = d.i
+        WHERE d.src = 'own'),
+cand AS (SELECT d.split, d.list_id, d.user_id, d.n, d.t AS u, pl.neg_id
+         FROM drawn d JOIN pool pl ON pl.split = d.split AND pl.g = d.i
+         WHERE d.src = 'pool' AND pl.owner <> d.user_id),
 fill AS (SELECT split, list_id, user_id, neg_id, 'pool' AS src, (n + r - 1)::INT AS t
          FROM (SELECT *, row_number() OVER (PARTITION BY split, list_id ORDER BY u) AS r FROM cand)
          WHERE r <= 9 - n),
-negs AS (SELECT * FROM own UNION ALL SELECT * FROM fill),
+negs AS (SELECT * FROM own UNION ALL SELECT * FROM fill)"""
+
+SAMPLING = f"""{_NEGS},{_EXACT},{_PICKED},
 cands AS (
   SELECT *, (row_number() OVER (PARTITION BY split, list_id ORDER BY {h60('list_id', 'imp_id')}, imp_id)
              - 1)::BIGINT AS slot
@@ -479,6 +509,7 @@ cands AS (
         UNION ALL SELECT split, list_id, user_id, neg_id, 0 FROM negs))"""
 
 SQL["neg_sample"] = VOCAB + "," + SAMPLING + "\nSELECT split, list_id, neg_id, src, t FROM negs"
+SQL["neg_sample_rotate"] = VOCAB + f",{_NEGS},{_ROTATE},{_PICKED}" + "\nSELECT split, list_id, neg_id, src, t FROM negs"
 SQL["neg_fill"] = VOCAB + "," + SAMPLING + "\nSELECT split, list_id, neg_id, src, t FROM fill"
 SQL["candidates"] = VOCAB + "," + SAMPLING + "\nSELECT split, list_id, slot, imp_id, label FROM cands"
 SQL["shuffle_lists"] = VOCAB + "," + SAMPLING + f"""

@@ -3,21 +3,25 @@
 Randomness is a hash of a seed and the keys (md5), so every result is
 reproducible, independent of partitioning, and expressible in SQL.
 
-R1/R2 use the *rotate* scheme, O(9 P) and free of any positive x negative
-pairing: a user's negatives are put in hash order once (index j in
-0..n-1, a skew-safe ordered scan), and every positive takes ``min(9, n)``
-consecutive indices starting at ``hash(positive) mod n`` -- distinct items,
-no replacement.  Users with fewer than 9 negatives fill the rest from the
-split's pool (all negatives of the split, in hash order, index g) by taking 9
-consecutive pool indices from ``hash(positive, 'pool') mod G`` and skipping
-the user's own items, which leaves at least the 9 - n needed.  Every join is
-an equi-join on (split, user, j) or (split, g), keys that a hot user cannot
-concentrate.
+R1/R2 draw without replacement: a user's negatives are put in hash order once
+(index j in 0..n-1, a skew-safe ordered scan), and every positive has a
+permutation of its own over 0..n-1, of which it takes the first ``min(9, n)``
+values, so all sets of 9 are equally likely and nothing pairs positives with
+negatives.  Users with fewer than 9 negatives fill the rest from the split's pool
+(all negatives of the split, in hash order, index g): the first 9 values of
+another permutation, over the pool, without the user's own items, which leaves at
+least the 9 - n needed.  Every join is an equi-join on (split, user, j) or
+(split, g), keys that a hot user cannot concentrate.
+
+The permutation is a keyed Feistel network over a square just above n, walked
+along its cycle until the value is below n.  ``method="rotate"`` takes
+consecutive indices from a hash offset instead: only n different windows, but one
+hash a positive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatekit.config import CANDIDATE_NEG_NUM, DEFAULT_SEED
@@ -25,6 +29,11 @@ from slatekit.functions.exprs import hash60
 from slatekit.plans.indexing import dense_index
 
 KEYS = ["split", "user_id"]
+FEISTEL_ROUNDS = 8
+# Cycle steps of one draw.  A walk leaves the square's rim (fewer than 2 sqrt(n) + 1
+# values) after at most that many steps, which the bound covers up to n = 361;
+# beyond, a longer walk has a probability below 1e-30 and is an error.
+MAX_WALK = 40
 
 
 def _positives(log: DataFrame) -> DataFrame:
@@ -38,21 +47,60 @@ def _negatives(log: DataFrame, seed: str) -> DataFrame:
         hash60("imp_id", seed=seed).alias("h"))
 
 
-def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
-               seed: str = DEFAULT_SEED) -> DataFrame:
+def permuted(t: Column, n: Column, *keys: str | Column, seed: str = DEFAULT_SEED) -> Column:
+    """Value ``t`` of the permutation of 0..n-1 that belongs to ``keys``.
+
+    Round r of the network takes (l, r) to (r, l + hash(keys, round, r) mod a) over
+    an a x a square, a = ceil(sqrt(n)); a value of n or more is permuted again."""
+    n = n.cast("bigint")
+    a = F.ceil(F.sqrt(n)).cast("bigint")
+
+    def network(v: Column) -> Column:
+        half = F.struct(F.floor(v / a).cast("bigint").alias("l"), (v % a).alias("r"))
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(FEISTEL_ROUNDS - 1)), half,
+            lambda s, k: F.struct(s["r"].alias("l"),
+                                  ((s["l"] + hash60(*keys, k, s["r"], seed=seed) % a) % a).alias("r")),
+            lambda s: s["l"] * a + s["r"])
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(MAX_WALK), a * a - n + 1).cast("int")),
+                       network(t.cast("bigint")),
+                       lambda v, _: F.when(v < n, v).otherwise(network(v)))
+    return F.when(walk < n, walk).otherwise(
+        F.raise_error(F.lit("the cycle of a permutation is too long")).cast("bigint"))
+
+
+def _drawn(rows: DataFrame, n_col: str, kind: str, want: int, method: str, seed: str,
+           t_col: str, out_col: str) -> DataFrame:
+    """``min(want, n)`` rows for every row, each with another index of 0..n-1; a
+    row that takes all of them takes them in order."""
+    n = F.col(n_col)
+    offset = () if kind == "own" else (F.lit(kind),)
+    x = rows
+    if method == "rotate":
+        x = x.withColumn("_o", hash60("list_id", *offset, seed=seed) % n)
+    x = x.withColumn(t_col, F.explode(F.sequence(F.lit(0), F.least(n, F.lit(want)).cast("int") - 1)))
+    if method == "rotate":
+        return x.withColumn(out_col, (F.col("_o") + F.col(t_col)) % n).drop("_o")
+    if method != "exact":
+        raise ValueError(f"unknown sampling method {method!r}")
+    t = F.col(t_col)
+    return x.withColumn(out_col, F.when(n <= want, t.cast("bigint")).otherwise(
+        permuted(t, n, "list_id", F.lit(kind), seed=seed)))
+
+
+def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM, seed: str = DEFAULT_SEED,
+               method: str = "exact") -> DataFrame:
     """R1 + R2 (+J2): ``(split, list_id, user_id, neg_id, src, t)`` where
-    ``src`` is 'own' or 'pool' and ``t`` the pick order."""
+    ``src`` is 'own' or 'pool' and ``t`` the pick order.  ``method`` is
+    'exact' (uniform sets without replacement) or 'rotate'."""
     pos = _positives(log)
     neg = _negatives(log, seed)
     own_idx = dense_index(neg, ["h", "neg_id"], KEYS, "j")
     n_u = neg.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
 
-    p = pos.join(n_u, KEYS, "left").fillna(0, ["n"]).withColumn(
-        "o", F.when(F.col("n") > 0, hash60("list_id", seed=seed) % F.col("n")))
-    own_t = p.where(F.col("n") > 0).select(
-        *KEYS, "list_id", "n", "o",
-        F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(n_neg)) - 1)).alias("t"))
-    own = (own_t.withColumn("j", (F.col("o") + F.col("t")) % F.col("n"))
+    p = pos.join(n_u, KEYS, "left").fillna(0, ["n"])
+    own = (_drawn(p.where(F.col("n") > 0), "n", "own", n_neg, method, seed, "t", "j")
            .join(own_idx.select(*KEYS, "j", "neg_id"), [*KEYS, "j"])
            .select("split", "list_id", "user_id", "neg_id", F.lit("own").alias("src"), "t"))
 
@@ -60,14 +108,10 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
     short = p.where(F.col("n") < n_neg)
     pool = dense_index(neg, ["h", "neg_id"], ["split"], "g")
     g_n = neg.groupBy("split").agg(F.count(F.lit(1)).alias("G"))
-    want = (short.join(F.broadcast(g_n), "split")  # one row per split
-            .withColumn("o2", hash60("list_id", F.lit("pool"), seed=seed) % F.col("G"))
-            .select("split", "user_id", "list_id", "n", "G", "o2",
-                    F.explode(F.sequence(F.lit(0), F.least(F.col("G"), F.lit(n_neg)) - 1))
-                    .alias("u")))
-    cand = (want.withColumn("g", (F.col("o2") + F.col("u")) % F.col("G"))
-            .join(pool.select("split", "g", "neg_id", F.col("user_id").alias("owner")),
-                  ["split", "g"])
+    want = _drawn(short.join(F.broadcast(g_n), "split"),  # one row per split
+                  "G", "pool", n_neg, method, seed, "u", "g")
+    cand = (want.join(pool.select("split", "g", "neg_id", F.col("user_id").alias("owner")),
+                      ["split", "g"])
             .where(F.col("owner") != F.col("user_id")))
     r = F.row_number().over(Window.partitionBy("split", "list_id").orderBy("u"))  # <= 9 rows per list
     fill = (cand.withColumn("r", r).where(F.col("r") <= n_neg - F.col("n"))
@@ -76,14 +120,14 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
     return own.unionByName(fill)
 
 
-def candidates(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM,
-               seed: str = DEFAULT_SEED) -> DataFrame:
+def candidates(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM, seed: str = DEFAULT_SEED,
+               method: str = "exact") -> DataFrame:
     """U2 + R3: per list (one per positive) the positive (label 1) and its
     sampled negatives (label 0), shuffled by hash into slots 0..n.  A list is
     ``(split, list_id)``: ids may be numbered anew in every split."""
     pos = _positives(log).select("split", "list_id", "user_id",
                                  F.col("list_id").alias("imp_id"), F.lit(1).alias("label"))
-    negs = neg_sample(log, n_neg, seed).select("split", "list_id", "user_id",
+    negs = neg_sample(log, n_neg, seed, method).select("split", "list_id", "user_id",
                                                F.col("neg_id").alias("imp_id"),
                                                F.lit(0).alias("label"))
     allc = pos.unionByName(negs)

@@ -283,6 +283,13 @@ def q_neg_sample(spark, sf):
     return S.neg_sample(log).select("split", "list_id", "neg_id", "src", F.col("t").cast("int"))
 
 
+@query("neg_sample_rotate")
+def q_neg_sample_rotate(spark, sf):
+    log = I.prepare_log(_imps(spark, sf))
+    return S.neg_sample(log, method="rotate").select("split", "list_id", "neg_id", "src",
+                                                     F.col("t").cast("int"))
+
+
 @query("neg_fill")
 def q_neg_fill(spark, sf):
     return q_neg_sample(spark, sf).where(F.col("src") == "pool")

@@ -1,3 +1,6 @@
+import collections
+import math
+
 from pyspark.sql import functions as F
 
 from slatekit.operators import impressions as I
@@ -33,3 +36,48 @@ def test_lists_of_splits_with_the_same_ids_stay_apart(spark):
     per = S.candidates(log).groupBy("split", "list_id").agg(
         F.count("*").alias("n"), F.sum("label").alias("p"), F.max("slot").alias("last"))
     assert {(r["n"], r["p"], r["last"]) for r in per.collect()} == {(10, 1, 9)} and per.count() == 6
+
+
+def _chi_square(counts, cells, n):
+    """Standard deviations between the counts of equally likely cells and theirs."""
+    e = n / cells
+    x = sum((c - e) ** 2 / e for c in counts) + (cells - len(counts)) * e
+    return (x - (cells - 1)) / math.sqrt(2 * (cells - 1))
+
+
+def test_every_set_of_negatives_is_equally_likely(spark):
+    n_pos = 12_000
+    for n in (10, 11, 12):
+        log = spark.range(n_pos + n).select(
+            F.lit("train").alias("split"), F.lit(1).cast("long").alias("user_id"),
+            F.col("id").alias("imp_id"), (F.col("id") >= n).cast("int").alias("label"))
+        sets = collections.Counter(
+            tuple(r["s"]) for r in S.neg_sample(log).groupBy("list_id").agg(
+                F.sort_array(F.collect_list("neg_id")).alias("s")).collect())
+        assert sum(sets.values()) == n_pos and all(len({*s}) == 9 for s in sets)
+        assert abs(_chi_square(sets.values(), math.comb(n, 9), n_pos)) < 4
+        rotated = {tuple(r["s"]) for r in S.neg_sample(log, method="rotate").groupBy("list_id").agg(
+            F.sort_array(F.collect_list("neg_id")).alias("s")).collect()}
+        assert len(rotated) == n                       # windows only
+
+
+def test_fill_is_uniform_over_the_others_of_the_pool(spark):
+    rows = [("train", 1, i, 1) for i in range(4000)] + [("train", 1, 10_000 + i, 0) for i in range(7)]
+    rows += [("train", 2, 20_000 + i, 0) for i in range(6)]
+    log = spark.createDataFrame(rows, "split string, user_id long, imp_id long, label int")
+    fill = S.neg_sample(log).where("src = 'pool'").groupBy("list_id").agg(
+        F.sort_array(F.collect_list("neg_id")).alias("s")).collect()
+    pairs = collections.Counter(tuple(r["s"]) for r in fill)
+    assert all(len(p) == 2 and min(p) >= 20_000 for p in pairs)
+    assert abs(_chi_square(pairs.values(), math.comb(6, 2), 4000)) < 4
+
+
+def test_permutations_are_permutations(spark):
+    sizes = [1, 2, 3, 4, 5, 9, 10, 17, 100, 1000]
+    rows = spark.createDataFrame([(k, n) for n in sizes for k in range(3)], "list_id long, n long")
+    x = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    per = x.groupBy("list_id", "n").agg(F.sort_array(F.collect_list(
+        S.permuted(F.col("t"), F.col("n"), "list_id"))).alias("v")).collect()
+    assert len(per) == 3 * len(sizes) and all(r["v"] == list(range(r["n"])) for r in per)
+    big = spark.range(2000).select(S.permuted(F.col("id"), F.lit(10 ** 12 + 7), F.lit(5)).alias("v"))
+    assert big.distinct().count() == 2000 and big.agg(F.max("v")).first()[0] < 10 ** 12 + 7
