@@ -15,9 +15,10 @@ tail ``TAIL``.
 Documents are range-partitioned and sorted by id, so that file after file holds
 them in ascending order; a task starts another file at ``FILE_IDS`` ids and names
 files after its attempt, and only files of attempts that Spark commits are in the
-index.  Files go to the shared folder (``spark.checkpoint.dir``).  Texts are
-tokenized in pieces cut at spaces and line ends, which the tokenizer drops, so that
-memory grows with the longest run without any and not with the text.
+index.  Files go to the shared folder (``spark.checkpoint.dir``).  With a
+tokenizer that drops spaces and line ends, texts are tokenized in pieces cut there, so
+that memory grows with the longest run without any and not with the text, and each
+worker gives a run that repeats to the tokenizer once; with others, text by text.
 
 Defined results: a null text is empty and has the end id alone; null ids come
 first; rows with equal ids stand in the order of a hash of their texts, equal rows
@@ -32,9 +33,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,37 +52,72 @@ MAGIC = b"S8BIDS01"
 TAIL = struct.Struct("<QQQIII")     # ids, words, documents, blocks, foot bytes, CRC-32 of the foot
 
 BLOCK = 4096             # ids of one block
-BUFFER = 64 * BLOCK      # ids coded at a time
+BUFFER = 256 * BLOCK     # ids coded at a time
 FILE_IDS = 1 << 22       # ids of one file, about
-PIECE = 1 << 16          # characters of a text tokenized at a time, about
-BATCH = 1 << 19          # characters given to the tokenizer at once, about
+PIECE = 1 << 22          # characters of a text tokenized at a time, about
+BATCH = 1 << 23          # characters tokenized at once, about
+WORDS = 1 << 20          # distinct words a worker remembers, about
 END_ID = 2
+ENCODE = 1 << 12         # words in one call of the tokenizer
 SPACE = re.compile("[ \n]")
 
 INDEX = "part int, seq int, file string, docs long, ids long"
 
 
+def _ids_to_a_word() -> tuple[np.ndarray, np.ndarray]:
+    """By bit width of an id, and by room left in a block: the most ids that a
+    word may hold."""
+    bits, room = np.arange(65), np.arange(max(COUNTS) + 1)
+    fits = np.array([[c * b <= 60 for c in COUNTS] for b in bits])
+    by_width = np.where(fits.any(axis=1), np.array(COUNTS)[fits.argmax(axis=1)], 1)
+    by_room = np.array([max([c for c in COUNTS if c <= r], default=1) for r in room])
+    return by_width.astype(np.int8), by_room.astype(np.int8)
+
+
+BY_WIDTH, BY_ROOM = _ids_to_a_word()
+SMALL = 1 << 16
+BY_SMALL = BY_WIDTH[np.frexp(np.arange(SMALL, dtype=np.float64))[1]]
+
+
+def _most(ids: np.ndarray) -> np.ndarray:
+    if int(ids.max()) < SMALL:
+        return BY_SMALL[ids]
+    # rounding moves a width only where a word holds one id either way
+    return BY_WIDTH[np.frexp(ids.astype(np.float64))[1].clip(max=64)]
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of ids that begin a block."""
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    room = np.minimum(block - np.arange(n) % block, n - np.arange(n))
-    step = np.ones(n, np.int8)                                 # ids of the word that begins here
+    least = _most(ids)                 # over the ids of a window, of the most that each allows
+    step = np.ones(n, np.int8)         # ids of the word that begins here
+    held = 1
     for count in sorted(COUNTS)[1:]:
-        if count > n:
+        shift = count - held           # at most `held`, so two windows cover the longer one
+        if len(least) <= shift:
+            break
+        least, held = np.minimum(least[:-shift], least[shift:]), count
+        fits = least >= count
+        if not fits.any() and not (least > 1).any():
             break
-        wide = np.concatenate([[0], np.cumsum(ids >> np.uint64(60 // count) != 0)])
-        fits = np.flatnonzero((wide[count:] == wide[:-count]) & (room[:n - count + 1] >= count))
-        if not len(fits) and not (wide[1:] == wide[:-1]).any():
-            break                                              # no id is so narrow
-        step[fits] = count
-    starts, at, jump = [], 0, step.tolist()
-    while at < n:
-        starts.append(at)
-        at += jump[at]
-    starts = np.array(starts)
+        step[:len(least)][fits] = count
+    firsts = np.arange(0, n, block)
+    ends = np.minimum(firsts + block, n)
+    near = (ends[:, None] - np.arange(1, len(BY_ROOM))).ravel()
+    rooms = np.tile(BY_ROOM[1:], len(ends))[near >= np.repeat(firsts, len(BY_ROOM) - 1)]
+    near = near[near >= np.repeat(firsts, len(BY_ROOM) - 1)]
+    step[near] = np.minimum(step[near], rooms)
+    begins, at = np.zeros(n, bool), firsts        # all blocks are walked side by side
+    while len(at):
+        begins[at] = True
+        at = at + step[at]
+        live = at < ends
+        if not live.all():
+            at, ends = at[live], ends[live]
+    starts = np.flatnonzero(begins)
     counts = step[starts]
     big = (counts == 1) & (ids[starts] >> np.uint64(60) != 0)
     place = np.arange(len(starts)) + np.cumsum(big) - big      # an escape takes two words
@@ -87,9 +125,10 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     for selector, count in enumerate(COUNTS):
         mine = np.flatnonzero((counts == count) & ~big)
         if len(mine):
-            shift = np.arange(count, dtype=np.uint64) * np.uint64(60 // count)
-            held = ids[starts[mine][:, None] + np.arange(count)] << shift
-            words[place[mine]] = np.bitwise_or.reduce(held, axis=1) | np.uint64(selector << 60)
+            at, word = starts[mine], np.full(len(mine), selector << 60, np.uint64)
+            for k in range(count):
+                word |= ids[at + k] << np.uint64(k * (60 // count))
+            words[place[mine]] = word
     words[place[big]] = np.uint64(ESCAPE << 60)
     words[place[big] + 1] = ids[starts[big]]
     return words, place[starts % block == 0].astype(np.int64)
@@ -236,30 +275,96 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return out
 
 
+class Words(dict):
+    """Number of each remembered word (a run without spaces and line ends), and the
+    words' ids end to end.  Where the tokenizer drops white
+    space and joins nothing across it (``apart``), a text's ids are those of its
+    words."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        one, two = self.encoded(["ab", "cd."])
+        self.apart = self.encoded(["ab cd.", " ab\ncd. ", "  ab \n\n cd.\n"]) == [one + two] * 3
+        self.size = np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for k in range(0, len(texts), ENCODE)
+                for e in self.tokenizer.encode_batch_fast(texts[k:k + ENCODE], add_special_tokens=False)]
+
+    def trim(self, most: int) -> None:
+        """Forget all but the ``most`` words found in the most pieces of text."""
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[:most])
+        names = list(self)
+        self.flat = self.ids(keep)
+        self.size, self.hits = self.size[keep], self.hits[keep] // 2
+        self.first = np.cumsum(self.size) - self.size
+        self.clear()
+        self.update((names[k], n) for n, k in enumerate(keep.tolist()))
+
+    def numbers(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """The numbers of distinct words found so many times; new ones are
+        tokenized."""
+        out = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(out < 0)
+        if len(fresh):
+            new = [words[k] for k in fresh.tolist()]
+            out[fresh] = np.arange(len(self), len(self) + len(new))
+            self.update(zip(new, out[fresh].tolist()))
+            got = self.encoded(new)
+            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
+            self.first = np.cumsum(self.size) - self.size
+            self.hits = np.concatenate([self.hits, np.zeros(len(got), np.int64)])
+        self.hits[out] += counts
+        return out
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        end = np.cumsum(size)
+        at = np.repeat(self.first[numbers] - (end - size), size)
+        return self.flat[at + np.arange(len(at))]
+
+    def texts_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        numbers = self.numbers(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)))[at]
+        size = np.concatenate([[0], np.cumsum(self.size[numbers])])
+        cut = size[words.offsets.to_numpy()]
+        out = np.split(self.ids(numbers), cut[1:-1])
+        if len(self) > WORDS:
+            self.trim(WORDS // 2)
+        return out
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
+def words_of(path: str) -> Words:
+    return Words(path)
 
 
 def token_ids(path: str, texts: Iterator[str]) -> Iterator[tuple[int, np.ndarray]]:
     """(number of the text, ids) for the pieces of each text in turn."""
-    tok = tokenizer(path)
+    words = words_of(path)
+    if not words.apart:
+        for k, text in enumerate(texts):
+            yield k, np.array(words.encoded([text])[0], np.uint32)
+        return
     wait: list[tuple[int, str]] = []
     size = 0
-
-    def done() -> Iterator[tuple[int, np.ndarray]]:
-        for (k, _), e in zip(wait, tok.encode_batch_fast([p for _, p in wait], add_special_tokens=False)):
-            yield k, np.array(e.ids, np.uint32)
     for k, text in enumerate(texts):
         for p in pieces(text):
             wait.append((k, p))
             size += len(p)
             if size >= BATCH:
-                yield from done()
+                yield from zip([n for n, _ in wait], words.texts_ids([t for _, t in wait]))
                 wait, size = [], 0
-    yield from done()
+    if wait:
+        yield from zip([n for n, _ in wait], words.texts_ids([t for _, t in wait]))
 
 
 def _write(folder: str, path: str, end_id: int, file_ids: int):

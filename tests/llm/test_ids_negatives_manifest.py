@@ -77,6 +77,33 @@ def test_pieces_tokenize_like_the_whole():
             assert [i for p in parts for i in tok.encode(p, add_special_tokens=False).ids] == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_words_give_the_ids_of_the_text():
+    texts = ["Ünï don't  stop\n\n'tis 12345 <|endoftext|> é ́ ΣΑΣ. a\tb\x0bc d\u3000e " * 40, "", " ", "\n \n", "x" * 400, "a  b", None]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tok = Tokenizer.from_file(path)
+        assert wordpack.words_of(path).apart == (name == "word_bpe_49k.json")
+        for _ in range(2):
+            got = {}
+            for k, ids in wordpack.token_ids(path, (t or "" for t in texts)):
+                got.setdefault(k, []).extend(ids.tolist())
+            assert [got[k] for k in range(len(texts))] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(wordpack, "WORDS", 3)
+    monkeypatch.setattr(wordpack, "BATCH", 5)
+    monkeypatch.setattr(wordpack, "PIECE", 4)
+    monkeypatch.setattr(wordpack, "ENCODE", 2)
+    wordpack.words_of.cache_clear()
+    tok, texts = Tokenizer.from_file(PATH), ["one two three four five", "six one seven two", "one"] * 3
+    got = {}
+    for k, ids in wordpack.token_ids(PATH, iter(texts)):
+        got.setdefault(k, []).extend(ids.tolist())
+        assert len(wordpack.words_of(PATH)) <= 3
+    assert [got[k] for k in range(len(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def brute_ids(rows):
     tok, start, out = Tokenizer.from_file(PATH), 0, []
     for key, text in rows:
