@@ -334,6 +334,36 @@ card AS (SELECT stage, split, count(DISTINCT user_id) AS n_users, count(*) AS n_
          FROM st GROUP BY ALL)
 SELECT * FROM card JOIN lad USING (stage, split)"""
 
+_LADDER_ROWS = " UNION ALL ".join(
+    f"SELECT stage, split, 'ladder', '{k}', count(*) FILTER (WHERE {c}), count(*) FILTER (WHERE {c}) / count(*)"
+    f" FROM uc GROUP BY stage, split" for k, c in _LADDER_RUNGS.items())
+_BUCKETS = {"e0": "hist_len = 0", "le5": "hist_len BETWEEN 1 AND 5", "le10": "hist_len BETWEEN 6 AND 10", "g10": "hist_len > 10"}
+_BUCKET_ROWS = " UNION ALL ".join(
+    f"SELECT stage, split, 'hist', '{k}', count(*) FILTER (WHERE {c}), count(*) FILTER (WHERE {c}) / count(*)"
+    f" FROM st WHERE label <> 0 GROUP BY stage, split" for k, c in _BUCKETS.items())
+
+SQL["profile_full"] = f"""
+WITH {IMPS},
+st AS (SELECT 'before' AS stage, * FROM imps UNION ALL SELECT 'after', * FROM flog),
+uc AS (SELECT stage, split, user_id, count(*) FILTER (WHERE label <> 0) AS p,
+              count(*) FILTER (WHERE label = 0) AS n FROM st GROUP BY ALL),
+ct AS (SELECT stage, split, 'cate_item' AS section, bc_type AS name FROM st
+       UNION ALL SELECT stage, split, 'cate_pos', bc_type FROM st WHERE label <> 0
+       UNION ALL SELECT stage, split, 'cate_hist', step[6] FROM
+         (SELECT stage, split, unnest(hist) AS step FROM st WHERE label <> 0)),
+cc AS (SELECT stage, split, section, name, count(*) AS n FROM ct GROUP BY ALL),
+parts(stage, split, section, name, value, share) AS (
+  SELECT stage, split, 'card', 'n_users', count(DISTINCT user_id)::DOUBLE, NULL::DOUBLE FROM st GROUP BY stage, split
+  UNION ALL SELECT stage, split, 'card', 'n_items', count(*), NULL FROM st GROUP BY stage, split
+  UNION ALL SELECT stage, split, 'card', 'n_pos', count(*) FILTER (WHERE label <> 0),
+    count(*) FILTER (WHERE label <> 0) / count(*) FROM st GROUP BY stage, split
+  UNION ALL {_LADDER_ROWS}
+  UNION ALL {_BUCKET_ROWS}
+  UNION ALL SELECT stage, split, 'hist', 'total_len', sum(hist_len), NULL FROM st WHERE label <> 0 GROUP BY stage, split
+  UNION ALL SELECT stage, split, 'hist', 'avg_len', avg(hist_len), NULL FROM st WHERE label <> 0 GROUP BY stage, split
+  UNION ALL SELECT stage, split, section, name, n, n / sum(n) OVER (PARTITION BY stage, split, section) FROM cc)
+SELECT stage, split, section, name, round(value, 6) AS value, round(share, 6) AS share FROM parts"""
+
 SQL["pad_history"] = f"""
 WITH {IMPS}
 SELECT imp_id, least(len(hist), 30)::INT AS hist_len,
@@ -438,6 +468,32 @@ UNION ALL
 SELECT ns, value, ((SELECT coalesce(max(id), 0) FROM base)
                    + row_number() OVER (ORDER BY ord, ns, value))::BIGINT FROM fresh"""
 
+
+
+def _day(name: str, rows: str) -> str:
+    """The filtered log of one day and its vocabulary's first appearances."""
+    return f"""
+{name}_in AS (SELECT * FROM imps WHERE {rows}),
+{name}_h AS (SELECT * FROM {name}_in WHERE label = 0 OR hist_len > 0),
+{name}_log AS (SELECT * FROM {name}_h WHERE (split, user_id) IN (
+          SELECT split, user_id FROM {name}_h GROUP BY ALL
+          HAVING count(*) FILTER (WHERE label <> 0) >= 1 AND count(*) FILTER (WHERE label = 0) >= 1)),
+{_vocab_ctes(f"{name}_log", f"{name}_in", name)}"""
+
+
+SQL["vocab_days"] = f"""
+WITH {IMPS},{_day("d0", "split = 'train'")},
+{_day("d1", "split = 'test' AND (imp_id // 5) % 2 = 0")},
+{_day("d2", "split = 'test' AND (imp_id // 5) % 2 = 1")},
+v0 AS (SELECT ns, value, id, 0 AS segment FROM d0),
+v1 AS (SELECT * FROM v0 UNION ALL
+       SELECT ns, value, ((SELECT coalesce(max(id), 0) FROM v0) + row_number() OVER (ORDER BY phase, so, pos, sub))::BIGINT, 1
+       FROM d1_first WHERE (ns, value) NOT IN (SELECT ns, value FROM v0)),
+v2 AS (SELECT * FROM v1 UNION ALL
+       SELECT ns, value, ((SELECT coalesce(max(id), 0) FROM v1) + row_number() OVER (ORDER BY phase, so, pos, sub))::BIGINT, 2
+       FROM d2_first WHERE (ns, value) NOT IN (SELECT ns, value FROM v1))
+SELECT ns, value, id, segment FROM v2"""
+
 # ------------------------------------------------------------------ sampling / lists
 
 
@@ -585,16 +641,17 @@ SELECT list_id,
 FROM ds"""
 
 _CSPLIT = DATASET + f""",
-slots AS (SELECT d.list_id, s.i, d.candi[s.i] AS item, d.labels[s.i] AS label, m.cate_idx
-          FROM ds d CROSS JOIN LATERAL (SELECT unnest(range(1, len(d.candi) + 1)) AS i) s
+dk AS (SELECT *, split || ':' || list_id::VARCHAR AS key FROM ds),
+slots AS (SELECT d.key, s.i, d.candi[s.i] AS item, d.labels[s.i] AS label, m.cate_idx
+          FROM dk d CROSS JOIN LATERAL (SELECT unnest(range(1, len(d.candi) + 1)) AS i) s
           JOIN cmap m ON m.cate_id = d.candi[s.i][6]),
-grid AS (SELECT d.list_id, c.c FROM ds d CROSS JOIN range(3) c(c)),
-per AS (SELECT g.list_id, g.c,
+grid AS (SELECT d.key, d.split, d.list_id, c.c FROM dk d CROSS JOIN (SELECT cate_idx AS c FROM cmap) c),
+per AS (SELECT g.key, g.split, g.list_id, g.c,
                coalesce(list(s.item ORDER BY s.i) FILTER (WHERE s.item IS NOT NULL), []) AS items,
                coalesce(list(s.label ORDER BY s.i) FILTER (WHERE s.item IS NOT NULL), []) AS lbs
-        FROM grid g LEFT JOIN slots s ON s.list_id = g.list_id AND s.cate_idx = g.c
-        GROUP BY g.list_id, g.c),
-pad AS (SELECT list_id, c, least(len(items), 10) AS n,
+        FROM grid g LEFT JOIN slots s ON s.key = g.key AND s.cate_idx = g.c
+        GROUP BY ALL),
+pad AS (SELECT key, split, list_id, c, least(len(items), 10) AS n,
                items[1:10] || list_transform(range(greatest(10 - len(items), 0)), lambda i: {_Z7})
                  AS items,
                lbs[1:10] || list_transform(range(greatest(10 - len(lbs), 0)), lambda i: 0) AS lbs
@@ -604,10 +661,10 @@ SQL["cate_split_candidates"] = _CSPLIT + f"""
 SELECT list_id, string_agg({ids('items')}, '|' ORDER BY c) AS candi_c,
        string_agg(array_to_string(lbs, ','), '|' ORDER BY c) AS labels_c,
        string_agg(n::VARCHAR, ',' ORDER BY c) AS candi_len_c
-FROM pad GROUP BY list_id"""
+FROM pad GROUP BY key, list_id"""
 
 SQL["slot_layout"] = _CSPLIT + """
-SELECT list_id, (c * 10 + p.i - 1)::BIGINT AS slot, c::INT AS cate,
+SELECT split, list_id, (c * 10 + p.i - 1)::BIGINT AS slot, c::INT AS cate,
        array_to_string(items[p.i], ',') AS item, lbs[p.i] AS label,
        CASE WHEN p.i - 1 < n THEN 1 ELSE 0 END AS mask
 FROM pad CROSS JOIN range(1, 11) p(i)"""
@@ -616,7 +673,7 @@ SQL["cate_split_history"] = DATASET + f""",
 hs AS (SELECT d.list_id, s.i, d.hist[s.i] AS step, m.cate_idx
        FROM ds d CROSS JOIN LATERAL (SELECT unnest(range(1, d.hist_len + 1)) AS i) s
        JOIN cmap m ON m.cate_id = d.hist[s.i][6]),
-grid AS (SELECT d.list_id, c.c FROM ds d CROSS JOIN range(3) c(c)),
+grid AS (SELECT d.list_id, c.c FROM ds d CROSS JOIN (SELECT cate_idx AS c FROM cmap) c),
 per AS (SELECT g.list_id, g.c,
                coalesce(list(h.step ORDER BY h.i) FILTER (WHERE h.step IS NOT NULL), []) AS st
         FROM grid g LEFT JOIN hs h ON h.list_id = g.list_id AND h.cate_idx = g.c
@@ -777,7 +834,7 @@ kept AS (SELECT * FROM aged WHERE age < 20),
 pooled AS (SELECT a.list_id, a.cate, k.k, sum(pow(0.8, a.age) * k.x) AS x, count(*) AS n
            FROM kept a JOIN kd k ON k.list_id = a.list_id AND k.step = a.step
            GROUP BY a.list_id, a.cate, k.k),
-grid AS (SELECT d.list_id, c.c::INT AS cate FROM ds d CROSS JOIN range(3) c(c))
+grid AS (SELECT d.list_id, c.c::INT AS cate FROM ds d CROSS JOIN (SELECT cate_idx AS c FROM cmap) c)
 SELECT g.list_id, g.cate, coalesce(max(p.n), 0)::BIGINT AS n_steps, 64::INT AS dim,
        round(sqrt(coalesce(sum(p.x * p.x), 0)), 6) AS norm, round(coalesce(sum(p.x), 0), 6) AS vsum
 FROM grid g LEFT JOIN pooled p ON p.list_id = g.list_id AND p.cate = g.cate
@@ -849,14 +906,13 @@ SELECT 7 AS itm_fnum, (SELECT count(*) FROM cm)::INT AS cate_num, 10 AS list_len
                                  ORDER BY id::VARCHAR) || ']' FROM cm) AS cate_idx_map"""
 
 REQUESTS = _CSPLIT + f""",
-mr AS (SELECT d.list_id, d.usr, d.hist_len,
-              (SELECT list(n ORDER BY c) FROM pad WHERE pad.list_id = d.list_id) AS candi_len,
-              (SELECT list(lbs ORDER BY c) FROM pad WHERE pad.list_id = d.list_id) AS lb
-       FROM ds d),
-rec AS (SELECT list_id::VARCHAR AS key, 'user-tracking' AS topic,
-               ({h60('list_id')} % 4)::INT AS part, list_id, usr, candi_len, lb,
+mr AS (SELECT d.key, d.usr, d.hist_len,
+              (SELECT list(n ORDER BY c) FROM pad WHERE pad.key = d.key) AS candi_len,
+              (SELECT list(lbs ORDER BY c) FROM pad WHERE pad.key = d.key) AS lb
+       FROM dk d),
+rec AS (SELECT key, 'user-tracking' AS topic, ({h60('key')} % 4)::INT AS part, usr, candi_len, lb,
                least(greatest(hist_len - 3, 0), 30)::INT AS uhl FROM mr),
-recs AS (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY list_id) - 1)::BIGINT AS "offset"
+recs AS (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY key) - 1)::BIGINT AS "offset"
          FROM rec)"""
 
 SQL["request_publish"] = REQUESTS + """
@@ -877,18 +933,50 @@ SQL["request_quarantine"] = REQUESTS + """
 SELECT 'parsed' AS kind, count(*) AS n FROM recs
 UNION ALL SELECT 'quarantine', count(*) FROM recs"""
 
-_W = (0.8, -0.5, 0.3, 0.6, -0.2, 0.4, 0.1)
-_Z = " + ".join(f"{w} * ((items[p.i][{f + 1}] % 97) / 97.0)" for f, w in enumerate(_W))
-# -0.3 + t0 + t1 + ... associates left to right, as the scorer sums
+def _linear(weights, bias) -> str:
+    """The linear scorer's formula; bias + t0 + t1 + ... associates left to right,
+    as the scorer sums."""
+    z = " + ".join(f"{w} * ((items[p.i][{f + 1}] % 97) / 97.0)" for f, w in enumerate(weights))
+    return f"round(1.0 / (1.0 + exp(-({bias} + {z}))), 12)"
+
+
+_FIRST = _linear((0.8, -0.5, 0.3, 0.6, -0.2, 0.4, 0.1), -0.3)
+_SECOND = _linear((-0.2, 0.7, 0.1, -0.4, 0.5, 0.3, -0.6), 0.2)
 SCORES = _CSPLIT + f""",
-sc AS (SELECT list_id::VARCHAR AS key, (c * 10 + p.i - 1)::BIGINT AS slot,
-              CASE WHEN p.i - 1 < n THEN round(1.0 / (1.0 + exp(-(-0.3 + {_Z}))), 12) ELSE 0.0 END
-                AS pred
+sc AS (SELECT key, (c * 10 + p.i - 1)::BIGINT AS slot,
+              CASE WHEN p.i - 1 < n THEN {_FIRST} ELSE 0.0 END AS pred
        FROM pad CROSS JOIN range(1, 11) p(i))"""
 
 SQL["batch_score"] = SCORES + "\nSELECT key, slot, round(pred, 6) AS pred FROM sc"
 SQL["stream_score"] = SCORES + "\nSELECT key, slot, round(pred, 6) AS pred FROM sc"
 
+SQL["stream_versions"] = _CSPLIT + f"""
+SELECT key, (c * 10 + p.i - 1)::BIGINT AS slot,
+       round(CASE WHEN p.i - 1 >= n THEN 0.0 WHEN {h60('key')} % 4 < 2 THEN {_FIRST} ELSE {_SECOND} END, 6) AS pred
+FROM pad CROSS JOIN range(1, 11) p(i)"""
+
+SQL["paced_replay"] = REQUESTS + """
+SELECT key, topic, part AS partition, "offset", 1::BIGINT AS n FROM recs"""
+
+# dense features by the ids they are made of; padding adds nothing
+SQL["request_dense"] = _CSPLIT + f""",
+item AS (SELECT key, string_agg({ids('items')}, '|' ORDER BY c) AS candi,
+                sum(list_sum(list_transform(items, lambda f: (f[1] % 97) / 97 + (f[7] % 97) / 97))) AS item
+         FROM pad GROUP BY key),
+steps AS (SELECT d.key, s.i, d.hist_len, (d.hist[s.i][2] % 97) / 97 AS x, m.cate_idx
+          FROM dk d CROSS JOIN LATERAL (SELECT unnest(range(1, d.hist_len + 1)) AS i) s
+          LEFT JOIN cmap m ON m.cate_id = d.hist[s.i][6]),
+aged AS (SELECT *, row_number() OVER (PARTITION BY key, cate_idx ORDER BY i DESC) AS age FROM steps),
+hist AS (SELECT key, sum(CASE WHEN cate_idx IS NOT NULL AND age <= 20 THEN x END) AS cate,
+                sum(CASE WHEN i <= hist_len - 3 THEN x END) AS uni FROM aged GROUP BY key)
+SELECT key, candi, round(item, 6) AS item, round(coalesce(cate, 0), 6) AS cate,
+       round(coalesce(uni, 0), 6) AS uni
+FROM item LEFT JOIN hist USING (key)"""
+
+SQL["serve_fitted"] = _CSPLIT + """
+SELECT mode, sum(n)::BIGINT AS n_slots, sum(n)::BIGINT AS n_equal, sum(n)::BIGINT AS n_in_range
+FROM pad CROSS JOIN (SELECT unnest(['batch', 'stream']) AS mode) GROUP BY mode"""
+
 # ------------------------------------------------------------------ learning / selection
 SQL["metrics_compare"] = f"""
 WITH {SERVED},{lm_ctes("served", "slot + 1", "i_")},{lm_ctes("served", RANK_ORDER, "r_")}
@@ -924,7 +1012,7 @@ def _run_ctes() -> str:
     return ",".join(parts) + f",\nrm AS ({union})"
 
 
-SQL["best_run"] = f"""
+SQL["ranker_select"] = f"""
 WITH {SERVED},{_run_ctes()}
 SELECT metric, 'max' AS direction, arg_max(run, value) AS best_run, round(max(value), 6) AS best_value
 FROM rm WHERE metric = 'ndcg@5' GROUP BY metric
@@ -932,7 +1020,7 @@ UNION ALL
 SELECT metric, 'min', arg_min(run, value), round(min(value), 6) FROM rm WHERE metric = 'js'
 GROUP BY metric"""
 
-SQL["early_stop"] = BATCHED + f""",{lm_ctes("slots", RANK_ORDER, "e_", (5,))},
+SQL["batch_early_stop"] = BATCHED + f""",{lm_ctes("slots", RANK_ORDER, "e_", (5,))},
 ev AS (SELECT b.batch AS step, b.batch // 2 AS epoch, avg(m.ndcg) AS value
        FROM e_lm m JOIN (SELECT DISTINCT list_id, batch FROM slots) b USING (list_id)
        GROUP BY b.batch),
@@ -947,16 +1035,62 @@ FROM pr"""
 
 # ------------------------------------------------------------------ scored lists
 SCORED = SCORES + """,
-lab AS (SELECT list_id, (c * 10 + p.i - 1)::BIGINT AS slot, lbs[p.i] AS label,
+lab AS (SELECT key, (c * 10 + p.i - 1)::BIGINT AS slot, c AS cate, lbs[p.i] AS label,
                CASE WHEN p.i - 1 < n THEN 1 ELSE 0 END AS mask
         FROM pad CROSS JOIN range(1, 11) p(i)),
-ss AS (SELECT l.list_id, l.slot, s.pred, l.label, l.mask
-       FROM sc s JOIN lab l ON l.list_id = s.key::BIGINT AND l.slot = s.slot)"""
+ss AS (SELECT l.key AS list_id, l.slot, l.cate, s.pred, l.label, l.mask
+       FROM sc s JOIN lab l ON l.key = s.key AND l.slot = s.slot)"""
 
-SQL["scored_metrics"] = SCORED + "," + lm_ctes("ss", RANK_ORDER, "s_")[1:] + """
+_MEANS = """
 SELECT k, count(*) AS n_lists, round(avg(ndcg), 6) AS ndcg, round(avg(map), 6) AS map,
        round(avg(utility), 6) AS utility
-FROM s_lm GROUP BY k"""
+FROM {p}lm GROUP BY k"""
+
+SQL["scored_metrics"] = SCORED + "," + lm_ctes("ss", RANK_ORDER, "s_")[1:] + _MEANS.format(p="s_")
+SQL["slot_order_metrics"] = SCORED + "," + lm_ctes("ss", "slot + 1", "s_")[1:] + _MEANS.format(p="s_")
+SQL["csv_scored_metrics"] = (SCORED + "," + lm_ctes("ss", RANK_ORDER, "s_")[1:] + """
+SELECT k, count(*) AS n_lists, round(avg(ndcg), 6) AS ndcg, round(avg(map), 6) AS map,
+       round(avg(utility), 6) AS utility, (SELECT count(*) FROM lab) AS n_slots
+FROM s_lm GROUP BY k""").replace(IMPS, CSV_IMPS)
+
+SQL["graded_metrics"] = f"""
+WITH {SERVED},
+graded AS (SELECT list_id, slot, pred, (item_id % 5)::INT AS label FROM served),""" + lm_ctes(
+    "graded", RANK_ORDER, "g_") + _MEANS.format(p="g_")
+
+
+def js_ctes(src: str, order: str, p: str) -> str:
+    """JS divergence of the top five's categories from the target: CTE ``{p}js``."""
+    return f"""
+{p}top AS (SELECT cate FROM (SELECT cate, {order} AS r FROM {src}) WHERE r <= 5),
+{p}cnt AS (SELECT g.cate, g.target, count(t.cate) AS e
+           FROM (VALUES (0, 0.5::DOUBLE), (1, 0.4::DOUBLE), (2, 0.1::DOUBLE)) g(cate, target)
+           LEFT JOIN {p}top t ON g.cate = t.cate GROUP BY g.cate, g.target),
+{p}d AS (SELECT target AS p, e / sum(e) OVER () AS q FROM {p}cnt),
+{p}js AS (SELECT 0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END)
+               + 0.5 * sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) AS js FROM {p}d)"""
+
+
+SQL["scored_exposure_js"] = SCORED + "," + js_ctes("ss", RANK_ORDER, "r_") + "," + js_ctes("ss", "slot + 1", "i_") + """
+SELECT 'rerank' AS stage, round(js, 6) AS js FROM r_js UNION ALL SELECT 'initial', round(js, 6) FROM i_js"""
+
+# every positive against every negative, by score
+_MASKED_PAIRS = """,
+pp AS (SELECT pred, count(*) AS c FROM ss WHERE mask = 1 AND label >= 1 GROUP BY pred),
+nn AS (SELECT pred, count(*) AS c FROM ss WHERE mask = 1 AND label < 1 GROUP BY pred),
+tot AS (SELECT (SELECT sum(c) FROM pp) * (SELECT sum(c) FROM nn) AS pairs)"""
+SQL["scored_auc"] = SCORED + _MASKED_PAIRS + """
+SELECT round((SELECT sum(p.c * n.c * CASE WHEN n.pred = p.pred THEN 0.5 ELSE 1 END)
+              FROM pp p JOIN nn n ON n.pred <= p.pred) / (SELECT pairs FROM tot), 6) AS auc"""
+SQL["scored_auc_binned"] = SCORED + _MASKED_PAIRS + """,
+pb AS (SELECT least(floor(pred * 64), 63) AS b, sum(c) AS c FROM pp GROUP BY b),
+nb AS (SELECT least(floor(pred * 64), 63) AS b, sum(c) AS c FROM nn GROUP BY b),
+w AS (SELECT (SELECT sum(p.c * n.c) FROM pb p JOIN nb n ON n.b < p.b) / pairs AS won,
+             (SELECT sum(p.c * n.c) FROM pb p JOIN nb n ON n.b = p.b) / pairs AS opened FROM tot)
+SELECT round(coalesce(won, 0), 6) AS auc_low, round(coalesce(won, 0) + 0.5 * coalesce(opened, 0), 6) AS auc,
+       round(coalesce(won, 0) + coalesce(opened, 0), 6) AS auc_high, round(0.5 * coalesce(opened, 0), 6) AS error,
+       1 AS inside
+FROM w"""
 
 SQL["log_loss_slots"] = SCORED + """
 SELECT round(-avg(label * ln(pred + 1e-7) + (1 - label) * ln(1 - pred + 1e-7))
@@ -964,6 +1098,87 @@ SELECT round(-avg(label * ln(pred + 1e-7) + (1 - label) * ln(1 - pred + 1e-7))
        round(-avg(label * ln(pred + 1e-7) + (1 - label) * ln(1 - pred + 1e-7)), 6) AS unmasked
 FROM ss"""
 
+# ------------------------------------------------------------------ training runs
+_RATES = {"rate_1": 1.0, "rate_03": 0.3}
+_EVALS, _BETWEEN = 2, 2
+
+
+def _gradient_run(run: str, rate: float) -> str:
+    """Weights w<k> after k steps of gradient descent on the mean log loss, and the
+    evaluation of every second step."""
+    pred = lambda k: "1 / (1 + exp(-(b.b" + "".join(
+        f" + coalesce(w{f}.w, 0)" for f in range(7)) + ")))"
+    joins = lambda k: f"CROSS JOIN (SELECT coalesce(sum(w), 0) AS b FROM {run}_w{k} WHERE field = -1) b" + "".join(
+        f"\n  LEFT JOIN {run}_w{k} w{f} ON w{f}.field = {f} AND w{f}.id = x.f{f}" for f in range(7))
+    out = [f"{run}_w0 AS (SELECT 0 AS field, 0::BIGINT AS id, 0.0::DOUBLE AS w WHERE false)"]
+    for k in range(_EVALS * _BETWEEN):
+        moves = "\n  UNION ALL ".join(f"SELECT {f}, f{f}, sum(g) FROM {run}_g{k} GROUP BY f{f}" for f in range(7))
+        out.append(f"""
+{run}_g{k} AS MATERIALIZED (SELECT x.*, {pred(k)} - x.label AS g FROM tr x {joins(k)}),
+{run}_w{k + 1} AS MATERIALIZED (
+  SELECT field, id, sum(w) AS w FROM (
+    SELECT field, id, w FROM {run}_w{k}
+    UNION ALL SELECT field, id, -{rate}::DOUBLE * g / (SELECT count(*) FROM tr) FROM (
+      SELECT -1 AS field, 0::BIGINT AS id, sum(g) AS g FROM {run}_g{k}
+  UNION ALL {moves}))
+  GROUP BY field, id)""")
+    for e in range(_EVALS + 1):
+        k, p = e * _BETWEEN, f"{run}_{e}_"
+        out.append(f"""
+{p}src AS MATERIALIZED (
+  SELECT x.split, x.list_id AS own, x.split || ':' || x.list_id AS list_id, x.slot, x.cate, x.label,
+         round({pred(k)}, 10) AS pred FROM te x {joins(k)}),{lm_ctes(p + "src", RANK_ORDER, p, (5,))},{js_ctes(p + "src", RANK_ORDER, p)},
+{p}byp AS (SELECT pred, sum(label) AS pc, sum(1 - label) AS nc FROM {p}src GROUP BY pred),
+{p}auc AS (SELECT sum(pc * (below + 0.5 * nc)) / (sum(pc) * sum(nc)) AS auc FROM (
+             SELECT *, coalesce(sum(nc) OVER (ORDER BY pred ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               AS below FROM {p}byp)),
+{p}rl AS (
+  SELECT '{run}' AS run, {k}::BIGINT AS step, {e}::BIGINT AS epoch, metric, value FROM (
+    SELECT 'ndcg@5' AS metric, avg(ndcg) AS value FROM {p}lm UNION ALL SELECT 'map@5', avg(map) FROM {p}lm
+    UNION ALL SELECT 'js', js FROM {p}js UNION ALL SELECT 'auc', auc FROM {p}auc
+    UNION ALL SELECT 'log_loss', -avg(label * ln(pred + 1e-7) + (1 - label) * ln(1 - pred + 1e-7)) FROM {p}src)),
+{p}out AS (SELECT DISTINCT '{run}' AS run, {k}::BIGINT AS step, s.split, s.own AS list_id, m.k, m.ndcg, m.map, m.utility
+           FROM {p}lm m JOIN {p}src s USING (list_id))""")
+    return ",\n".join(out)
+
+
+_STEPS = [f"{r}_{e}_" for r in _RATES for e in range(_EVALS + 1)]
+TRAINED = DATASET + """,
+sl AS MATERIALIZED (
+  SELECT d.split, d.list_id, s.i - 1 AS slot, d.labels[s.i] AS label, m.cate_idx AS cate,
+         d.candi[s.i][1] AS f0, d.candi[s.i][2] AS f1, d.candi[s.i][3] AS f2, d.candi[s.i][4] AS f3,
+         d.candi[s.i][5] AS f4, d.candi[s.i][6] AS f5, d.candi[s.i][7] AS f6
+  FROM ds d CROSS JOIN LATERAL (SELECT unnest(range(1, len(d.candi) + 1)) AS i) s
+  JOIN cmap m ON m.cate_id = d.candi[s.i][6]),
+tr AS MATERIALIZED (SELECT * FROM sl WHERE split = 'train'),
+te AS MATERIALIZED (SELECT * FROM sl WHERE split = 'test'),
+""" + ",\n".join(_gradient_run(r, rate) for r, rate in _RATES.items()) + """,
+rl AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT * FROM {p}rl" for p in _STEPS) + """),
+mon AS (SELECT run, step, value, max(value) OVER (PARTITION BY run ORDER BY step
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM rl WHERE metric = 'ndcg@5')"""
+
+SQL["run_log"] = TRAINED + "\nSELECT run, step, epoch, metric, round(value, 6) AS value FROM rl"
+SQL["run_list_metrics"] = TRAINED + """
+SELECT o.run, o.step, split, list_id, k, round(ndcg, 6) AS ndcg, round(map, 6) AS map, round(utility, 6) AS utility
+FROM (""" + " UNION ALL ".join(f"SELECT * FROM {p}out" for p in _STEPS) + """) o
+JOIN mon ON mon.run = o.run AND mon.step = o.step WHERE prev IS NULL OR value > prev"""
+_PICK = """
+SELECT metric, '{d}' AS direction, run AS best_run, step AS best_step, round(value, 6) AS best_value FROM (
+  SELECT * FROM rl WHERE metric = '{m}' ORDER BY value {o}, run, step LIMIT 1)"""
+SQL["best_run"] = TRAINED + " UNION ALL ".join(
+    _PICK.format(m=m, d=d, o="DESC" if d == "max" else "ASC")
+    for m, d in (("ndcg@5", "max"), ("js", "min"), ("log_loss", "min")))
+_STOP = """
+SELECT '{m}' AS metric, run, step, epoch, round({s}v, 6) AS value, round({s}greatest(coalesce(prev, v), v), 6) AS best, n_evals,
+       CASE WHEN v <= prev AND n_evals > 1 AND epoch > 0 AND prev - v > 0.001 THEN 1 ELSE 0 END AS stop
+FROM (SELECT *, {z} AS prev FROM (
+  SELECT run, step, epoch, {s}value AS v, max({s}value) OVER w AS before,
+         (row_number() OVER (PARTITION BY run ORDER BY step))::BIGINT AS n_evals
+  FROM rl WHERE metric = '{m}'
+  WINDOW w AS (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
+SQL["early_stop"] = TRAINED + " UNION ALL ".join([
+    _STOP.format(m="ndcg@5", s="", z="coalesce(before, 0.0)"), _STOP.format(m="js", s="-", z="before")])
+
 SQL["union_history_reversed"] = DATASET + f""",
 u AS (SELECT list_id, hist_len AS n, list_reverse(hist[1:hist_len]) AS st FROM ds)
 SELECT list_id,

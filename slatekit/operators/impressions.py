@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatekit.config import (CATE_FIELD, FILTER_HIST_NUM, FILTER_NEG_NUM, FILTER_POS_NUM,
-                             HIST_FIELDS, HIST_MAX_LEN, USER_FIELDS)
+                             HIST_FIELDS, USER_FIELDS)
 from slatekit.functions.exprs import score_bucket
-from slatekit.operators.history import history_asof, parse_history
+from slatekit.operators.history import parse_history
 from slatekit.plans.indexing import dense_index
 from slatekit.sources.files import LOG_COLUMNS, log_schema
 
@@ -169,5 +169,74 @@ def profile_stages(imps: DataFrame, min_hist: int = FILTER_HIST_NUM) -> DataFram
     return prof(imps, "before").unionByName(prof(prepare_log(imps, min_hist), "after"))
 
 
-def impressions_with_history(base: DataFrame, max_len: int = HIST_MAX_LEN) -> DataFrame:
-    return history_asof(base, max_len=max_len)
+LADDER = {
+    "pos_ge1": (1, 0), "pos_ge2": (2, 0), "neg_ge1": (0, 1), "neg_ge9": (0, 9),
+    "pos1_neg1": (1, 1), "pos1_neg2": (1, 2), "pos1_neg5": (1, 5), "pos1_neg9": (1, 9),
+}
+HIST_BUCKETS = {"e0": (0, 0), "le5": (1, 5), "le10": (6, 10), "g10": (11, None)}
+
+
+def profile(log: DataFrame, min_hist: int = FILTER_HIST_NUM, min_pos: int = FILTER_POS_NUM,
+            min_neg: int = FILTER_NEG_NUM, cate_col: str = CATE_FIELD) -> DataFrame:
+    """The whole profile (A3 to A7) before and after filtering, from one scan.
+
+    ``(stage, split, section, name, value, share)`` with the sections ``card``
+    (A7), ``ladder`` (A4), ``hist`` (A5) and ``cate_item``, ``cate_pos``,
+    ``cate_hist`` (A6); shares are of users, of positives, and of the section.
+
+    A row of the log counts once for its user and once for each of its categories
+    (its own, and its history's); counts per (user, kind, category) carry both
+    stages, since whether a row survives is known from the row (P5) and from its
+    user's counts (P6)."""
+    log = with_hist_len(log)
+    h, none = F.col("hist_len"), F.lit(None).cast("string")
+    cate = F.col(cate_col).cast("string")
+    steps = F.transform("hist", lambda s: F.struct(F.lit("hist").alias("kind"), F.element_at(s, -1).alias("cate")))
+    entries = F.concat(
+        F.array(F.struct(F.lit("user").alias("kind"), none.alias("cate")),
+                F.struct(F.lit("item").alias("kind"), cate.alias("cate"))),
+        F.when(is_pos(), F.concat(F.array(F.struct(F.lit("pos").alias("kind"), cate.alias("cate"))), steps))
+         .otherwise(F.array().cast("array<struct<kind:string,cate:string>>")))
+    x = log.select(*KEYS, is_pos().alias("p"), (~is_pos() | (h > min_hist)).alias("kept"), h.alias("h"),
+                   F.explode(entries).alias("e")).select(*KEYS, "p", "kept", "h", "e.*")
+
+    def in_bucket(lo, hi):
+        return (F.col("h") >= lo) if hi is None else F.col("h").between(lo, hi)
+
+    def counts(stage, keep):
+        p = F.col("p") & keep
+        return F.struct(
+            F.count_if(keep).alias("n"), F.count_if(p).alias("n_pos"),
+            F.count_if(~F.col("p")).alias("n_neg"),
+            F.coalesce(F.sum(F.when(p, F.col("h"))), F.lit(0)).cast("bigint").alias("total_len"),
+            *[F.count_if(p & in_bucket(*b)).alias(k) for k, b in HIST_BUCKETS.items()]).alias(stage)
+
+    per = x.groupBy(*KEYS, "kind", "cate").agg(counts("before", F.lit(True)), counts("after", F.col("kept")))
+    # a user's few aggregated rows learn whether the user stays
+    own = F.when(F.col("kind") == "user", (F.col("after.n_pos") >= min_pos) & (F.col("after.n_neg") >= min_neg))
+    per = per.withColumn("stays", F.max(own).over(Window.partitionBy(*KEYS)))
+    staged = per.select("split", "kind", "cate", F.explode(F.array(
+        F.struct(F.lit("before").alias("stage"), F.lit(True).alias("ok"), F.col("before").alias("c")),
+        F.struct(F.lit("after").alias("stage"), F.col("stays").alias("ok"), F.col("after").alias("c")))).alias("s"))
+    staged = staged.where("s.ok AND s.c.n > 0").select("split", "kind", "cate", "s.stage", "s.c.*")
+    p, n = F.col("n_pos"), F.col("n_neg")
+    agg = staged.groupBy("stage", "split", "kind", "cate").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_users"), F.sum("n_pos").alias("n_pos"),
+        F.sum("total_len").alias("total_len"), *[F.sum(k).alias(k) for k in HIST_BUCKETS],
+        *[F.count_if((p >= a) & (n >= b)).alias(k) for k, (a, b) in LADDER.items()])
+
+    def row(section, name, value, share=None):
+        c = F.col(value) if isinstance(value, str) else value
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), c.cast("double").alias("value"),
+                        (F.lit(None) if share is None else F.try_divide(c, F.col(share))).cast("double").alias("share"))
+
+    users = agg.where(F.col("kind") == "user").select("stage", "split", F.inline(F.array(
+        row("card", "n_users", "n_users"), row("card", "n_items", "n"), row("card", "n_pos", "n_pos", "n"),
+        *[row("ladder", k, k, "n_users") for k in LADDER],
+        *[row("hist", k, k, "n_pos") for k in HIST_BUCKETS],
+        row("hist", "total_len", "total_len"), row("hist", "avg_len", F.try_divide("total_len", "n_pos")))))
+    total = F.sum("n").over(Window.partitionBy("stage", "split", "kind"))        # a row per category
+    cates = agg.where(F.col("kind") != "user").select(
+        "stage", "split", F.concat(F.lit("cate_"), F.col("kind")).alias("section"), F.col("cate").alias("name"),
+        F.col("n").cast("double").alias("value"), F.try_divide("n", total).cast("double").alias("share"))
+    return users.unionByName(cates)

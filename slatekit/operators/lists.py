@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatekit.config import (BATCH_SIZE, CANDIDATE_NEG_NUM, CATE_IDX, DEFAULT_SEED,
-                             HIST_CATE_MAX_LEN, HIST_MAX_LEN, ITEM_FIELDS, LIST_LEN)
+                             HIST_CATE_MAX_LEN, HIST_FIELDS, HIST_MAX_LEN, ITEM_FIELDS, LIST_LEN)
 from slatekit.functions.exprs import categories, col, pad_right, zero_step
 from slatekit.operators import vocab as VO
 from slatekit.operators.history import cate_split_history, pad_history, union_history
@@ -48,6 +48,11 @@ def build_dataset(imps: DataFrame, log: DataFrame, vocab: DataFrame,
         "split", "list_id", "user_id", "usr", "candi", "labels", "hist", "hist_len")
 
 
+def list_keys(df: DataFrame) -> list[str]:
+    """The columns that identify a list: ids start anew in every split."""
+    return [c for c in ("split", "list_id") if c in df.columns]
+
+
 def with_categories(df: DataFrame, cate_idx: DataFrame) -> DataFrame:
     """Add ``cmap`` (category id -> 0-based index) and ``n_cate`` to every row.
     The reshaped rows hold one array per category, so the map is of the size of
@@ -67,9 +72,10 @@ def cate_of(cmap: str | Column, cate_id: Column) -> Column:
 
 
 def pad_candidates(candi: str | Column = "candi", labels: str | Column = "labels",
-                   max_len: int = LIST_LEN, width: int = len(ITEM_FIELDS)) -> list[Column]:
+                   max_len: int = LIST_LEN, width: int = len(ITEM_FIELDS),
+                   kind: str = "bigint") -> list[Column]:
     """Flat truncate / right-pad of candidates and labels, with length."""
-    return [pad_right(candi, max_len, zero_step(width, "bigint")).alias("full_candi"),
+    return [pad_right(candi, max_len, zero_step(width, kind)).alias("full_candi"),
             pad_right(labels, max_len, F.lit(0)).alias("full_labels"),
             F.least(F.size(col(candi)), F.lit(max_len)).cast("int").alias("candi_len")]
 
@@ -77,14 +83,14 @@ def pad_candidates(candi: str | Column = "candi", labels: str | Column = "labels
 def cate_split_candidates(cmap: str | Column = "cmap", n_cate: int | str | Column = "n_cate",
                           candi: str | Column = "candi", labels: str | Column = "labels",
                           max_len: int = LIST_LEN, width: int = len(ITEM_FIELDS),
-                          cate_idx: int = CATE_IDX) -> list[Column]:
+                          cate_idx: int = CATE_IDX, kind: str = "bigint") -> list[Column]:
     """Per category (in slot order) the candidates and labels of that
     category, truncated / padded to ``max_len``, with per-category lengths."""
     z = F.transform(F.arrays_zip(col(candi).alias("c"), col(labels).alias("l")), lambda e: F.struct(
         e["c"].alias("c"), e["l"].alias("l"),
-        cate_of(cmap, F.element_at(e["c"], cate_idx + 1)).alias("k")))
+        cate_of(cmap, F.element_at(e["c"], cate_idx + 1).cast("bigint")).alias("k")))
     per = F.transform(categories(n_cate), lambda c: F.filter(z, lambda e: e["k"] == c))
-    pad = zero_step(width, "bigint")
+    pad = zero_step(width, kind)
     return [F.transform(per, lambda p: pad_right(F.transform(p, lambda e: e["c"]), max_len, pad))
             .alias("candi_c"),
             F.transform(per, lambda p: pad_right(F.transform(p, lambda e: e["l"]), max_len,
@@ -96,12 +102,13 @@ def cate_split_candidates(cmap: str | Column = "cmap", n_cate: int | str | Colum
 def slot_layout(df: DataFrame, max_len: int = LIST_LEN) -> DataFrame:
     """Flatten (category x position) into slots; ``slot = cate * max_len +
     pos``, ``cate = slot div max_len``, ``mask`` = position < category length.
-    Needs ``candi_c``, ``labels_c``, ``candi_len_c``."""
-    flat = df.select("list_id", F.posexplode(F.flatten("candi_c")).alias("slot", "item"),
+    Needs ``candi_c``, ``labels_c``, ``candi_len_c``; keeps the list's keys."""
+    keys = list_keys(df)
+    flat = df.select(*keys, F.posexplode(F.flatten("candi_c")).alias("slot", "item"),
                      F.flatten("labels_c").alias("_l"), "candi_len_c")
     cate = (F.col("slot") / max_len).cast("int")
     return flat.select(
-        "list_id", F.col("slot").cast("bigint").alias("slot"), cate.alias("cate"), "item",
+        *keys, F.col("slot").cast("bigint").alias("slot"), cate.alias("cate"), "item",
         F.element_at("_l", F.col("slot") + 1).alias("label"),
         F.when(F.col("slot") % max_len < F.element_at("candi_len_c", cate + 1), 1)
          .otherwise(0).alias("mask"))
@@ -117,6 +124,15 @@ def feature_split(arr: str | Column, n_sparse: int) -> list[Column]:
             .alias("dense")]
 
 
+def pack_dense(ds: DataFrame, dense: DataFrame, n_dense: int) -> DataFrame:
+    """Candidates as ids followed by their ``n_dense`` dense features (doubles);
+    ``dense`` has per list ``dens``, ``n_dense`` numbers a candidate in slot order."""
+    packed = F.transform("candi", lambda c, i: F.concat(
+        F.transform(c, lambda v: v.cast("double")), F.slice("dens", i * n_dense + 1, F.lit(n_dense))))
+    return (ds.join(dense.select("split", "list_id", "dens"), ["split", "list_id"])
+            .withColumn("candi", packed).drop("dens"))
+
+
 def pages_per_user(dataset: DataFrame, vocab: DataFrame) -> DataFrame:
     """Lists per split and lists per user id (train + test over the uid
     vocabulary)."""
@@ -145,16 +161,20 @@ def batch_assign(lists: DataFrame, batch_size: int = BATCH_SIZE, group_cols=(),
 
 def model_ready(ds: DataFrame, list_len: int = LIST_LEN,
                 cate_hist_len: int = HIST_CATE_MAX_LEN, union_hist_len: int = HIST_MAX_LEN,
-                cloud: bool = True, reverse: bool = False) -> DataFrame:
+                cloud: bool = True, reverse: bool = False, item_dense: int = 0,
+                hist_dense: int = 0) -> DataFrame:
     """Per list (with ``cmap`` and ``n_cate``) the category-split candidates,
     labels and lengths, the per-category and union histories, and the flat
-    padded candidates."""
-    full, _, _ = pad_candidates("candi", "labels", list_len)
+    padded candidates.  Items and steps may carry ``item_dense`` and
+    ``hist_dense`` dense features after their ids; such arrays hold doubles."""
+    item = {"width": len(ITEM_FIELDS) + item_dense, "kind": "double" if item_dense else "bigint"}
+    step = {"width": len(HIST_FIELDS) + hist_dense, "kind": "double" if hist_dense else "bigint"}
+    full, _, _ = pad_candidates("candi", "labels", list_len, **item)
     return ds.select(
         "split", "list_id", "user_id", "usr",
-        *cate_split_candidates(max_len=list_len),
+        *cate_split_candidates(max_len=list_len, **item),
         *cate_split_history("hist", "hist_len",
-                            lambda s: cate_of("cmap", F.element_at(s, CATE_IDX + 1)),
-                            "n_cate", cate_hist_len, reverse=reverse, kind="bigint"),
-        *union_history("hist", "hist_len", union_hist_len, cloud, reverse, kind="bigint"),
+                            lambda s: cate_of("cmap", F.element_at(s, CATE_IDX + 1).cast("bigint")),
+                            "n_cate", cate_hist_len, reverse=reverse, **step),
+        *union_history("hist", "hist_len", union_hist_len, cloud, reverse, **step),
         full)

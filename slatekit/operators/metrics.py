@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatekit.config import EXPOSURE_SCOPE, KL_EPS, LOGLOSS_EPS, TARGET_EXPOSURE
-from slatekit.operators.ranking import rank_window
+from slatekit.operators.ranking import ListKey, key_columns, rank_window
 from slatekit.plans.indexing import ordered_scan
 
+AUC_BINS = 4096
+
 
 def target_frame(spark: SparkSession, ratios: Sequence[float] = TARGET_EXPOSURE,
                  col: str = "cate", value: str = "target") -> DataFrame:
@@ -31,7 +33,7 @@ def mapped_category(cate: str = "cate", n_cate: int | None = None) -> Column:
 
 
 def exposure_counts(df: DataFrame, scope: int = EXPOSURE_SCOPE, n_cate: int | None = None,
-                    is_rank: bool = True, list_col: str = "list_id", score_col: str = "pred",
+                    is_rank: bool = True, list_col: ListKey = "list_id", score_col: str = "pred",
                     slot_col: str = "slot", cate_col: str = "cate") -> DataFrame:
     """Exposures per category among the top ``scope`` slots of every
     list, and their share.  The categories are those of the data, or 0 to
@@ -92,16 +94,10 @@ def js_divergence(dist: DataFrame, p_col: str, q_col: str, group_cols: Sequence[
 
 
 def smoothed_kl_term(p: Column, q: Column, eps: float = KL_EPS) -> Column:
+    """M3: one term of sum p * ln(p / (q + eps)), unnormalised; 0 * ln 0 counts as 0."""
     return F.when(p <= 0, F.lit(0.0)).otherwise(p * F.log(p / (q + eps)))
 
 
-def smoothed_kl(dist: DataFrame, p_col: str, q_col: str, group_cols: Sequence[str] = (),
-                out_col: str = "kl", eps: float = KL_EPS) -> DataFrame:
-    """M3: sum p * ln(p / (q + eps)), unnormalised; 0 * ln 0 counts as 0."""
-    term = smoothed_kl_term(F.col(p_col), F.col(q_col), eps)
-    return dist.groupBy(*group_cols).agg(F.sum(term).alias(out_col))
-
-
 def exposure_js(df: DataFrame, target: Sequence[float] = TARGET_EXPOSURE,
                 scope: int = EXPOSURE_SCOPE, is_rank: bool = True, **cols) -> DataFrame:
     """JS divergence between the target exposure ratio and the realised one."""
@@ -120,6 +116,32 @@ def log_loss(df: DataFrame, label_col: str = "label", pred_col: str = "pred",
     return src.groupBy(*group_cols).agg((-F.avg(term)).alias("log_loss"))
 
 
+def auc_binned(df: DataFrame, n_bins: int = AUC_BINS, label_col: str = "label",
+               pred_col: str = "pred", mask_col: str | None = None) -> DataFrame:
+    """A16 for scores too many to sort: positives and negatives counted in
+    ``n_bins`` equal bins of scores in [0, 1] (one partial aggregate; sketches of
+    parts of the data merge by adding counts), and the AUC with its bounds.
+
+    Only pairs inside a bin are undecided, so the exact value lies between
+    ``auc_low`` (all of them wrong) and ``auc_high`` (all right); ``auc`` counts
+    them half and is at most ``error`` away.  Scores outside [0, 1] are counted in
+    the first or last bin, where the bound holds all the same."""
+    src = df.where(F.col(mask_col) == 1) if mask_col else df
+    at = F.least(F.greatest(F.floor(F.col(pred_col).cast("double") * n_bins), F.lit(0)),
+                 F.lit(n_bins - 1))
+    pos = F.col(label_col) >= 1
+    bins = src.groupBy(at.alias("bin")).agg(F.count_if(pos).alias("npos"),
+                                            F.count_if(~pos).alias("nneg"))
+    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)    # <= n_bins rows
+    x = bins.withColumn("below", F.coalesce(F.sum("nneg").over(below), F.lit(0)))
+    pairs = F.sum("npos") * F.sum("nneg")
+    won, open_ = F.sum(F.col("npos") * F.col("below")), F.sum(F.col("npos") * F.col("nneg"))
+    return x.agg(F.try_divide(won, pairs).alias("auc_low"),
+                 F.try_divide(won + 0.5 * open_, pairs).alias("auc"),
+                 F.try_divide(won + open_, pairs).alias("auc_high"),
+                 F.try_divide(0.5 * open_, pairs).alias("error"))
+
+
 def auc(df: DataFrame, label_col: str = "label", pred_col: str = "pred",
         mask_col: str | None = None) -> DataFrame:
     """Pooled ROC-AUC, exact Mann-Whitney with average rank for ties.
@@ -138,17 +160,17 @@ def auc(df: DataFrame, label_col: str = "label", pred_col: str = "pred",
         (F.sum(contrib) / (F.sum("npos") * F.sum("nneg"))).alias("auc"))
 
 
-def lists_without_positive(df: DataFrame, list_col: str = "list_id",
+def lists_without_positive(df: DataFrame, list_col: ListKey = "list_id",
                            label_col: str = "label") -> DataFrame:
     """Lists whose labels sum to 0."""
-    return (df.groupBy(list_col).agg(F.sum(label_col).cast("bigint").alias("n_pos"),
+    return (df.groupBy(*key_columns(list_col)).agg(F.sum(label_col).cast("bigint").alias("n_pos"),
                                       F.count(F.lit(1)).alias("n_slots"))
             .where(F.col("n_pos") == 0))
 
 
-def score_heads(df: DataFrame, logit_col: str, list_col: str = "list_id") -> DataFrame:
+def score_heads(df: DataFrame, logit_col: str, list_col: ListKey = "list_id") -> DataFrame:
     """M7: sigmoid head and list-softmax head (max-shifted) of a logit."""
-    w = Window.partitionBy(list_col)
+    w = Window.partitionBy(*key_columns(list_col))
     shifted = F.exp(F.col(logit_col) - F.max(logit_col).over(w))
     return df.withColumn("sigmoid", 1 / (1 + F.exp(-F.col(logit_col)))) \
              .withColumn("_e", shifted) \

@@ -1,12 +1,10 @@
 """Ranking windows, cutoff metrics and top-k picks over served lists.
 
-Long list layout: one row per (list, slot) with a score and a label.
-Lists are slates (bounded by category count x list length), so per-list
-windows are short; the metric path only keeps the top ``max(scopes)`` rows of
-each list, which Spark executes as a partial ``WindowGroupLimit`` *before*
-the shuffle, so even an unexpectedly huge list ships at most k rows per map
-task.  Everything that needs the whole list (positives per list) is a
-partial aggregate.
+Long list layout: one row per (list, slot) with a score and a label.  A list
+is one column or several (ids that start anew in every split need ``split``
+beside them).  Lists are slates (bounded by category count x list length), so
+per-list windows are short; the metrics shuffle whole lists once, plain top-k
+picks are cut by a partial ``WindowGroupLimit`` before their shuffle.
 """
 
 from __future__ import annotations
@@ -19,12 +17,19 @@ from pyspark.sql import functions as F
 from slatekit.config import METRIC_SCOPES
 
 
-def rank_window(list_col: str = "list_id", score_col: str = "pred", slot_col: str = "slot"):
+ListKey = str | Sequence[str]
+
+
+def key_columns(list_col: ListKey) -> list[str]:
+    return [list_col] if isinstance(list_col, str) else list(list_col)
+
+
+def rank_window(list_col: ListKey = "list_id", score_col: str = "pred", slot_col: str = "slot"):
     """Stable descending order: ties keep slot order (Python's stable sort)."""
-    return Window.partitionBy(list_col).orderBy(F.col(score_col).desc(), F.col(slot_col).asc())
+    return Window.partitionBy(*key_columns(list_col)).orderBy(F.col(score_col).desc(), F.col(slot_col).asc())
 
 
-def rerank(df: DataFrame, list_col: str = "list_id", score_col: str = "pred",
+def rerank(df: DataFrame, list_col: ListKey = "list_id", score_col: str = "pred",
            slot_col: str = "slot", rank_col: str = "rank") -> DataFrame:
     """1-based rank of every slot by score desc, ties by slot."""
     return df.withColumn(rank_col, F.row_number().over(
@@ -36,14 +41,14 @@ def initial_rank(df: DataFrame, slot_col: str = "slot", rank_col: str = "rank")
     return df.withColumn(rank_col, (F.col(slot_col) + 1).cast("bigint"))
 
 
-def ideal_rank(df: DataFrame, list_col: str = "list_id", label_col: str = "label",
+def ideal_rank(df: DataFrame, list_col: ListKey = "list_id", label_col: str = "label",
                slot_col: str = "slot", rank_col: str = "ideal_rank") -> DataFrame:
     """Ideal ranking by label desc, ties by slot."""
     return df.withColumn(rank_col, F.row_number().over(
         rank_window(list_col, label_col, slot_col)).cast("bigint"))
 
 
-def top_k(df: DataFrame, k: int, list_col: str = "list_id", score_col: str = "pred",
+def top_k(df: DataFrame, k: int, list_col: ListKey = "list_id", score_col: str = "pred",
           slot_col: str = "slot", rank_col: str = "rank") -> DataFrame:
     """Rows ranked <= k per list (planned as partial + final WindowGroupLimit)."""
     r = F.row_number().over(rank_window(list_col, score_col, slot_col))
@@ -58,7 +63,7 @@ def _idcg_binary(npos, k):
 
 
 def list_metrics(df: DataFrame, scopes: Sequence[int] = METRIC_SCOPES, is_rank: bool = True,
-                 list_col: str = "list_id", score_col: str = "pred", slot_col: str = "slot",
+                 list_col: ListKey = "list_id", score_col: str = "pred", slot_col: str = "slot",
                  label_col: str = "label", graded: bool = True) -> DataFrame:
     """Per (list, k): ndcg, map, utility at cutoff ``min(k, list length)``.
 
@@ -71,15 +76,17 @@ def list_metrics(df: DataFrame, scopes: Sequence[int] = METRIC_SCOPES, is_rank:
     One shuffle by list: ranks and running hits are windows over the list, and
     one aggregate per list holds a conditional sum per cutoff.
     """
-    x = df.select(F.col(list_col).alias("list_id"), F.col(slot_col).alias("slot"),
-                  F.col(score_col).alias("score"), F.col(label_col).alias("label"))
-    w = rank_window("list_id", "score", "slot") if is_rank else \
-        Window.partitionBy("list_id").orderBy("slot")
+    keys = ["list_id"] if isinstance(list_col, str) else list(list_col)
+    x = df.select(*[F.col(c).alias(k) for c, k in zip(key_columns(list_col), keys)],
+                  F.col(slot_col).alias("slot"), F.col(score_col).alias("score"),
+                  F.col(label_col).alias("label"))
+    w = rank_window(keys, "score", "slot") if is_rank else \
+        Window.partitionBy(*keys).orderBy("slot")
     hit = F.col("label") >= 1
     x = x.select("*", (F.row_number().over(w) if is_rank else F.col("slot") + 1).alias("r"),
                  F.count_if(hit).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
     if graded:
-        x = ideal_rank(x, "list_id", "label", "slot", "ir")
+        x = ideal_rank(x, keys, "label", "slot", "ir")
     gain = F.pow(F.lit(2.0), F.col("label")) - 1
     r = F.col("r")
 
@@ -95,10 +102,10 @@ def list_metrics(df: DataFrame, scopes: Sequence[int] = METRIC_SCOPES, is_rank:
             F.count_if(top & hit).alias("ap_count"),
             F.sum(F.when(top, F.col("label"))).alias("utility"), ideal.alias("idcg"))
 
-    per = x.groupBy("list_id").agg(F.array(*[at(int(k)) for k in scopes]).alias("_k"))
-    per = per.select("list_id", F.inline("_k"))
+    per = x.groupBy(*keys).agg(F.array(*[at(int(k)) for k in scopes]).alias("_k"))
+    per = per.select(*keys, F.inline("_k"))
     return per.select(
-        "list_id", "k",
+        *keys, "k",
         F.when(F.col("idcg") != 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"),
         F.when(F.col("ap_count") != 0, F.col("ap_value") / F.col("ap_count"))
          .otherwise(0.0).alias("map"),
@@ -113,7 +120,7 @@ def rank_metrics(df: DataFrame, scopes: Sequence[int] = METRIC_SCOPES, is_rank:
                  F.avg("map").alias("map"), F.avg("utility").alias("utility")))
 
 
-def khot_pick(df: DataFrame, k: int, list_col: str = "list_id", score_col: str = "pred",
+def khot_pick(df: DataFrame, k: int, list_col: ListKey = "list_id", score_col: str = "pred",
               slot_col: str = "slot", pick_col: str = "pick") -> DataFrame:
     """0/1 pick of the top-k slots per list (forward value of the
     straight-through pick)."""
@@ -121,7 +128,8 @@ def khot_pick(df: DataFrame, k: int, list_col: str = "list_id", score_col: str =
     return df.withColumn(pick_col, F.when(r <= k, 1).otherwise(0))
 
 
-def join_predictions(preds: DataFrame, labels: DataFrame, keys=("list_id", "slot")) -> DataFrame:
-    """Predictions joined to labels on (list, slot) (inner equi-join;
+def join_predictions(preds: DataFrame, labels: DataFrame,
+                     keys: Sequence[str] = ("split", "list_id", "slot")) -> DataFrame:
+    """Predictions joined to labels on (split, list, slot) (inner equi-join;
     both sides are keyed by list, so the join is co-partitioned by list)."""
     return preds.join(labels, list(keys), "inner")

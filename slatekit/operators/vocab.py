@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from slatekit.config import (CATE_FIELD, CATE_IDX, HIST_FIELDS, HIST_MAX_LEN, ITEM_FIELDS,
                              LIST_LEN, USER_FIELDS)
 from slatekit.plans.indexing import dense_index
+from slatekit.sources import shared
 
-# Namespaces of the vocabulary.
+# Namespaces of the vocabulary (the stats record's keys, below, are a file
+# contract and FIXED VALUES).
 ITEM_NS = [f"item:{f}" for f in ITEM_FIELDS]
 USER_NS = ["uid"] + [f"user:{f}" for f in USER_FIELDS]
 ITEM_COLS = ("pos", "pagenum", "sex", "price_level", "age_level", "bc_type", "score_bucket")
@@ -106,6 +108,60 @@ def vocab_increment(vocab: DataFrame, new_values: DataFrame) -> DataFrame:
     return vocab.select("ns", "value", "id").unionByName(added)
 
 
+class VocabStore:
+    """A vocabulary that grows day by day under ``path``, an append-only
+    folder of id segments.
+
+    A segment holds the values that no earlier one has, with ids from the
+    high-water mark on in order of first appearance (items, histories, users, as
+    in ``build_vocab``), so an id never changes and never means two values.  Its
+    folder names its number, first id, next id and day: the mark is read from the
+    last name.  Segments are written aside and moved into place; a day that is
+    there already is left alone, so a job that runs again adds nothing."""
+
+    SCHEMA = "ns string, value string, id bigint, segment int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def segments(self) -> list[tuple[int, int, int, str]]:
+        """(number, first id, next id, day) in order."""
+        parts = [n.split("_", 4) for n in shared.names(self.spark, self.path) if n.startswith("seg_")]
+        return sorted((int(k), int(first), int(after), day) for _, k, first, after, day in parts)
+
+    def next_id(self) -> int:
+        """The high-water mark."""
+        return max((after for _, _, after, _ in self.segments()), default=1)
+
+    def _folder(self, k: int, first: int, after: int, day: str) -> str:
+        return f"{self.path}/seg_{k:06d}_{first:016d}_{after:016d}_{day}"
+
+    def table(self) -> DataFrame:
+        """``(ns, value, id, segment)`` of all segments."""
+        paths = [self._folder(*s) for s in self.segments()]
+        if not paths:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
+
+    def grow(self, day: str, app: DataFrame) -> DataFrame:
+        """Add the unseen values of a day's ``appearances`` and return the table."""
+        held = self.segments()
+        if day in [s[3] for s in held]:
+            return self.table()
+        k, first = len(held), self.next_id()
+        fresh = app.groupBy("ns", "value").agg(
+            F.min(F.struct("phase", "split_ord", "pos", "sub")).alias("o")).join(
+            self.table().select("ns", "value"), ["ns", "value"], "left_anti").select("ns", "value", "o.*")
+        ranked = dense_index(fresh, ["phase", "split_ord", "pos", "sub"], (), "idx").select(
+            "ns", "value", (F.col("idx") + first).alias("id"), F.lit(k).alias("segment"))
+        tmp = shared.temporary(f"{self.path}/seg")
+        ranked.write.parquet(tmp)
+        after = first + self.spark.read.parquet(tmp).count()       # from the files' footers
+        if not shared.publish(self.spark, tmp, self._folder(k, first, after, day)):
+            raise RuntimeError(f"another job is adding segment {k} to {self.path}")
+        return self.table()
+
+
 # ------------------------------------------------------------------ encoding
 def _side(vocab: DataFrame, ns: str, value: str, out: str) -> DataFrame:
     return vocab.where(F.col("ns") == ns).select(F.col("value").alias(value),

@@ -1,4 +1,5 @@
-"""Exact positions and running sums inside groups that may be huge.
+"""Exact positions and running sums (or maxima, or any associative operation)
+inside groups that may be huge.
 
 ``Window.partitionBy(g).orderBy(o)`` sends a whole group to one task, and a
 window with no partition sends the whole table to one task.  Here:
@@ -6,9 +7,9 @@ window with no partition sends the whole table to one task.  Here:
 * groups of at most ``split_rows`` rows (cold) keep one window each; the limit
   is fixed and does not move with the data;
 * rows of larger (hot) groups -- and of the whole table whenever there is no
-  group, however small it is -- are range-partitioned on (group, order).  Spark samples balanced
-  range bounds whatever the key distribution, so a hot group is spread over
-  many tasks.  Inside a task the rows are sorted; a row's position in its
+  group, however small it is, then into the session's shuffle partitions -- are
+  range-partitioned on (group, order).  Spark samples balanced range bounds
+  whatever the key distribution, so a hot group is spread over many tasks.  Inside a task the rows are sorted; a row's position in its
   task is its row id (``monotonically_increasing_id`` minus the task
   offset, computed in the same task, no second shuffle).  Exact offsets come
   from a per-(range, group) count table, prefix-summed: it has at most
@@ -22,7 +23,8 @@ recomputation after a lost executor; the order must be total within a group.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,47 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_RANGES = 100_000
 
 
+# Aggregate and pairwise combination of each associative operation.
+_OPERATIONS: dict[str, tuple[Callable, Callable]] = {
+    "sum": (F.sum, lambda a, b: a + b),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+    "and": (F.bool_and, lambda a, b: a & b),
+    "or": (F.bool_or, lambda a, b: a | b),
+}
+
+
+@dataclass(frozen=True)
+class Prefix:
+    """A running value: an associative operation over ``expr`` from the group's
+    first row to the current one (to the one before, unless ``inclusive``; null
+    where there is none)."""
+
+    expr: str | Column
+    op: str = "sum"
+    inclusive: bool = True
+
+    def over(self, w) -> Column:
+        frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if self.inclusive else -1)
+        return _OPERATIONS[self.op][0](_expr(self.expr)).over(frame)
+
+    def total(self) -> Column:
+        return _OPERATIONS[self.op][0](_expr(self.expr))
+
+    def totals_before(self, col: str, w) -> Column:
+        """The totals ``col`` of the pieces before the current one, combined."""
+        return _OPERATIONS[self.op][0](col).over(w)
+
+    def combine(self, before: Column, here: Column) -> Column:
+        """Both parts; a null one is nothing."""
+        both = _OPERATIONS[self.op][1](before, here)
+        return F.when(before.isNull(), here).when(here.isNull(), before).otherwise(both)
+
+
+def _prefixes(sums: dict[str, str | Column | Prefix] | None) -> dict[str, Prefix]:
+    return {n: e if isinstance(e, Prefix) else Prefix(e) for n, e in (sums or {}).items()}
+
+
 def split_rows(df: DataFrame) -> int:
     conf = df.sparkSession.conf.get("spark.slatekit.splitRows", None)
     return int(conf) if conf else DEFAULT_SPLIT_ROWS
@@ -51,20 +94,21 @@ def _expr(e: str | Column) -> Column:
 
 def ordered_scan(df: DataFrame, order_cols: Sequence[str | Column],
                  group_cols: Sequence[str] = (), idx_col: str | None = "idx",
-                 sums: dict[str, str | Column] | None = None,
+                 sums: dict[str, str | Column | Prefix] | None = None,
                  rows_per_range: int | None = None) -> DataFrame:
     """Add ``idx_col`` (0-based position within the group in ``order_cols``
     order) and, for every ``name -> expr`` in ``sums``, the inclusive running
-    sum of ``expr`` within the group in the same order."""
-    sums = dict(sums or {})
+    sum of ``expr`` within the group in the same order; a ``Prefix`` names
+    another operation or leaves the current row out."""
+    sums = _prefixes(sums)
     g = list(group_cols)
     order = _cols(order_cols)
     t = int(rows_per_range or split_rows(df))
 
     if not g:
-        # written once: counting, sampling the bounds and sorting all read it
-        df = stage(df, "ordered-input")
-        return _range_scan(df, order, [], idx_col, sums, df.count(), t, 0)
+        # the session's partitions: no count of the rows, and no copy to count
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return _range_scan(df, order, [], idx_col, sums, n, 0)
     stats = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_sk_n"))   # partial aggregate
     # one scalar job: rows and number of the groups over the limit
     big = F.when(F.col("_sk_n") > t, F.col("_sk_n"))
@@ -77,7 +121,8 @@ def ordered_scan(df: DataFrame, order_cols: Sequence[str | Column],
     tagged = df.join(_small(hot, n_hot), g, "left")
     cold = _window_scan(tagged.where(F.col("_sk_hot").isNull()), order, g, idx_col, sums)
     hot_rows = tagged.where(F.col("_sk_hot").isNotNull())
-    warm = _range_scan(hot_rows, order, g, idx_col, sums, hot_total, t, n_hot)
+    n_ranges = min(MAX_RANGES, math.ceil(hot_total * 4 / t))
+    warm = _range_scan(hot_rows, order, g, idx_col, sums, n_ranges, n_hot)
     return cold.drop("_sk_hot").unionByName(warm.drop("_sk_hot"))
 
 
@@ -92,15 +137,14 @@ def _window_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums
     out = df
     if idx_col:
         out = out.withColumn(idx_col, (F.row_number().over(w) - 1).cast("bigint"))
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for name, expr in sums.items():
-        out = out.withColumn(name, F.sum(_expr(expr)).over(run))
+    for name, prefix in sums.items():
+        out = out.withColumn(name, prefix.over(w))
     return out
 
 
 def _range_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums,
-                total: int, t: int, n_groups: int) -> DataFrame:
-    n_ranges = max(2, min(MAX_RANGES, math.ceil(total * 4 / t)))
+                n_ranges: int, n_groups: int) -> DataFrame:
+    n_ranges = max(2, n_ranges)
     keys = [F.col(c) for c in g] + order
     # Range bounds are sampled from the input, whose row order after a
     # shuffle is not deterministic: two plans reading the same input could
@@ -111,25 +155,23 @@ def _range_scan(df: DataFrame, order: list[Column], g: list[str], idx_col, sums,
                    .withColumn("_sk_i", F.monotonically_increasing_id()
                                - F.shiftleft(F.col("_sk_pid"), 33)), "ordered-scan")
     aggs = [F.count(F.lit(1)).alias("_sk_c"), F.min("_sk_i").alias("_sk_start")]
-    aggs += [F.sum(_expr(e)).alias(f"_sk_t_{n}") for n, e in sums.items()]
+    aggs += [p.total().alias(f"_sk_t_{n}") for n, p in sums.items()]
     counts = ranged.groupBy("_sk_pid", *g).agg(*aggs)   # <= ranges + hot groups rows
     prev = (Window.partitionBy(*g).orderBy("_sk_pid")
             .rowsBetween(Window.unboundedPreceding, -1))
     offs = counts.select(
         "_sk_pid", *g, "_sk_start",
         F.coalesce(F.sum("_sk_c").over(prev), F.lit(0)).alias("_sk_oc"),
-        *[F.coalesce(F.sum(f"_sk_t_{n}").over(prev), F.lit(0)).alias(f"_sk_o_{n}")
-          for n in sums])
+        *[p.totals_before(f"_sk_t_{n}", prev).alias(f"_sk_o_{n}") for n, p in sums.items()])
     out = ranged.join(_small(offs, n_ranges + n_groups), ["_sk_pid", *g], "left")
     pos = F.col("_sk_i") - F.col("_sk_start")          # position of the row in its piece
     if idx_col:
         out = out.withColumn(idx_col, pos + F.col("_sk_oc"))
     if sums:
-        # running sums inside a piece (one task per range piece; ranges are balanced)
-        run = (Window.partitionBy("_sk_pid", *g).orderBy("_sk_i")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        for name, expr in sums.items():
-            out = out.withColumn(name, F.sum(_expr(expr)).over(run) + F.col(f"_sk_o_{name}"))
+        # running values inside a piece (one task per range piece; ranges are balanced)
+        w = Window.partitionBy("_sk_pid", *g).orderBy("_sk_i")
+        for name, p in sums.items():
+            out = out.withColumn(name, p.combine(F.col(f"_sk_o_{name}"), p.over(w)))
     return out.drop(*[c for c in out.columns if c.startswith("_sk_") and c != "_sk_hot"])
 
 

@@ -1,5 +1,6 @@
 """The read -> process -> write job template.  The session is injected
-(never created here); read/process/write are plain callables."""
+(never created here); read/process/write are plain callables.  Tables staged on
+the way are removed when the result has been written."""
 
 from __future__ import annotations
 
@@ -8,6 +9,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slatekit.sources.files import staging
+
 
 def _identity(df: DataFrame) -> DataFrame:
     return df
@@ -19,7 +22,8 @@ class Job:
     write: Callable[[DataFrame], None]
     process: Callable[[DataFrame], DataFrame] = field(default=_identity)
 
-    def run(self, spark: SparkSession) -> DataFrame:
-        out = self.process(self.read(spark))
-        self.write(out)
-        return out
+    def run(self, spark: SparkSession) -> None:
+        with staging(spark):
+            out = self.process(self.read(spark))
+            self.write(out)
+

@@ -15,6 +15,10 @@ from slatekit.functions.exprs import round6
 from slatekit.operators import metrics as M
 from slatekit.operators import ranking as R
 from slatekit.plans import views as V
+from slatekit.plans.indexing import split_rows
+from slatekit.session import scratch_dir
+from slatekit.sources import files as FS
+from slatekit.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -185,6 +189,11 @@ def q_profile_stages(spark, sf):
     return _round(I.profile_stages(_imps(spark, sf)), "pos_share")
 
 
+@query("profile_full")
+def q_profile_full(spark, sf):
+    return _round(I.profile(_imps(spark, sf)), "value", "share")
+
+
 @query("pad_history")
 def q_pad_history(spark, sf):
     imps = I.prepare_log(_imps(spark, sf)).where(F.col("label") == 1)
@@ -196,22 +205,34 @@ def q_pad_history(spark, sf):
 from slatekit.operators import vocab as VO  # noqa: E402
 
 
+def _prepared(name, spark, sf, build, partition_by=()):
+    """A table built from the events once, as long as they do not change."""
+    events = table(spark, sf, "events")
+    return FS.reuse(name, [events], build, split_rows(events), partition_by=partition_by)
+
+
+def _log(spark, sf):
+    """Unfiltered impressions (profiles need no history) and the filtered log."""
+    base = V.impressions_base(spark, sf)
+
+    def build():
+        hist = H.history_asof(base, len_col="_n").withColumn(
+            "hist_len", F.when(F.col("label") != 0, F.col("_n")).otherwise(0).cast("int")).drop("_n")
+        return I.prepare_log(hist)
+    return base, _prepared("log", spark, sf, build)
+
+
 def _log_and_vocab(spark, sf):
-    """The filtered log and vocabulary, each written once and read back (they
-    feed several encoders and size checks)."""
-    from slatekit.sources.files import stage
-    base = V.impressions_base(spark, sf)        # profiles need no history
-    hist = H.history_asof(base, len_col="_n").withColumn(
-        "hist_len", F.when(F.col("label") != 0, F.col("_n")).otherwise(0).cast("int")).drop("_n")
-    log = stage(I.prepare_log(hist), "log")
+    """The filtered log and the vocabulary (they feed several encoders)."""
+    base, log = _log(spark, sf)
     # written by namespace: a lookup reads, and the planner measures, one of them
-    vocab = stage(VO.build_vocab(base, log).repartition("ns"), "vocab", ["ns"])
+    vocab = _prepared("vocab", spark, sf, lambda: VO.build_vocab(base, log).repartition("ns"), ["ns"])
     return base, log, vocab.select("ns", "value", "id")
 
 
 @query("vocab")
 def q_vocab(spark, sf):
-    return _log_and_vocab(spark, sf)[2]
+    return VO.build_vocab(*_log(spark, sf))
 
 
 @query("vocab_sizes")
@@ -261,6 +282,24 @@ def q_vocab_increment(spark, sf):
     return VO.vocab_increment(base, new)
 
 
+@query("vocab_days")
+def q_vocab_days(spark, sf):
+    """The vocabulary grown over three days of the log: the train rows, then the
+    test rows in two halves."""
+    imps = _imps(spark, sf)
+    half = (F.col("imp_id") / 5).cast("bigint") % 2
+    days = {"day0": F.col("split") == "train", "day1": (F.col("split") == "test") & (half == 0),
+            "day2": (F.col("split") == "test") & (half == 1)}
+    store = VO.VocabStore(spark, FS.run_path(spark, "vocab-days"))
+    for day, rows in days.items():
+        base = imps.where(rows)
+        log = FS.stage(I.prepare_log(base), "day")
+        app = VO.appearances(log, VO.surviving_profiles(base, log))
+        store.grow(day, app)
+        store.grow(day, app)              # a job that runs again adds nothing
+    return store.table()
+
+
 # ---------------------------------------------------------------- sampling / lists
 from slatekit.operators import lists as L  # noqa: E402
 from slatekit.operators import sampling as S  # noqa: E402
@@ -272,9 +311,8 @@ def _ids_str(c):
 
 
 def _dataset(spark, sf):
-    from slatekit.sources.files import stage
     imps, log, vocab = _log_and_vocab(spark, sf)
-    return stage(L.build_dataset(imps, log, vocab), "dataset"), vocab
+    return _prepared("dataset", spark, sf, lambda: L.build_dataset(imps, log, vocab)), vocab
 
 
 @query("neg_sample")
@@ -310,7 +348,7 @@ def q_shuffle_lists(spark, sf):
 
 @query("dataset")
 def q_dataset(spark, sf):
-    ds, _ = _dataset(spark, sf)
+    ds = L.build_dataset(*_log_and_vocab(spark, sf))
     return ds.select("split", "list_id", "user_id", F.array_join("usr", ",").alias("usr"),
                      _ids_str("candi").alias("candi"), F.array_join("labels", ",").alias("labels"),
                      _ids_str("hist").alias("hist"), "hist_len")
@@ -371,9 +409,9 @@ def q_seq_mask(spark, sf):
 
 @query("slot_layout")
 def q_slot_layout(spark, sf):
-    wide = _reshaped(spark, sf).select("list_id", *L.cate_split_candidates())
-    return L.slot_layout(wide).select("list_id", "slot", "cate",
-                                         F.array_join("item", ",").alias("item"), "label", "mask")
+    wide = _reshaped(spark, sf).select("split", "list_id", *L.cate_split_candidates())
+    return L.slot_layout(wide).select("split", "list_id", "slot", "cate",
+                                      F.array_join("item", ",").alias("item"), "label", "mask")
 
 
 @query("feature_split")
@@ -463,8 +501,9 @@ def q_recency_pool(spark, sf):
 
 
 # ---------------------------------------------------------------- sources / sinks / streams
-from slatekit.sources import files as FS  # noqa: E402
 from slatekit.sources import kafka as K  # noqa: E402
+from slatekit.streaming import models as MS  # noqa: E402
+from slatekit.streaming import replay as RP  # noqa: E402
 from slatekit.streaming import requests as RQ  # noqa: E402
 from slatekit.streaming import scoring as SC  # noqa: E402
 
@@ -524,12 +563,16 @@ def q_csv_log(spark, sf):
         "score_bucket", F.col("hist_len").cast("int"), V.hist_str("hist").alias("hist_str"))
 
 
-@query("csv_dataset")
-def q_csv_dataset(spark, sf):
+def _csv_dataset(spark, sf):
     imps = FS.stage(_csv_log(spark, sf), "csv-log")
     log = FS.stage(I.prepare_log(imps), "log")
-    vocab = FS.stage(VO.build_vocab(imps, log).repartition("ns"), "vocab", ["ns"])
-    ds = L.build_dataset(imps, log, vocab.select("ns", "value", "id"))
+    vocab = FS.stage(VO.build_vocab(imps, log).repartition("ns"), "vocab", ["ns"]).select("ns", "value", "id")
+    return L.build_dataset(imps, log, vocab), vocab
+
+
+@query("csv_dataset")
+def q_csv_dataset(spark, sf):
+    ds, _ = _csv_dataset(spark, sf)
     return ds.select("split", "list_id", F.col("user_id").cast("bigint").alias("user_id"),
                      F.array_join("usr", ",").alias("usr"), _ids_str("candi").alias("candi"),
                      F.array_join("labels", ",").alias("labels"), _ids_str("hist").alias("hist"),
@@ -683,9 +726,9 @@ def q_metrics_compare(spark, sf):
 
 
 def _run_metrics(spark, sf):
-    """Run log: every candidate ranker of the served lists evaluated on the
-    whole table (ndcg@5, map@5 and exposure JS per run)."""
-    served = V.served(spark, sf)
+    """Every candidate ranker of the served lists evaluated on the whole table
+    (ndcg@5, map@5 and exposure JS per ranker)."""
+    served = FS.stage(V.served(spark, sf).select("list_id", "slot", "cate", "label", "pred"), "served")
     runs = {
         "by_pred": served,
         "by_inverse_pred": served.withColumn("pred", 1 - F.col("pred")),
@@ -707,15 +750,15 @@ def _run_metrics(spark, sf):
     return out
 
 
-@query("best_run")
-def q_best_run(spark, sf):
+@query("ranker_select")
+def q_ranker_select(spark, sf):
     rm = _run_metrics(spark, sf)
     out = LR.best_run(rm, "ndcg@5", True).unionByName(LR.best_run(rm, "js", False))
     return _round(out, "best_value")
 
 
-@query("early_stop")
-def q_early_stop(spark, sf):
+@query("batch_early_stop")
+def q_batch_early_stop(spark, sf):
     slots = _batched_slots(spark, sf)
     per = R.list_metrics(slots.select("list_id", "slot", "pred", "label"), [5]).join(
         slots.select("list_id", "batch").distinct(), "list_id")
@@ -725,32 +768,262 @@ def q_early_stop(spark, sf):
     return _round(LR.early_stop(evals), "value", "best")
 
 
+RUNS = {"rate_1": 1.0, "rate_03": 0.3}       # learning rate of each run
+EVALS, STEPS_BETWEEN, MONITOR = 2, 2, "ndcg@5"
+LIST = ("split", "list_id")
+
+
+def _evaluate(scored):
+    """(metrics, list metrics) of scored test slots."""
+    x = FS.stage(scored.select(*LIST, "slot", "cate", F.col("label").cast("int").alias("label"),
+                               F.round("pred", 10).alias("pred")), "scored")
+    per = FS.stage(R.list_metrics(x, [5], list_col=LIST), "list-metrics")
+    means = per.agg(F.avg("ndcg").alias("ndcg"), F.avg("map").alias("map"))
+    parts = [means.select(F.inline(F.array(*[F.struct(F.lit(f"{c}@5").alias("metric"), F.col(c).alias("value"))
+                                             for c in ("ndcg", "map")]))),
+             M.exposure_js(x, list_col=LIST).select(F.lit("js").alias("metric"), F.col("js").alias("value")),
+             M.auc(x).select(F.lit("auc").alias("metric"), F.col("auc").alias("value")),
+             M.log_loss(x).select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, per
+
+
+def _run_log(spark, sf):
+    """The log of training runs over the lists, made once for the events as they
+    are; a run that was cut short is made again and replaces its partitions."""
+    from slatekit.sources import shared
+
+    events = table(spark, sf, "events")
+    key = FS.fingerprint(FS.input_files(events), FS.code_fingerprint(), split_rows(events), RUNS, EVALS, STEPS_BETWEEN)
+    log = LR.RunLog(spark, f"{scratch_dir(spark, 'runs')}/{key}")
+    if not shared.exists(spark, f"{log.path}/done"):
+        with FS.staging(spark):
+            rows = FS.stage(LR.slot_rows(_reshaped(spark, sf)), "slots", ["split"])
+            train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
+            for run, rate in RUNS.items():
+                LR.train_run(log, run, train, test, _evaluate, EVALS, STEPS_BETWEEN, rate, MONITOR)
+        shared.mark(spark, f"{log.path}/done")
+    return log
+
+
+@query("run_log")
+def q_run_log(spark, sf):
+    return _round(_run_log(spark, sf).read(), "value")
+
+
+@query("run_list_metrics")
+def q_run_list_metrics(spark, sf):
+    """The list metrics that were written at each improvement."""
+    out = _run_log(spark, sf).read_lists()
+    return _round(out.select("run", F.col("step").cast("bigint").alias("step"), "split", "list_id", "k", "ndcg",
+                             "map", "utility"), "ndcg", "map", "utility")
+
+
+@query("best_run")
+def q_best_run(spark, sf):
+    log = _run_log(spark, sf).read()
+    out = LR.best_run(log, MONITOR, True).unionByName(LR.best_run(log, "js", False)).unionByName(
+        LR.best_run(log, "log_loss", False))
+    return _round(out, "best_value")
+
+
+@query("early_stop")
+def q_early_stop(spark, sf):
+    log = _run_log(spark, sf).read()
+    rule = {"min_epoch": 0, "drop": 0.001, "min_evals": 1}
+    up = LR.early_stop(log.where(F.col("metric") == MONITOR).drop("metric"), **rule)
+    down = LR.early_stop(log.where(F.col("metric") == "js").drop("metric"), maximize=False, **rule)
+    out = up.withColumn("metric", F.lit(MONITOR)).unionByName(down.withColumn("metric", F.lit("js")))
+    return _round(out, "value", "best")
+
+
+def _dense_dataset(spark, sf):
+    """Lists whose candidates carry their affinities as dense features."""
+    def build():
+        ds, vocab = _dataset(spark, sf)
+        x = L.with_categories(ds, VO.cate_index(vocab))
+        return L.pack_dense(ds, EM.affinities(x, V.item_vectors(spark, sf, vocab)), 2)
+    events, vecs = table(spark, sf, "events"), table(spark, sf, "embeddings")
+    ds = FS.reuse("dense", [events, vecs], build, split_rows(events))
+    return L.with_categories(ds, VO.cate_index(_dataset(spark, sf)[1]))
+
+
+@query("serve_fitted")
+def q_serve_fitted(spark, sf):
+    """A model fitted on ids and pooled features, saved, exported and
+    served from its store to requests, in batch and on a stream; its predictions
+    beside those of the saved pipeline."""
+    base = FS.run_path(spark, "serve")
+    ds = _dense_dataset(spark, sf)
+    rows = LR.slot_rows(ds.drop("cmap"), 2)
+    LR.fit_pointwise(rows.where(F.col("split") == "train"), n_dense=2).write().save(f"{base}/pipeline")
+    model = LR.PipelineModel.load(f"{base}/pipeline")
+    store = MS.ModelStore(spark, f"{base}/model")
+    store.publish(*LR.export_pointwise(model, spark))
+
+    wide = ds.select(*LIST, *L.cate_split_candidates(width=9, kind="double"))
+    slots = L.slot_layout(wide).where("mask = 1").select(*LIST, "slot", *LR.item_columns("item", 2))
+    want = LR.predict(model, slots).select(*LIST, "slot", F.col("pred").alias("want"))
+    payload = RQ.request_payload(L.model_ready(ds, item_dense=2), item_dense=2)
+    rec = FS.stage(K.to_kafka_records(payload, "key", "value", n_partitions=4), "requests")
+    parsed, _ = RQ.parse_requests(rec)
+    rec.write.parquet(f"{base}/source")
+    SC.run_stream_scoring(spark, K.read_request_files(spark, f"{base}/source"), f"{base}/preds",
+                          f"{base}/checkpoint", factory=store)
+    served = {"batch": SC.score_requests(parsed, store.current()), "stream": spark.read.parquet(f"{base}/preds")}
+    parts = []
+    for mode, preds in served.items():
+        x = R.join_predictions(preds.select(*RQ.list_of_key(), "slot", "pred"), want)
+        parts.append(x.agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("n_slots"),
+                           F.count_if(F.abs(F.col("pred") - F.col("want")) <= 1e-9).alias("n_equal"),
+                           F.count_if(F.col("pred").between(0, 1)).alias("n_in_range")))
+    return parts[0].unionByName(parts[1])
+
+
 # ---------------------------------------------------------------- scored lists
-def _scored_slots(spark, sf):
+def _scored_slots(spark, sf, ds=None):
     """Scores of every request joined (J7) to the slot-layout labels and mask."""
-    ds = _reshaped(spark, sf)
-    wide = ds.select("list_id", *L.cate_split_candidates())
-    labels = L.slot_layout(wide).select("list_id", "slot", "cate", "label", "mask")
+    ds = _reshaped(spark, sf) if ds is None else ds
+    wide = ds.select(*LIST, *L.cate_split_candidates())
+    labels = L.slot_layout(wide).select(*LIST, "slot", "cate", "label", "mask")
     parsed, _ = RQ.parse_requests(_requests(spark, sf, reshaped=ds))
-    preds = SC.score_requests(parsed).select(F.col("key").cast("bigint").alias("list_id"),
-                                             "slot", "pred")
+    preds = SC.score_requests(parsed).select(*RQ.list_of_key(), "slot", "pred")
     return R.join_predictions(preds, labels)
 
 
 @query("scored_metrics")
 def q_scored_metrics(spark, sf):
-    out = R.rank_metrics(_scored_slots(spark, sf), METRIC_SCOPES, is_rank=True)
+    out = R.rank_metrics(_scored_slots(spark, sf), METRIC_SCOPES, is_rank=True, list_col=LIST)
+    return _round(out, "ndcg", "map", "utility")
+
+
+@query("csv_scored_metrics")
+def q_csv_scored_metrics(spark, sf):
+    """From CSV files, where list ids start anew in every split."""
+    ds, vocab = _csv_dataset(spark, sf)
+    x = _scored_slots(spark, sf, L.with_categories(FS.stage(ds, "dataset"), VO.cate_index(vocab)))
+    x = FS.stage(x, "scored")
+    out = R.rank_metrics(x, METRIC_SCOPES, is_rank=True, list_col=LIST)
+    n = x.agg(F.count(F.lit(1)).alias("n_slots"))
+    return _round(out.crossJoin(F.broadcast(n)), "ndcg", "map", "utility")        # one row
+
+
+@query("slot_order_metrics")
+def q_slot_order_metrics(spark, sf):
+    """The initial order of the slot layout, category by category, padding
+    included."""
+    out = R.rank_metrics(_scored_slots(spark, sf), METRIC_SCOPES, is_rank=False, list_col=LIST)
     return _round(out, "ndcg", "map", "utility")
 
 
+@query("scored_exposure_js")
+def q_scored_exposure_js(spark, sf):
+    """A13 over scored slots: padding that reaches the top counts."""
+    x = FS.stage(_scored_slots(spark, sf), "scored")
+    parts = [M.exposure_js(x, TARGET_EXPOSURE, EXPOSURE_SCOPE, is_rank=r, list_col=LIST).withColumn(
+        "stage", F.lit("rerank" if r else "initial")) for r in (True, False)]
+    return _round(parts[0].unionByName(parts[1]), "js")
+
+
+@query("scored_auc")
+def q_scored_auc(spark, sf):
+    return _round(M.auc(_scored_slots(spark, sf), mask_col="mask"), "auc")
+
+
+@query("scored_auc_binned")
+def q_scored_auc_binned(spark, sf):
+    """The binned estimate, its bounds, and whether they hold the exact value."""
+    x = FS.stage(_scored_slots(spark, sf), "scored")
+    exact = M.auc(x, mask_col="mask").withColumnRenamed("auc", "exact")
+    out = M.auc_binned(x, 64, mask_col="mask").crossJoin(F.broadcast(exact))      # one row
+    inside = F.col("exact").between(F.col("auc_low"), F.col("auc_high")) & (
+        F.abs(F.col("exact") - F.col("auc")) <= F.col("error"))
+    return _round(out.select("auc_low", "auc", "auc_high", "error", inside.cast("int").alias("inside")),
+                  "auc_low", "auc", "auc_high", "error")
+
+
+@query("graded_metrics")
+def q_graded_metrics(spark, sf):
+    """W5 with labels above 1."""
+    x = V.served(spark, sf).withColumn("label", (F.col("item_id") % 5).cast("int"))
+    return _round(R.rank_metrics(x, METRIC_SCOPES), "ndcg", "map", "utility")
+
+
 @query("log_loss_slots")
 def q_log_loss_slots(spark, sf):
-    s = _scored_slots(spark, sf)
+    s = FS.stage(_scored_slots(spark, sf), "scored")
     masked = M.log_loss(s, mask_col="mask").withColumnRenamed("log_loss", "masked")
     full = M.log_loss(s).withColumnRenamed("log_loss", "unmasked")
     return _round(masked.crossJoin(full), "masked", "unmasked")
 
 
+@query("request_dense")
+def q_request_dense(spark, sf):
+    """P8 with dense features: two behind the ids of an item, one behind those of
+    a history step."""
+    ds = _reshaped(spark, sf)
+
+    def with_dense(c, *at):
+        return F.transform(c, lambda f: F.concat(
+            F.transform(f, lambda v: v.cast("double")),
+            F.array(*[(F.element_at(f, i) % 97) / 97 for i in at])))
+    mr = L.model_ready(ds.withColumn("candi", with_dense("candi", 1, 7)).withColumn("hist", with_dense("hist", 2)),
+                       item_dense=2, hist_dense=1)
+    payload = RQ.request_payload(mr, item_dense=2, hist_dense=1)
+    parsed, _ = RQ.parse_requests(K.to_kafka_records(payload, "key", "value"))
+
+    def total(c):
+        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return _round(parsed.select(
+        "key", F.array_join(F.transform("candi_itm_ft", _ids_str), "|").alias("candi"),
+        total(F.flatten(F.flatten("candi_itm_dens"))).alias("item"),
+        total(F.flatten(F.flatten("cate_hist_dens"))).alias("cate"),
+        total(F.flatten("union_hist_dens")).alias("uni")), "item", "cate", "uni")
+
+
+SECOND = MS.LinearScorer((-0.2, 0.7, 0.1, -0.4, 0.5, 0.3, -0.6), 0.2)
+
+
+@query("stream_versions")
+def q_stream_versions(spark, sf):
+    """Two versions of a stored model in one running stream: the second is
+    published between micro-batches."""
+    base = FS.run_path(spark, "versions")
+    store = MS.ModelStore(spark, f"{base}/model")
+    store.publish(MS.LinearScorer().spec())
+    rec = FS.stage(_requests(spark, sf), "requests")
+    rec.where("partition < 2").write.parquet(f"{base}/source")
+    q = SC.run_stream_scoring(spark, K.read_request_files(spark, f"{base}/source"), f"{base}/preds",
+                              f"{base}/checkpoint", factory=store, available_now=False,
+                              processing_time="0 seconds")
+    try:
+        q.processAllAvailable()
+        store.publish(SECOND.spec())
+        rec.where("partition >= 2").write.mode("append").parquet(f"{base}/source")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return _round(spark.read.parquet(f"{base}/preds").select("key", "slot", "pred"), "pred")
+
+
+@query("paced_replay")
+def q_paced_replay(spark, sf):
+    """The requests replayed at a set rate, stopped after a while and started
+    again from its checkpoint; every request comes once."""
+    base = FS.run_path(spark, "paced")
+    rec = FS.stage(_requests(spark, sf), "requests")
+    RP.write_replay(rec, f"{base}/replay")
+    total = rec.count()
+    for part in (0.3, 1.0):
+        src = RP.read_replay(spark, f"{base}/replay", f"{base}/progress", max(1, total / 3), -(-total // 4))
+        RP.run_until(src, f"{base}/out", f"{base}/checkpoint", int(total * part))
+    out = spark.read.parquet(f"{base}/out") if total else rec
+    return out.groupBy(F.col("key").cast("string").alias("key"), "topic", "partition", "offset").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query("union_history_reversed")
 def q_union_history_reversed(spark, sf):
     ds, _ = _dataset(spark, sf)

@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatekit.session import scratch_dir
+from slatekit.sources import shared
 
 # FIXED VALUES: positional columns of the impression log CSV.
 LOG_COLUMNS = (
@@ -77,24 +82,103 @@ def fingerprint(*parts) -> str:
 
 def materialize(df: DataFrame, base: str, *key_parts) -> DataFrame:
     """Write ``df`` once under ``base/<fingerprint of key_parts>`` and
-    read it back; a later call with the same inputs and parameters reuses
-    the written table (a changed input or parameter changes the path, so no
-    stale reuse).  Completion is marked by Parquet's _SUCCESS file."""
-    spark = df.sparkSession
-    path = f"{base.rstrip('/')}/{fingerprint(*key_parts)}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        df.write.mode("overwrite").parquet(path)
+    read it back; a later call with the same key reuses the written table.
+    ``reuse`` makes the key from the inputs themselves."""
+    return _published(df.sparkSession, f"{base.rstrip('/')}/{fingerprint(*key_parts)}", lambda: df, ())
+
+
+def _published(spark: SparkSession, path: str, build: Callable[[], DataFrame],
+               partition_by: Sequence[str]) -> DataFrame:
+    """The table at ``path``, written aside and moved into place if it is not
+    there: a reader, or a second writer, never sees part of it."""
+    if not shared.exists(spark, path):
+        tmp = shared.temporary(path)
+        write_parquet(build(), tmp, list(partition_by))
+        shared.publish(spark, tmp, path)
     return spark.read.parquet(path)
 
 
+def input_files(*sources: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of the files that ``sources`` read, by
+    one listing per folder."""
+    out = []
+    for df in sources:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        folders: dict[str, dict] = {}
+        for uri in df.inputFiles():
+            p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+            parent = p.getParent()
+            if str(parent) not in folders:
+                folders[str(parent)] = {s.getPath().getName(): s for s in parent.getFileSystem(conf).listStatus(parent)}
+            s = folders[str(parent)][p.getName()]
+            out.append((uri, s.getLen(), s.getModificationTime()))
+    return sorted({*out})
+
+
+@lru_cache(maxsize=1)
+def code_fingerprint() -> str:
+    """Of the library's sources: a table that an older version built is not reused."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sha = hashlib.sha1()
+    for folder, _, files in sorted(os.walk(root)):
+        for name in sorted(f for f in files if f.endswith(".py")):
+            with open(os.path.join(folder, name), "rb") as f:
+                sha.update(name.encode() + f.read())
+    return sha.hexdigest()[:16]
+
+
+def reuse(name: str, sources: Sequence[DataFrame], build: Callable[[], DataFrame], *params,
+          base: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+    """The table ``build()`` makes of ``sources``, built once.
+
+    Its version is a fingerprint of the parameters, the plans of the sources, the
+    library's code, and the names, sizes and modification times of the files they
+    read: where any of them changes, the table is built anew, and the versions of
+    the same files and parameters that it replaces are removed.  ``base`` is a
+    folder shared by the cluster, the scratch area unless given."""
+    spark = sources[0].sparkSession
+    files = input_files(*sources)
+    plans = [df.semanticHash() for df in sources]
+    folder = (f"{(base or scratch_dir(spark, 'prepared')).rstrip('/')}/"
+              f"{name}/{fingerprint([f for f, _, _ in files], params)}")
+    version = fingerprint(files, plans, params, code_fingerprint())
+    out = _published(spark, f"{folder}/{version}", build, partition_by)
+    for old in shared.names(spark, folder):
+        if old != version and not old.startswith("."):
+            shared.delete(spark, f"{folder}/{old}")
+    return out
+
+
+_STAGED: dict[str, list[str]] = {}
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in a fresh folder of the shared
     scratch area and read it back: later jobs (including driver-side size
     checks) read the table instead of recomputing its lineage, and a lost
-    executor cannot force the upstream plan to rerun."""
+    executor cannot force the upstream plan to rerun.  ``drop_stages`` and
+    ``staging`` remove such tables when their results have been written."""
     spark = df.sparkSession
     path = run_path(spark, name)
     write_parquet(df, path, partition_by)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables staged by this application, from the ``since``-th on."""
+    paths = _STAGED.get(spark.sparkContext.applicationId, [])
+    while len(paths) > since:
+        shared.delete(spark, paths.pop())
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end (of a job that has written
+    its results)."""
+    since = len(_STAGED.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_stages(spark, since)

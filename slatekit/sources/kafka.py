@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from slatekit.functions.exprs import hash60
 from slatekit.plans.indexing import dense_index
 
+# FIXED VALUES: topic name and record columns of the request stream.
 TOPIC = "user-tracking"
 KAFKA_SCHEMA = ("key binary, value binary, topic string, partition int, offset bigint, "
                 "timestamp timestamp")
@@ -40,11 +41,12 @@ def read_request_files(spark: SparkSession, path: str, max_files_per_trigger: in
 def to_kafka_records(df: DataFrame, key_col: str, value_col: str, topic: str = TOPIC,
                      n_partitions: int = 1, ts_col: str | None = None) -> DataFrame:
     """Records with binary key/value, the partition from the key's hash
-    and a dense per-partition offset in key order (skew-safe scan)."""
+    and a dense per-partition offset in order of key, then value (skew-safe
+    scan)."""
     part = (hash60(key_col) % n_partitions).cast("int")
     x = df.select(F.col(key_col).alias("_k"), F.col(value_col).alias("_v"), part.alias("partition"),
                   (F.col(ts_col) if ts_col else F.current_timestamp()).alias("timestamp"))
-    x = dense_index(x, ["_k"], ["partition"], "offset")
+    x = dense_index(x, ["_k", "_v"], ["partition"], "offset")
     return x.select(F.col("_k").cast("string").cast("binary").alias("key"),
                     F.col("_v").cast("binary").alias("value"), F.lit(topic).alias("topic"),
                     "partition", "offset", F.col("timestamp").cast("timestamp").alias("timestamp"))

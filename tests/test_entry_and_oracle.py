@@ -7,7 +7,10 @@ from slatekit.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
 FAST = ["rank_metrics", "exposure_js", "auc", "log_loss", "hist_parse", "filter_users",
-        "user_ladder", "vocab", "neg_sample", "relaxed_topk", "combined_loss", "best_run"]
+        "user_ladder", "vocab", "neg_sample", "relaxed_topk", "combined_loss", "best_run", "early_stop",
+        "run_list_metrics", "ranker_select", "profile_full", "vocab_days", "csv_scored_metrics",
+        "scored_auc_binned", "slot_order_metrics", "graded_metrics", "request_dense", "serve_fitted",
+        "stream_versions", "paced_replay"]
 
 
 def test_entry_smoke(spark):

@@ -51,3 +51,28 @@ def test_metrics_stay_in_jvm_and_scan_prunes(spark):
         assert "l_extendedprice" not in plan and "l_shipdate" not in plan
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_profile_reads_its_input_once(spark, tmp_path):
+    from slatekit.operators import impressions as I
+    path = str(tmp_path / "log")
+    V.impressions(spark, SF_SMALL).write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(I.profile(spark.read.parquet(path)))
+        assert plan.count("FileScan parquet") == 1 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_selection_needs_no_window_and_stopping_no_single_task(spark, small_split):
+    from slatekit.operators import learning as LR
+    log = spark.createDataFrame([("r", s, s, "m", 0.1 * s) for s in range(40)],
+                                "run string, step bigint, epoch bigint, metric string, value double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "Window" not in _plan(LR.best_run(log, "m"))
+        plan = _plan(LR.early_stop(log.drop("metric")))
+        assert "ordered-scan" in plan and "Exchange SinglePartition" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

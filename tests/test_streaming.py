@@ -53,7 +53,7 @@ def test_stream_matches_batch_and_is_idempotent(spark):
 
 def test_empty_batch_skipped(spark):
     base = tempfile.mkdtemp(prefix="slatekit-empty-")
-    SC.batch_sink(f"{base}/out")(spark.range(0), 0)
+    SC.scoring_batch(f"{base}/out")(_records(spark, ["x"]).limit(0), 0)
     assert not os.path.exists(f"{base}/out")
 
 
