@@ -18,12 +18,16 @@ probability below 1e-6) and confirmed on the full sets.
   pair: it skips lists that hold one component, pairs inside a component, pairs
   whose set sizes cannot reach the similarity and pairs that an earlier common
   key has.  Long lists are cut into blocks of ``BLOCK`` members and block pairs
-  go to tasks of their own.  No link between components is left out: every pair
-  that shares a prefix key is in one component or is compared.
-* Pairs of the last merge must also agree in their ``LOW`` smallest shingle
-  hashes: exactly for sets that these hold whole, else in ``LOW_MATCH`` of the
-  LOW smallest of the union (192 on average at 0.75, a shortfall that far has a
-  probability below 1e-6).
+  go to tasks of their own; a task holds one block pair's members and the pairs at
+  one distance in it, however many agree.  No link between components is left
+  out: every pair that shares a prefix key is in one component or is compared.
+* Pairs of the last merge must also agree in a second signature of ``BINS``
+  bytes, one for each part of the hash range that holds a shingle (at 0.75 on
+  average in 0.75 of the bytes that either has; ``BIN_SLACK`` deviations below
+  that, a probability under 1e-7, are let through), and then in their ``LOW``
+  smallest shingle hashes: exactly for sets that these hold whole, else in
+  ``LOW_MATCH`` of the LOW smallest of the union (192 on average at 0.75, a
+  shortfall that far has a probability below 1e-6).
 
 Components come from star contraction on the link table (large-star and
 small-star steps, every step written to the checkpoint folder).
@@ -53,12 +57,15 @@ SHINGLE = 5
 COORDS = 48
 MATCH = 21
 LEAST = 75               # percent
-BLOCK = 1024
+BLOCK = 4096
 ROUNDS = 2
 HAND = 8
 TRY = 2
 LOW = 256
 LOW_MATCH = 158
+BINS = 256
+BIN_SLACK = 5.3
+COMPARE = 8192           # pairs compared at a time
 CHUNK_WORDS = 1_000_000  # words hashed together
 
 _MULT = (np.random.default_rng(5).integers(0, 2**63, COORDS + 8, dtype=np.uint64)
@@ -88,9 +95,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def bin_bytes(hashes: np.ndarray) -> np.ndarray:
+    """A byte of the smallest of the sorted hashes in each of ``BINS`` equal parts
+    of the hash range, 0 where there is none."""
+    out = np.zeros(BINS, np.uint8)
+    part = (hashes >> np.uint64(56)).astype(np.int64)
+    least = np.flatnonzero(np.diff(part, prepend=-1))
+    out[part[least]] = (hashes[least] >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
 def signatures(texts: list[bytes | None]) -> tuple[list[int], list, list, np.ndarray]:
-    """Set size, digest of the set, its smallest hashes, and minima (one row per
-    text with words)."""
+    """Set size, digest of the set, its bytes by hash range and smallest hashes,
+    and minima (one row per text with words)."""
     words = [words_of(t) for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     hashed = xxhash.xxh3_64_intdigest
@@ -110,12 +127,12 @@ def signatures(texts: list[bytes | None]) -> tuple[list[int], list, list, np.nda
     sh = _mix(s[valid])
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     start = np.cumsum(count) - count
-    sizes, digests, low = [], [], []
+    sizes, digests, bins = [], [], []
     for a, c in zip(start.tolist(), count.tolist()):
         own = np.unique(sh[a:a + c])
         sizes.append(len(own))
         digests.append(xxhash.xxh3_128_digest(own.tobytes()) if c else None)
-        low.append(np.minimum(own[:LOW] >> np.uint64(32), _PAD - 1).astype("<u4").tobytes())
+        bins.append(bin_bytes(own).tobytes() + np.minimum(own[:LOW] >> np.uint64(32), _PAD - 1).astype("<u4").tobytes())
     have = start[count > 0]
     mins = np.empty((len(have), COORDS), np.int32)
     buf = np.empty_like(sh)
@@ -123,7 +140,7 @@ def signatures(texts: list[bytes | None]) -> tuple[list[int], list, list, np.nda
         np.bitwise_xor(sh, _XOR[k], out=buf)
         np.multiply(buf, _MULT[k], out=buf)
         mins[:, k] = (np.minimum.reduceat(buf, have) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return sizes, digests, low, mins
+    return sizes, digests, bins, mins
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +151,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in np.unique(cut):
             a, b = np.searchsorted(cut, [c, c + 1])
             part = batch.slice(a, b - a)
-            sizes, same, low, mins = signatures(part.column("body").to_pylist())
+            sizes, same, bins, mins = signatures(part.column("body").to_pylist())
             ends = np.cumsum([0] + [COORDS * (x is not None) for x in same]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("h"), pa.array(sizes, pa.int64()),
-                 pa.array(same, pa.binary()), pa.array(low, pa.binary()),
+                 pa.array(same, pa.binary()), pa.array(bins, pa.binary()),
                  pa.ListArray.from_arrays(ends, mins.ravel())],
-                names=["doc_id", "h", "n_shingles", "same", "low", "sig"])
+                names=["doc_id", "h", "n_shingles", "same", "bins", "sig"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,38 +176,44 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
+def bins_agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the bytes (rows of BINS) allow the similarity."""
+    both = ((a == b) & (a != 0)).sum(axis=1)
+    either = ((a != 0) | (b != 0)).sum(axis=1)
+    share = LEAST / 100
+    return both >= share * either - BIN_SLACK * np.sqrt(share * (1 - share) * either)
+
+
 def low_agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether the smallest hashes (rows of LOW, padded) allow the similarity."""
-    out = np.zeros(len(a), bool)
-    for k in range(0, len(a), 8192):
-        c = np.sort(np.concatenate((a[k:k + 8192], b[k:k + 8192]), axis=1), axis=1)
-        twice = np.zeros(c.shape, bool)
-        twice[:, 1:] = (c[:, 1:] == c[:, :-1]) & (c[:, 1:] != np.uint32(_PAD))
-        x, y = na[k:k + 8192], nb[k:k + 8192]
-        both = twice.sum(axis=1)
-        seen = np.cumsum(~twice, axis=1) <= LOW
-        out[k:k + 8192] = np.where((x <= LOW) & (y <= LOW), 100 * both >= LEAST * (x + y - both),
-                                   (twice & seen).sum(axis=1) >= LOW_MATCH)
-    return out
+    c = np.sort(np.concatenate((a, b), axis=1), axis=1)
+    twice = np.zeros(c.shape, bool)
+    twice[:, 1:] = (c[:, 1:] == c[:, :-1]) & (c[:, 1:] != np.uint32(_PAD))
+    both = twice.sum(axis=1)
+    seen = np.cumsum(~twice, axis=1) <= LOW
+    return np.where((na <= LOW) & (nb <= LOW), 100 * both >= LEAST * (na + nb - both),
+                    (twice & seen).sum(axis=1) >= LOW_MATCH)
 
 
 def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs between components of each posting list (rows sorted by list, then
-    set size) that agree in at least MATCH coordinates and in their smallest
-    hashes; a pair is given by the first of its common prefix keys."""
+    set size) that agree in at least MATCH coordinates and in their bytes; a pair
+    is given by the first of its common prefix keys."""
     held: pa.Table | None = None
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         names = ("grp", "x", "y", "mine", "node", "h", "comp", "n", "mask")
         col = {c: t.column(c).to_numpy() for c in names}
         sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
+        bins = np.zeros((t.num_rows, BINS), np.uint8)
         low = np.full((t.num_rows, LOW), _PAD, np.uint32)
-        for r, z in enumerate(t.column("low").to_pylist()):
-            v = np.frombuffer(z, "<u4")
+        for r, z in enumerate(t.column("bins").to_pylist()):
+            bins[r] = np.frombuffer(z, np.uint8, BINS)
+            v = np.frombuffer(z, "<u4", offset=BINS)
             low[r, :len(v)] = v
         here = col["grp"] >> 32
         mask = (col["mask"][:, None] >> np.arange(COORDS)) & 1 == 1
-        rows, left, right = np.arange(t.num_rows), [], []
+        rows = np.arange(t.num_rows)
         d = 1
         while len(rows):
             rows = rows[rows + d < t.num_rows]
@@ -202,19 +225,22 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             go = (col["comp"][i] != col["comp"][j]) & \
                  ((col["x"][i] == col["y"][i]) | (col["mine"][i] != col["mine"][j]))
             i, j = i[go], j[go]
-            same = sig[i] == sig[j]
-            hit = same.sum(axis=1) >= MATCH
-            i, j, same = i[hit], j[hit], same[hit]
-            hit = (same & mask[i] & mask[j]).argmax(axis=1) == here[i]
-            left.append(i[hit])
-            right.append(j[hit])
             d += 1
-        i, j = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (left, right))
-        hit = low_agree(low[i], low[j], col["n"][i], col["n"][j])
-        i, j = i[hit], j[hit]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(col[c][z]) for c, z in (("node", i), ("h", i), ("node", j), ("h", j))],
-            names=["a", "ha", "b", "hb"])
+            for k in range(0, len(i), COMPARE):
+                p, q = i[k:k + COMPARE], j[k:k + COMPARE]
+                same = sig[p] == sig[q]
+                hit = same.sum(axis=1) >= MATCH
+                p, q, same = p[hit], q[hit], same[hit]
+                hit = (same & mask[p] & mask[q]).argmax(axis=1) == here[p]
+                p, q = p[hit], q[hit]
+                hit = bins_agree(bins[p], bins[q])
+                p, q = p[hit], q[hit]
+                hit = low_agree(low[p], low[q], col["n"][p], col["n"][q])
+                p, q = p[hit], q[hit]
+                if len(p):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(col[c][z]) for c, z in (("node", p), ("h", p), ("node", q), ("h", q))],
+                        names=["a", "ha", "b", "hb"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -225,9 +251,9 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = t.num_rows - int(open_[::-1].argmin() or len(open_)) if t.num_rows else 0
         held = t.slice(end).combine_chunks()
         if end:
-            yield pairs(t.slice(0, end))
+            yield from pairs(t.slice(0, end))
     if held is not None and held.num_rows:
-        yield pairs(held)
+        yield from pairs(held)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -287,8 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"),
                       F.col(text_col).cast("binary").alias("body"))
     rows = scratch.write(src.mapInArrow(
-        _sign, f"doc_id {kind}, h long, n_shingles long, same binary, low binary, sig array<int>"), "rows")
-    own = rows.where("same IS NOT NULL AND doc_id IS NOT NULL").drop("low")
+        _sign, f"doc_id {kind}, h long, n_shingles long, same binary, bins binary, sig array<int>"), "rows")
+    own = rows.where("same IS NOT NULL AND doc_id IS NOT NULL").drop("bins")
     classes = scratch.write(own.groupBy("same").agg(
         F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_shingles").alias("n"),
         F.first("sig").alias("sig"))
@@ -338,11 +364,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = scratch.write(cells, "cells")
     masks = prefix.groupBy(F.col("node").alias("m")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(shiftright(grp, 32) AS INT))")).alias("mask"))
-    low = maybe_ids(rows.select(F.col("doc_id").alias("node"), "h", "low"), cells, "node").distinct()
-    facts = classes.select("node", "h", "n", "sig").join(low, ["node", "h"]).join(masks, F.col("node") == F.col("m"))
+    bins = maybe_ids(rows.select(F.col("doc_id").alias("node"), "h", "bins"), cells, "node").distinct()
+    facts = classes.select("node", "h", "n", "sig").join(bins, ["node", "h"]).join(masks, F.col("node") == F.col("m"))
     cells = (cells.join(facts.drop("m"), "node")
              .select("grp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
-                     "mine", "node", "h", "comp", "n", "mask", "sig", "low"))
+                     "mine", "node", "h", "comp", "n", "mask", "sig", "bins"))
     cells = cells.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "n", "node")
     cross = cells.mapInArrow(_merge_lists, f"a {kind}, ha long, b {kind}, hb long").distinct()
     cross = scratch.write(cross, "cross")

@@ -171,6 +171,60 @@ def test_personal_data_bootstrap_finds_unseen(spark):
     assert all("email:" in got[i] for i in range(40)) and "version" not in got[100]
 
 
+def test_personal_data_unseen_identifiers(spark):
+    """Identifiers that no base pattern matches, some of several tokens, in places
+    and forms that others teach; other texts stay clean."""
+    from slatekit.llm import pii
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("aeinrst"), rng.integers(3, 8)))
+    fill = lambda k: " ".join(word() for _ in range(k))
+    num = lambda *n: [str(rng.integers(10 ** (k - 1), 10 ** k)) for k in n]
+
+    def card(valid):
+        d = [4, *rng.integers(0, 10, 14).tolist()]
+        odd = sum(2 * x - 9 * (x > 4) for x in d[::2]) + sum(d[1::2])
+        d.append((-odd if valid else 3 - odd) % 10)
+        t = "".join(map(str, d))
+        return " ".join(t[i:i + 4] for i in range(0, 16, 4))
+    seen, planted, clean = [], [], []
+    for i in range(60):
+        a, b, c = num(3, 3, 4)
+        quad = ".".join(map(str, rng.integers(1, 255, 4)))
+        seen += [f"please call me at +1 ({a}) {b}-{c} or {fill(5)}", f"write to {word()}{i}@{word()}.example now {fill(5)}",
+                 f"charged to card {card(True)} on {fill(4)}", f"login from host {quad} at {fill(4)}"]
+        clean += [f"chapter {i} has {rng.integers(2, 9)} parts and {rng.integers(10, 99)} lines {fill(6)}", f"in {1900 + i} about {num(5)[0]} {fill(4)}"]
+    for i in range(20):
+        a, b, c = num(3, 3, 4)
+        quad = ".".join(map(str, [*rng.integers(1, 255, 3), 256 + i]))
+        planted += [(f"please call me at ", f"({a}) {b}-{c}", f" or {fill(5)}"), ("write to ", f"{word()}{i}@{word()}", f" now {fill(5)}"),
+                    ("charged to card ", card(False), f" on {fill(4)}"), ("login from host ", quad, f" at {fill(4)}")]
+    texts = [*seen, *[f"{fill(3)} {''.join(p)}" for p in planted], *clean]
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hit = 0
+    for k, (before, what, _) in enumerate(planted):
+        d = len(seen) + k
+        at = texts[d].index(before) + len(before)
+        assert got[d]["n_email"] + got[d]["n_ip"] + got[d]["n_card"] + got[d]["n_phone"] == 0
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[d]["spans"].split(",") if x.startswith("found:")]
+        hit += any(a - 1 <= at and b + 1 >= at + len(what) for a, b in spans)
+        assert all(a >= at - 1 and b <= at + len(what) + 1 for a, b in spans)
+    assert hit >= 0.9 * len(planted)
+    assert not any(got[d]["spans"] for d in range(len(seen) + len(planted), len(texts)))
+    assert not any("found" in got[d]["spans"] for d in range(len(seen)))
+
+
+def test_personal_data_of_a_long_text_full_of_matches(spark):
+    """Work follows the length: 40,000 tokens with a match each."""
+    import time
+
+    from slatekit.llm import pii
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}@b{i % 97}.c x" for i in range(40_000)))], "doc_id long, text string")
+    pii.scan(docs.limit(0)).collect()
+    began = time.time()
+    assert pii.scan(docs).first()["n_email"] == 40_000
+    assert time.time() - began < 30
+
+
 def test_neighbours_are_whole_words(spark, texts):
     from slatekit.llm import pii
     far, long = " " * 300, "Ab/" * 100
@@ -243,6 +297,47 @@ def test_licenses(spark, texts):
     assert got[10**6 + 4]["labels"] == "mit" and got[10**6 + 5]["labels"] == ""
 
 
+def test_license_labels_against_brute_force(spark):
+    """Labels and scores of the method from its definition, on texts with whole
+    notices, damaged ones, shuffled ones, copies and texts of many notices."""
+    import collections
+    import math
+    rng = np.random.default_rng(11)
+    filler = ["the", "of", "software", "work", "public", "license", "terms", "under", "and", "to", "purpose", "granted", "gnu"]
+    texts = [" ".join(rng.choice(filler, 30)) for _ in range(60)] + [None, "", "...", "all rights reserved"]
+    for _, _, t in licenses.TEMPLATES:
+        w = t.split()
+        texts += [f"{' '.join(rng.choice(filler, 9))} {t} {' '.join(rng.choice(filler, 9))}", t.title().replace(" ", ", "),
+                  " ".join(w[:-1]), " ".join(x for x in w if rng.random() < 0.8), " ".join(rng.permutation(w)), f"{t} - {t}"]
+    texts += ["under the MIT license " * 50 + "cc by nc"] * 20
+    docs = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = [re.findall(r"[a-z0-9]+", (t or "").lower()) for t in texts]
+    df = collections.Counter(x for w in words for x in {*w})
+    want = []
+    for i, w in enumerate(words):
+        norm, labels, best = " " + " ".join(w) + " ", set(), 0.0
+        for label, key, t in licenses.TEMPLATES:
+            seq = t.split()
+            idf = {x: math.log((len(texts) + 1) / (df[x] + 0.5)) + 1e-6 for x in seq}
+            rare = sorted(idf, key=lambda x: (-idf[x], x))[:licenses.RARE]
+            full = sum(idf[x] for x in seq if x in rare)
+            votes = collections.Counter()
+            for p, x in enumerate(w):
+                for at, y in enumerate(seq):
+                    if x == y and x in rare:
+                        votes[p - at] += idf[x]
+            top = min(1.0, round(max(votes.values(), default=0) / full, 6))
+            if top >= licenses.LEAST and f" {key} " in norm:
+                labels.add(label)
+                best = max(best, top)
+        starts = [(p, lab) for phrase, lab in licenses.BASE for p in range(len(w)) if w[p:p + len(phrase.split())] == phrase.split()]
+        labels |= {lab for _, lab in starts}
+        want.append((i if i % 9 else None, len(w), len(starts), ",".join(sorted(labels)), 1.0 if starts else best))
+    got = [(r["doc_id"], r["n_words"], r["n_base"], r["labels"], r["score"]) for r in licenses.scan(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(bool(r[3]) for r in want) > 40
+
+
 def test_languages_held_out(spark):
     docs = table(spark, SF_SMALL, "documents")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(2))
@@ -253,6 +348,114 @@ def test_languages_held_out(spark):
     assert sum(r["accepted"] for r in got) >= 0.97 * len(got)
 
 
+def brute_languages(rows, labelled):
+    """(text_lang, lang, posterior, accepted) of rows (body, declared, host, suffix)
+    from the definitions, by plain Python."""
+    import collections
+    import math
+
+    def codes(text):
+        b = [x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in b" " + text + b" "]
+        b = [x for i, x in enumerate(b) if not (i and x == 32 and b[i - 1] == 32)]
+        return [((x << 16 | y << 8 | z) * 0x9E3779B1 % 2 ** 32) >> 18 for x, y, z in zip(b, b[1:], b[2:])]
+    counts = {}
+    for body, lang in labelled:
+        if lang and lang != "und":
+            counts.setdefault(lang, collections.Counter()).update(codes(body or b""))
+    langs = [*sorted(counts), "und"]
+    n, size = len(langs), 2 ** 14
+    whole = {x: math.log(sum(c.values()) + 0.5 * size) for x, c in counts.items()}
+    logp = lambda x, c: -14 * math.log(2) if x == "und" else math.log(counts[x][c] + 0.5) - whole[x]
+    seen, out = [], [None] * len(rows)
+    for k, (body, declared, host, suffix) in enumerate(rows):
+        cs = collections.Counter(codes(body or b""))
+        host, suffix, declared = (host or "").lower(), (suffix or "").lower(), (declared or "").lower() or None
+        if not cs:
+            out[k] = ("und", "und", 1.0, False)
+            continue
+        ll = [0.25 * sum(m * logp(x, c) for c, m in cs.items()) for x in langs]
+        ll = [v - max(ll) for v in ll]
+        w = [math.exp(v) * (0.01 if x == "und" else 0.99 / max(1, n - 1)) for v, x in zip(ll, langs)]
+        p = [round(v / sum(w), 9) for v in w]
+        seen.append((k, declared, host, ".".join(host.split(".")[-2:]), suffix, ll, p))
+
+    def sums(of):
+        got = {}
+        for r in seen:
+            c = got.setdefault(of(r), [0, [0.0] * n])
+            c[0] += 1
+            c[1] = [a + b for a, b in zip(c[1], r[6])]
+        return {k: (m, [round(v, 6) for v in c]) for k, (m, c) in got.items()}
+    pulled = lambda m, c, parent: [(max(v, 0.0) + 20.0 * q) / (m + 20.0) for v, q in zip(c, parent)]
+    total = max(len(seen), 1)
+    base = [(v + 1 / n) / (total + 1) for v in sums(lambda r: 0).get(0, (0, [0.0] * n))[1]]
+    suf = {k: pulled(*v, base) for k, v in sums(lambda r: r[4]).items()}
+    dom = {k: pulled(*v, suf[k[1]]) for k, v in sums(lambda r: (r[3], r[4])).items()}
+    hosts, said = sums(lambda r: (r[2], r[4])), sums(lambda r: r[1])
+    for k, declared, host, domain, suffix, ll, p in seen:
+        m, c = hosts[host, suffix]
+        prior = pulled(m - 1, [a - b for a, b in zip(c, p)], dom[domain, suffix])
+        raw = [a + math.log(max(q, 1e-12)) for a, q in zip(ll, prior)]
+        if declared is not None:
+            m, c = said[declared]
+            share = (m - 1 + 1e-3) / total
+            raw = [a + math.log(max((max(v - q, 0.0) + 5.0 * share) / (b * total + 5.0), 1e-12))
+                   for a, v, q, b in zip(raw, c, p, base)]
+        post = round(1 / sum(math.exp(v - max(raw)) for v in raw), 6)
+        lang = langs[raw.index(max(raw))]
+        out[k] = (langs[p.index(max(p))], lang, post, lang != "und" and post >= 0.5)
+    return out
+
+
+def test_languages_against_brute_force(spark, texts):
+    docs = [r for r in table(spark, SF_SMALL, "documents").collect()]
+    labelled = [((r["text"] or "").encode(), (r["lang"] or "").lower()) for r in docs]
+    want = brute_languages([((r["text"] or "").encode(), r["lang"], r["source"], "") for r in docs], labelled)
+    got = {r["doc_id"]: r for r in langid.op2_language_id(spark, SF_SMALL).collect()}
+    for r, (text_lang, lang, post, accepted) in zip(docs, want):
+        g = got[r["doc_id"]]
+        assert (g["text_lang"], g["lang"], g["accepted"]) == (text_lang, lang, accepted)
+        assert abs(g["posterior"] - post) < 1e-4
+    pages = [r for r in table(spark, SF_SMALL, "pages").collect()]
+    rows = []
+    for r in pages:
+        html = r["html"] or ""
+        text = re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html, flags=re.A)
+        said = re.search(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", html, re.I | re.A)
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", r["url"] or "")
+        host = host.group(1).lower() if host else ""
+        rows.append((text.encode(), said.group(1) if said else "", host, host.split(".")[-1]))
+    got = {r["page_id"]: r for r in langid.page_language_id(spark, SF_SMALL).collect()}
+    for r, (text_lang, lang, post, accepted) in zip(pages, brute_languages(rows, labelled)):
+        g = got[r["page_id"]]
+        assert (g["text_lang"], g["lang"], g["accepted"]) == (text_lang, lang, accepted)
+        assert abs(g["posterior"] - post) < 1e-4
+
+
+def test_page_languages_edge_rows(spark):
+    schema = "page_id long, url string, html string, lang string, p string, id int"
+    rows = [(1, None, None, "x", "y", 3), (2, "", "", None, None, None), (2, "", "", None, None, None),
+            (None, "http://h.co.uk/", "<html lang=DE><script>the the</script>" + "und der die das " * 50, "x", "y", 1),
+            (4, "not an address", "<" * 1000, "x", "y", 1), (5, "https://u@a.b:80?x", "der Hund " * 20_000, "x", "y", 1)]
+    pages = spark.createDataFrame(rows, schema)
+    model = langid.train(langid.labelled(table(spark, SF_SMALL, "documents")))
+    got = langid.identify(langid.page_rows(pages), *model).collect()
+    assert len(got) == len(rows) and not any(r["accepted"] for r in got if r["id"] in (1, 2))
+    assert {r["lang"] for r in got if r["id"] in (None, 5)} == {"de"}
+    assert langid.identify(langid.page_rows(pages.limit(0)), *model).collect() == []
+
+
+def test_warc_edge_tables(spark):
+    pages = spark.createDataFrame([(1, "u", "x", "b", 1), (1, "u", "x", "b", 2), (2, "u", "x", "c", 3)],
+                                  "page_id long, url string, html string, same string, first long")
+    scratch = Scratch(spark, "warc-edge")
+    rows = warc.read_archives(warc.write_archives(pages, scratch), scratch).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in rows) == [
+        (1, "response", None), (1, "response", None), (2, "revisit", 1)]
+    scratch = Scratch(spark, "warc-edge")
+    assert warc.read_archives(warc.write_archives(pages.limit(0), scratch), scratch).collect() == []
+
+
 def test_rare_language_has_a_model(spark):
     rng = np.random.default_rng(5)
     text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
@@ -308,12 +511,106 @@ def test_near_duplicates_signature_recall():
             b = a[: int(n * 0.9)] + [f"v{i}" for i in range(int(n * 0.05))]
             x, y = (" ".join(t).encode() for t in (a, b))
             p, q = neardup.shingle_set(x), neardup.shingle_set(y)
-            sizes, same, low, mins = neardup.signatures([x, y, None, b"", b"one two"])
+            sizes, same, bins, mins = neardup.signatures([x, y, None, b"", b"one two"])
             assert sizes[:2] == [len(p), len(q)] and sizes[2:] == [0, 0, 1] and same[2] is None
             if 4 * len(p & q) >= 3 * len(p | q):
                 assert (mins[0] == mins[1]).sum() >= neardup.MATCH
+                m = np.array([np.frombuffer(z, np.uint8, neardup.BINS) for z in bins[:2]])
+                assert neardup.bins_agree(m[:1], m[1:])[0]
                 m = np.full((2, neardup.LOW), neardup._PAD, np.uint32)
                 for i in (0, 1):
-                    v = np.frombuffer(low[i], "<u4")
+                    v = np.frombuffer(bins[i], "<u4", offset=neardup.BINS)
                     m[i, :len(v)] = v
                 assert neardup.low_agree(m[:1], m[1:], np.array(sizes[:1]), np.array(sizes[1:2]))[0]
+
+
+def test_fingerprints_of_other_ids_and_hot_ids(spark):
+    """Ids of any type; rows without an id, or with the same one, in many ranges;
+    likeness against a count of units by plain Python."""
+    import collections
+
+    def lanes(text):
+        total = collections.Counter()
+        for p in fingerprint.paragraphs(text):
+            for u in fingerprint.units([p.encode()])[1].tolist():
+                for k in range(fingerprint.SPREAD):
+                    part = u >> (16 * k)
+                    block = fingerprint.COUNTS // fingerprint.SPREAD
+                    total[k * block + ((part & 0xFFFF_FFFF_FFFF_FFFF) >> 1) % block] += 1 - 2 * (part & 1)
+        return total
+
+    def alike(a, b):
+        if sorted(fingerprint.paragraphs(a)) == sorted(fingerprint.paragraphs(b)):
+            return 1.0
+        x, y = lanes(a), lanes(b)
+        apart = sum((x[k] - y[k]) ** 2 for k in {*x, *y})
+        both = max(sum(v * v for v in x.values()) + sum(v * v for v in y.values()), 1)
+        return max(1 - apart / both, 0.0)
+
+    rows = [(f"d{i:03d}", f"one line {i}\nand another {i % 7} of some length" * (1 + i % 4)) for i in range(40)]
+    rows += [(None, f"no id {i}") for i in range(60)] + [("d020", f"the same id {i}") for i in range(60)] + [("", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("h", F.xxhash64("text"))
+    order = sorted((r["doc_id"] is not None, r["doc_id"] or "", r["h"], r["text"] or "") for r in docs.collect())
+    want = {}
+    for (has, d, _, t), (_, _, _, x) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 4
+        edited = t[:len(t) - k] + x[:k]
+        want.setdefault(d if has else None, []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(),
+                                                        round(alike(t, edited), 9), round(alike(t, x), 9)))
+    got = {}
+    for r in fingerprint.successor_pairs(docs.select("doc_id", "text")).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_near_duplicates_bytes_tell_templates_apart():
+    """Of sets at 0.75 none is refused, of sets at 0.54 nearly all are."""
+    rng = np.random.default_rng(1)
+    kept = {}
+    for share, name in ((6 / 7, "near"), (0.7, "template")):
+        rows = []
+        for _ in range(300):
+            common = rng.integers(0, 2 ** 63, int(600 * share), dtype=np.uint64)
+            for _ in range(2):
+                own = rng.integers(0, 2 ** 63, 600 - len(common), dtype=np.uint64)
+                rows.append(neardup.bin_bytes(np.unique(np.concatenate([common, own]) * np.uint64(2))))
+        m = np.array(rows)
+        kept[name] = neardup.bins_agree(m[::2], m[1::2]).mean()
+    assert kept["near"] == 1.0 and kept["template"] < 0.1
+
+
+def test_last_merge_of_a_template_list_stays_small():
+    """One list whose members all agree in many coordinates: memory follows the
+    members, not the pairs."""
+    import tracemalloc
+    rng, n = np.random.default_rng(2), 3000
+    sig = rng.integers(0, 2 ** 30, (n, neardup.COORDS), dtype=np.int32)
+    sig[:, :30] = 7
+    bins = rng.integers(1, 256, (n, neardup.BINS), dtype=np.uint8)
+    low = np.sort(rng.integers(0, 2 ** 32 - 2, (n, neardup.LOW)), axis=1)
+    for x in (bins, sig, low):
+        x[10] = x[2000]
+    cols = {"grp": np.zeros(n, np.int64), "x": np.zeros(n, np.int32), "y": np.zeros(n, np.int32), "mine": np.zeros(n, np.int32),
+            "node": np.arange(n), "h": np.arange(n), "comp": np.arange(n), "n": np.full(n, 500),
+            "mask": np.full(n, (1 << neardup.COORDS) - 1)}
+    batch = pa.RecordBatch.from_pydict({
+        **{c: pa.array(v) for c, v in cols.items()},
+        "sig": pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * neardup.COORDS, sig.ravel()),
+        "bins": pa.array([b.tobytes() + v.astype("<u4").tobytes() for b, v in zip(bins, low)])})
+    tracemalloc.start()
+    got = [(a, b) for out in neardup._merge_lists(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(10, 2000)] and peak < 100 << 20
+
+
+def test_near_duplicates_of_template_pages(spark):
+    """Pages that share 70 % of their text are no copies; two copies among them are found."""
+    rng = np.random.default_rng(3)
+    word = lambda k: [f"w{i}" for i in rng.integers(0, 10 ** 6, k)]
+    frame = word(140)
+    texts = [" ".join(frame + word(60)) for _ in range(1500)]
+    texts.append(texts[100] + " more")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got[1500] == 100 and sum(k != v for k, v in got.items()) == 1

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from slatekit.llm import (crf, decontam, fingerprint, fmindex, langid, licenses, mixing, neardup, pii, secret_scan,
@@ -131,6 +132,36 @@ def test_training_windows_from_the_whole_file(spark):
     assert sorted((a.tobytes(), b.tobytes()) for a, b in got) == sorted((a.tobytes(), b.tobytes()) for a, b in want)
 
 
+def test_spans_apart_from_others():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        extra = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 6), rng.integers(1, 12, 6))]
+        base = sorted((int(a), 0, int(a + n)) for a, n in zip(rng.integers(0, 60, 5), rng.integers(1, 30, 5)))
+        assert secret_scan.apart(extra, base) == [(a, b) for a, b in extra if not any(a < y and x < b for x, _, y in base)]
+    assert secret_scan.apart([(1, 2)], []) == [(1, 2)] and secret_scan.apart([], [(1, 0, 2)]) == []
+
+
+def test_crf_learns_neighbouring_words():
+    """A word that no list holds announces the secrets: only its weights tell."""
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("aeinrst"), rng.integers(3, 8)))
+    code = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) + str(rng.integers(0, 10))
+    line = lambda before: " ".join([*[word() for _ in range(12)], before, code(), *[word() for _ in range(12)]])
+    files = [line("zugangscode").encode() for _ in range(60)] + [line(word()).encode() for _ in range(60)]
+    cut = []
+    for k, text in enumerate(files):
+        _, _, _, f = secret_scan.tokens([text])
+        y = np.full(len(f), crf.OUTSIDE, np.int8)
+        if k < 60:
+            y[13] = crf.BEGIN
+        cut.append((f, y))
+    x, y = np.array([f for f, _ in cut]), np.array([v for _, v in cut], np.int64)
+    model = crf.train(x, y, np.full(len(cut), 26), words=secret_scan.WORDS, buckets=secret_scan.BUCKETS)
+    new = [line("zugangscode").encode() for _ in range(20)] + [line(word()).encode() for _ in range(20)]
+    got = [len(s) for s in secret_scan.tagged(model, new)]
+    assert sum(got[:20]) >= 18 and sum(got[20:]) <= 1
+
+
 def test_crf_finds_held_out_and_unlisted_secrets():
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("aeinrst"), rng.integers(2, 9)))
@@ -144,3 +175,21 @@ def test_crf_finds_held_out_and_unlisted_secrets():
     false = sum(bool(s) for s in secret_scan.tagged(model, [t.encode() for t in clean[30:]]))
     assert hit >= 27 and false == 0
     assert secret_scan.fit([b"nothing here"]) is None
+
+
+CLASHING = ["_b", "_B_", "_at", "_k", "_whole", "_rest", "_n", "_cut", "_row", "_text", "_piece", "_p", "same", "h2",
+            "kept", "component_id", "id", "grp", "n_words", "spans", "key", "cum", "a.b"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    more = docs.select("*", *[F.concat_ws("-", F.lit(c), F.col("doc_id")).alias(c) for c in CLASHING])
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("language_id", "near_dedup", "decontamination", "mixing"):
+        plain = sorted(map(tuple, stages[name](spark, docs, SF_SMALL).collect()), key=str)
+        out = stages[name](spark, more, SF_SMALL)
+        assert out.columns == more.columns
+        rows = sorted((tuple(r) for r in out.collect()), key=str)
+        assert sorted((r[:len(docs.columns)] for r in rows), key=str) == plain, name
+        assert all(r[len(docs.columns):] == tuple(c if r[0] is None else f"{c}-{r[0]}" for c in CLASHING) for r in rows)
+    assert len(corpus_pipeline.shard_mix(spark, more, SF_SMALL).collect()) == len(ROWS)
