@@ -60,7 +60,7 @@ def impressions(spark: SparkSession, sf_dir: str, max_len: int = HIST_MAX_LEN) -
     return history_asof(impressions_base(spark, sf_dir), max_len=max_len)
 
 
-def served(spark: SparkSession, sf_dir: str, with_user: bool = False) -> DataFrame:
+def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View B: list_id = order, slot = 0-based line position in
     (l_linenumber, l_partkey, l_suppkey) order, cate from the return flag,
     label = open line, pred = sigmoid((quantity - 25) / 10)."""
@@ -68,7 +68,7 @@ def served(spark: SparkSession, sf_dir: str, with_user: bool = False) -> DataFra
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_returnflag", "l_linestatus")
     w = Window.partitionBy("list_id").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    out = li.withColumnRenamed("l_orderkey", "list_id").select(
+    return li.withColumnRenamed("l_orderkey", "list_id").select(
         "list_id",
         (F.row_number().over(w) - 1).cast("bigint").alias("slot"),
         F.col("l_partkey").alias("item_id"),
@@ -77,11 +77,6 @@ def served(spark: SparkSession, sf_dir: str, with_user: bool = False) -> DataFra
         (F.col("l_linestatus") == "O").cast("int").alias("label"),
         sigmoid((F.col("l_quantity") - 25) / 10).alias("pred"),
     )
-    if with_user:
-        orders = table(spark, sf_dir, "orders").select(
-            F.col("o_orderkey").alias("list_id"), F.col("o_custkey").alias("user_id"))
-        out = out.join(orders, "list_id", "inner")
-    return out
 
 
 def item_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
