@@ -6,9 +6,11 @@ shorter than the shortest window cannot hold an occurrence and are not indexed.
 All windows are searched backward through the wavelet ranks, occurrences are
 located by sampled suffix positions, and their spans are merged per document.
 
-The benchmark goes to the tasks in blocks of about ``BLOCK_WORDS`` words; a
-larger benchmark makes more blocks, passed one after another in the same scan,
-so no broadcast grows with it.
+The benchmark is written in blocks of about ``BLOCK_WORDS`` words to the shared
+folder (``spark.checkpoint.dir``), where tasks read them: nothing of it passes
+through the driver.  A pass over the documents takes up to ``PASS`` blocks, whose
+windows a Python worker keeps; a larger benchmark takes more passes, each of which
+writes the spans and items it finds, and these are united by document at the end.
 
 Defined results: null or empty text has no words and is clean; an item without
 words has no window; items of fewer than ``WINDOW`` words are one window;
@@ -19,19 +21,22 @@ rows or no hits; other columns are ignored by ``scan`` and kept by ``clean``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import Scratch, drop_ids, row_key, ship_package, table
+from slatekit.llm.common import Scratch, drop_ids, free_name, row_key, ship_package, table
 from slatekit.llm.fmindex import FMIndex
+from slatekit.llm.warc import file_system
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
+PASS = 2                      # blocks of one pass
 SHARD_WORDS = 1_500_000       # indexed words of one FM-index, about
 # Bytes to words: A-Z fall to a-z, all ASCII but letters and digits separates.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32
@@ -118,47 +123,56 @@ def merged(first: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(a[new].tolist(), b[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(a) - 1]))].tolist()))
 
 
-def _mark(windows) -> "callable":
-    """mapInArrow body: adds a block's spans and item ids to each row."""
+@lru_cache(maxsize=PASS)
+def _block(folder: str, number: int, window: int) -> Windows:
+    fs, path = file_system(f"{folder}/blk={number}")
+    t = pq.read_table(path, filesystem=fs, partitioning=None)
+    return Windows(list(zip(t.column("id").to_pylist(), t.column("body").to_pylist())), window)
+
+
+def _search(shard: Shard, spans: list, items: list) -> None:
+    """Adds a shard's merged spans and item ids to the rows'."""
+    doc, first, size, item_doc, item = shard.search()
+    order = np.argsort(doc, kind="stable")
+    doc, first, size = doc[order], first[order], size[order]
+    for d, a, b in _pieces(doc):
+        old = spans[d] or []
+        f = np.concatenate((first[a:b], [x["a"] for x in old])).astype(np.int64)
+        z = np.concatenate((size[a:b], [x["b"] - x["a"] for x in old])).astype(np.int64)
+        spans[d] = [{"a": x, "b": y} for x, y in merged(f, z)]
+    order = np.argsort(item_doc, kind="stable")
+    item_doc, item = item_doc[order], item[order]
+    for d, a, b in _pieces(item_doc):
+        items[d] = sorted({*items[d], *(shard.win.ids[i] for i in item[a:b].tolist())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        win: Windows = windows.value
-        get, kind = win.symbols.get, np.int32
-
-        def flush(shard: Shard, spans: list, items: list) -> None:
-            doc, first, size, item_doc, item = shard.search()
-            order = np.argsort(doc, kind="stable")
-            doc, first, size = doc[order], first[order], size[order]
-            for d, a, b in _pieces(doc):
-                old = spans[d] or []
-                f = np.concatenate((first[a:b], [s["a"] for s in old])).astype(np.int64)
-                z = np.concatenate((size[a:b], [s["b"] - s["a"] for s in old])).astype(np.int64)
-                spans[d] = [{"a": x, "b": y} for x, y in merged(f, z)]
-            order = np.argsort(item_doc, kind="stable")
-            item_doc, item = item_doc[order], item[order]
-            for d, a, b in _pieces(item_doc):
-                items[d] = sorted({*(items[d] or []), *(win.ids[i] for i in item[a:b].tolist())})
 
+def _mark(folder: str, blocks: list[int], window: int):
+    """mapInArrow body: the spans and item ids of the blocks for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wins = [_block(folder, k, window) for k in blocks]
         for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            items = batch.column("items").to_pylist()
+            spans: list = [[] for _ in range(batch.num_rows)]
+            items: list = [[] for _ in range(batch.num_rows)]
             counts = np.zeros(batch.num_rows, np.int64)
-            shard = Shard(win)
+            shards = [Shard(win) for win in wins]
             for d, text in enumerate(batch.column("body")):
                 w = words_of(text.as_py())
                 counts[d] = len(w)
-                if win.shortest and len(w) >= win.shortest:
-                    shard.add(d, np.fromiter((get(x, 0) for x in w), kind, len(w)))
-                if shard.n >= SHARD_WORDS:
-                    flush(shard, spans, items)
-                    shard = Shard(win)
-            flush(shard, spans, items)
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            cols["n_words"] = pa.array(counts)
-            cols["spans"] = pa.array(spans, batch.schema.field("spans").type)
-            cols["items"] = pa.array(items, batch.schema.field("items").type)
-            yield pa.RecordBatch.from_arrays([cols[n] for n in batch.schema.names],
-                                             names=batch.schema.names)
+                for k, win in enumerate(wins):
+                    if win.shortest and len(w) >= win.shortest:
+                        get = win.symbols.get
+                        shards[k].add(d, np.fromiter((get(x, 0) for x in w), np.int32, len(w)))
+                    if shards[k].n >= SHARD_WORDS:
+                        _search(shards[k], spans, items)
+                        shards[k] = Shard(win)
+            for shard in shards:
+                _search(shard, spans, items)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts),
+                 pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                 pa.array(items, pa.list_(pa.string()))],
+                names=[batch.schema.names[0], "n_words", "spans", "items"])
     return run
 
 
@@ -176,22 +190,46 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     to remove, merged, in order) and items (ids found, sorted as strings)."""
     spark = docs.sparkSession
     ship_package(spark)
+    scratch = Scratch(spark, "decontam")
     bench = benchmark.select(F.col("item_id").cast("string").alias("id"),
                              F.col("text").cast("binary").alias("body"))
     n_bytes = bench.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // (6 * block_words)))
-    row = "doc_id {}, body binary, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
-    schema = row.format(docs.schema[id_col].dataType.simpleString())
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"),
-                      F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast("array<struct<a:long,b:long>>").alias("spans"),
-                      F.array().cast("array<string>").alias("items"))
-    for k in range(n_blocks):
-        block = bench.where(F.pmod(F.xxhash64("id", "body"), F.lit(n_blocks)) == k).collect()
-        win = spark.sparkContext.broadcast(
-            Windows([(r["id"], r["body"] and bytes(r["body"])) for r in block], window))
-        out = out.mapInArrow(_mark(win), schema)
-    return out.drop("body")
+    folder = scratch.path("blocks")
+    blk = F.pmod(F.xxhash64("id", "body"), F.lit(n_blocks)).cast("int")
+    bench.withColumn("blk", blk).repartition(n_blocks, "blk").write.partitionBy("blk").parquet(folder)
+    held = sorted(r["blk"] for r in spark.read.schema("blk int").parquet(folder).distinct().collect())
+    passes = [held[k:k + PASS] for k in range(0, len(held), PASS)] or [[]]
+    found = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    if len(passes) == 1:
+        kind = docs.schema[id_col].dataType.simpleString()
+        return rows.mapInArrow(_mark(folder, passes[0], window), f"doc_id {kind}, {found}")
+    # rows are numbered once, so that all passes mean the same ones
+    rows = scratch.write(rows.withColumn("n", F.monotonically_increasing_id()), "rows")
+    hits = None
+    for k, blocks in enumerate(passes):
+        out = scratch.write(rows.select("n", "body").mapInArrow(_mark(folder, blocks, window), f"n long, {found}"),
+                            f"pass-{k}")
+        hits = out if hits is None else hits.unionByName(out)
+    per = hits.groupBy("n").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+                                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.select("n", "doc_id").join(per, "n").select("doc_id", "n_words", united("spans").alias("spans"), "items")
+
+
+def united(spans: str) -> Column:
+    """The union of spans as merged spans in order: a span begins where none
+    before it reaches, and ends with the last that reaches the next."""
+    s = F.array_sort(spans)
+    far = F.aggregate(s, F.array().cast("array<long>"), lambda acc, x: F.concat(
+        acc, F.array(F.greatest(x["b"], F.coalesce(F.get(acc, F.size(acc) - 1), x["b"])))))
+    both = F.transform(F.array(F.struct(s.alias("s"), far.alias("far"))), lambda z: F.zip_with(
+        F.filter(F.transform(z["s"], lambda x, i: F.when((i == 0) | (x["a"] > F.get(z["far"], i - 1)), x["a"])),
+                 lambda a: a.isNotNull()),
+        F.filter(F.transform(z["far"], lambda b, i: F.when(
+            (i == F.size(z["far"]) - 1) | (F.get(z["s"], i + 1)["a"] > b), b)), lambda b: b.isNotNull()),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    return F.get(both, F.lit(0))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
@@ -204,10 +242,11 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any hit word."""
-    keyed = docs.withColumn("_k", row_key("doc_id", "text"))
-    hit = scan(keyed, benchmark, id_col="_k").where(F.size("spans") > 0).select(F.col("doc_id").alias("_k"))
+    k = free_name(docs, "_k")
+    keyed = docs.withColumn(k, row_key("doc_id", "text"))
+    hit = scan(keyed, benchmark, id_col=k).where(F.size("spans") > 0).select(F.col("doc_id").alias(k))
     hit = Scratch(docs.sparkSession, "contaminated").write(hit, "ids")
-    return drop_ids(keyed, hit, "_k").drop("_k")
+    return drop_ids(keyed, hit, k).drop(k)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
