@@ -19,13 +19,14 @@ once, compressed.
 
 Defined results: null and empty texts have no paragraph and a zero vector; two
 zero vectors are alike (1.0), a zero vector and another are not (0.0); null doc_ids come first; rows that share a doc_id
-follow each other by text digest; a single document is its own successor; an
+follow each other by a digest of their texts; a single document is its own successor; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,30 +131,31 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a == b).all(axis=-1), 1.0, np.maximum(1 - apart, 0.0))
 
 
-def _send(bounds: np.ndarray):
+def _place(doc_id, digest: int) -> tuple:
+    """The order of rows: null ids first, equal ids by text digest."""
+    return (False, digest) if doc_id is None else (True, doc_id, digest)
+
+
+def _send(bounds: list[tuple]):
     """Compressed texts with their range; the first of a range goes to the
     range before it too (``halo``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
-        n = len(bounds)
+        n = max(len(bounds), 1)
         for batch in batches:
-            ids = batch.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            num = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.maximum(np.searchsorted(bounds, num, "right") - 1, 0)
-            at[null] = 0
-            first = null | (bounds[at] == num) if n else null
-            body = [x.as_py() or b"" for x in batch.column("body")]
-            same = [hashlib.sha256(x).digest()[:16] for x in body]
-            z = [zip_.compress(x) for x in body]
-            extra = np.flatnonzero(first)
-            rows = np.concatenate((np.arange(len(body)), extra))
-            where = np.concatenate((at, (at[extra] - 1) % max(n, 1)))
-            halo = np.arange(len(rows)) >= len(body)
+            ids, digest = batch.column("doc_id"), batch.column("h")
+            place = [_place(i, k) for i, k in zip(ids.to_pylist(), digest.to_pylist())]
+            at = np.array([max(bisect_right(bounds, p) - 1, 0) for p in place], np.int64)
+            extra = np.array([i for i, p in enumerate(place) if p == bounds[at[i]]], np.int64)
+            z = [zip_.compress(x.as_py() or b"") for x in batch.column("body")]
+            rows = np.concatenate((np.arange(len(z)), extra))
+            where = np.concatenate((at, (at[extra] - 1) % n))
+            halo = np.arange(len(rows)) >= len(z)
+            take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where.astype(np.int32)), pa.array(halo), ids.take(pa.array(rows)),
-                 pa.array([same[i] for i in rows], pa.binary()), pa.array([z[i] for i in rows], pa.binary())],
-                names=["piece", "halo", "doc_id", "same", "z"])
+                [pa.array(where.astype(np.int32)), pa.array(halo), ids.take(take), digest.take(take),
+                 pa.array([z[i] for i in rows], pa.binary())],
+                names=["piece", "halo", "doc_id", "h", "z"])
     return run
 
 
@@ -167,7 +169,7 @@ def edited_text(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
-def _judged(own: list, text: list[str], after: list[str]) -> pa.RecordBatch:
+def _judged(own: list, text: list[str], after: list[str], kind: pa.DataType) -> pa.RecordBatch:
     """The result rows of documents and their successors."""
     edited = [edited_text(t, x) for t, x in zip(text, after)]
     at = {t: i for i, t in enumerate(dict.fromkeys([*text, *after]))}    # a successor is most often a text too
@@ -175,7 +177,7 @@ def _judged(own: list, text: list[str], after: list[str]) -> pa.RecordBatch:
     a, x = (v[[at[t] for t in ts]] for ts in (text, after))
     e = vectors([paragraphs(t) for t in edited])
     return pa.RecordBatch.from_arrays(
-        [pa.array(own, pa.int64()), pa.array([len(t) for t in text], pa.int64()),
+        [pa.array(own, kind), pa.array([len(t) for t in text], pa.int64()),
          pa.array([hashlib.sha256(t.encode("utf-8", "surrogateescape")).hexdigest() for t in edited],
                   pa.string()),
          pa.array([r.astype(">u4").tobytes().hex() for r in a], pa.string()),
@@ -187,8 +189,9 @@ def _judged(own: list, text: list[str], after: list[str]) -> pa.RecordBatch:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by piece, halo and id: each row meets the one after it."""
     held = None        # (piece, halo, doc_id, text) whose successor is to come
-    own, text, after, size = [], [], [], 0
+    own, text, after, size, kind = [], [], [], 0, pa.null()
     for batch in batches:
+        kind = batch.column("doc_id").type
         for piece, halo, doc, z in zip(*[batch.column(c) for c in ("piece", "halo", "doc_id", "z")]):
             now = (piece.as_py(), halo.as_py(), doc.as_py(), None)
             if held is not None and held[:2] == now[:2] == (now[0], True):
@@ -200,11 +203,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 after.append(now[3])
                 size += len(held[3])
                 if len(own) == ROWS or size >= CHUNK:
-                    yield _judged(own, text, after)
+                    yield _judged(own, text, after, kind)
                     own, text, after, size = [], [], [], 0
             held = now
     if own:
-        yield _judged(own, text, after)
+        yield _judged(own, text, after, kind)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,15 +232,19 @@ def successor_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     ship_package(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"),
+                      F.col(text_col).cast("binary").alias("body"))
     ranges = RANGES_EACH * shuffle_partitions(spark)
-    firsts = (src.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(ranges, "doc_id")
-              .groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("b")).select("b").collect())
-    bounds = np.array(sorted(r["b"] for r in firsts), np.int64)     # at most `ranges` numbers
-    sent = src.mapInArrow(_send(bounds), "piece int, halo boolean, doc_id long, same binary, z binary")
-    runs = sent.repartition(shuffle_partitions(spark), "piece").sortWithinPartitions(
-        "piece", "halo", F.col("doc_id").asc_nulls_first(), "same")
-    return runs.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    # the digest splits rows without an id, or with one id, over ranges
+    firsts = (src.select("doc_id", "h").repartitionByRange(ranges, *order)
+              .groupBy(F.spark_partition_id()).agg(
+                  F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("b")).select("b.doc_id", "b.h").collect())
+    bounds = sorted(_place(r["doc_id"], r["h"]) for r in firsts)    # at most `ranges` places
+    sent = src.mapInArrow(_send(bounds), f"piece int, halo boolean, doc_id {kind}, h long, z binary")
+    runs = sent.repartition(shuffle_partitions(spark), "piece").sortWithinPartitions("piece", "halo", *order)
+    return runs.mapInArrow(_compare, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, "
                                      "edited_fingerprint string, near_edited double, near_next double")
 
 
