@@ -137,15 +137,19 @@ def read_replay(spark: SparkSession, path: str, progress: str, rows_per_second:
             .option("rowsPerSecond", str(rows_per_second)).option("maxRowsPerBatch", str(max_rows_per_batch)).load())
 
 
-def run_until(source: DataFrame, path: str, checkpoint: str, rows: int, pause: str = "200 milliseconds") -> None:
+def run_until(source: DataFrame, path: str, checkpoint: str, rows: int, pause: str = "200 milliseconds",
+              seconds: float = 300.0) -> None:
     """Write the stream to ``path``, starting from the checkpoint, until at least
-    ``rows`` records are there."""
+    ``rows`` records are there; an error after so many ``seconds``."""
+    late = time.time() + seconds
     q = (source.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
          .trigger(processingTime=pause).start())
     spark = source.sparkSession
     try:
         while q.isActive and (not shared.exists(spark, f"{path}/_spark_metadata")
                               or spark.read.schema(source.schema).parquet(path).count() < rows):
+            if time.time() > late:
+                raise TimeoutError(f"fewer than {rows} records after {seconds} s")
             time.sleep(0.2)
     finally:
         q.stop()
