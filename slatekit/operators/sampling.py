@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatekit.config import CANDIDATE_NEG_NUM, DEFAULT_SEED
-from slatekit.functions.exprs import hash60
+from slatekit.functions.exprs import hash60, let
 from slatekit.plans.indexing import dense_index
 
 KEYS = ["split", "user_id"]
@@ -52,22 +52,24 @@ def permuted(t: Column, n: Column, *keys: str | Column, seed: str = DEFAULT_SEED
 
     Round r of the network takes (l, r) to (r, l + hash(keys, round, r) mod a) over
     an a x a square, a = ceil(sqrt(n)); a value of n or more is permuted again."""
-    n = n.cast("bigint")
-    a = F.ceil(F.sqrt(n)).cast("bigint")
-
-    def network(v: Column) -> Column:
-        half = F.struct(F.floor(v / a).cast("bigint").alias("l"), (v % a).alias("r"))
-        return F.aggregate(
-            F.sequence(F.lit(0), F.lit(FEISTEL_ROUNDS - 1)), half,
-            lambda s, k: F.struct(s["r"].alias("l"),
-                                  ((s["l"] + hash60(*keys, k, s["r"], seed=seed) % a) % a).alias("r")),
-            lambda s: s["l"] * a + s["r"])
+    def walk(z: Column) -> Column:
+        n, a = z["n"], z["a"]
+
+        def network(v: Column) -> Column:
+            half = F.struct(F.floor(v / a).cast("bigint").alias("l"), (v % a).alias("r"))
+            return F.aggregate(
+                F.sequence(F.lit(0), F.lit(FEISTEL_ROUNDS - 1)), half,
+                lambda s, k: F.struct(s["r"].alias("l"),
+                                      ((s["l"] + hash60(*keys, k, s["r"], seed=seed) % a) % a).alias("r")),
+                lambda s: s["l"] * a + s["r"])
+
+        steps = F.sequence(F.lit(1), F.least(F.lit(MAX_WALK), a * a - n + 1).cast("int"))
+        end = F.aggregate(steps, network(t.cast("bigint")), lambda v, _: F.when(v < n, v).otherwise(network(v)))
+        return let(end, lambda v: F.when(v < n, v).otherwise(
+            F.raise_error(F.lit("the cycle of a permutation is too long")).cast("bigint")))
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(MAX_WALK), a * a - n + 1).cast("int")),
-                       network(t.cast("bigint")),
-                       lambda v, _: F.when(v < n, v).otherwise(network(v)))
-    return F.when(walk < n, walk).otherwise(
-        F.raise_error(F.lit("the cycle of a permutation is too long")).cast("bigint"))
+    n = n.cast("bigint")
+    return let(F.struct(n.alias("n"), F.ceil(F.sqrt(n)).cast("bigint").alias("a")), walk)
 
 
 def _drawn(rows: DataFrame, n_col: str, kind: str, want: int, method: str, seed: str,
@@ -76,17 +78,17 @@ def _drawn(rows: DataFrame, n_col: str, kind: str, want: int, method: str, seed:
     row that takes all of them takes them in order."""
     n = F.col(n_col)
     offset = () if kind == "own" else (F.lit(kind),)
-    x = rows
-    if method == "rotate":
-        x = x.withColumn("_o", hash60("list_id", *offset, seed=seed) % n)
-    x = x.withColumn(t_col, F.explode(F.sequence(F.lit(0), F.least(n, F.lit(want)).cast("int") - 1)))
+    places = F.sequence(F.lit(0), F.least(n, F.lit(want)).cast("int") - 1)
     if method == "rotate":
-        return x.withColumn(out_col, (F.col("_o") + F.col(t_col)) % n).drop("_o")
-    if method != "exact":
+        first = hash60("list_id", *offset, seed=seed) % n
+        drawn = let(first, lambda o: F.transform(places, lambda t: (o + t) % n))
+    elif method == "exact":
+        drawn = F.when(n <= want, F.transform(places, lambda t: t.cast("bigint"))).otherwise(
+            F.transform(places, lambda t: permuted(t, n, "list_id", F.lit(kind), seed=seed)))
+    else:
         raise ValueError(f"unknown sampling method {method!r}")
-    t = F.col(t_col)
-    return x.withColumn(out_col, F.when(n <= want, t.cast("bigint")).otherwise(
-        permuted(t, n, "list_id", F.lit(kind), seed=seed)))
+    # one array a row: the indices are computed before they are exploded, once
+    return rows.select("*", F.posexplode(drawn).alias(t_col, out_col))
 
 
 def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM, seed: str = DEFAULT_SEED,
@@ -107,9 +109,9 @@ def neg_sample(log: DataFrame, n_neg: int = CANDIDATE_NEG_NUM, seed: str = DEFAU
     # pool fill for users with fewer than n_neg negatives of their own
     short = p.where(F.col("n") < n_neg)
     pool = dense_index(neg, ["h", "neg_id"], ["split"], "g")
-    g_n = neg.groupBy("split").agg(F.count(F.lit(1)).alias("G"))
+    g_n = neg.groupBy("split").agg(F.count(F.lit(1)).alias("pool_n"))
     want = _drawn(short.join(F.broadcast(g_n), "split"),  # one row per split
-                  "G", "pool", n_neg, method, seed, "u", "g")
+                  "pool_n", "pool", n_neg, method, seed, "u", "g")
     cand = (want.join(pool.select("split", "g", "neg_id", F.col("user_id").alias("owner")),
                       ["split", "g"])
             .where(F.col("owner") != F.col("user_id")))

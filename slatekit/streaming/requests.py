@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatekit.config import HIST_FIELDS, ITEM_FIELDS
-from slatekit.functions.exprs import col
+from slatekit.functions.exprs import col, let
 
 # FIXED VALUES: names of the request's inputs (INPUTS, DENSE) and of the serving
 # signature (ALIASES).
@@ -121,16 +121,11 @@ def request_payload(mr: DataFrame, key: Column | None = None, split_hist: bool =
     return mr.select(key.alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _request(txt: Column, batched: bool) -> Column:
     """The request's inputs without the batch dimension, null where the text is
     not such a request."""
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return _let(F.from_json(txt, request_schema(batched), opts), lambda r: F.when(
+    return let(F.from_json(txt, request_schema(batched), opts), lambda r: F.when(
         r.getField("_corrupt").isNull() & _complete(r, batched),
         F.struct(*[_first_of(r, n, batched).alias(n) for n in _SHAPES])))
 
