@@ -1,4 +1,5 @@
-"""Linear-chain conditional random field over binary features, in numpy."""
+"""Linear-chain conditional random field over binary features and hashed words,
+in numpy."""
 
 from __future__ import annotations
 
@@ -9,13 +10,19 @@ BEGIN, INSIDE, OUTSIDE = range(LABELS)
 
 
 class CRF:
-    """Emission weights (features x labels) and transition weights."""
+    """Emission weights (features x labels), transition weights, and a table of
+    emission weights (buckets x labels) for each hashed word; the words' buckets
+    are the last columns of the features."""
 
-    def __init__(self, emit: np.ndarray, move: np.ndarray):
-        self.emit, self.move = emit, move
+    def __init__(self, emit: np.ndarray, move: np.ndarray, words: tuple[np.ndarray, ...] = ()):
+        self.emit, self.move, self.words = emit, move, words
 
     def scores(self, feats: np.ndarray) -> np.ndarray:
-        return feats.astype(np.float32) @ self.emit.astype(np.float32)
+        n = len(self.emit)
+        out = feats[:, :n].astype(np.float32) @ self.emit.astype(np.float32)
+        for k, table in enumerate(self.words):
+            out += table.astype(np.float32)[feats[:, n + k]]
+        return out
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -24,19 +31,27 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(feats: np.ndarray, labels: np.ndarray, length: np.ndarray, steps: int = 150,
-          rate: float = 0.1, ridge: float = 1e-3) -> CRF:
+          rate: float = 0.1, ridge: float = 1e-3, words: int = 0, buckets: int = 0) -> CRF:
     """Maximum likelihood by Adam.  ``feats`` is windows x time x features,
-    padded; ``length`` the tokens of each window."""
+    padded, the last ``words`` of which are numbers of ``buckets``; ``length`` the
+    tokens of each window."""
     n, t, f = feats.shape
+    f -= words
     emit, move = np.zeros((f, LABELS)), np.zeros((LABELS, LABELS))
+    tables = [np.zeros((buckets, LABELS)) for _ in range(words)]
     on = np.arange(t)[None, :] < length[:, None]
     gold = np.eye(LABELS)[labels] * on[..., None]
     pair_on = on[:, 1:]
     gold_move = np.einsum("nti,ntj->ij", gold[:, :-1] * pair_on[..., None], gold[:, 1:])
-    x = feats.reshape(n * t, f).astype(np.float64)
-    state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
+    x = feats[..., :f].reshape(n * t, f).astype(np.float64)
+    at = [feats[..., f + k].ravel().astype(np.int64) for k in range(words)]
+    weights = [emit, move, *tables]
+    state = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, steps + 1):
-        e = (x @ emit).reshape(n, t, LABELS)
+        e = x @ emit
+        for table, b in zip(tables, at):
+            e += table[b]
+        e = e.reshape(n, t, LABELS)
         fwd, bwd = np.empty_like(e), np.zeros_like(e)
         fwd[:, 0] = e[:, 0]
         for k in range(1, t):
@@ -49,13 +64,15 @@ def train(feats: np.ndarray, labels: np.ndarray, length: np.ndarray, steps: int
         post = np.exp(fwd + bwd - z[:, None, None]) * on[..., None]
         two = (fwd[:, :-1, :, None] + move + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
         want_move = np.einsum("ntij->ij", np.exp(np.where(pair_on[..., None, None], two, -np.inf)))
-        grads = [x.T @ (gold - post).reshape(n * t, LABELS) / n - ridge * emit,
-                 (gold_move - want_move) / n - ridge * move]
-        for p, g, m, v in zip((emit, move), grads, state[::2], state[1::2]):
+        miss = (gold - post).reshape(n * t, LABELS)
+        grads = [x.T @ miss / n - ridge * emit, (gold_move - want_move) / n - ridge * move]
+        grads += [np.stack([np.bincount(b, miss[:, k], buckets) for k in range(LABELS)], axis=1) / n - ridge * table
+                  for table, b in zip(tables, at)]
+        for p, g, (m, v) in zip(weights, grads, state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    return CRF(emit, move)
+    return CRF(emit, move, tuple(tables))
 
 
 def viterbi(model: CRF, e: np.ndarray, chain: np.ndarray) -> np.ndarray:

@@ -2,9 +2,10 @@
 secret begin, inside or outside.
 
 Features of a token are its shape (length, classes of characters, changes
-between letters and digits, hexadecimal or not), its neighbours (a name such as
-``password`` before it, an assignment sign or a quote around it) and its file
-(whether the file holds such names, how dense its digits are).  The CRF is
+between letters and digits, hexadecimal or not), its neighbours (the two words
+before it and the one after, hashed into buckets whose weights are learned; a name
+such as ``password`` before it, an assignment sign or a quote around it) and its
+file (whether the file holds such names, how dense its digits are).  The CRF is
 trained on windows from a bounded sample: the ``SAMPLE`` files of lowest hash
 with a base match and as many without, and of each file the ``SPANS`` labelled
 spans of lowest hash over the whole file, or ``PLAIN`` tokens where there is none.
@@ -94,8 +95,11 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-FEATURES = 26
-CONTEXT = slice(14, 22)     # neighbour features
+SHAPES = 26                 # binary features
+WORDS = 3                   # neighbouring words: one and two before, one after
+BUCKETS = 128               # of a neighbouring word; 0: none, or hidden
+FEATURES = SHAPES + WORDS
+CONTEXT = (slice(14, 22), slice(SHAPES, FEATURES))     # neighbour features
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +126,8 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     up, down = _powers(n)
     roll = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[_FOLD[arr]] * up[:n], out=roll[1:])
-    name = np.isin((roll[e] - roll[s]) * down[s], _NAME_HASHES)
+    word = (roll[e] - roll[s]) * down[s]
+    name = np.isin(word, _NAME_HASHES)
     doc = np.searchsorted(begin, s, "right") - 1
 
     length = e - s
@@ -159,6 +164,12 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         named[doc], dense[doc], signs[doc], (tn >= 4) & (length >= 12)]
     for k, c in enumerate(cols):
         f[:, k] = c
+    bucket = ((word * np.uint64(_R) >> np.uint64(40)) % np.uint64(BUCKETS - 1) + np.uint64(1)).astype(np.uint8)
+    near = f[:, SHAPES:]
+    near[:] = 0
+    near[1:, 0] = np.where(same[1:], bucket[:-1], 0)
+    near[2:, 1] = np.where(same[2:] & same[1:-1], bucket[:-2], 0)
+    near[:-1, 2] = np.where(same[1:], bucket[1:], 0)
     return doc, s - begin[doc], e - begin[doc], f
 
 
@@ -194,14 +205,15 @@ def fit_windows(cut: list[tuple[np.ndarray, np.ndarray]]) -> CRF | None:
     windows: list[tuple[np.ndarray, np.ndarray]] = []
     for f, y in sorted(cut, key=lambda w: (w[0].tobytes(), w[1].tobytes())):
         bare = f.copy()
-        bare[:, CONTEXT] = 0
+        for part in CONTEXT:
+            bare[:, part] = 0
         windows += [(f, y), (bare, y)]
     t = 2 * WINDOW + 1
     x = np.zeros((len(windows), t, FEATURES), np.uint8)
     y = np.full((len(windows), t), OUTSIDE, np.int64)
     for i, (f, lab) in enumerate(windows):
         x[i, :len(f)], y[i, :len(lab)] = f, lab
-    return train(x, y, np.array([len(f) for f, _ in windows]))
+    return train(x, y, np.array([len(f) for f, _ in windows]), words=WORDS, buckets=BUCKETS)
 
 
 def tagged(model: CRF | None, texts: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -223,14 +235,25 @@ def tagged(model: CRF | None, texts: list[bytes]) -> list[list[tuple[int, int]]]
     return out
 
 
+def apart(extra: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The spans (start, end) that touch none of ``base`` (by start): of those
+    that begin before a span's end, the farthest end is before its start."""
+    if not extra or not base:
+        return extra
+    starts, ends = np.array([x for x, _, _ in base]), np.maximum.accumulate([y for _, _, y in base])
+    a, b = np.array(extra).T
+    before = np.searchsorted(starts, b, "left")
+    touches = (before > 0) & (ends[np.maximum(before - 1, 0)] > a)
+    return [x for x, t in zip(extra, touches.tolist()) if not t]
+
+
 def spans_of(model: CRF | None, texts: list[bytes]) -> list[list[tuple[int, str, int]]]:
     """(start, kind, end) in code points, base spans and those of the CRF, by
     start and kind."""
     out = []
     for text, extra in zip(texts, tagged(model, texts)):
         base = base_spans(text)
-        add = [(a, 3, b) for a, b in extra if not any(a < y and x < b for x, _, y in base)]
-        found = sorted(base + add)
+        found = sorted(base + [(a, 3, b) for a, b in apart(extra, base)])
         if found:
             points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
             found = [(int(points[a]), k, int(points[b])) for a, k, b in found]
