@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Hash buckets of `in_buckets`; a broadcast bucket set never exceeds this.
 ID_BUCKETS = 1 << 20
 
-__all__ = ["ID_BUCKETS", "Scratch", "ascii_lower", "bucket", "drop_ids", "in_buckets", "keep_ids", "maybe_ids", "null_safe",
+__all__ = ["ID_BUCKETS", "Scratch", "ascii_lower", "bucket", "drop_ids", "free_name", "in_buckets", "keep_ids", "maybe_ids", "null_safe",
            "row_key", "running", "ship_package", "shuffle_partitions", "table", "unique_rows", "word_count"]
 
 
@@ -99,17 +99,26 @@ def bucket(id_col: str) -> Column:
         F.pmod(F.xxhash64(id_col), F.lit(ID_BUCKETS)).cast("int"))
 
 
-def in_buckets(ids: DataFrame, id_col: str) -> DataFrame:
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def in_buckets(ids: DataFrame, id_col: str, out_col: str = "_b") -> DataFrame:
     """The distinct hash buckets (at most ID_BUCKETS rows) of ``ids``."""
-    return ids.where(F.col(id_col).isNotNull()).select(bucket(id_col).alias("_b")).distinct()
+    return ids.where(F.col(id_col).isNotNull()).select(bucket(id_col).alias(out_col)).distinct()
 
 
 def maybe_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id bucket holds a listed id: every listed row and
     few others, found without a shuffle by a broadcast of at most ID_BUCKETS
     bucket numbers."""
-    some = docs.withColumn("_b", bucket(id_col))
-    return some.join(F.broadcast(in_buckets(ids, id_col)), "_b", "left_semi").drop("_b")
+    b = free_name(docs, "_b")
+    some = docs.withColumn(b, bucket(id_col))
+    return some.join(F.broadcast(in_buckets(ids, id_col, b)), b, "left_semi").drop(b)
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -122,10 +131,11 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id is not in ``ids`` (null ids stay).  Rows in
     buckets without a listed id pass without a shuffle; only the others meet
     the exact anti join."""
-    buckets = F.broadcast(in_buckets(ids, id_col))
-    tagged = docs.withColumn("_b", bucket(id_col))
-    clear = tagged.join(buckets, "_b", "left_anti").drop("_b")
-    doubt = tagged.join(buckets, "_b", "left_semi").drop("_b")
+    b = free_name(docs, "_b")
+    buckets = F.broadcast(in_buckets(ids, id_col, b))
+    tagged = docs.withColumn(b, bucket(id_col))
+    clear = tagged.join(buckets, b, "left_anti").drop(b)
+    doubt = tagged.join(buckets, b, "left_semi").drop(b)
     listed = ids.select(id_col).distinct()
     return clear.unionByName(doubt.join(listed, id_col, "left_anti"))
 
@@ -139,7 +149,8 @@ def row_key(*cols: str) -> Column:
 def unique_rows(docs: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
     """One row for each key listed in ``repeated``; all other rows pass without
     a shuffle."""
-    first = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
-    one = (keep_ids(docs, repeated, key).withColumn("_at", F.row_number().over(first))
-           .where("_at = 1").drop("_at"))
+    at = free_name(docs, "_at")
+    first = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    one = (keep_ids(docs, repeated, key).withColumn(at, F.row_number().over(first))
+           .where(F.col(at) == 1).drop(at))
     return drop_ids(docs, repeated, key).unionByName(one)

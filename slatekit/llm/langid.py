@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import Scratch, drop_ids, row_key, ship_package, table
+from slatekit.llm.common import Scratch, drop_ids, free_name, row_key, ship_package, table
 
 BITS = 14               # hash bits of a trigram
 SMOOTH = 0.5
@@ -258,11 +258,12 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 def keep_languages(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted."""
-    keyed = docs.withColumn("_k", row_key("doc_id", "text", "lang", "source"))
-    found = identify(document_rows(keyed, "_k"), *train(labelled(docs)))
+    k = free_name(docs, "_k")
+    keyed = docs.withColumn(k, row_key("doc_id", "text", "lang", "source"))
+    found = identify(document_rows(keyed, k), *train(labelled(docs)))
     bad = Scratch(docs.sparkSession, "rejected").write(found.where(~F.col("accepted")).select(
-        F.col("id").alias("_k")), "ids")
-    return drop_ids(keyed, bad, "_k").drop("_k")
+        F.col("id").alias(k)), "ids")
+    return drop_ids(keyed, bad, k).drop(k)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -103,17 +103,20 @@ def mixed(docs: DataFrame, **args) -> DataFrame:
         F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("_whole"),
         F.collect_list(F.when(rest > 0, rest)).alias("_rest"), F.count(F.lit(1)).alias("_n"))
     take = Scratch(docs.sparkSession, "mixed").write(take, "take")
-    rows = docs.withColumn("_k", key(F.crc32(F.col("text").cast("binary"))))
+    # the row travels whole, beside its key
+    rows = docs.select(key(F.crc32(F.col("text").cast("binary"))).alias("_k"),
+                       F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))
     rows = unique_rows(rows, take.where("_n > 1"), "_k").join(take, "_k")
     copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.col("_rest"))
     rows = rows.withColumn("_cut", F.explode(copies))
-    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")      # each with the space before it
+    words = F.split(F.col("_row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")    # each with the space before it
     start = F.array_join(F.slice(words, 1, F.greatest(F.col("_cut"), F.lit(1))), "")
-    rows = rows.withColumn("text", F.when(F.col("_cut") > 0, start).otherwise(F.col("text")))
+    own = {c: F.col("_row").getField(c) for c in cols}
+    own["text"] = F.when(F.col("_cut") > 0, start).otherwise(own["text"])
     if "n_chars" in cols:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length("text"))
-                               .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*cols)
+        own["n_chars"] = F.when(F.col("_cut") > 0, F.length(start)).otherwise(
+            own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in own.items()])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
