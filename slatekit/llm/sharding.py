@@ -9,7 +9,8 @@ before and after it, so a group larger than a fair share costs only itself.
 
 Sizes are summed by a distributed running sum.  The driver holds a summary of
 at most ``BLOCKS`` blocks of group ends; a greedy step that falls inside a block
-reads that block alone, and the coarse summary first narrows the capacity.
+reads that block alone (or, where it has more than ``FETCH_ROWS`` ends, a summary
+of it in its turn), and the coarse summary first narrows the capacity.
 
 Defined results: null text has no bytes (size 8, crc 0) and all null texts are
 one group; null doc_id sorts first; repeated rows are rows of their own; an
@@ -44,6 +45,7 @@ class GroupEnds:
         self.hi = [r["hi"] for r in rows]
         self.n = [r["n"] for r in rows]
         self.cache: dict[int, list[int]] = {}
+        self.parts: dict[int, GroupEnds] = {}
 
     def fetch(self, at: list[int]) -> None:
         """Read the ends of the summary rows ``at``."""
@@ -64,6 +66,17 @@ class GroupEnds:
             self.fetch([i])
         return self.cache[i]
 
+    def part(self, i: int) -> "GroupEnds | None":
+        """The summary of a block too long to be read, else None."""
+        if self.n[i] <= FETCH_ROWS or self.lo[i] == self.hi[i]:
+            return None
+        if i not in self.parts:
+            width = -(-(self.hi[i] - self.lo[i] + 1) // BLOCKS)
+            own = self.ends.where(F.col("block") == self.block[i]).withColumn(
+                "block", F.expr(f"(end - {self.lo[i]}) div {width}"))
+            self.parts[i] = GroupEnds(own, self.total)
+        return self.parts[i]
+
     def at_most(self, x: int) -> int:
         """Largest group end <= x, or 0."""
         i = bisect_right(self.lo, x) - 1
@@ -71,6 +84,8 @@ class GroupEnds:
             return 0
         if self.hi[i] <= x:
             return self.hi[i]
+        if part := self.part(i):
+            return part.at_most(x)
         v = self.inside(i)
         return v[bisect_right(v, x) - 1]
 
@@ -81,6 +96,8 @@ class GroupEnds:
         i = bisect_left(self.hi, x)
         if self.lo[i] >= x:
             return self.lo[i]
+        if part := self.part(i):
+            return part.at_least(x)
         v = self.inside(i)
         return v[bisect_left(v, x)]
 
