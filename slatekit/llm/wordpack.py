@@ -27,6 +27,8 @@ are interchangeable; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import struct
@@ -55,8 +57,8 @@ BLOCK = 4096             # ids of one block
 BUFFER = 256 * BLOCK     # ids coded at a time
 FILE_IDS = 1 << 22       # ids of one file, about
 PIECE = 1 << 22          # characters of a text tokenized at a time, about
-BATCH = 1 << 23          # characters tokenized at once, about
-WORDS = 1 << 20          # distinct words a worker remembers, about
+BATCH = 1 << 22          # characters tokenized at once, about
+WORDS = 1 << 19          # distinct words a worker remembers, about
 END_ID = 2
 ENCODE = 1 << 12         # words in one call of the tokenizer
 SPACE = re.compile("[ \n]")
@@ -287,6 +289,10 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         one, two = self.encoded(["ab", "cd."])
         self.apart = self.encoded(["ab cd.", " ab\ncd. ", "  ab \n\n cd.\n"]) == [one + two] * 3
+        spec = json.loads(self.tokenizer.to_str())
+        steps = spec["normalizer"] or {}
+        self.folds = any(x["type"] == "Lowercase" for x in steps.get("normalizers", [steps]) if "type" in x)
+        self.special = [x["content"].lower() for x in spec["added_tokens"]]
         self.size = np.zeros(0, np.int64)
         self.hits = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -328,9 +334,29 @@ class Words(dict):
         at = np.repeat(self.first[numbers] - (end - size), size)
         return self.flat[at + np.arange(len(at))]
 
+    def folded(self, texts: pa.Array) -> pa.Array:
+        """A-Z lowered, where the tokenizer does so itself and no special token
+        could be meant: fewer words differ."""
+        if not self.folds:
+            return texts
+        low = pc.ascii_lower(texts)
+        for token in self.special:
+            low = pc.if_else(pc.match_substring(low, token), texts, low)
+        return low
+
     def texts_ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        on = gc.isenabled()
+        gc.disable()                   # lists of numbers have no cycles to look for
+        try:
+            return self._texts_ids(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _texts_ids(self, texts: list[str]) -> list[np.ndarray]:
+        whole = self.folded(pa.array(texts, pa.large_string()))
+        words = pc.split_pattern(pc.replace_substring(whole, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
         numbers = self.numbers(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)))[at]
