@@ -50,7 +50,8 @@ from slatekit.llm.warc import file_system
 SCALE = 256              # a component x counts as floor(SCALE * x)
 POSITIVES, NEGATIVES = 5, 10
 LOW_SHARE, HIGH_SHARE = 30, 90     # of the positive's score, in hundredths
-BLOCK = 4096             # anchors of one block, about
+BLOCK = 4096             # anchors of one block, about, and
+VALUES = 1 << 20         # at most about so many components in it, or in rows searched together
 BAND = 256               # anchors that share an index
 STRIDE = 4               # dimensions of one posting run
 SAMPLE = 4096            # rows that set the first thresholds
@@ -176,12 +177,20 @@ def _pairs(block: dict, label: np.ndarray, x: np.ndarray, same: bool) -> Iterato
             yield qs[i], rs[j], s
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows searched together: fewer of long vectors."""
+    for batch in batches:
+        if batch.num_rows:
+            most = max(1, pc.max(pc.list_value_length(batch.column("vec"))).as_py() or 0)
+            rows = max(1, VALUES // most)
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
+
+
 def _search(folder: str, blocks: list[int], k: int, same: bool):
     """The best ``k`` pairs of each window that a batch of rows gives."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             rid = batch.column("r").to_numpy()
             label = batch.column("label").to_numpy(zero_copy_only=False)
             x = scaled(batch.column("vec"))
@@ -251,6 +260,8 @@ def best_in_windows(rows: DataFrame, anchors: DataFrame, windows: DataFrame, k:
     the anchor's label or of the others."""
     spark = rows.sparkSession
     ship_package(spark)
+    longest = rows.agg(F.max(F.size("vec"))).first()[0] or 1
+    block = max(1, min(block, VALUES // max(1, longest)))
     some = scratch.path(f"{name}-sample")
     rows.orderBy(F.xxhash64("r"), "r").limit(SAMPLE).select("r", "label", "vec").coalesce(1).write.parquet(some)
     total = rows.count()

@@ -78,7 +78,8 @@ def test_pieces_tokenize_like_the_whole():
 
 
 def test_words_give_the_ids_of_the_text():
-    texts = ["Ünï don't  stop\n\n'tis 12345 <|endoftext|> é ́ ΣΑΣ. a\tb\x0bc d\u3000e " * 40, "", " ", "\n \n", "x" * 400, "a  b", None]
+    texts = ["Ünï don't  stop\n\n'tis 12345 <|endoftext|> é ́ ΣΑΣ. a\tb\x0bc d\u3000e " * 40, "", " ", "\n \n", "x" * 400, "a  b", None,
+             "A<|EndOfText|>B <|endoftext|>C <|ENDOFTEXT|>", "ÀÉ ABC Ω İI <|EndOf"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         path = public_tokenizers.path(name)
         tok = Tokenizer.from_file(path)
@@ -196,6 +197,17 @@ def test_hard_negatives_edge_rows(spark):
     assert len(hardneg.mine(named, named.vec_id.endswith("0")).collect()) == len(got)
 
 
+def test_long_vectors_in_small_parts(spark):
+    """Blocks and slices of a few rows each give the same result."""
+    rng = np.random.default_rng(13)
+    rows = [(i, i % 3, rng.normal(size=6000).round(3).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    assert hardneg.VALUES // 6000 > 40 > hardneg.VALUES // 126000
+    got = [tuple(r) for r in hardneg.mine(df, df.vec_id % 10 == 0).collect()]
+    wide = df.selectExpr("vec_id", "label", "concat(embedding, array_repeat(0f, 120000)) AS embedding")
+    assert sorted(map(tuple, hardneg.mine(wide, wide.vec_id % 10 == 0).collect())) == sorted(got) and got
+
+
 def test_windows_of_a_larger_table_fill_below_the_sample(spark):
     vectors = table(spark, "/root/testdata/check_s", "embeddings")           # more rows than the sample
     con = duckdb.connect()
