@@ -30,7 +30,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -44,6 +44,7 @@ FRAME_BYTES = 1 << 20       # of records in one frame, about
 BUNDLE_BYTES = 64 << 20     # compressed bytes in one bundle, about
 LEAST_REVISIT = 0           # smaller payloads are always responses
 LEVEL = 3
+SALTS = 16                  # parts of the pages with one payload
 
 # FIXED VALUES of the seekable format and of WARC/1.1.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -68,7 +69,7 @@ def record_id(page_id, payload_sha: str, url: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def make_record(page_id, url: str | None, payload: bytes, refers_to: int | None) -> tuple[str, bytes]:
+def make_record(page_id, url: str | None, payload: bytes, refers_to) -> tuple[str, bytes]:
     """(record id, record); a revisit has the HTTP head and no payload."""
     sha = payload_digest(payload)
     rid = record_id(page_id, sha, url)
@@ -81,7 +82,7 @@ def make_record(page_id, url: str | None, payload: bytes, refers_to: int | None)
         "WARC-Target-URI: " + quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%-._~"),
         f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http; msgtype=response"]
     if page_id is not None:
-        fields.append(f"X-Page-ID: {page_id}")
+        fields.append(f"X-Page-ID: {quote(str(page_id))}")
     if refers_to is not None:
         fields += [f"WARC-Profile: {REVISIT_PROFILE}",
                    f"WARC-Refers-To: {record_id(refers_to, sha, None)}"]
@@ -213,12 +214,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if response and payload_digest(payload) != sha:
                             raise ValueError(f"digest of {fields['WARC-Record-ID']} does not match")
                         rows.append({
-                            "page_id": int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None,
+                            "page_id": unquote(fields["X-Page-ID"]) if "X-Page-ID" in fields else None,
                             "record_id": fields["WARC-Record-ID"], "record_type": fields["WARC-Type"],
                             "payload_bytes": len(payload) if response else None, "payload_digest": sha,
                             "refers": fields.get("WARC-Refers-To")})
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                        [("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()),
+                        [("page_id", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()),
                          ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                          ("refers", pa.string())]))
 
@@ -229,16 +230,17 @@ def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
     spark = pages.sparkSession
     ship_package(spark)
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("body"),
+    rows = pages.select(F.col("page_id"), F.col("url").cast("string"), body.alias("body"),
                         F.sha2(body, 256).alias("same"))
     many = scratch.write(
         rows.where(F.octet_length("body") >= LEAST_REVISIT).groupBy("same")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .agg(F.min("page_id").cast("string").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("same", "first"), "many")
+    rows = rows.withColumn("page_id", F.col("page_id").cast("string"))
     marks = F.broadcast(in_buckets(many, "same"))
     tagged = rows.withColumn("_b", bucket("same"))
-    single = tagged.join(marks, "_b", "left_anti").withColumn("first", F.lit(None).cast("long"))
-    shared = tagged.join(marks, "_b", "left_semi").join(many, "same", "left")
+    single = tagged.join(marks, "_b", "left_anti").withColumn("first", F.lit(None).cast("string"))
+    shared = salted(tagged.join(marks, "_b", "left_semi")).join(spread(many), ["same", "salt"], "left")
     cols = ["page_id", "url", "body", "first"]
     folder = scratch.path("bundles")
     fs, path = file_system(folder)
@@ -247,21 +249,32 @@ def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(index, "index")
 
 
-def read_archives(index: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of all records in the indexed bundles; a revisit takes the payload
-    size of the record it refers to.  Bundles are dealt over a fixed number of
+def salted(pages: DataFrame) -> DataFrame:
+    """Pages in ``SALTS`` parts, so that copies of one payload are spread."""
+    return pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+
+
+def spread(payloads: DataFrame) -> DataFrame:
+    """One row a payload, for every part."""
+    return payloads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def read_archives(index: DataFrame, scratch: Scratch, id_type: str = "long") -> DataFrame:
+    """Rows of all records in the indexed bundles, page ids as ``id_type``; a
+    revisit takes the payload size of the record it refers to.  Bundles are dealt over a fixed number of
     tasks: their names are few bytes, which says nothing of the work."""
     spark = index.sparkSession
     bundles = index.select("bundle").distinct().repartition(4 * shuffle_partitions(spark), "bundle")
     recs = scratch.write(bundles.mapInArrow(
-        _read, "page_id long, record_id string, record_type string, payload_bytes long, "
+        _read, "page_id string, record_id string, record_type string, payload_bytes long, "
                "payload_digest string, refers string"), "records")
     full = recs.where("record_type = 'response'")
     known = full.groupBy(F.col("record_id").alias("refers")).agg(
         F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("full_bytes"))
-    again = recs.where("record_type = 'revisit'").join(known, "refers", "left")
-    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return full.withColumn("refers_to", F.lit(None).cast("long")).select(*cols).unionByName(
+    again = salted(recs.where("record_type = 'revisit'")).join(spread(known), ["refers", "salt"], "left")
+    cols = [F.col("page_id").cast(id_type), "payload_bytes", "payload_digest", "record_type",
+            F.col("refers_to").cast(id_type)]
+    return full.withColumn("refers_to", F.lit(None).cast("string")).select(*cols).unionByName(
         again.withColumn("payload_bytes", F.col("full_bytes")).select(*cols))
 
 

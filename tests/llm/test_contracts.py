@@ -93,6 +93,23 @@ def test_cuts_with_coarse_summary(sizes):
             assert n > shards or cap == max(sizes)
 
 
+def test_group_ends_of_long_blocks(spark, monkeypatch):
+    """A block with more ends than are read at once has a summary of its own."""
+    from bisect import bisect_left, bisect_right
+    monkeypatch.setattr(sharding, "FETCH_ROWS", 5)
+    monkeypatch.setattr(sharding, "BLOCKS", 4)
+    rng = np.random.default_rng(12)
+    ends = np.cumsum([*rng.integers(1, 9, 150), 5000, *rng.integers(1, 9, 150)]).tolist()
+    width = -(-ends[-1] // 4)
+    df = spark.createDataFrame([(e, (e - 1) // width) for e in ends], "end long, block long")
+    g = sharding.GroupEnds(df, ends[-1])
+    for x in [1, 8, ends[3], ends[77] - 1, ends[149] + 7, ends[150], ends[200] + 1, ends[-1]]:
+        k = bisect_right(ends, x)
+        assert g.at_most(x) == (ends[k - 1] if k else 0)
+        assert g.at_least(x) == ends[bisect_left(ends, x)]
+    assert any(p.parts for p in g.parts.values())
+
+
 def test_mixed_rows_follow_the_mix(spark):
     docs = table(spark, SF_SMALL, "documents")
     take = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
@@ -454,6 +471,12 @@ def test_warc_edge_tables(spark):
         (1, "response", None), (1, "response", None), (2, "revisit", 1)]
     scratch = Scratch(spark, "warc-edge")
     assert warc.read_archives(warc.write_archives(pages.limit(0), scratch), scratch).collect() == []
+    named = spark.createDataFrame([(f"p {i}:\r\n/é", "u", "copy") for i in range(40)] + [(None, "u", "copy")],
+                                  "page_id string, url string, html string")
+    scratch = Scratch(spark, "warc-edge")
+    rows = warc.read_archives(warc.write_archives(named, scratch), scratch, "string").collect()
+    assert {r["page_id"] for r in rows} == {r["page_id"] for r in named.collect()} and len(rows) == 41
+    assert {r["refers_to"] for r in rows if r["record_type"] == "revisit"} == {"p 0:\r\n/é"}
 
 
 def test_rare_language_has_a_model(spark):
