@@ -27,3 +27,27 @@ def test_records_of_one_partition_are_sorted_in_ranges(spark, monkeypatch):
     ranges = spark.read.parquet(FS._STAGED[spark.sparkContext.applicationId][-1]).groupBy("_sk_pid").count()
     sizes = [r["count"] for r in ranges.collect()]
     assert len(sizes) > 5 and max(sizes) <= 40
+
+
+def test_vectors_are_looked_up_once_a_block(spark):
+    ids = [(1, [0, 7, 5]), (2, [5, 5]), (3, [7]), (1, [7]), (4, []), (5, [0, 0])]
+    vecs = {5: [1.0, 2.0], 7: [-3.0, 0.5], 0: [0.0, 0.0]}
+    rows = spark.createDataFrame(ids, "k int, ids array<bigint>")
+    table = spark.createDataFrame([(i, v) for i, v in vecs.items() if i], "item_id bigint, vec array<double>")
+    long = EM.lookup_vectors(rows, ["k"], F.col("ids"), table, concat=True)
+    assert "FlatMapCoGroupsInArrow" in _plan(long)             # rows do not carry vectors through a shuffle
+    got = {r["k"]: r["vec"] for r in long.collect()}
+    want = {}
+    for k in (1, 2, 3, 5):                                     # rows of one key, by field, then value
+        e = sorted((f, vecs[i]) for key, own in ids if key == k for f, i in enumerate(own))
+        want[k] = [x for _, v in e for x in v]
+    assert got == want
+    summed = {r["k"]: r["vec"] for r in EM.lookup_vectors(rows, ["k"], F.col("ids"), table).collect()}
+    assert summed == {1: [-5.0, 3.0], 2: [2.0, 4.0], 3: [-3.0, 0.5], 5: [0.0, 0.0]}
+    stats = {r["k"]: r for r in EM.lookup_vectors(rows, ["k"], F.col("ids"), table, concat=True, stats=True).collect()}
+    for r in long.select("k", *EM.vec_stats("vec")).collect():
+        s = stats[r["k"]]
+        assert s["dim"] == r["dim"] and math.isclose(s["norm"], r["norm"]) and math.isclose(s["vsum"], r["vsum"])
+    # an id with several vectors brings all of them
+    twice = EM.lookup_vectors(rows.where("k = 3"), ["k"], F.col("ids"), table.union(table), concat=True)
+    assert twice.first()["vec"] == [-3.0, 0.5] * 2
