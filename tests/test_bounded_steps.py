@@ -51,3 +51,12 @@ def test_vectors_are_looked_up_once_a_block(spark):
     # an id with several vectors brings all of them
     twice = EM.lookup_vectors(rows.where("k = 3"), ["k"], F.col("ids"), table.union(table), concat=True)
     assert twice.first()["vec"] == [-3.0, 0.5] * 2
+
+
+def test_categories_of_candidates_are_looked_up_once(spark):
+    ds = spark.createDataFrame([("train", 1, [[1] * 5 + [9, 1]], [1], {9: 0}, 1)],
+                               "split string, list_id bigint, candi array<array<bigint>>, labels array<int>, "
+                               "cmap map<bigint,int>, n_cate int")
+    out = ds.select(*L.cate_split_candidates())
+    assert "filter(transform(arrays_zip" not in _plan(out)
+    assert out.first()["candi_len_c"] == [1]
