@@ -60,3 +60,16 @@ def test_categories_of_candidates_are_looked_up_once(spark):
     out = ds.select(*L.cate_split_candidates())
     assert "filter(transform(arrays_zip" not in _plan(out)
     assert out.first()["candi_len_c"] == [1]
+
+
+def test_predictions_join_by_list(spark):
+    from slatekit.queries import _requests, _reshaped, _scored_slots
+    x = _scored_slots(spark, SF_SMALL)
+    assert not [p for p in _plan(x).splitlines() if " Join " in p and "slot#" in p]
+    ds = _reshaped(spark, SF_SMALL)
+    parsed, _ = RQ.parse_requests(_requests(spark, SF_SMALL))
+    preds = SC.score_requests(parsed).select(*RQ.list_of_key(), "slot", "pred")
+    labels = L.slot_layout(ds.select("split", "list_id", *L.cate_split_candidates())).drop("item")
+    cols = ["split", "list_id", "slot", "pred", "cate", "label", "mask"]
+    want = preds.join(labels, ["split", "list_id", "slot"]).select(*cols)
+    assert sorted(map(tuple, x.select(*cols).collect())) == sorted(map(tuple, want.collect()))
