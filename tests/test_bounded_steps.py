@@ -29,6 +29,12 @@ def test_records_of_one_partition_are_sorted_in_ranges(spark, monkeypatch):
     assert len(sizes) > 5 and max(sizes) <= 40
 
 
+def test_requests_are_parsed_once(spark):
+    rec = spark.createDataFrame([(b"k", b"{}", "t", 0, 0, None)], K.KAFKA_SCHEMA)
+    parsed, _ = RQ.parse_requests(rec)
+    assert not [x for x in _plan(parsed).splitlines() if re.search(r"Filter .*from_json", x)]
+
+
 def test_vectors_are_looked_up_once_a_block(spark):
     ids = [(1, [0, 7, 5]), (2, [5, 5]), (3, [7]), (1, [7]), (4, []), (5, [0, 0])]
     vecs = {5: [1.0, 2.0], 7: [-3.0, 0.5], 0: [0.0, 0.0]}
