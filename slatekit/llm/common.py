@@ -5,7 +5,8 @@ texts a shuffle."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from slatekit.sources.tables import table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Hash buckets of `in_buckets`; a broadcast bucket set never exceeds this.
 ID_BUCKETS = 1 << 20
+# Bytes of an Arrow batch of texts, about: JVM and worker hold several of each task.
+BATCH_BYTES = 4 << 20
 
-__all__ = ["ID_BUCKETS", "Scratch", "ascii_lower", "bucket", "drop_ids", "free_name", "in_buckets", "keep_ids", "maybe_ids", "null_safe",
+__all__ = ["BATCH_BYTES", "ID_BUCKETS", "Scratch", "arrow_batches", "ascii_lower", "bucket", "drop_ids", "free_name", "in_buckets", "keep_ids", "maybe_ids", "null_safe",
            "row_key", "running", "ship_package", "shuffle_partitions", "table", "unique_rows", "word_count"]
 
 
@@ -43,6 +46,23 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs started inside send Arrow batches of at most ``size`` bytes, about, or
+    of one row, to Python; a smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    if 0 < now <= size:
+        yield
+        return
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import Scratch, running, ship_package, shuffle_partitions, table
+from slatekit.llm.common import Scratch, arrow_batches, running, ship_package, shuffle_partitions, table
 from slatekit.llm.warc import file_system
 
 # FIXED VALUES of the code: ids in a word by selector; each takes 60 // count bits.
@@ -57,10 +57,12 @@ BLOCK = 4096             # ids of one block
 BUFFER = 256 * BLOCK     # ids coded at a time
 FILE_IDS = 1 << 22       # ids of one file, about
 PIECE = 1 << 22          # characters of a text tokenized at a time, about
-BATCH = 1 << 22          # characters tokenized at once, about
-WORDS = 1 << 19          # distinct words a worker remembers, about
+BATCH = 1 << 21          # characters tokenized at once, about
+WORDS = 1 << 18          # distinct words a worker remembers, about
 END_ID = 2
 ENCODE = 1 << 12         # words in one call of the tokenizer
+JOINED = 64              # words in one text of a call
+MARK = "\x01"            # stands after each of them
 SPACE = re.compile("[ \n]")
 
 INDEX = "part int, seq int, file string, docs long, ids long"
@@ -287,8 +289,10 @@ class Words(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        one, two = self.encoded(["ab", "cd."])
-        self.apart = self.encoded(["ab cd.", " ab\ncd. ", "  ab \n\n cd.\n"]) == [one + two] * 3
+        one, two, mark = self.texts(["ab", "cd.", MARK])
+        self.apart = self.texts(["ab cd.", " ab\ncd. ", "  ab \n\n cd.\n"]) == [one + two] * 3
+        marked = self.texts([f"ab {MARK} cd. {MARK}", f"{MARK} ab.  {MARK}"])
+        self.mark = mark[0] if len(mark) == 1 and marked == [one + mark + two + mark, mark + self.texts(["ab."])[0] + mark] else None
         spec = json.loads(self.tokenizer.to_str())
         steps = spec["normalizer"] or {}
         self.folds = any(x["type"] == "Lowercase" for x in steps.get("normalizers", [steps]) if "type" in x)
@@ -297,9 +301,29 @@ class Words(dict):
         self.hits = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for k in range(0, len(texts), ENCODE)
-                for e in self.tokenizer.encode_batch_fast(texts[k:k + ENCODE], add_special_tokens=False)]
+    def texts(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words end to end, and how many each has.  Words go to the
+        tokenizer ``JOINED`` at a time, a mark of one id after each; where other
+        marks come back than went in (a word has one), word by word."""
+        flat, sizes = [], []
+        for k in range(0, len(words), ENCODE):
+            part = words[k:k + ENCODE]
+            if self.mark is not None:
+                joined = [f" {MARK} ".join([*part[i:i + JOINED], ""]) for i in range(0, len(part), JOINED)]
+                ids = np.fromiter(chain.from_iterable(self.texts(joined)), np.uint32)
+                marks = np.flatnonzero(ids == self.mark)
+                if len(marks) == len(part):
+                    flat.append(np.delete(ids, marks))
+                    sizes.append(np.diff(marks, prepend=-1) - 1)
+                    continue
+            got = self.texts(part)
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def trim(self, most: int) -> None:
         """Forget all but the ``most`` words found in the most pieces of text."""
@@ -320,11 +344,11 @@ class Words(dict):
             new = [words[k] for k in fresh.tolist()]
             out[fresh] = np.arange(len(self), len(self) + len(new))
             self.update(zip(new, out[fresh].tolist()))
-            got = self.encoded(new)
-            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
+            flat, size = self.encoded(new)
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat])
             self.first = np.cumsum(self.size) - self.size
-            self.hits = np.concatenate([self.hits, np.zeros(len(got), np.int64)])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.hits[out] += counts
         return out
 
@@ -359,7 +383,9 @@ class Words(dict):
         words = pc.split_pattern(pc.replace_substring(whole, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
-        numbers = self.numbers(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)))[at]
+        # by numpy, which makes strings faster than `to_pylist`
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = self.numbers(distinct, np.bincount(at, minlength=len(coded.dictionary)))[at]
         size = np.concatenate([[0], np.cumsum(self.size[numbers])])
         cut = size[words.offsets.to_numpy()]
         out = np.split(self.ids(numbers), cut[1:-1])
@@ -378,7 +404,7 @@ def token_ids(path: str, texts: Iterator[str]) -> Iterator[tuple[int, np.ndarray
     words = words_of(path)
     if not words.apart:
         for k, text in enumerate(texts):
-            yield k, np.array(words.encoded([text])[0], np.uint32)
+            yield k, np.array(words.texts([text])[0], np.uint32)
         return
     wait: list[tuple[int, str]] = []
     size = 0
@@ -459,7 +485,8 @@ def write_ids(docs: DataFrame, path: str, scratch: Scratch, id_col: str = "doc_i
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
     rows = rows.withColumns({"_h": order[1], "_n": order[2]})
     rows = rows.repartitionByRange(shuffle_partitions(spark), order[0], "_h", "_n").sortWithinPartitions(order[0], "_h", "_n")
-    return scratch.write(rows.select("key", "text").mapInArrow(_write(folder, path, end_id, file_ids), INDEX), "index")
+    with arrow_batches(spark):
+        return scratch.write(rows.select("key", "text").mapInArrow(_write(folder, path, end_id, file_ids), INDEX), "index")
 
 
 def read_ids(index: DataFrame, scratch: Scratch) -> DataFrame:

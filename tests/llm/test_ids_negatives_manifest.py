@@ -8,13 +8,14 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from slatekit.llm import hardneg, merkle, wordpack
-from slatekit.llm.common import Scratch, table
+from slatekit.llm.common import Scratch, arrow_batches, table
 from tests.conftest import SF_SMALL
 from tests.llm.test_edges import ROWS, SCHEMA
 
@@ -105,6 +106,35 @@ def test_remembered_words_are_bounded(monkeypatch):
     assert [got[k] for k in range(len(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_joined_by_marks_have_their_own_ids():
+    words = wordpack.Words(PATH)
+    assert words.mark is not None
+    calls = []
+    real = words.texts
+    words.texts = lambda texts: calls.append(len(texts)) or real(texts)
+    plain = ["Ünï", "don't", "", "x%%", "12.5", "é", "ΣΑΣ."] * 40
+    for more in ([], ["a\x01b"], ["\x01"]):                # a word with the mark: word by word
+        calls.clear()
+        flat, size = words.encoded(plain + more)
+        want = [words.tokenizer.encode(w, add_special_tokens=False).ids for w in plain + more]
+        assert size.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+        assert calls == [-(-len(plain + more) // wordpack.JOINED)] + [len(plain + more)] * bool(more)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 300, numPartitions=1).selectExpr("repeat('x', 1000) AS t").mapInArrow(sizes, "n long")
+    with arrow_batches(spark, 20_000):
+        got = [r["n"] for r in rows.collect()]
+        with arrow_batches(spark, 40_000):
+            assert spark.conf.get(name) == "20000"
+    assert len(got) >= 10 and max(got) < 40_000 and spark.conf.get(name) == before
+
+
 def brute_ids(rows):
     tok, start, out = Tokenizer.from_file(PATH), 0, []
     for key, text in rows:
