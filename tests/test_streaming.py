@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from slatekit.sources import kafka as K
@@ -57,6 +58,24 @@ def test_empty_batch_skipped(spark):
     assert not os.path.exists(f"{base}/out")
 
 
+def test_batches_are_not_kept_in_memory(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="slatekit-kept-")
+    levels, kind = [], type(spark.range(1))
+    real = kind.persist
+
+    def kept(self, *level):
+        levels.append(level)
+        return real(self, *level)
+    monkeypatch.setattr(kind, "persist", kept)
+    recs = _records(spark, [json.dumps(BATCHED), "{"])
+    SC.scoring_batch(f"{base}/out")(recs, 0)                       # the parse has one reader
+    assert not levels
+    SC.scoring_batch(f"{base}/out2", f"{base}/bad")(recs, 0)
+    assert levels == [(StorageLevel.DISK_ONLY,)]
+    one, two = (sorted(map(tuple, spark.read.parquet(f"{base}/{p}").select("key", "slot", "pred").collect())) for p in ("out", "out2"))
+    assert one == two and spark.read.parquet(f"{base}/bad").count() == 1
+
+
 def test_stream_quarantines_broken_records(spark):
     base = tempfile.mkdtemp(prefix="slatekit-q-")
     recs = _records(spark, [json.dumps(BATCHED), "{\"inputs/usr_ph\": [[1,"])
