@@ -103,6 +103,44 @@ def test_gradient_steps_can_be_continued(spark):
     assert loss(whole) < loss(LR.gradient_steps(df, none, 1)) < loss(none)
 
 
+def test_gradient_steps_read_the_slots_once(spark):
+    """Steps over groups of equal items are those over the slots, one by one."""
+    import math
+    rows = [(*[float((i * k) % 3) if (i + k) % 11 else None for k in range(1, 8)],
+             None if i % 13 == 0 else float(i % 3 == 0)) for i in range(90)]
+    rows += rows[:40] + [(None,) * 8]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*LR.ITEM_ID_COLS, "label"]))
+    groups = LR.item_groups(df)
+    assert groups.count() == len({r[:7] for r in rows}) < len(rows)
+    none = spark.createDataFrame([], LR.WEIGHTS)
+    want: dict = {}
+    for _ in range(2):
+        move: dict = {}
+        for *ids, label in rows:
+            z = want.get((-1, 0)) or 0.0
+            z += sum(want.get((f, v)) or 0.0 for f, v in enumerate(ids) if v is not None)
+            for key in [(-1, 0), *enumerate(ids)]:
+                move.setdefault(key, [])
+                if label is not None:
+                    move[key].append(1 / (1 + math.exp(-z)) - label)
+        for key, g in move.items():
+            if g:
+                want[key] = (want.get(key) or 0.0) - sum(g) / len(rows)
+    for train in (df, groups):
+        got = {(r["field"], r["id"]): r["weight"] for r in LR.gradient_steps(train, none, 2).collect()}
+        assert {k for k, v in got.items() if v is not None} == want.keys()
+        assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+    reads = []
+    real = LR._with_weights
+    LR._with_weights = lambda rows, weights: reads.append(rows.columns) or real(rows, weights)
+    try:
+        LR.gradient_steps(df, none, 2)
+    finally:
+        LR._with_weights = real
+    assert reads == [groups.columns] * 2           # no step scores every slot
+
+
 def test_early_stop_of_one_long_run(spark, small_split):
     import itertools
     for maximize in (True, False):
