@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import Scratch, drop_ids, maybe_ids, ship_package, table, unique_rows
+from slatekit.llm.common import Scratch, arrow_batches, drop_ids, maybe_ids, ship_package, table, unique_rows
 
 SHINGLE = 5
 COORDS = 48
@@ -65,8 +65,8 @@ LOW = 256
 LOW_MATCH = 158
 BINS = 256
 BIN_SLACK = 5.3
-COMPARE = 8192           # pairs compared at a time
-CHUNK_WORDS = 1_000_000  # words hashed together
+COMPARE = 2048           # pairs compared at a time
+CHUNK_WORDS = 250_000    # words hashed together
 
 _MULT = (np.random.default_rng(5).integers(0, 2**63, COORDS + 8, dtype=np.uint64)
          * np.uint64(2) + np.uint64(1))
@@ -190,7 +190,7 @@ def low_agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     twice = np.zeros(c.shape, bool)
     twice[:, 1:] = (c[:, 1:] == c[:, :-1]) & (c[:, 1:] != np.uint32(_PAD))
     both = twice.sum(axis=1)
-    seen = np.cumsum(~twice, axis=1) <= LOW
+    seen = np.cumsum(~twice, axis=1, dtype=np.int16) <= LOW
     return np.where((na <= LOW) & (nb <= LOW), 100 * both >= LEAST * (na + nb - both),
                     (twice & seen).sum(axis=1) >= LOW_MATCH)
 
@@ -207,9 +207,9 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDS)
         bins = np.zeros((t.num_rows, BINS), np.uint8)
         low = np.full((t.num_rows, LOW), _PAD, np.uint32)
-        for r, z in enumerate(t.column("bins").to_pylist()):
-            bins[r] = np.frombuffer(z, np.uint8, BINS)
-            v = np.frombuffer(z, "<u4", offset=BINS)
+        for r, z in enumerate(t.column("bins")):
+            bins[r] = np.frombuffer(z.as_buffer(), np.uint8, BINS)
+            v = np.frombuffer(z.as_buffer(), "<u4", offset=BINS)
             low[r, :len(v)] = v
         here = col["grp"] >> 32
         mask = (col["mask"][:, None] >> np.arange(COORDS)) & 1 == 1
@@ -308,7 +308,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     ship_package(spark)
-    scratch = Scratch(spark, "neardup")
+    with arrow_batches(spark):         # every step that runs Python is written in here
+        return _near_duplicates(docs, Scratch(spark, "neardup"), id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"),
                       F.col(text_col).cast("binary").alias("body"))

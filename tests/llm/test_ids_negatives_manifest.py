@@ -14,8 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from slatekit.llm import hardneg, merkle, wordpack
-from slatekit.llm.common import Scratch, arrow_batches, table
+from slatekit.llm import hardneg, merkle, neardup, wordpack
+from slatekit.llm.common import BATCH_BYTES, Scratch, arrow_batches, table
 from tests.conftest import SF_SMALL
 from tests.llm.test_edges import ROWS, SCHEMA
 
@@ -135,6 +135,22 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
     assert len(got) >= 10 and max(got) < 40_000 and spark.conf.get(name) == before
 
 
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    """Near-duplicate sets and token ids of texts larger together than a batch."""
+    seen, kind = [], type(spark.range(1))
+    real = kind.mapInArrow
+
+    def kept(self, *args, **kw):
+        seen.append(self.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        return real(self, *args, **kw)
+    monkeypatch.setattr(kind, "mapInArrow", kept)
+    docs = spark.createDataFrame([(i, "a b c d e f" + f" w{i // 2}" * 9) for i in range(8)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(8)}
+    wordpack.write_ids(docs, PATH, Scratch(spark, "small-batches"))
+    assert len(seen) >= 4 and {int(x) for x in seen} == {BATCH_BYTES}
+
+
 def brute_ids(rows):
     tok, start, out = Tokenizer.from_file(PATH), 0, []
     for key, text in rows:
