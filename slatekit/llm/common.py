@@ -21,7 +21,7 @@ ID_BUCKETS = 1 << 20
 BATCH_BYTES = 4 << 20
 
 __all__ = ["BATCH_BYTES", "ID_BUCKETS", "Scratch", "arrow_batches", "ascii_lower", "bucket", "drop_ids", "free_name", "in_buckets", "keep_ids", "maybe_ids", "null_safe",
-           "row_key", "running", "ship_package", "shuffle_partitions", "table", "unique_rows", "word_count"]
+           "row_key", "running", "ship_package", "shuffle_partitions", "shuffled_joins", "table", "unique_rows", "word_count"]
 
 
 class Scratch:
@@ -63,6 +63,25 @@ def arrow_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
         spark.conf.set(name, before)
 
 
+@contextmanager
+def shuffled_joins(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside broadcast a side of a join only where a hint asks for it:
+    short steps over small tables in a loop would each build their relations on the
+    driver."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        for name, was in before.items():
+            if was is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, was)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

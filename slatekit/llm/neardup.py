@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import Scratch, arrow_batches, drop_ids, maybe_ids, ship_package, table, unique_rows
+from slatekit.llm.common import Scratch, arrow_batches, drop_ids, maybe_ids, ship_package, shuffled_joins, table, unique_rows
 
 SHINGLE = 5
 COORDS = 48
@@ -260,7 +260,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) for every node of the edge table (a, b); comp is the
     smallest node reachable.  Alternates large-star and small-star steps until
     the edges no longer change; nothing leaves the executors but two numbers."""
+    with shuffled_joins(scratch.spark):
+        return _components(edges, scratch, name)
 
+
+def _components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     def mark(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -339,7 +343,6 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: s
                                     F.col("n").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     comp = None
-    links = None
     for r in range(1, ROUNDS + 1):
         dealt = prefix.select("grp", "node", F.pmod(F.xxhash64("node", "grp", F.lit(r)), F.ceil(
             F.col("freq") / HAND)).alias("hand"))
@@ -354,8 +357,9 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: s
         pairs = scratch.write(pairs.withColumn("at", F.row_number().over(best))
                               .where(F.col("at") <= TRY).select("a", "ha", "b", "hb"), f"tried-{r}")
         found = scratch.write(_confirmed(pairs, src), f"links-{r}")
-        links = found if links is None else links.unionByName(found)
-        comp = scratch.write(components(links, scratch, f"c{r}"), f"comp-{r}")
+        if comp is not None:           # earlier links as the stars they have become
+            found = found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        comp = scratch.write(components(found, scratch, f"c{r}"), f"comp-{r}")
 
     # last merge: pairs between components only
     lists = prefix.select("grp", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
