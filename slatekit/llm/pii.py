@@ -16,7 +16,9 @@ that lies inside another is left to it.
 
 Edges are counted before they are joined (distinct pattern-instance pairs), so
 frequent words cost one row per distinct pair, and joins on a pattern are salted
-by the instance, as a few forms hold most instances.  Positions are summed in
+by the instance, as a few forms hold most instances.  Those joins are shuffled: a
+table of patterns of a few megabytes, as the planner measures it, is many times that
+with its salts, and the driver would hold it whole.  Positions are summed in
 blocks of ``BLOCK`` matches, so the work follows the length of a text.
 
 Defined results: null and empty texts have no span; a neighbour at a text's end
@@ -33,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatekit.llm.common import Scratch, ascii_lower, table
+from slatekit.llm.common import Scratch, ascii_lower, shuffled_joins, table
 
 ROUNDS = 3
 SHRINK = 1.0
@@ -273,23 +275,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.transform(m, labelled(k)) for k, m in enumerate(kinds)]).alias("base"))
     base = scratch.write(with_base.select("doc_id", "h", "base"), "base")
     occ = scratch.write(instances(with_base).unionByName(runs(with_base)).distinct(), "occurrences")
-    good = scratch.write(bootstrap(occ, scratch), "trusted")
-
-    trusted, keys = spread(good), ["pattern", SALT]
-    unseen = salted(occ.where(~F.col("seed")))
-    own = unseen.withColumn("pattern", F.explode(forms())).join(trusted, keys, "left_semi").drop("pattern").distinct()
-    near = own.withColumn("pattern", F.explode(neighbourhoods())).join(trusted, keys, "left_semi")
-    more = near.select("doc_id", "h", F.struct(F.lit(len(KINDS)).alias("k"), "s", "e").alias("x")).distinct()
-    # longest first among those that begin together; one inside the one before goes
-    more = more.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("x.s").alias("s"), (-F.col("x.e")).alias("d"), F.col("x.k").alias("k")))).alias("more"))
-    far = F.aggregate("more", F.struct(F.lit(-1).alias("to"), F.array().cast("array<struct<k:int,s:int,e:int>>").alias("out")),
-                      lambda acc, y: F.when(-y["d"] <= acc["to"], acc).otherwise(F.struct(
-                          (-y["d"]).alias("to"), F.concat(acc["out"], F.array(F.struct(
-                              y["k"].alias("k"), y["s"].alias("s"), (-y["d"]).alias("e")))).alias("out"))),
-                      lambda acc: acc["out"])
-    more = more.select("doc_id", "h", far.alias("more"))
-    more = more.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
+    with shuffled_joins(docs.sparkSession):
+        good = scratch.write(bootstrap(occ, scratch), "trusted")
+
+        trusted, keys = spread(good), ["pattern", SALT]
+        unseen = salted(occ.where(~F.col("seed")))
+        own = unseen.withColumn("pattern", F.explode(forms())).join(trusted, keys, "left_semi").drop("pattern").distinct()
+        near = own.withColumn("pattern", F.explode(neighbourhoods())).join(trusted, keys, "left_semi")
+        more = near.select("doc_id", "h", F.struct(F.lit(len(KINDS)).alias("k"), "s", "e").alias("x")).distinct()
+        # longest first among those that begin together; one inside the one before goes
+        more = more.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct(
+            F.col("x.s").alias("s"), (-F.col("x.e")).alias("d"), F.col("x.k").alias("k")))).alias("more"))
+        far = F.aggregate("more", F.struct(F.lit(-1).alias("to"), F.array().cast("array<struct<k:int,s:int,e:int>>").alias("out")),
+                          lambda acc, y: F.when(-y["d"] <= acc["to"], acc).otherwise(F.struct(
+                              (-y["d"]).alias("to"), F.concat(acc["out"], F.array(F.struct(
+                                  y["k"].alias("k"), y["s"].alias("s"), (-y["d"]).alias("e")))).alias("out"))),
+                          lambda acc: acc["out"])
+        more = scratch.write(more.select("doc_id", "h", far.alias("more")), "more")
+    more = more.withColumnsRenamed({"doc_id": "_d", "h": "_h"}).hint("merge")       # short rows on both sides
 
     names = F.array(*[F.lit(k) for k in (*KINDS, "found")])
     text_of = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(

@@ -260,6 +260,25 @@ def test_neighbours_are_whole_words(spark, texts):
     assert got == sorted(want)
 
 
+def test_pii_joins_hold_no_side_on_the_driver(spark, monkeypatch):
+    from slatekit.llm import common, pii
+
+    plans, write = [], common.Scratch.write
+
+    def recorded(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, df, name)
+    monkeypatch.setattr(common.Scratch, "write", recorded)
+    rows = [(i, f"write to mail a{i}@x.org today, or call card 4{i:03d} now") for i in range(40)]
+    rows += [(100 + i, f"write to mail b{i}@x today") for i in range(3)]
+    out = pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    assert {"patterns-1", "tokens-1", "result"} <= {name for name, _ in plans}
+    assert [name for name, p in plans if "BroadcastExchange" in p or "BroadcastHashJoin" in p] == []
+    got = {r["doc_id"]: r["spans"] for r in out.collect()}
+    assert got[0].startswith("email:") and len(got) == 43 and all("found:" in got[100 + i] for i in range(3))
+
+
 def test_fingerprints(spark, texts):
     ids = sorted(texts)
     got = {r["doc_id"]: r for r in queries.REGISTRY["op8_fingerprints"](spark, SF_SMALL).collect()}
