@@ -45,3 +45,37 @@ def test_same_ids_in_both_splits_stay_apart(spark, tmp_path):
 def test_empty_file(spark, tmp_path):
     _write(spark, f"{tmp_path}/train", 0, 1)
     assert I.log_from_csv(spark, f"{tmp_path}/train", "train").count() == 0
+
+
+def test_rows_are_numbered_where_they_are_read(spark, tmp_path, monkeypatch):
+    _write(spark, f"{tmp_path}/train", 400, 3)
+    staged, run_path = [], FS.run_path
+    monkeypatch.setattr(FS, "run_path", lambda s, name: staged.append(name) or run_path(s, name))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")          # several blocks a file
+    try:
+        log = I.log_from_csv(spark, f"{tmp_path}/train", "train").select("imp_id", "pos", "label", "hist_len")
+        rows = log.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["imp_id"] for r in rows) == list(range(400))
+    assert all(r["pos"] == str(r["imp_id"]) and r["hist_len"] == int(r["label"] and r["imp_id"] > 0) for r in rows)
+    assert staged == ["csv-blocks"]                                      # no sorted copy
+
+
+def test_rows_of_the_csv_files_are_made_once(spark, tmp_path, monkeypatch):
+    from slatekit import queries as Q
+
+    spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}", i % 2, "click" if i % 3 else "view", 10.0 * i, '{"k": %d}' % i)
+                           for i in range(40)], "event_id long, ts string, user_id long, event_type string, value double, "
+                          "props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(
+        f"{tmp_path}/events.parquet")
+    staged, run_path = [], FS.run_path
+    monkeypatch.setattr(FS, "run_path", lambda s, name: staged.append(name) or run_path(s, name))
+    base = Q._write_csv_logs(spark, str(tmp_path))
+    assert staged == ["csv", "csv-rows"]
+    logs = {s: I.log_from_csv(spark, f"{base}/{s}", s) for s in ("train", "test")}
+    n = {s: x.count() for s, x in logs.items()}
+    assert n == {"train": 32, "test": 8}
+    assert logs["train"].where("label = 1 AND hist_len > 0").count() > 0
+    assert logs["train"].where("label = 0 AND hist_len > 0").count() == 0
