@@ -79,3 +79,14 @@ def test_predictions_join_by_list(spark):
     cols = ["split", "list_id", "slot", "pred", "cate", "label", "mask"]
     want = preds.join(labels, ["split", "list_id", "slot"]).select(*cols)
     assert sorted(map(tuple, x.select(*cols).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_let_and_padding_copy_nothing(spark):
+    from slatekit.functions.exprs import let, pad_right, zero_step
+
+    x = spark.createDataFrame([([[1, 2], [3, 4]],), ([],), (None,)], "a array<array<bigint>>")
+    out = x.select(let(F.reverse("a"), lambda v: F.concat(v, v)).alias("b"),
+                   pad_right("a", 1, zero_step(2, "bigint")).alias("c"), pad_right("a", 3, zero_step(2, "bigint")).alias("d"))
+    assert "transform(" not in _plan(out)
+    assert [tuple(r) for r in out.collect()] == [
+        ([[3, 4], [1, 2]] * 2, [[1, 2]], [[1, 2], [3, 4], [0, 0]]), ([], [[0, 0]], [[0, 0]] * 3), (None, None, None)]

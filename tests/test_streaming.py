@@ -142,3 +142,33 @@ def test_records_without_a_key_keep_their_place(spark):
         ("t", 0, i, s) for i in range(3) for s in range(2)}
     assert all(r["key"] is None for r in rows)
     assert all((r["pred"] == 0) == (r["slot"] == 1) for r in rows)      # one real slot, one padding
+
+
+def test_what_a_batch_keeps_on_disk_is_what_its_outputs_read(spark):
+    x = SC._scorer_inputs(RQ.parse_records(_records(spark, [json.dumps(BATCHED), "not json"])))
+    rows = {r["key"]: r for r in x.collect()}
+    assert rows["0"]["_req"].asDict(True) == {"candi_itm_ft": [[[1] * 7, [2] * 7]], "candi_itm_dens": None,
+                                              "candi_list_len": [1]}
+    assert rows["0"]["_raw"] is None and (rows["1"]["_req"], rows["1"]["_raw"]) == (None, "not json")
+    good, bad = RQ.split_parsed(x)
+    assert SC.score_requests(good).count() == 2 and [r["raw"] for r in bad.collect()] == ["not json"]
+
+
+def test_scores_pass_as_arrays_and_are_laid_out_after_it(spark):
+    class Odd:
+        n_dense = 0
+
+        def score(self, items):
+            import numpy as np
+            return np.where(items[:, 0] == 2, np.nan, items[:, 0].astype(float))
+
+    two = json.dumps({**BATCHED, "inputs/candi_list_len": [[2]]})
+    one = json.dumps({**BATCHED, "inputs/candi_itm_ft": [[[]]], "inputs/lb": [[[]]]})             # no slots
+    parsed, _ = RQ.parse_requests(_records(spark, [two, one, json.dumps(BATCHED)]))
+    got = SC.score_requests(parsed, Odd)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    rows = sorted((r["key"], r["slot"], r["pred"]) for r in got.collect() if r["pred"] is not None)
+    assert rows == [("0", 0, 1.0), ("2", 0, 1.0), ("2", 1, 0.0)]
+    assert [(r["key"], r["slot"]) for r in got.where("pred IS NULL").collect()] == [("0", 1)]
+    packed = {r["key"]: r["preds"] for r in SC.score_requests(parsed, Odd, packed=True).collect()}
+    assert packed == {"0": [1.0, None], "1": [], "2": [1.0, 0.0]}
