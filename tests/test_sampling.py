@@ -81,3 +81,22 @@ def test_permutations_are_permutations(spark):
     assert len(per) == 3 * len(sizes) and all(r["v"] == list(range(r["n"])) for r in per)
     big = spark.range(2000).select(S.permuted(F.col("id"), F.lit(10 ** 12 + 7), F.lit(5)).alias("v"))
     assert big.distinct().count() == 2000 and big.agg(F.max("v")).first()[0] < 10 ** 12 + 7
+
+
+def test_places_drawn_together_equal_places_drawn_alone(spark):
+    rows = spark.createDataFrame([(i, n) for i in range(6) for n in (10, 11, 27, 81, 82, 300)], "list_id long, n long")
+    places = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda t: t.cast("bigint"))
+    keys = ("list_id", F.lit("own"))
+    out = rows.select("n", S.permuted_places(places, F.col("n"), *keys, most=9).alias("together"),
+                      F.array(*[S.permuted(F.lit(t), F.col("n"), *keys) for t in range(9)]).alias("alone")).collect()
+    assert len(out) == 36 and all(r["together"] == r["alone"] and len({*r["alone"]}) == 9 for r in out)
+    assert all(0 <= v < r["n"] for r in out for v in r["together"])
+
+
+def test_draws_are_dealt_over_the_session_s_partitions(spark):
+    rows = spark.createDataFrame([("train", 1, i) for i in range(64)], "split string, user_id long, list_id long")
+    counts = rows.groupBy("split", "user_id").agg(F.count(F.lit(1)).alias("n"))      # one hot user
+    drawn = S._drawn(rows.hint("merge").join(counts, ["split", "user_id"]), "n", "own", 9, "exact", "42", "t", "j")
+    per = drawn.groupBy(F.spark_partition_id().alias("p")).count()
+    assert drawn.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    assert per.agg(F.sum("count")).first()[0] == 64 * 9

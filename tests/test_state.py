@@ -175,3 +175,22 @@ def test_replay_is_paced_and_goes_on(spark, tmp_path):
     # admission: no micro-batch took more than its share
     sizes = [r["count"] for r in spark.read.parquet(out).groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 60 and max(sizes) <= 15
+
+
+def test_first_appearances_hold_the_first_of_every_value(spark):
+    step = lambda *v: [str(x) for x in v]
+    rows = [("train", None, 1, ["1", "2", "3", "4", "5", "6", "7"], [step(9, 8, 7, 6, 5, 4), step(1, 8, 7, 6, 5, 4)]),
+            ("train", 5, 1, ["1", "2", "3", "4", "5", "6", "8"], [step(1, 8, 7, 6, 5, 4), step(9, 8, 7, 6, 5, 4)]),
+            ("train", 5, 1, ["1", "2", "3", None, "5", "6", "8"], [step(3, 3, 3, 3, 3, 3), step(9, 8, 7, 6, 5, 4)]),
+            ("test", 2, 1, ["1", "9", "3", "4", "5", "6", "7"], [step(2, 2, 2, 2, 2, 2)] * 3),
+            ("test", 4, 0, ["0", "9", "3", "4", "5", "6", "7"], [])]
+    log = spark.createDataFrame([(s, i, lab, *items, h) for s, i, lab, items, h in rows],
+                                "split string, imp_id long, label int, " + ", ".join(f"{c} string" for c in VO.ITEM_COLS)
+                                + ", hist array<array<string>>")
+    users = spark.createDataFrame([("train", 1, *"abcde", 5), ("test", 1, *"abcdf", 2)],
+                                  "split string, user_id long, " + ", ".join(f"{c} string" for c in VO.USER_FIELDS)
+                                  + ", first_imp long")
+    first = lambda app: sorted(map(str, app.groupBy("ns", "value").agg(
+        F.min(F.struct("phase", "split_ord", "pos", "sub")).alias("o")).collect()))
+    short, whole = VO.first_appearances(log, users), VO.appearances(log, users)
+    assert first(short) == first(whole) and short.count() < whole.count()
