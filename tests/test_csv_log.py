@@ -63,13 +63,17 @@ def test_rows_are_numbered_where_they_are_read(spark, tmp_path, monkeypatch):
     assert staged == ["csv-blocks"]                                      # no sorted copy
 
 
-def test_rows_of_the_csv_files_are_made_once(spark, tmp_path, monkeypatch):
-    from slatekit import queries as Q
-
+def _events(spark, tmp_path):
     spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}", i % 2, "click" if i % 3 else "view", 10.0 * i, '{"k": %d}' % i)
                            for i in range(40)], "event_id long, ts string, user_id long, event_type string, value double, "
                           "props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(
         f"{tmp_path}/events.parquet")
+
+
+def test_rows_of_the_csv_files_are_made_once(spark, tmp_path, monkeypatch):
+    from slatekit import queries as Q
+
+    _events(spark, tmp_path)
     staged, run_path = [], FS.run_path
     monkeypatch.setattr(FS, "run_path", lambda s, name: staged.append(name) or run_path(s, name))
     base = Q._write_csv_logs(spark, str(tmp_path))
@@ -79,3 +83,16 @@ def test_rows_of_the_csv_files_are_made_once(spark, tmp_path, monkeypatch):
     assert n == {"train": 32, "test": 8}
     assert logs["train"].where("label = 1 AND hist_len > 0").count() > 0
     assert logs["train"].where("label = 0 AND hist_len > 0").count() == 0
+
+
+def test_the_prepared_log_keeps_no_history_of_negatives(spark, tmp_path):
+    from slatekit import queries as Q
+    from slatekit.plans import views as V
+
+    _events(spark, tmp_path)
+    _, log = Q._log(spark, str(tmp_path))
+    held = {r["imp_id"]: r for r in log.select("imp_id", "label", "hist", "hist_len").collect()}
+    assert {r["label"] for r in held.values()} == {0, 1}
+    whole = {r["imp_id"]: r["hist"] for r in V.impressions(spark, str(tmp_path)).collect()}
+    assert all(r["hist"] == (whole[i] if r["label"] else []) for i, r in held.items())
+    assert all(r["hist_len"] == len(r["hist"]) for r in held.values())
